@@ -48,3 +48,281 @@ def encode_constant(spark, sf_dir):
     samples = document_samples(table(spark, sf_dir, "documents")).select("key", "caption")
     enc = apply_encoder(samples, EncoderSpec.of(ConstantEncoder), text_col="caption")
     return enc.select("key", F.to_json("embedding").alias("embedding_json"))
+
+
+# ---------------------------------------------------------------- sources
+from ..functions import urls  # noqa: E402
+from ..operators.samples import (assign_workers, fixed_batches, flatten_metadata,  # noqa: E402
+                                 pack_metadata, sample_ordinal, sample_projection, cap_samples)
+from ..operators.scan import ordinal  # noqa: E402
+from ..sinks.files import write_dataset_manifest, write_run_manifest  # noqa: E402
+from ..sources.dataset import (ROW_COL, SHARD_COL, list_shards, sample_dataset,  # noqa: E402
+                               scan_dataset, scan_shards, write_shards)
+from .embed_job import embed_dataset  # noqa: E402
+
+SHARD_ROWS = 250
+DATA_COLS = ["url", "caption", "key", "lang", "source", "n_chars", "doc_id", "n_bytes"]
+
+# The two-shape dataset in DuckDB: documents (with caption) and pages (without).
+SAMPLES_SQL = """
+SELECT 'doc://' || source || '/' || CAST(doc_id AS VARCHAR) AS url, text AS caption,
+       CAST(doc_id AS VARCHAR) AS key, lang, source, n_chars, doc_id,
+       CAST(NULL AS BIGINT) AS n_bytes, 0 AS grp, doc_id AS id
+FROM documents
+UNION ALL
+SELECT url, CAST(NULL AS VARCHAR), 'page_' || CAST(page_id AS VARCHAR), CAST(NULL AS VARCHAR),
+       CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), page_id, CAST(strlen(html) AS BIGINT), 1, page_id
+FROM pages
+"""
+
+
+def _dataset(spark, sf_dir):
+    return scan_dataset(spark, sample_dataset(spark, sf_dir, SHARD_ROWS))
+
+
+@register("shard_inventory", """
+SELECT regexp_extract(filename, '[^/]+$') AS shard, CAST(size AS BIGINT) AS size_bytes,
+       CAST(row_number() OVER (ORDER BY filename) - 1 AS BIGINT) AS shard_index
+FROM read_blob('/root/testdata/sf0.01/*.parquet')
+""")
+def shard_inventory(spark, sf_dir):
+    """Recursive ``*.parquet`` discovery in lexicographic order (file metadata only)."""
+    files = list_shards(spark, sf_dir)
+    return ordinal(files, [], ["path"], "shard_index").select(
+        F.regexp_extract("path", r"[^/]+$", 0).alias("shard"),
+        F.col("length").alias("size_bytes"), "shard_index")
+
+
+@register("dataset_scan", f"SELECT {', '.join(DATA_COLS)} FROM ({SAMPLES_SQL})")
+def dataset_scan(spark, sf_dir):
+    """Merged-schema scan over two differently shaped shard groups."""
+    return _dataset(spark, sf_dir).select(*DATA_COLS)
+
+
+@register("shard_subset", f"""
+SELECT key, doc_id FROM ({SAMPLES_SQL}) WHERE id // {SHARD_ROWS} IN (1, 3)
+""")
+def shard_subset(spark, sf_dir):
+    """Only the shards named ``shard=00001`` and ``shard=00003`` (file pruning by path)."""
+    root = sample_dataset(spark, sf_dir, SHARD_ROWS)
+    return scan_shards(spark, root, ["shard=00001", "shard=00003"]).select("key", "doc_id")
+
+
+@register("sample_projection", f"SELECT url, caption, key FROM ({SAMPLES_SQL})")
+def sample_projection_q(spark, sf_dir):
+    return sample_projection(_dataset(spark, sf_dir)).select("url", "caption", "key")
+
+
+META_JSON_SQL = """
+SELECT CAST(doc_id AS VARCHAR) AS key,
+       '{"lang":"' || lang || '","source":"' || source || '","n_chars":' || CAST(n_chars AS VARCHAR)
+       || ',"doc_id":' || CAST(doc_id AS VARCHAR) || '}' AS metadata_json
+FROM documents
+UNION ALL
+SELECT 'page_' || CAST(page_id AS VARCHAR),
+       '{"doc_id":' || CAST(page_id AS VARCHAR) || ',"n_bytes":' || CAST(strlen(html) AS VARCHAR) || '}'
+FROM pages
+"""
+
+
+@register("metadata_pack", META_JSON_SQL)
+def metadata_pack(spark, sf_dir):
+    """Non-core columns packed into a struct (shown as JSON; absent fields omitted)."""
+    packed = pack_metadata(sample_projection(_dataset(spark, sf_dir)))
+    return packed.select("key", F.to_json("metadata").alias("metadata_json"))
+
+
+@register("metadata_flatten", f"""
+SELECT key, lang AS meta_lang, source AS meta_source, n_chars AS meta_n_chars,
+       doc_id AS meta_doc_id, n_bytes AS meta_n_bytes FROM ({SAMPLES_SQL})
+""")
+def metadata_flatten(spark, sf_dir):
+    packed = pack_metadata(sample_projection(_dataset(spark, sf_dir)))
+    flat = flatten_metadata(packed)
+    return flat.select("key", *[c for c in flat.columns if c.startswith("meta_")])
+
+
+SYNTH_SQL = """
+SELECT printf('s3://sample-bucket/images/img_%05d.jpg', doc_id) AS url,
+       printf('Sample image %d: A test image for batch processing', doc_id) AS caption,
+       printf('img_%05d', doc_id) AS key, 512 AS width, 512 AS height, 'synthetic' AS source
+FROM documents
+"""
+
+
+def _synthetic(spark, sf_dir, out):
+    """One synthetic image-dataset row per document id, written as shards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    rows = docs.select(
+        F.format_string("s3://sample-bucket/images/img_%05d.jpg", "doc_id").alias("url"),
+        F.format_string("Sample image %d: A test image for batch processing", "doc_id").alias("caption"),
+        F.format_string("img_%05d", "doc_id").alias("key"),
+        F.lit(512).alias("width"), F.lit(512).alias("height"), F.lit("synthetic").alias("source"),
+        "doc_id")
+    write_shards(rows, out, "doc_id", SHARD_ROWS)
+    return scan_dataset(spark, out)
+
+
+@register("synthetic_dataset", SYNTH_SQL)
+def synthetic_dataset(spark, sf_dir):
+    """Image-dataset generator (url/caption/key/size/source), one row per document id."""
+    df = _synthetic(spark, sf_dir, scratch_path(spark, "synthetic"))
+    return df.select("url", "caption", "key", "width", "height", "source")
+
+
+@register("dataset_manifest", f"""
+SELECT CAST(count(DISTINCT doc_id // {SHARD_ROWS}) AS BIGINT) AS num_shards,
+       CAST(count(*) AS BIGINT) AS num_samples, 'img2dataset' AS format,
+       '["url","caption","key","width","height","source","doc_id"]' AS columns_json
+FROM documents
+""")
+def dataset_manifest_q(spark, sf_dir):
+    """num_shards / num_samples / format / columns of the generated dataset, written as JSON."""
+    out = scratch_path(spark, "synthetic_manifest")
+    df = _synthetic(spark, sf_dir, out + "/data")
+    m = write_dataset_manifest(df, out + "/metadata.json")
+    return m.select("num_shards", "num_samples", "format", F.to_json("columns").alias("columns_json"))
+
+
+def _embedded(spark, sf_dir):
+    out = scratch_path(spark, "embed_job")
+    res = embed_dataset(spark, sample_dataset(spark, sf_dir, SHARD_ROWS), out, HASH_TEXT)
+    return res
+
+
+EMBED_SQL = f"""
+WITH s AS ({SAMPLES_SQL}),
+toks AS (
+  SELECT key, lower(t) AS tok FROM s, unnest(regexp_split_to_array(caption, '[^A-Za-z0-9]+')) AS u(t)
+  WHERE t <> ''
+), b AS (
+  SELECT key, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {TEXT_DIM} AS dim, CAST(count(*) AS DOUBLE) AS c
+  FROM toks GROUP BY key, dim
+), v AS (
+  SELECT key, sqrt(sum(c * c)) AS nrm, sum(c * (dim + 1)) AS wsum FROM b GROUP BY key
+)
+SELECT s.key, s.url, md5(s.caption) AS caption_md5, {TEXT_DIM} AS n_dims,
+       round(CASE WHEN v.nrm > 0 THEN 1.0 ELSE 0.0 END, 6) AS norm,
+       round(coalesce(v.wsum / v.nrm, 0.0), 4) AS checksum,
+       s.lang AS meta_lang, s.source AS meta_source, s.n_chars AS meta_n_chars,
+       s.doc_id AS meta_doc_id, s.n_bytes AS meta_n_bytes
+FROM s LEFT JOIN v USING (key)
+"""
+
+
+@register("embeddings_output", EMBED_SQL)
+def embeddings_output(spark, sf_dir):
+    """Flagship: scan -> project -> encode -> flatten -> parquet sink, read back."""
+    res = _embedded(spark, sf_dir)
+    df = spark.read.parquet(res.table)
+    e = F.col("embedding")
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
+    checksum = F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select("key", "url", F.md5("caption").alias("caption_md5"),
+                     F.size(e).alias("n_dims"), F.round(norm, 6).alias("norm"),
+                     F.round(checksum, 4).alias("checksum"),
+                     "meta_lang", "meta_source", "meta_n_chars", "meta_doc_id", "meta_n_bytes")
+
+
+@register("run_manifest", f"""
+SELECT CAST((SELECT count(*) FROM documents) + (SELECT count(*) FROM pages) AS BIGINT) AS num_samples,
+       '{HASH_TEXT.describe()}' AS model
+""")
+def run_manifest(spark, sf_dir):
+    """Manifest of the embedding job (row count observed during the write)."""
+    res = _embedded(spark, sf_dir)
+    return spark.read.schema("num_samples long, model string, timestamp double") \
+        .json(res.manifest).select("num_samples", "model")
+
+
+ORDINAL_SQL = f"SELECT key, CAST(row_number() OVER (ORDER BY grp, id) - 1 AS BIGINT) AS ordinal FROM ({SAMPLES_SQL})"
+
+
+@register("sample_ordinal", ORDINAL_SQL)
+def sample_ordinal_q(spark, sf_dir):
+    """Position in (shard path, row in shard) order via a range-partitioned prefix count."""
+    return sample_ordinal(_dataset(spark, sf_dir)).select("key", "ordinal")
+
+
+MAX_SAMPLES = 500
+
+
+@register("sample_cap", f"""
+SELECT key, ordinal FROM (
+  SELECT key, CAST(row_number() OVER (ORDER BY grp, id) - 1 AS BIGINT) AS ordinal
+  FROM ({SAMPLES_SQL}) WHERE caption IS NOT NULL)
+WHERE ordinal < {MAX_SAMPLES}
+""")
+def sample_cap(spark, sf_dir):
+    """``max_samples`` survivors (rows with a caption) in shard order."""
+    survivors = _dataset(spark, sf_dir).where(F.col("caption").isNotNull())
+    return cap_samples(sample_ordinal(survivors), MAX_SAMPLES).select("key", "ordinal")
+
+
+BATCH = 16
+WORKERS = 4
+
+
+@register("fixed_batches", f"""
+SELECT CAST(ordinal // {BATCH} AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS batch_size,
+       min(key) AS first_key_min
+FROM ({ORDINAL_SQL}) GROUP BY 1
+""")
+def fixed_batches_q(spark, sf_dir):
+    b = fixed_batches(sample_ordinal(_dataset(spark, sf_dir)), BATCH)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_size"), F.min("key").alias("first_key_min"))
+
+
+@register("worker_assignment", f"""
+SELECT CAST((ordinal // {BATCH}) % {WORKERS} AS INTEGER) AS worker_id,
+       CAST(count(DISTINCT ordinal // {BATCH}) AS BIGINT) AS n_batches, CAST(count(*) AS BIGINT) AS n_samples
+FROM ({ORDINAL_SQL}) GROUP BY 1
+""")
+def worker_assignment(spark, sf_dir):
+    w = assign_workers(fixed_batches(sample_ordinal(_dataset(spark, sf_dir)), BATCH), WORKERS)
+    return w.groupBy("worker_id").agg(F.countDistinct("batch_id").alias("n_batches"),
+                                      F.count(F.lit(1)).alias("n_samples"))
+
+
+@register("run_totals", f"""
+SELECT CASE grp WHEN 0 THEN 'docs' ELSE 'pages' END || '/shard=' || lpad(CAST(id // {SHARD_ROWS} AS VARCHAR), 5, '0') AS shard,
+       CAST(count(*) AS BIGINT) AS rows_loaded,
+       CAST(count(caption) AS BIGINT) AS rows_with_caption
+FROM ({SAMPLES_SQL}) GROUP BY 1
+""")
+def run_totals(spark, sf_dir):
+    """Rows per shard (and rows with a caption) from the file-path metadata column."""
+    df = _dataset(spark, sf_dir)
+    shard = F.regexp_extract(SHARD_COL, r"(docs|pages)/(shard=[0-9]+)/", 0)
+    return df.groupBy(F.rtrim(shard, F.lit("/")).alias("shard")).agg(
+        F.count(F.lit(1)).alias("rows_loaded"), F.count("caption").alias("rows_with_caption"))
+
+
+URL_SQL = """
+WITH u AS (
+  SELECT url FROM pages
+  UNION ALL SELECT 'doc://' || source || '/' || CAST(doc_id AS VARCHAR) FROM documents
+  UNION ALL SELECT printf('s3://sample-bucket/images/img_%05d.jpg', doc_id) FROM documents
+)
+SELECT url,
+       regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme,
+       regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS bucket,
+       ltrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS object_key,
+       starts_with(url, 's3://') AS is_s3,
+       CASE WHEN starts_with(url, 's3://') THEN 's3a://' || substr(url, 6) ELSE url END AS hadoop_uri,
+       ltrim('out/' || regexp_extract(url, '[^/]*$'), '/') AS out_path
+FROM u
+"""
+
+
+@register("url_parts", URL_SQL)
+def url_parts(spark, sf_dir):
+    """Scheme / bucket / key split, S3A rewrite and output-path join of every URL."""
+    docs = table(spark, sf_dir, "documents")
+    u = (table(spark, sf_dir, "pages").select("url")
+         .unionByName(docs.select(F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url")))
+         .unionByName(docs.select(F.format_string("s3://sample-bucket/images/img_%05d.jpg", "doc_id").alias("url"))))
+    return u.select("url", urls.scheme("url").alias("scheme"), urls.host("url").alias("bucket"),
+                    urls.object_key("url").alias("object_key"), urls.is_s3("url").alias("is_s3"),
+                    urls.to_hadoop_uri("url").alias("hadoop_uri"),
+                    urls.join_path(F.lit("out"), F.regexp_extract("url", r"[^/]*$", 0)).alias("out_path"))
