@@ -28,8 +28,6 @@ PID = "_scan_pid"
 
 def _local_sums(keys, values, outs):
     def fn(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
         carry_key, carry = None, None
         for pdf in it:
             if len(pdf) == 0:
@@ -50,7 +48,6 @@ def _local_sums(keys, values, outs):
             pdf = pdf.copy()
             for o, j in zip(outs, range(len(values))):
                 pdf[o] = cums[:, j]
-            pdf[PID] = pid
             last_rows = cums[codes == codes[-1]]
             carry_key, carry = last_key, last_rows[-1].copy()
             yield pdf
@@ -73,17 +70,25 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str],
         name = f"_scan_v{i}"
         base = base.withColumn(name, (F.col(v) if isinstance(v, str) else v).cast("double"))
         tmp[out] = name
-    spread = base.repartitionByRange(P, *[F.col(c).asc_nulls_first() for c in keys + order])
-    ranged = spread.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys + order])
+    # The partition id is taken by a projection right after the range
+    # shuffle: it is the range-partition index even when the frame later
+    # sits under a union (a task's own partition id would be shifted there).
+    ranged = (base.repartitionByRange(P, *[F.col(c).asc_nulls_first() for c in keys + order])
+                  .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys + order])
+                  .withColumn(PID, F.spark_partition_id()))
     local_outs = [f"_scan_l{i}" for i in range(len(values))]
     schema = T.StructType(list(ranged.schema.fields)
-                          + [T.StructField(o, T.DoubleType(), True) for o in local_outs]
-                          + [T.StructField(PID, T.IntegerType(), False)])
+                          + [T.StructField(o, T.DoubleType(), True) for o in local_outs])
     local = ranged.mapInPandas(_local_sums(keys, list(tmp.values()), local_outs), schema)
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        # without exchange reuse the two branches below would each sample
+        # their own range bounds; pin one partitioning by checkpointing
+        local = local.checkpoint()
 
-    # totals per (partition, key) -> carries from earlier partitions (<= P rows)
-    totals = (spread.withColumn(PID, F.spark_partition_id())
-                    .groupBy(PID, *keys)
+    # Totals per (partition, key) -> carries from earlier partitions (<= P rows).
+    # They are taken from ``local`` itself so both branches share one range
+    # exchange (separately planned range shuffles sample different bounds).
+    totals = (local.groupBy(PID, *keys)
                     .agg(*[F.sum(v).alias(f"_scan_t{i}") for i, v in enumerate(tmp.values())]))
     w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1) if keys \
         else Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -93,12 +98,15 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str],
     # at most P rows carry a non-zero amount; zero carries change nothing.
     nonzero = [F.col(f"_scan_c{i}") != 0 for i in range(len(values))]
     carries = carries.where(nonzero[0] if len(nonzero) == 1 else F.greatest(*[c.cast("int") for c in nonzero]) == 1)
-    joined = local.join(F.broadcast(carries), on=[PID, *keys] if not keys else
-                        [local[PID] == carries[PID]] + [local[k].eqNullSafe(carries[k]) for k in keys],
-                        how="left")
-    out_cols = [local[c] for c in ranged.columns if c not in tmp.values()]
+    # rename the carry side so the self-join resolves by name
+    carries = carries.select(F.col(PID).alias("_scan_cpid"),
+                             *[F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)],
+                             *[f"_scan_c{i}" for i in range(len(values))])
+    cond = [F.col(PID) == F.col("_scan_cpid")] + [F.col(k).eqNullSafe(F.col(f"_scan_k{i}")) for i, k in enumerate(keys)]
+    joined = local.join(F.broadcast(carries), on=cond, how="left")
+    out_cols = [c for c in ranged.columns if c not in tmp.values() and c != PID]
     result = joined.select(*out_cols, *[
-        (local[lo] + F.coalesce(carries[f"_scan_c{i}"], F.lit(0.0))).alias(out)
+        (F.col(lo) + F.coalesce(F.col(f"_scan_c{i}"), F.lit(0.0))).alias(out)
         for i, (out, lo) in enumerate(zip(values.keys(), local_outs))])
     return result
 
