@@ -1 +1,259 @@
-"""Registered queries."""
+"""Registered queries: validation, payload joins and image operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..functions import images as I
+from ..models.base import EncoderSpec
+from ..models.builtin import PixelGridEncoder
+from ..operators.encode import apply_encoder
+from ..operators.validate import resolve_payloads, split_valid, validate
+from ..session import prepare, scratch_path, table
+from ..sources.dataset import document_samples, page_samples
+from ..sources.images import raster_fixture, scan_bytes, scan_images, write_image_files
+from .embed_job import explode_vectors
+
+UPLOAD_MAX_MB = 0.01
+GRID = 4
+
+PART_DIMS_SQL = """
+SELECT p_partkey, p_size * 40 AS width, p_size * 30 AS height,
+       CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS channels
+FROM part"""
+
+
+def _part_dims(spark, sf_dir):
+    prepare(spark)
+    p = table(spark, sf_dir, "part")
+    m = F.pmod(F.col("p_partkey"), F.lit(3))
+    return p.select("p_partkey", (F.col("p_size") * 40).alias("width"), (F.col("p_size") * 30).alias("height"),
+                    F.when(m == 0, 1).when(m == 1, 3).otherwise(4).alias("channels"), "p_type", "p_brand",
+                    "p_size", "p_retailprice")
+
+
+@register("decoded_size_filter", f"""
+SELECT p_partkey, width, height, channels, round(width::BIGINT * height * channels / 1048576.0, 6) AS size_mb
+FROM ({PART_DIMS_SQL}) WHERE NOT (width::BIGINT * height * channels / 1048576.0 > 10.0)""")
+def decoded_size_filter(spark, sf_dir):
+    """Images whose decoded size (w*h*channels) is within 10 MB (equality passes)."""
+    d = _part_dims(spark, sf_dir)
+    ok = d.where(I.within_decoded_limit("width", "height", "channels", I.DEFAULT_MAX_MB))
+    return ok.select("p_partkey", "width", "height", "channels",
+                     F.round(I.decoded_size_mb("width", "height", "channels"), 6).alias("size_mb"))
+
+
+@register("resize_dims", f"""
+SELECT p_partkey,
+       CASE WHEN width <= 1024 AND height <= 1024 THEN width
+            ELSE greatest(1, CAST(trunc(width * least(1024.0 / width, 1024.0 / height)) AS INTEGER)) END AS new_width,
+       CASE WHEN width <= 1024 AND height <= 1024 THEN height
+            ELSE greatest(1, CAST(trunc(height * least(1024.0 / width, 1024.0 / height)) AS INTEGER)) END AS new_height
+FROM ({PART_DIMS_SQL})""")
+def resize_dims(spark, sf_dir):
+    """Fit-inside-1024 target sizes (aspect kept, truncated to ints)."""
+    d = _part_dims(spark, sf_dir)
+    nw, nh = I.resize_dims("width", "height", 1024, 1024)
+    return d.select("p_partkey", nw.alias("new_width"), nh.alias("new_height"))
+
+
+@register("upload_size_filter", f"""
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS size_bytes FROM pages
+WHERE NOT (strlen(html) / 1048576.0 > {UPLOAD_MAX_MB})""")
+def upload_size_filter(spark, sf_dir):
+    """Payloads (page bytes) within the upload limit."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size_bytes"))
+    return p.where(~(I.raw_size_mb("size_bytes") > F.lit(UPLOAD_MAX_MB)))
+
+
+REQ_SQL = """
+SELECT p_partkey AS request_id,
+       CASE p_type WHEN 'PROMO' THEN 'application/octet-stream' WHEN 'ECONOMY' THEN NULL ELSE 'image/png' END AS content_type,
+       CASE WHEN p_size = 1 THEN 0 ELSE CAST(p_retailprice * 11000 AS BIGINT) END AS n_bytes,
+       p_brand <> 'Brand#13' AS decoded_ok,
+       p_size * 40 AS width, CASE WHEN p_size = 2 THEN 0 ELSE p_size * 30 END AS height,
+       CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS channels
+FROM part"""
+
+
+def _requests(spark, sf_dir):
+    d = _part_dims(spark, sf_dir)
+    return d.select(
+        F.col("p_partkey").alias("request_id"),
+        F.when(F.col("p_type") == "PROMO", "application/octet-stream")
+         .when(F.col("p_type") == "ECONOMY", F.lit(None)).otherwise("image/png").alias("content_type"),
+        F.when(F.col("p_size") == 1, F.lit(0).cast("long"))
+         .otherwise((F.col("p_retailprice") * 11000).cast("long")).alias("n_bytes"),
+        (F.col("p_brand") != "Brand#13").alias("decoded_ok"), "width",
+        F.when(F.col("p_size") == 2, 0).otherwise(F.col("height")).alias("height"), "channels")
+
+
+@register("validate_requests", f"""
+SELECT request_id,
+  CASE WHEN content_type IS NULL OR NOT starts_with(content_type, 'image/') THEN 'invalid_content_type'
+       WHEN n_bytes / 1048576.0 > 10.0 THEN 'file_too_large'
+       WHEN n_bytes = 0 THEN 'empty_image'
+       WHEN NOT coalesce(decoded_ok, false) THEN 'undecodable_image'
+       WHEN width <= 0 OR height <= 0 THEN 'invalid_dimensions'
+       WHEN width::BIGINT * height * channels / 1048576.0 > 10.0 THEN 'image_too_large' END AS reject_reason,
+  CASE WHEN content_type IS NOT NULL AND starts_with(content_type, 'image/') AND NOT n_bytes / 1048576.0 > 10.0
+        AND n_bytes <> 0 AND coalesce(decoded_ok, false) AND width > 0 AND height > 0
+        AND NOT width::BIGINT * height * channels / 1048576.0 > 10.0 THEN 200 ELSE 400 END AS http_status
+FROM ({REQ_SQL})""")
+def validate_requests(spark, sf_dir):
+    """Every request with its first failing rule (or none) and status class."""
+    v = validate(_requests(spark, sf_dir), content_type="content_type", n_bytes="n_bytes", decoded_ok="decoded_ok",
+                 width="width", height="height", channels="channels")
+    acc, rej = split_valid(v)
+    return acc.unionByName(rej).select("request_id", "reject_reason", "http_status")
+
+
+SAMPLE_URLS_SQL = """
+SELECT url, 'page_' || CAST(page_id AS VARCHAR) AS key FROM pages
+UNION ALL SELECT 'doc://' || source || '/' || CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR) FROM documents"""
+
+
+def _samples_and_payloads(spark, sf_dir):
+    prepare(spark)
+    pages = table(spark, sf_dir, "pages")
+    samples = page_samples(pages).select("url", "key").unionByName(
+        document_samples(table(spark, sf_dir, "documents")).select("url", "key"))
+    payloads = pages.select("url", F.encode("html", "UTF-8").alias("content"))
+    return samples, payloads
+
+
+@register("url_payload_join", f"""
+SELECT s.key, s.url, CAST(strlen(p.html) AS BIGINT) AS n_bytes, md5(p.html) AS content_md5
+FROM ({SAMPLE_URLS_SQL}) s JOIN pages p ON s.url = p.url""")
+def url_payload_join(spark, sf_dir):
+    """Samples joined to their payload bytes by URL (misses dropped)."""
+    samples, payloads = _samples_and_payloads(spark, sf_dir)
+    resolved, _ = resolve_payloads(samples, payloads)
+    return resolved.select("key", "url", F.octet_length("content").cast("long").alias("n_bytes"),
+                           F.md5("content").alias("content_md5"))
+
+
+@register("unresolved_urls", f"""
+SELECT s.key, s.url, 'unresolved_url' AS reject_reason
+FROM ({SAMPLE_URLS_SQL}) s WHERE s.url NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)""")
+def unresolved_urls(spark, sf_dir):
+    """Samples whose URL has no payload go to the reject table."""
+    samples, payloads = _samples_and_payloads(spark, sf_dir)
+    _, unresolved = resolve_payloads(samples, payloads)
+    return unresolved.select("key", "url", "reject_reason")
+
+
+# ---------------------------------------------------------------- image files
+_IMAGES: dict = {}
+
+
+def _image_dir(spark, sf_dir):
+    key = (sf_dir, scratch_path(spark, unique=False))
+    if key not in _IMAGES:
+        out = scratch_path(spark, "images")
+        index = write_image_files(raster_fixture(table(spark, sf_dir, "embeddings")), out)
+        _IMAGES[key] = (out, index)
+    return _IMAGES[key]
+
+
+IMG_RULES_SQL = """
+SELECT vec_id, label, CASE label % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS c,
+       CASE WHEN vec_id % 10 = 7 THEN 'junk' WHEN vec_id % 10 = 8 THEN 'truncated' WHEN vec_id % 10 = 9 THEN 'empty'
+            WHEN label % 3 = 1 AND vec_id % 2 = 1 THEN 'bmp' ELSE 'png' END AS kind, embedding
+FROM embeddings"""
+
+
+@register("image_scan", f"""
+SELECT printf('img_%05d.', vec_id) || CASE kind WHEN 'bmp' THEN 'bmp' ELSE 'png' END AS name,
+       8 AS height, 8 AS width, c AS nChannels,
+       CASE c WHEN 1 THEN 'L' WHEN 3 THEN 'RGB' ELSE 'RGBA' END AS mode_name
+FROM ({IMG_RULES_SQL}) WHERE kind IN ('png', 'bmp')""")
+def image_scan(spark, sf_dir):
+    """Decoded-image scan of PNG/BMP files written from the vectors; junk and
+    truncated files are dropped, empty files are not listed."""
+    out, _ = _image_dir(spark, sf_dir)
+    img = scan_images(spark, out)
+    return img.select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "height", "width", "nChannels",
+                      I.mode_name("nChannels").alias("mode_name"))
+
+
+@register("image_info", f"""
+SELECT printf('img_%05d.', vec_id) || CASE kind WHEN 'bmp' THEN 'bmp' ELSE 'png' END AS name,
+       8 AS width, 8 AS height, CASE c WHEN 1 THEN 'L' WHEN 3 THEN 'RGB' ELSE 'RGBA' END AS mode,
+       CASE kind WHEN 'bmp' THEN 'BMP' ELSE 'PNG' END AS format, c AS channels
+FROM ({IMG_RULES_SQL}) WHERE kind IN ('png', 'bmp')""")
+def image_info(spark, sf_dir):
+    """width / height / mode / format / channels of the source images."""
+    out, _ = _image_dir(spark, sf_dir)
+    img = scan_images(spark, out).select("file", "width", "height", "nChannels")
+    raw = scan_bytes(spark, out).select("file", I.format_name("content").alias("format"))
+    j = img.join(raw, "file")
+    return j.select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "width", "height",
+                    I.mode_name("nChannels").alias("mode"), "format", F.col("nChannels").alias("channels"))
+
+
+@register("image_bytes")
+def image_bytes(spark, sf_dir):
+    """Bytes by file URL: samples (every vector's file URL, missing ones too) joined
+    to the binary-file scan; rows-only check (PNG bytes are not SQL-computable)."""
+    out, index = _image_dir(spark, sf_dir)
+    raw = scan_bytes(spark, out).select("file", "length")
+    samples = index.select("vec_id", "file")
+    resolved, _ = resolve_payloads(samples, raw, "file", "file")
+    return resolved.select("vec_id", "file", "length")
+
+
+PIXELS_SQL = f"""
+px AS (
+  SELECT vec_id, c, kind, generate_subscripts(embedding, 1) - 1 AS i,
+         CAST(least(greatest(floor((unnest(CAST(embedding AS DOUBLE[])) + 1) * 127.5), 0), 255) AS INTEGER) AS p
+  FROM ({IMG_RULES_SQL}))"""
+
+
+@register("to_rgb", f"""
+WITH {PIXELS_SQL},
+rgb AS (
+  SELECT vec_id, i,
+         CASE c WHEN 1 THEN printf('%02X%02X%02X', p, p, p)
+                ELSE printf('%02X%02X%02X', (p + 80) % 256, (p + 40) % 256, p) END AS h
+  FROM px WHERE kind IN ('png', 'bmp'))
+SELECT vec_id, string_agg(h, '' ORDER BY i) AS rgb_hex FROM rgb GROUP BY vec_id""")
+def to_rgb(spark, sf_dir):
+    """Decoded images converted to RGB bytes (gray replicated, BGR reversed, alpha dropped)."""
+    out, _ = _image_dir(spark, sf_dir)
+    img = scan_images(spark, out)
+    vid = F.regexp_extract("file", r"img_([0-9]+)\.", 1).cast("long")
+    return img.select(vid.alias("vec_id"),
+                      F.hex(I.to_rgb_bytes("data", "height", "width", "nChannels")).alias("rgb_hex"))
+
+
+@register("encode_image", f"""
+WITH {PIXELS_SQL},
+g AS (
+  SELECT vec_id, (i // 8 // 2) * 4 + (i % 8) // 2 AS cell,
+         CASE c WHEN 1 THEN p ELSE (p + (p + 40) % 256 + (p + 80) % 256) / 3.0 END / 255.0 AS v
+  FROM px WHERE kind IN ('png', 'bmp')),
+f AS (SELECT vec_id, cell, avg(v) AS x FROM g GROUP BY vec_id, cell),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM f GROUP BY vec_id)
+SELECT CAST(f.vec_id AS VARCHAR) AS key, CAST(cell AS INTEGER) AS dim, round(x / nrm, 6) AS value
+FROM f JOIN n USING (vec_id) WHERE x <> 0""")
+def encode_image(spark, sf_dir):
+    """Pixel-grid image encoder over decoded files, through the batched model UDF."""
+    out, _ = _image_dir(spark, sf_dir)
+    img = scan_images(spark, out)
+    key = F.regexp_extract("file", r"img_([0-9]+)\.", 1).cast("long").cast("string")
+    src = img.select(key.alias("key"), "data", "height", "width", "nChannels")
+    enc = apply_encoder(src, EncoderSpec.of(PixelGridEncoder, grid=GRID),
+                        image_cols=("data", "height", "width", "nChannels"))
+    return explode_vectors(enc, "key")
+
+
+@register("resize_pixels")
+def resize_pixels(spark, sf_dir):
+    """Lanczos-3 resize of decoded images to fit 4x4 (pixels in a pandas UDF); rows-only check."""
+    out, _ = _image_dir(spark, sf_dir)
+    img = scan_images(spark, out)
+    r = img.select("file", I.resize_pixels(4, 4)("data", "height", "width", "nChannels").alias("img"))
+    return r.select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "img.width", "img.height",
+                    "img.nChannels", F.octet_length("img.data").alias("n_bytes"))
