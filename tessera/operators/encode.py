@@ -124,7 +124,7 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
         if pending is not None and len(pending):
             yield emit(pending, enc, bs)
 
-    if batch_col is None:
+    if batch_col is None and not df.isStreaming:
         df = _spread(df)
     return df.mapInPandas(fn, schema)
 

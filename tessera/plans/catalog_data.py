@@ -326,3 +326,77 @@ def url_parts(spark, sf_dir):
                     urls.object_key("url").alias("object_key"), urls.is_s3("url").alias("is_s3"),
                     urls.to_hadoop_uri("url").alias("hadoop_uri"),
                     urls.join_path(F.lit("out"), F.regexp_extract("url", r"[^/]*$", 0)).alias("out_path"))
+
+
+# ---------------------------------------------------------------- model UDF surface
+FAIL_MARK = "@"
+FANOUT_BATCH = 16
+
+
+@register("batch_failure_fanout", f"""
+WITH d AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) // {FANOUT_BATCH} AS batch_id FROM documents),
+b AS (SELECT batch_id, coalesce(bool_or(contains(text, '{FAIL_MARK}')), false) AS bad FROM d GROUP BY batch_id)
+SELECT CAST(doc_id AS VARCHAR) AS key, CAST(batch_id AS BIGINT) AS batch_id,
+       CASE WHEN bad THEN 'processing_error' END AS error_type,
+       CASE WHEN bad THEN NULL ELSE {TEXT_DIM} END AS n_dims
+FROM d JOIN b USING (batch_id)""")
+def batch_failure_fanout(spark, sf_dir):
+    """An encoder that refuses texts with '@' fails its whole batch (16 rows in id
+    order); every member is marked ``processing_error`` and the job goes on."""
+    prepare(spark)
+    docs = document_samples(table(spark, sf_dir, "documents")).select("key", "caption", "doc_id")
+    b = fixed_batches(ordinal(docs, [], ["doc_id"], "ordinal"), FANOUT_BATCH)
+    P = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    clustered = b.repartitionByRange(P, "batch_id").sortWithinPartitions("batch_id", "ordinal")
+    spec = EncoderSpec.of(HashTextEncoder, dim=TEXT_DIM, fail_on=FAIL_MARK)
+    enc = apply_encoder(clustered, spec, text_col="caption", on_error="mark", batch_col="batch_id")
+    n_dims = F.when(F.col("embedding").isNull(), F.lit(None)).otherwise(F.size("embedding"))
+    return enc.select("key", "batch_id", "error_type", n_dims.cast("int").alias("n_dims"))
+
+
+# ---------------------------------------------------------------- model records
+import json  # noqa: E402
+
+from ..models.base import DEFAULT_MODEL_BATCH_SIZE, DEFAULT_MODEL_BATCH_WAIT_S  # noqa: E402
+
+MODEL_CONFIGS = (
+    {"name": HASH_TEXT.describe(), "version": "1.0", "description": "hashed bag of tokens",
+     "batch_size": 64, "metadata": {"embedding_dim": TEXT_DIM}},
+    {"name": "ConstantEncoder()"},
+)
+MODEL_SCHEMA = ("name string, version string, description string, batch_size int, batch_wait_s double, "
+                "metadata map<string,string>")
+
+
+def write_model_dirs(spark, root: str) -> list[str]:
+    """One directory with ``config.json`` per built-in encoder (driver-side, tiny)."""
+    from pyspark.sql import Row
+    dirs = []
+    for i, cfg in enumerate(MODEL_CONFIGS):
+        d = f"{root}/model_{i}"
+        spark.createDataFrame([Row(value=json.dumps(cfg))]).coalesce(1).write.mode("overwrite").text(d)
+        dirs.append(d)
+    return dirs
+
+
+def model_registry_frame(spark, dirs: list[str]):
+    m = spark.read.schema(MODEL_SCHEMA).option("multiLine", "true").json(dirs)
+    return m.select("name", "version", "description",
+                    F.coalesce("batch_size", F.lit(DEFAULT_MODEL_BATCH_SIZE)).alias("batch_size"),
+                    F.coalesce("batch_wait_s", F.lit(DEFAULT_MODEL_BATCH_WAIT_S)).alias("batch_wait_s"),
+                    F.to_json(F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("metadata_json"))
+
+
+@register("model_registry", f"""
+SELECT '{HASH_TEXT.describe()}' AS name, '1.0' AS version, 'hashed bag of tokens' AS description,
+       64 AS batch_size, CAST(0.003 AS DOUBLE) AS batch_wait_s, '{{"embedding_dim":"{TEXT_DIM}"}}' AS metadata_json,
+       CAST((SELECT count(*) FROM documents) + (SELECT count(*) FROM pages) AS BIGINT) AS num_samples
+UNION ALL
+SELECT 'ConstantEncoder()', NULL, NULL, 16, CAST(0.003 AS DOUBLE), '{{}}', NULL""")
+def model_registry(spark, sf_dir):
+    """Model records (config.json with defaults) joined to the runs that used them."""
+    root = scratch_path(spark, "models")
+    reg = model_registry_frame(spark, write_model_dirs(spark, root))
+    runs = spark.read.schema("num_samples long, model string, timestamp double") \
+        .json(_embedded(spark, sf_dir).manifest).select(F.col("model").alias("name"), "num_samples")
+    return reg.join(runs, "name", "left")

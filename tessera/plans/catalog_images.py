@@ -257,3 +257,45 @@ def resize_pixels(spark, sf_dir):
     r = img.select("file", I.resize_pixels(4, 4)("data", "height", "width", "nChannels").alias("img"))
     return r.select(F.regexp_extract("file", r"[^/]+$", 0).alias("name"), "img.width", "img.height",
                     "img.nChannels", F.octet_length("img.data").alias("n_bytes"))
+
+
+# ---------------------------------------------------------------- multimodal classifier
+from ..models.builtin import MultimodalClassifier  # noqa: E402
+
+N_CLASSES = 10
+CLS_TEXT_DIM = 16
+
+
+@register("classify_logits", f"""
+WITH {PIXELS_SQL},
+g AS (
+  SELECT vec_id, (i // 8 // 2) * 4 + (i % 8) // 2 AS cell,
+         CASE c WHEN 1 THEN p ELSE (p + (p + 40) % 256 + (p + 80) % 256) / 3.0 END / 255.0 AS v
+  FROM px WHERE kind IN ('png', 'bmp')),
+f AS (SELECT vec_id, cell, avg(v) AS x FROM g GROUP BY vec_id, cell),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM f GROUP BY vec_id),
+imgf AS (SELECT f.vec_id, {CLS_TEXT_DIM} + cell AS j, x / nrm AS x FROM f JOIN n USING (vec_id)),
+ids AS (SELECT DISTINCT vec_id FROM imgf),
+toks AS (SELECT doc_id AS vec_id, lower(t) AS tok
+         FROM documents, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS u(t)
+         WHERE t <> '' AND doc_id IN (SELECT vec_id FROM ids)),
+tb AS (SELECT vec_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {CLS_TEXT_DIM} AS j,
+              CAST(count(*) AS DOUBLE) AS c FROM toks GROUP BY ALL),
+tn AS (SELECT vec_id, sqrt(sum(c * c)) AS nrm FROM tb GROUP BY vec_id),
+feat AS (SELECT * FROM imgf UNION ALL SELECT tb.vec_id, tb.j, c / nrm FROM tb JOIN tn USING (vec_id))
+SELECT vec_id, CAST(k AS INTEGER) AS class,
+       round(coalesce(sum(x * ((((31 * k + 17 * j) % 101) - 50) / 50.0)), 0.0), 4) + 0.0 AS logit
+FROM ids CROSS JOIN range({N_CLASSES}) AS r(k) LEFT JOIN feat USING (vec_id) GROUP BY vec_id, k""")
+def classify_logits(spark, sf_dir):
+    """Text (document with the same id) + image features -> fixed linear head -> 10 logits."""
+    out, _ = _image_dir(spark, sf_dir)
+    img = scan_images(spark, out)
+    vid = F.regexp_extract("file", r"img_([0-9]+)\.", 1).cast("long")
+    imgs = img.select(vid.alias("vec_id"), "data", "height", "width", "nChannels")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    src = imgs.join(docs, "vec_id", "left")
+    spec = EncoderSpec.of(MultimodalClassifier, n_classes=N_CLASSES, text_dim=CLS_TEXT_DIM, grid=GRID)
+    enc = apply_encoder(src, spec, text_col="text", image_cols=("data", "height", "width", "nChannels"),
+                        output_col="logits")
+    return enc.select("vec_id", F.posexplode("logits").alias("class", "logit")).select(
+        "vec_id", F.col("class").cast("int").alias("class"), F.round("logit", 4).alias("logit"))
