@@ -1 +1,113 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming operators (file stream -> parquet sink).
+
+Each query runs a streaming job to the end of its input with
+``trigger(availableNow)`` and returns the sink as a table. Append mode emits
+a window or a batch once the watermark proves it final, so the oracles apply
+the same rule with the final watermark (max event time - delay).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import register
+from ..operators.encode import apply_encoder
+from ..session import prepare, scratch_path
+from ..sources.dataset import document_samples
+from ..streaming.jobs import (file_stream, request_stream, run_available_now, stream_dynamic_batches,
+                              timeouts_join, windowed_counts)
+from .catalog_data import HASH_TEXT, HASH_TEXT_SQL, TEXT_DIM
+from .catalog_requests import BATCH_MAX, BATCH_WAIT_S, RATE_LIMIT, TIMEOUT_S
+
+DELAY = "10 minutes"
+DELAY_US = 600 * 1_000_000
+RESPONSE_BOUND_S = 30
+# final watermark in microseconds (Spark keeps it in milliseconds)
+WM_SQL = f"((epoch_us((SELECT max(ts) FROM events)) // 1000) * 1000 - {DELAY_US})"
+
+
+def _run(spark, df, name):
+    root = scratch_path(spark, "stream_" + name)
+    return run_available_now(df, root + "/out", root + "/checkpoint")
+
+
+@register("stream_encode", HASH_TEXT_SQL.format(dim=TEXT_DIM))
+def stream_encode(spark, sf_dir):
+    """Documents arriving as a stream, encoded by the batched model UDF, written to parquet."""
+    prepare(spark)
+    docs = file_stream(spark, sf_dir, "documents")
+    samples = document_samples(docs).select("key", "caption")
+    enc = apply_encoder(samples, HASH_TEXT, text_col="caption")
+    out = enc.select("key", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
+    res = _run(spark, out, "encode")
+    return res.select("key", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def _reqs(spark, sf_dir):
+    prepare(spark)
+    return request_stream(file_stream(spark, sf_dir, "events"), DELAY)
+
+
+@register("stream_requests_total", f"""
+SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, model, status, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, event_type AS model,
+             CASE WHEN value / 100 > {TIMEOUT_S} THEN 'timeout' WHEN event_type = 'error' THEN 'error'
+                  ELSE 'success' END AS status FROM events)
+GROUP BY b, model, status
+HAVING epoch_us(b) + 86400000000 <= {WM_SQL}""")
+def stream_requests_total(spark, sf_dir):
+    """Requests per model and status per day, emitted as each day closes."""
+    r = _reqs(spark, sf_dir)
+    status = (F.when(F.col("duration_s") > F.lit(TIMEOUT_S), "timeout")
+              .when(F.col("failed"), "error").otherwise("success"))
+    c = windowed_counts(r.withColumn("status", status), "1 day", ["model", "status"])
+    res = _run(spark, c, "requests_total")
+    return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "model", "status", "n")
+
+
+@register("stream_rate_limit", f"""
+SELECT client, strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT user_id AS client, time_bucket(INTERVAL 1 DAY, ts) AS b FROM events)
+GROUP BY client, b
+HAVING count(*) > {RATE_LIMIT} AND epoch_us(b) + 86400000000 <= {WM_SQL}""")
+def stream_rate_limit(spark, sf_dir):
+    """Clients over the per-day limit, reported as each day closes."""
+    r = _reqs(spark, sf_dir)
+    c = windowed_counts(r, "1 day", ["client"]).where(F.col("n") > RATE_LIMIT)
+    res = _run(spark, c, "rate_limit")
+    return res.select("client", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+@register("stream_timeouts", f"""
+SELECT event_id AS request_id, NOT coalesce(value >= 0 AND value <= {RESPONSE_BOUND_S}, false) AS timed_out
+FROM events
+WHERE coalesce(value >= 0 AND value <= {RESPONSE_BOUND_S}, false)
+   OR epoch_us(ts) + {RESPONSE_BOUND_S} * 1000000 < {WM_SQL}""")
+def stream_timeouts(spark, sf_dir):
+    """Requests joined to a response stream (answer at ts + value s) within 30 s;
+    unmatched ones are timeouts once the watermark passes their bound."""
+    prepare(spark)
+    reqs = request_stream(file_stream(spark, sf_dir, "events"), DELAY)
+    resp_src = file_stream(spark, sf_dir, "events")
+    resp = resp_src.select(F.col("event_id").alias("request_id"),
+                           (F.col("ts").cast("timestamp") + F.make_dt_interval(
+                               secs=F.coalesce(F.col("value"), F.lit(-1.0)).cast("decimal(18,6)"))).alias("resp_ts")) \
+                   .withWatermark("resp_ts", DELAY)
+    j = timeouts_join(reqs, resp, RESPONSE_BOUND_S)
+    return _run(spark, j, "timeouts")
+
+
+from .catalog_requests import DYN_SQL, LOG_SQL  # noqa: E402
+
+
+@register("stream_dynamic_batches", f"""
+WITH RECURSIVE {LOG_SQL}, {DYN_SQL}
+SELECT model, batch_id, batch_size, CAST(open_us AS BIGINT) AS open_us, CAST(close_us AS BIGINT) AS close_us
+FROM batches
+WHERE (batch_size = {BATCH_MAX} AND last_us < {WM_SQL}) OR (open_us + {int(BATCH_WAIT_S * 1e6)} < {WM_SQL})""")
+def stream_dynamic_batches_q(spark, sf_dir):
+    """Count-or-time micro-batches on the request stream (state per model, event-time timers)."""
+    b = stream_dynamic_batches(_reqs(spark, sf_dir), BATCH_MAX, BATCH_WAIT_S)
+    res = _run(spark, b, "dynamic_batches")
+    return res.select("model", "batch_id", "batch_size", "open_us", "close_us")
