@@ -111,3 +111,23 @@ def stream_dynamic_batches_q(spark, sf_dir):
     b = stream_dynamic_batches(_reqs(spark, sf_dir), BATCH_MAX, BATCH_WAIT_S)
     res = _run(spark, b, "dynamic_batches")
     return res.select("model", "batch_id", "batch_size", "open_us", "close_us")
+
+
+from ..sources.dataset import sample_dataset  # noqa: E402
+from ..streaming.jobs import dataset_stream  # noqa: E402
+from .catalog_data import SAMPLES_SQL, SHARD_ROWS  # noqa: E402
+
+
+@register("stream_backpressure", f"""
+SELECT CAST(count(*) AS BIGINT) AS rows_in_batch FROM ({SAMPLES_SQL}) GROUP BY grp, id // {SHARD_ROWS}""")
+def stream_backpressure(spark, sf_dir):
+    """Admission control on a stream: at most one shard per micro-batch
+    (``maxFilesPerTrigger``); rows of every micro-batch that had input."""
+    prepare(spark)
+    root = sample_dataset(spark, sf_dir, SHARD_ROWS)
+    s = dataset_stream(spark, root, max_files_per_trigger=1).select("key")
+    progress: list = []
+    base = scratch_path(spark, "stream_backpressure")
+    run_available_now(s, base + "/out", base + "/checkpoint", progress=progress)
+    rows = [(int(n),) for _, n in progress if n]
+    return spark.createDataFrame(rows, "rows_in_batch long")

@@ -42,7 +42,10 @@ def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int |
     return r.parquet(root)
 
 
-def run_available_now(df: DataFrame, out: str, checkpoint: str, timeout_s: int = 900) -> DataFrame:
+def run_available_now(df: DataFrame, out: str, checkpoint: str, timeout_s: int = 900,
+                      progress: list | None = None) -> DataFrame:
+    """Run to the end of the input; ``progress`` (if given) receives
+    ``(batch_id, num_input_rows)`` of every micro-batch."""
     spark = df.sparkSession
     q = (df.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", out)
@@ -53,6 +56,8 @@ def run_available_now(df: DataFrame, out: str, checkpoint: str, timeout_s: int =
             raise TimeoutError(f"streaming query did not finish in {timeout_s}s")
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
+        if progress is not None:
+            progress.extend((p["batchId"], p["numInputRows"]) for p in q.recentProgress)
     finally:
         if q.isActive:
             q.stop()
