@@ -89,14 +89,16 @@ def test_apply_encoder_model_dir_and_passthrough(spark, tmp_path):
     assert [r.text for r in out] == ["ab", None, "xyz"]
 
 
-class _Short:
+SHORT_MODEL = """
+class ModelImpl:
     def encode(self, batch):
         return [[1.0]] * (len(batch) - 1)
+"""
 
 
-def test_positional_pairing_must_be_exact(spark):
+def test_positional_pairing_must_be_exact(spark, tmp_path):
     df = spark.createDataFrame([(i, "t") for i in range(5)], "id long, text string")
-    spec = EncoderSpec.of(_Short)
+    spec = EncoderSpec(model_dir=str(_model_dir(tmp_path, {"name": "short"}, SHORT_MODEL)))
     with pytest.raises(Exception):
         apply_encoder(df, spec, text_col="text").collect()
     marked = apply_encoder(df, spec, text_col="text", on_error="mark").collect()
