@@ -223,7 +223,10 @@ def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("mo
          .withColumn("_local", (F.col("_rn") - F.col("_chunk") * C).cast("long"))
     halo = (r.where((F.col("_local") < B - 1) & (F.col("_chunk") > 0))
              .withColumn("_chunk", F.col("_chunk") - 1).withColumn("_local", F.col("_local") + C))
-    chunks = r.unionByName(halo).select(*keys, "_chunk", "_local", "t_us", "request_id")
+    # Narrow table read by both per-chunk passes: written once to the shared
+    # checkpoint folder instead of recomputing the ordinal scan (and it cuts
+    # the lineage, so a lost executor does not replay the scan).
+    chunks = r.unionByName(halo).select(*keys, "_chunk", "_local", "t_us", "request_id").checkpoint()
 
     key_fields = [log.schema[k] for k in keys]
     tr_schema = T.StructType(key_fields + [T.StructField("_chunk", T.LongType()),

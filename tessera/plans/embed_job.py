@@ -60,3 +60,43 @@ def explode_vectors(df: DataFrame, id_col: str, vec_col: str = "embedding", digi
         out = out.where(F.col("value") != 0)
     return out.select(id_col, F.col("dim").cast("int").alias("dim"),
                       F.round("value", digits).alias("value"))
+
+
+BUILTIN = {
+    "hash-text": ("tessera.models.builtin", "HashTextEncoder"),
+    "constant": ("tessera.models.builtin", "ConstantEncoder"),
+}
+
+
+def main(argv=None) -> None:
+    """``spark-submit -m tessera.plans.embed_job --input_dir … --output_dir … --model …``"""
+    import argparse
+
+    from ..models.loader import load_model, validate_model_interface
+    from ..session import build_session, prepare
+
+    ap = argparse.ArgumentParser(description="Embed every sample of a parquet dataset")
+    ap.add_argument("--input_dir", required=True)
+    ap.add_argument("--output_dir", required=True)
+    ap.add_argument("--model", default="hash-text", help="built-in name or a model directory")
+    ap.add_argument("--batch_size", type=int, default=None)
+    ap.add_argument("--max_samples", type=int, default=None)
+    ap.add_argument("--master", default=None, help="only for local runs; spark-submit sets it otherwise")
+    a = ap.parse_args(argv)
+    if a.model in BUILTIN:
+        mod, cls = BUILTIN[a.model]
+        spec = EncoderSpec(target=f"{mod}:{cls}")
+    else:
+        _, model = load_model(a.model)  # fail fast on the driver: config, model.py, ModelImpl
+        validate_model_interface(model)
+        spec = EncoderSpec(model_dir=a.model)
+    if a.master:
+        spark = build_session(master=a.master)
+    else:
+        spark = prepare(SparkSession.builder.getOrCreate())
+    res = embed_dataset(spark, a.input_dir, a.output_dir, spec, a.batch_size, a.max_samples)
+    print(f"wrote {res.num_samples} rows to {res.table}; manifest {res.manifest}")
+
+
+if __name__ == "__main__":
+    main()
