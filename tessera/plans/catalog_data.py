@@ -202,7 +202,7 @@ toks AS (
   SELECT key, sqrt(sum(c * c)) AS nrm, sum(c * (dim + 1)) AS wsum FROM b GROUP BY key
 )
 SELECT s.key, s.url, md5(s.caption) AS caption_md5, {TEXT_DIM} AS n_dims,
-       round(CASE WHEN v.nrm > 0 THEN 1.0 ELSE 0.0 END, 6) AS norm,
+       CAST(CASE WHEN v.nrm > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm,
        round(coalesce(v.wsum / v.nrm, 0.0), 4) AS checksum,
        s.lang AS meta_lang, s.source AS meta_source, s.n_chars AS meta_n_chars,
        s.doc_id AS meta_doc_id, s.n_bytes AS meta_n_bytes

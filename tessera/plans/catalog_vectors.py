@@ -46,7 +46,7 @@ def linear_logits(spark, sf_dir):
 
 
 @register("embedding_profile", """
-SELECT label, CAST(count(*) AS BIGINT) AS n, min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max,
+SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(min(len(embedding)) AS INTEGER) AS dim_min, CAST(max(len(embedding)) AS INTEGER) AS dim_max,
        round(min(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))), 5) AS norm_min,
        round(max(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))), 5) AS norm_max
 FROM embeddings GROUP BY label""")
