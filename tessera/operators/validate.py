@@ -45,16 +45,37 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url",
-                     payload_url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+                     payload_url_col: str = "url", hot_threshold: int | None = None,
+                     ) -> tuple[DataFrame, DataFrame]:
     """Join samples to their payload bytes by URL; return (resolved, unresolved).
 
-    URLs are matched as given; ``file:`` URIs of both sides should be
-    normalised first (see ``functions.urls.normalize_file_uri``). A URL shared
-    by very many samples is a skewed join key: AQE's skew-join split handles
-    it (the payload side has one row per URL).
+    URLs are matched as given (normalise ``file:`` URIs of both sides first,
+    see ``functions.urls.normalize_file_uri``). With ``hot_threshold`` a URL
+    shared by more than that many samples is salted: its samples are spread
+    over ``ceil(count / hot_threshold)`` salts and only its payload row is
+    replicated that many times. The hot-URL table has at most
+    ``rows / hot_threshold`` entries, which bounds its broadcast.
     """
     p = payloads.withColumnRenamed(payload_url_col, "_purl")
-    resolved = samples.join(p, samples[url_col] == p["_purl"], "inner").drop("_purl")
-    unresolved = samples.join(p.select("_purl"), samples[url_col] == p["_purl"], "left_anti") \
-                        .withColumn("reject_reason", F.lit("unresolved_url"))
+    if not hot_threshold:
+        resolved = samples.join(p, samples[url_col] == p["_purl"], "inner").drop("_purl")
+        unresolved = samples.join(p.select("_purl"), samples[url_col] == p["_purl"], "left_anti") \
+                            .withColumn("reject_reason", F.lit("unresolved_url"))
+        return resolved, unresolved
+    T = int(hot_threshold)
+    hot = (samples.groupBy(F.col(url_col).alias("_hurl")).agg(F.count(F.lit(1)).alias("_n"))
+                  .where(F.col("_n") > T)
+                  .select("_hurl", F.ceil(F.col("_n") / F.lit(T)).cast("int").alias("_salts")))
+    s = (samples.join(F.broadcast(hot), samples[url_col] == F.col("_hurl"), "left")
+                .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
+                    F.pmod(F.xxhash64(*[F.col(c) for c in samples.columns]), F.col("_salts")).cast("int")))
+                .drop("_hurl", "_salts"))
+    ps = (p.join(F.broadcast(hot), p["_purl"] == F.col("_hurl"), "left")
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+           .drop("_hurl", "_salts"))
+    cond = (s[url_col] == ps["_purl"]) & (s["_salt"] == ps["_salt"])
+    resolved = s.join(ps, cond, "inner").drop("_purl", "_salt")
+    unresolved = (s.join(ps.select("_purl", F.col("_salt").alias("_psalt")),
+                         (s[url_col] == F.col("_purl")) & (s["_salt"] == F.col("_psalt")), "left_anti")
+                   .drop("_salt").withColumn("reject_reason", F.lit("unresolved_url")))
     return resolved, unresolved

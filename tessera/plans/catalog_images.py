@@ -16,6 +16,7 @@ from ..sources.images import raster_fixture, scan_bytes, scan_images, write_imag
 from .embed_job import explode_vectors
 
 UPLOAD_MAX_MB = 0.01
+HOT_URL_ROWS = 100_000  # samples per URL above which the URL is salted
 GRID = 4
 
 PART_DIMS_SQL = """
@@ -129,7 +130,7 @@ FROM ({SAMPLE_URLS_SQL}) s JOIN pages p ON s.url = p.url""")
 def url_payload_join(spark, sf_dir):
     """Samples joined to their payload bytes by URL (misses dropped)."""
     samples, payloads = _samples_and_payloads(spark, sf_dir)
-    resolved, _ = resolve_payloads(samples, payloads)
+    resolved, _ = resolve_payloads(samples, payloads, hot_threshold=HOT_URL_ROWS)
     return resolved.select("key", "url", F.octet_length("content").cast("long").alias("n_bytes"),
                            F.md5("content").alias("content_md5"))
 
@@ -140,7 +141,7 @@ FROM ({SAMPLE_URLS_SQL}) s WHERE s.url NOT IN (SELECT url FROM pages WHERE url I
 def unresolved_urls(spark, sf_dir):
     """Samples whose URL has no payload go to the reject table."""
     samples, payloads = _samples_and_payloads(spark, sf_dir)
-    _, unresolved = resolve_payloads(samples, payloads)
+    _, unresolved = resolve_payloads(samples, payloads, hot_threshold=HOT_URL_ROWS)
     return unresolved.select("key", "url", "reject_reason")
 
 

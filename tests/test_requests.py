@@ -62,3 +62,17 @@ def test_validation_order_and_split(spark):
     assert got[7] is None and got[8] == REASONS[0]
     acc, rej = split_valid(v)
     assert acc.count() + rej.count() == df.count()
+
+
+def test_salted_payload_join_with_hot_url(spark):
+    from tessera.operators.validate import resolve_payloads
+    # one URL holds most samples; payload side has one row per URL
+    samples = spark.createDataFrame([(i, "hot" if i % 3 else f"u{i % 7}") for i in range(300)] + [(999, "miss")],
+                                    "id long, url string")
+    payloads = spark.createDataFrame([("hot", b"H"), ("u0", b"0"), ("u3", b"3")], "url string, content binary")
+    plain_r, plain_u = resolve_payloads(samples, payloads)
+    salt_r, salt_u = resolve_payloads(samples, payloads, hot_threshold=20)
+    key = lambda rows: sorted((r.id, r.url, bytes(r.content)) for r in rows)
+    assert key(plain_r.collect()) == key(salt_r.collect())
+    assert sorted(r.id for r in plain_u.collect()) == sorted(r.id for r in salt_u.collect())
+    assert salt_r.count() + salt_u.count() == samples.count()
