@@ -300,3 +300,51 @@ def classify_logits(spark, sf_dir):
                         output_col="logits")
     return enc.select("vec_id", F.posexplode("logits").alias("class", "logit")).select(
         "vec_id", F.col("class").cast("int").alias("class"), F.round("logit", 4).alias("logit"))
+
+
+# ---------------------------------------------------------------- image embedding job
+from .embed_job import embed_image_dataset  # noqa: E402
+
+_IMAGE_JOBS: dict = {}
+
+
+def _image_job(spark, sf_dir):
+    key = (sf_dir, scratch_path(spark, unique=False))
+    if key not in _IMAGE_JOBS:
+        out, index = _image_dir(spark, sf_dir)
+        emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+        samples = index.join(emb, "vec_id").select(
+            F.col("file").alias("url"), F.col("vec_id").cast("string").alias("key"), "label")
+        dest = scratch_path(spark, "image_job")
+        embed_image_dataset(spark, samples, out, dest, EncoderSpec.of(PixelGridEncoder, grid=GRID),
+                            hot_threshold=HOT_URL_ROWS)
+        _IMAGE_JOBS[key] = dest
+    return _IMAGE_JOBS[key]
+
+
+@register("image_embed_job", f"""
+WITH {PIXELS_SQL},
+g AS (
+  SELECT vec_id, (i // 8 // 2) * 4 + (i % 8) // 2 AS cell,
+         CASE c WHEN 1 THEN p ELSE (p + (p + 40) % 256 + (p + 80) % 256) / 3.0 END / 255.0 AS v
+  FROM px WHERE kind IN ('png', 'bmp')),
+f AS (SELECT vec_id, cell, avg(v) AS x FROM g GROUP BY vec_id, cell),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM f GROUP BY vec_id)
+SELECT CAST(f.vec_id AS VARCHAR) AS key, CAST(cell AS INTEGER) AS dim, round(x / nrm, 6) AS value,
+       e.label AS meta_label
+FROM f JOIN n USING (vec_id) JOIN embeddings e ON e.vec_id = f.vec_id WHERE x <> 0""")
+def image_embed_job(spark, sf_dir):
+    """Image dataset job: samples -> decoded images by URL -> validation -> encoder -> parquet (read back)."""
+    df = spark.read.parquet(_image_job(spark, sf_dir) + "/embeddings.parquet")
+    ex = df.select("key", "meta_label", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
+    return ex.select("key", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"), "meta_label")
+
+
+@register("image_reject_table", f"""
+SELECT CAST(vec_id AS VARCHAR) AS key,
+       CASE kind WHEN 'empty' THEN 'unresolved_url' ELSE 'undecodable_image' END AS reject_reason
+FROM ({IMG_RULES_SQL}) WHERE kind IN ('junk', 'truncated', 'empty')""")
+def image_reject_table(spark, sf_dir):
+    """Reject table of the image job: undecodable files and URLs with no image."""
+    df = spark.read.parquet(_image_job(spark, sf_dir) + "/rejects.parquet")
+    return df.select("key", "reject_reason")
