@@ -70,6 +70,11 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
     batches are exactly the runs of equal values of that column (the frame
     must be clustered and sorted by it); otherwise Arrow batches are cut
     into ``batch_size`` slices.
+
+    Arrow batches handed to the UDF are bounded by Spark's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default), which
+    keeps image payloads from piling up in one Python batch.
     """
     if on_error not in ("raise", "mark"):
         raise ValueError("on_error must be 'raise' or 'mark'")
