@@ -61,7 +61,7 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
                   image_cols: tuple[str, str, str, str] | None = None,
                   output_col: str = "embedding", batch_size: int | None = None,
                   on_error: str = "raise", batch_col: str | None = None,
-                  batch_size_col: str | None = None) -> DataFrame:
+                  batch_size_col: str | None = None, skip_col: str | None = None) -> DataFrame:
     """Append ``output_col`` (array<double>) computed by the encoder.
 
     ``on_error="raise"`` fails the task (Spark retries it; a job fails if the
@@ -69,7 +69,8 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
     outputs with ``error_type`` set for every member. With ``batch_col`` the
     batches are exactly the runs of equal values of that column (the frame
     must be clustered and sorted by it); otherwise Arrow batches are cut
-    into ``batch_size`` slices.
+    into ``batch_size`` slices. Rows where ``skip_col`` is not null (e.g. a
+    reject reason) pass through with a null output and never reach the model.
 
     Arrow batches handed to the UDF are bounded by Spark's
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
@@ -86,6 +87,20 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
     schema = T.StructType(fields)
 
     def emit(pdf, enc, bs):
+        if skip_col is not None:
+            keep = pdf[skip_col].isna().to_numpy()
+            if not keep.all():
+                done = emit_all(pdf[keep].reset_index(drop=True), enc, bs)
+                rest = pdf[~keep].reset_index(drop=True).copy()
+                rest[output_col] = [None] * len(rest)
+                if on_error == "mark":
+                    rest["error_type"] = [None] * len(rest)
+                if batch_size_col:
+                    rest[batch_size_col] = np.zeros(len(rest), dtype=np.int32)
+                return pd.concat([done, rest], ignore_index=True)
+        return emit_all(pdf, enc, bs)
+
+    def emit_all(pdf, enc, bs):
         payload = _payload(pdf, text_col, image_cols)
         outputs, errors, sizes = [], [], []
         if batch_col is not None:

@@ -131,3 +131,45 @@ def stream_backpressure(spark, sf_dir):
     run_available_now(s, base + "/out", base + "/checkpoint", progress=progress)
     rows = [(int(n),) for _, n in progress if n]
     return spark.createDataFrame(rows, "rows_in_batch long")
+
+
+from ..functions.images import DEFAULT_MAX_MB, decoded_size_mb  # noqa: E402
+from ..functions.urls import normalize_file_uri  # noqa: E402
+from ..models.base import EncoderSpec  # noqa: E402
+from ..models.builtin import PixelGridEncoder  # noqa: E402
+from .catalog_images import GRID, IMG_RULES_SQL, PIXELS_SQL, _image_dir  # noqa: E402
+
+
+@register("stream_validate_encode", f"""
+WITH {PIXELS_SQL},
+g AS (
+  SELECT vec_id, (i // 8 // 2) * 4 + (i % 8) // 2 AS cell,
+         CASE c WHEN 1 THEN p ELSE (p + (p + 40) % 256 + (p + 80) % 256) / 3.0 END / 255.0 AS v
+  FROM px WHERE kind IN ('png', 'bmp')),
+f AS (SELECT vec_id, cell, avg(v) AS x FROM g GROUP BY vec_id, cell),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM f GROUP BY vec_id)
+SELECT CAST(f.vec_id AS VARCHAR) AS key, 'ok' AS status, CAST(cell AS INTEGER) AS dim, round(x / nrm, 6) AS value
+FROM f JOIN n USING (vec_id) WHERE x <> 0
+UNION ALL
+SELECT CAST(vec_id AS VARCHAR), 'undecodable_image', NULL, NULL FROM ({IMG_RULES_SQL}) WHERE kind IN ('junk', 'truncated')""")
+def stream_validate_encode(spark, sf_dir):
+    """Online path on a stream: image requests -> validation -> encoder -> response rows
+    (rejected requests answered with their reason, no model call)."""
+    prepare(spark)
+    out, _ = _image_dir(spark, sf_dir)
+    schema = spark.read.format("image").load(out).schema
+    s = spark.readStream.format("image").schema(schema).option("dropInvalid", "false").load(out)
+    img = s.select(normalize_file_uri("image.origin").alias("file"), "image.height", "image.width",
+                   "image.nChannels", "image.data")
+    reason = (F.when((F.col("width") < 0) | (F.col("nChannels") < 0), "undecodable_image")
+              .when((F.col("width") == 0) | (F.col("height") == 0), "invalid_dimensions")
+              .when(decoded_size_mb("width", "height", "nChannels") > F.lit(DEFAULT_MAX_MB), "image_too_large"))
+    key = F.regexp_extract("file", r"img_([0-9]+)\.", 1).cast("long").cast("string")
+    req = img.select(key.alias("key"), reason.alias("reject_reason"), "data", "height", "width", "nChannels")
+    enc = apply_encoder(req, EncoderSpec.of(PixelGridEncoder, grid=GRID),
+                        image_cols=("data", "height", "width", "nChannels"), skip_col="reject_reason")
+    resp = enc.select("key", F.coalesce("reject_reason", F.lit("ok")).alias("status"),
+                      F.posexplode_outer("embedding").alias("dim", "value"))
+    resp = resp.where(F.col("value").isNull() | (F.col("value") != 0))
+    res = _run(spark, resp, "validate_encode")
+    return res.select("key", "status", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
