@@ -348,3 +348,28 @@ def image_reject_table(spark, sf_dir):
     """Reject table of the image job: undecodable files and URLs with no image."""
     df = spark.read.parquet(_image_job(spark, sf_dir) + "/rejects.parquet")
     return df.select("key", "reject_reason")
+
+
+from ..sources.images import fetch_by_url  # noqa: E402
+
+
+@register("url_fetch", f"""
+SELECT CAST(vec_id AS VARCHAR) AS key, CASE kind WHEN 'empty' THEN 'empty' ELSE 'ok' END AS fetch_status,
+       kind <> 'empty' AS has_bytes FROM ({IMG_RULES_SQL})
+UNION ALL
+SELECT 'bak_' || CAST(vec_id AS VARCHAR), 'not_found', false FROM embeddings WHERE label = 0
+UNION ALL
+SELECT 'doc_' || CAST(doc_id AS VARCHAR), 'unsupported_scheme', false FROM documents""")
+def url_fetch(spark, sf_dir):
+    """Bytes fetched per URL (image files, missing backups, non-fetchable doc:// URLs)."""
+    _, index = _image_dir(spark, sf_dir)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    files = index.select(F.col("vec_id").cast("string").alias("key"), F.col("file").alias("url"))
+    baks = index.join(emb.where(F.col("label") == 0), "vec_id").select(
+        F.concat(F.lit("bak_"), F.col("vec_id").cast("string")).alias("key"),
+        F.concat(F.col("file"), F.lit(".bak")).alias("url"))
+    docs = document_samples(table(spark, sf_dir, "documents")).select(
+        F.concat(F.lit("doc_"), F.col("key")).alias("key"), "url")
+    got = fetch_by_url(files.unionByName(baks).unionByName(docs))
+    return got.select("key", "fetch_status",
+                      F.coalesce(F.octet_length("content") > 0, F.lit(False)).alias("has_bytes"))
