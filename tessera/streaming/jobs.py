@@ -91,12 +91,12 @@ def timeouts_join(requests: DataFrame, responses: DataFrame, bound_s: int) -> Da
 
 STATE_SCHEMA = T.StructType([T.StructField("t", T.ArrayType(T.LongType())),
                              T.StructField("i", T.ArrayType(T.LongType()))])
-BATCH_SCHEMA = T.StructType([T.StructField("model", T.StringType()), T.StructField("batch_id", T.LongType()),
-                             T.StructField("batch_size", T.IntegerType()), T.StructField("open_us", T.LongType()),
-                             T.StructField("last_us", T.LongType()), T.StructField("close_us", T.LongType())])
+BATCH_FIELDS = [T.StructField("batch_id", T.LongType()), T.StructField("batch_size", T.IntegerType()),
+                T.StructField("open_us", T.LongType()), T.StructField("last_us", T.LongType()),
+                T.StructField("close_us", T.LongType())]
 
 
-def _batcher(B: int, W: int):
+def _batcher(B: int, W: int, columns: list[str]):
     def fn(key, pdfs, state):
         t = np.asarray(state.get[0], dtype=np.int64) if state.exists else np.empty(0, dtype=np.int64)
         ids = np.asarray(state.get[1], dtype=np.int64) if state.exists else np.empty(0, dtype=np.int64)
@@ -115,7 +115,7 @@ def _batcher(B: int, W: int):
             size, open_, last = e - s, int(t[s]), int(t[e - 1])
             if not ((size == B and last < wm) or (open_ + W < wm)):
                 break
-            rows.append((key[0], int(ids[s]), size, open_, last, last if size == B else open_ + W))
+            rows.append((*key, int(ids[s]), size, open_, last, last if size == B else open_ + W))
             s = e
         t, ids = t[s:], ids[s:]
         if len(t):
@@ -124,15 +124,19 @@ def _batcher(B: int, W: int):
             state.setTimeoutTimestamp(max(wm_ms + 1, nxt // 1000 + 1))
         else:
             state.remove()
-        yield pd.DataFrame(rows, columns=[f.name for f in BATCH_SCHEMA.fields])
+        yield pd.DataFrame(rows, columns=columns)
     return fn
 
 
-def stream_dynamic_batches(reqs: DataFrame, max_batch: int, max_wait_s: float) -> DataFrame:
-    """Count-or-time batching on a stream: state per model keeps the requests
+def stream_dynamic_batches(reqs: DataFrame, max_batch: int, max_wait_s: float,
+                           keys=("model",)) -> DataFrame:
+    """Count-or-time batching on a stream: state per key keeps the requests
     of still-open batches; a batch is emitted once the watermark proves it
     closed (full and complete, or its wait elapsed)."""
+    keys = list(keys)
     W = int(round(max_wait_s * US))
-    src = reqs.select("model", "request_id", "ts", epoch_us("ts").alias("t_us"))
-    return src.groupBy("model").applyInPandasWithState(
-        _batcher(int(max_batch), W), BATCH_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    schema = T.StructType([reqs.schema[k] for k in keys] + BATCH_FIELDS)
+    src = reqs.select(*keys, "request_id", "ts", epoch_us("ts").alias("t_us"))
+    return src.groupBy(*keys).applyInPandasWithState(
+        _batcher(int(max_batch), W, schema.fieldNames()), schema, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)
