@@ -44,10 +44,10 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
             validated.where(F.col("reject_reason").isNotNull()))
 
 
-def resolve_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url",
-                     payload_url_col: str = "url", hot_threshold: int | None = None,
-                     ) -> tuple[DataFrame, DataFrame]:
-    """Join samples to their payload bytes by URL; return (resolved, unresolved).
+def lookup_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url",
+                    payload_url_col: str = "url", hot_threshold: int | None = None) -> DataFrame:
+    """Left join of samples to their payload rows by URL; ``_purl`` is null when
+    a sample's URL has no payload.
 
     URLs are matched as given (normalise ``file:`` URIs of both sides first,
     see ``functions.urls.normalize_file_uri``). With ``hot_threshold`` a URL
@@ -58,10 +58,7 @@ def resolve_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "ur
     """
     p = payloads.withColumnRenamed(payload_url_col, "_purl")
     if not hot_threshold:
-        resolved = samples.join(p, samples[url_col] == p["_purl"], "inner").drop("_purl")
-        unresolved = samples.join(p.select("_purl"), samples[url_col] == p["_purl"], "left_anti") \
-                            .withColumn("reject_reason", F.lit("unresolved_url"))
-        return resolved, unresolved
+        return samples.join(p, samples[url_col] == p["_purl"], "left")
     T = int(hot_threshold)
     hot = (samples.groupBy(F.col(url_col).alias("_hurl")).agg(F.count(F.lit(1)).alias("_n"))
                   .where(F.col("_n") > T)
@@ -71,11 +68,19 @@ def resolve_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "ur
                     F.pmod(F.xxhash64(*[F.col(c) for c in samples.columns]), F.col("_salts")).cast("int")))
                 .drop("_hurl", "_salts"))
     ps = (p.join(F.broadcast(hot), p["_purl"] == F.col("_hurl"), "left")
-           .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+           .withColumn("_psalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
            .drop("_hurl", "_salts"))
-    cond = (s[url_col] == ps["_purl"]) & (s["_salt"] == ps["_salt"])
-    resolved = s.join(ps, cond, "inner").drop("_purl", "_salt")
-    unresolved = (s.join(ps.select("_purl", F.col("_salt").alias("_psalt")),
-                         (s[url_col] == F.col("_purl")) & (s["_salt"] == F.col("_psalt")), "left_anti")
-                   .drop("_salt").withColumn("reject_reason", F.lit("unresolved_url")))
+    cond = (s[url_col] == ps["_purl"]) & (s["_salt"] == ps["_psalt"])
+    return s.join(ps, cond, "left").drop("_salt", "_psalt")
+
+
+def resolve_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url",
+                     payload_url_col: str = "url", hot_threshold: int | None = None,
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(resolved, unresolved) from one left join (see :func:`lookup_payloads`);
+    unresolved rows carry ``reject_reason = 'unresolved_url'``."""
+    j = lookup_payloads(samples, payloads, url_col, payload_url_col, hot_threshold)
+    resolved = j.where(F.col("_purl").isNotNull()).drop("_purl")
+    unresolved = (j.where(F.col("_purl").isNull()).select(*samples.columns)
+                   .withColumn("reject_reason", F.lit("unresolved_url")))
     return resolved, unresolved

@@ -335,7 +335,7 @@ SELECT CAST(f.vec_id AS VARCHAR) AS key, CAST(cell AS INTEGER) AS dim, round(x /
 FROM f JOIN n USING (vec_id) JOIN embeddings e ON e.vec_id = f.vec_id WHERE x <> 0""")
 def image_embed_job(spark, sf_dir):
     """Image dataset job: samples -> decoded images by URL -> validation -> encoder -> parquet (read back)."""
-    df = spark.read.parquet(_image_job(spark, sf_dir) + "/embeddings.parquet")
+    df = spark.read.parquet(_image_job(spark, sf_dir) + "/samples.parquet").where(F.col("status") == "accepted")
     ex = df.select("key", "meta_label", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
     return ex.select("key", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"), "meta_label")
 
@@ -346,7 +346,7 @@ SELECT CAST(vec_id AS VARCHAR) AS key,
 FROM ({IMG_RULES_SQL}) WHERE kind IN ('junk', 'truncated', 'empty')""")
 def image_reject_table(spark, sf_dir):
     """Reject table of the image job: undecodable files and URLs with no image."""
-    df = spark.read.parquet(_image_job(spark, sf_dir) + "/rejects.parquet")
+    df = spark.read.parquet(_image_job(spark, sf_dir) + "/samples.parquet").where(F.col("status") == "rejected")
     return df.select("key", "reject_reason")
 
 

@@ -106,39 +106,43 @@ if __name__ == "__main__":
 def embed_image_dataset(spark: SparkSession, samples: DataFrame, images_root: str, output_dir: str,
                         spec: EncoderSpec, batch_size: int | None = None,
                         max_decoded_mb: float | None = None, hot_threshold: int | None = None) -> EmbedResult:
-    """Image samples (url, key, caption, metadata…) -> embeddings + reject table.
-
-    URLs are resolved against the decoded-image scan (``dropInvalid`` off, so
-    undecodable files are seen and rejected); unresolved URLs, undecodable
-    images, bad dimensions and oversized images go to ``rejects.parquet``
-    with a reason; accepted rows are encoded once and written with their
-    metadata flattened.
+    """Image samples (url, key, caption, metadata…) -> embeddings + reject table, in one pass.
+
+    One left join of the samples to the decoded-image scan (``dropInvalid``
+    off, so undecodable files are seen) gives every sample a reason or none:
+    unresolved URL, undecodable image, bad dimensions, oversized image. The
+    encoder skips rejected rows, and a single write partitioned by ``status``
+    produces ``samples.parquet/status=accepted`` (the embeddings, metadata
+    flattened) and ``status=rejected`` (with ``reject_reason``), so every image
+    is decoded once.
     """
     from ..functions.images import DEFAULT_MAX_MB, decoded_size_mb
     from ..functions.urls import normalize_file_uri
-    from ..operators.validate import resolve_payloads, split_valid
+    from ..operators.validate import lookup_payloads
     from ..sources.images import scan_images
 
     limit = DEFAULT_MAX_MB if max_decoded_mb is None else max_decoded_mb
     s = sample_projection(samples)
     meta = [c for c in s.columns if c not in CORE and c not in (SHARD_COL, ROW_COL)]
-    s = s.select(*CORE, *meta).withColumn("_file", normalize_file_uri("url"))
+    s = s.select(*CORE, F.struct(*meta).alias("metadata"), normalize_file_uri("url").alias("_file"))
     imgs = scan_images(spark, images_root, drop_invalid=False)
-    resolved, unresolved = resolve_payloads(s, imgs, "_file", "file", hot_threshold)
-    reason = (F.when((F.col("width") < 0) | (F.col("nChannels") < 0), "undecodable_image")
+    j = lookup_payloads(s, imgs, "_file", "file", hot_threshold)
+    reason = (F.when(F.col("_purl").isNull(), "unresolved_url")
+              .when((F.col("width") < 0) | (F.col("nChannels") < 0), "undecodable_image")
               .when((F.col("width") == 0) | (F.col("height") == 0), "invalid_dimensions")
               .when(decoded_size_mb("width", "height", "nChannels") > F.lit(float(limit)), "image_too_large"))
-    accepted, rejected = split_valid(resolved.withColumn("reject_reason", reason))
-    packed = accepted.select(*CORE, "data", "height", "width", "nChannels", F.struct(*meta).alias("metadata"))
-    enc = apply_encoder(packed, spec, text_col="caption", image_cols=("data", "height", "width", "nChannels"),
-                        batch_size=batch_size)
+    req = j.select(*CORE, "metadata", "data", "height", "width", "nChannels", reason.alias("reject_reason"))
+    enc = apply_encoder(req, spec, text_col="caption", image_cols=("data", "height", "width", "nChannels"),
+                        batch_size=batch_size, skip_col="reject_reason")
     flat = flatten_metadata(enc.drop("data", "height", "width", "nChannels"))
-    result = flat.select("url", "key", "caption", "embedding", *[c for c in flat.columns if c.startswith("meta_")])
-    table = f"{output_dir}/embeddings.parquet"
-    n = write_results(result, table)
-    rejects = (rejected.select("key", "url", "reject_reason")
-               .unionByName(unresolved.select("key", "url", "reject_reason")))
-    rejects.write.mode("overwrite").parquet(f"{output_dir}/rejects.parquet")
+    out = flat.select("url", "key", "caption", "embedding", "reject_reason",
+                      *[c for c in flat.columns if c.startswith("meta_")],
+                      F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected").alias("status"))
+    from pyspark.sql import Observation
+    obs = Observation("tessera_image_job")
+    (out.observe(obs, F.count_if(F.col("status") == "accepted").alias("accepted"))
+        .write.mode("overwrite").partitionBy("status").parquet(f"{output_dir}/samples.parquet"))
+    n = int(obs.get["accepted"])
     manifest = f"{output_dir}/metadata.json"
     write_run_manifest(spark, manifest, n, spec.describe())
-    return EmbedResult(table, manifest, n)
+    return EmbedResult(f"{output_dir}/samples.parquet/status=accepted", manifest, n)
