@@ -55,8 +55,8 @@ from ..functions import urls  # noqa: E402
 from ..operators.samples import (assign_workers, fixed_batches, flatten_metadata,  # noqa: E402
                                  pack_metadata, sample_ordinal, sample_projection, cap_samples)
 from ..operators.scan import ordinal  # noqa: E402
-from ..sinks.files import write_dataset_manifest, write_run_manifest  # noqa: E402
-from ..sources.dataset import (ROW_COL, SHARD_COL, list_shards, sample_dataset,  # noqa: E402
+from ..sinks.files import write_dataset_manifest  # noqa: E402
+from ..sources.dataset import (SHARD_COL, list_shards, sample_dataset,  # noqa: E402
                                scan_dataset, scan_shards, write_shards)
 from .embed_job import embed_dataset  # noqa: E402
 
