@@ -29,7 +29,7 @@ def counter(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.groupBy(*labels).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
-def histogram(df: DataFrame, value_col: str, labels: list[str], buckets=DURATION_BUCKETS,
+def histogram(df: DataFrame, value_col: str, labels: list, buckets=DURATION_BUCKETS,
               sum_digits: int = 6) -> DataFrame:
     """Cumulative-bucket histogram: one row per (labels, sample, le).
 
@@ -37,14 +37,23 @@ def histogram(df: DataFrame, value_col: str, labels: list[str], buckets=DURATION
     ``count``. One aggregation pass computes every bucket; ``stack`` turns
     the columns into rows afterwards (no explode of the input).
     """
-    v = F.col(value_col).cast("double")
-    aggs = [F.count_if(v <= F.lit(float(b))).cast("double").alias(f"b{i}") for i, b in enumerate(buckets)]
-    aggs += [F.count(v).cast("double").alias("n"), F.round(F.sum(v), sum_digits).alias("s")]
-    wide = df.groupBy(*labels).agg(*aggs)
+    wide = df.groupBy(*labels).agg(*histogram_aggs(value_col, buckets, sum_digits))
+    return stack_histogram(wide, list(labels), buckets)
+
+
+def stack_histogram(wide: DataFrame, keep: list[str], buckets) -> DataFrame:
+    """Bucket columns ``b0..bk, n, s`` -> rows ``(sample, le, value)`` (also after a
+    streaming aggregation: ``stack`` is a stateless projection)."""
     parts = [f"'bucket', '{b}', b{i}" for i, b in enumerate(buckets)]
     parts += [f"'bucket', '{INF}', n", "'count', CAST(NULL AS STRING), n", "'sum', CAST(NULL AS STRING), s"]
     stacked = f"stack({len(parts)}, {', '.join(parts)}) AS (sample, le, value)"
-    return wide.select(*labels, F.expr(stacked))
+    return wide.select(*keep, F.expr(stacked))
+
+
+def histogram_aggs(value_col: str, buckets=DURATION_BUCKETS, sum_digits: int = 6) -> list:
+    v = F.col(value_col).cast("double")
+    aggs = [F.count_if(v <= F.lit(float(b))).cast("double").alias(f"b{i}") for i, b in enumerate(buckets)]
+    return aggs + [F.count(v).cast("double").alias("n"), F.round(F.sum(v), sum_digits).alias("s")]
 
 
 def gauge_last(df: DataFrame, labels: list[str], value, order: list[str]) -> DataFrame:

@@ -173,3 +173,31 @@ def stream_validate_encode(spark, sf_dir):
     resp = resp.where(F.col("value").isNull() | (F.col("value") != 0))
     res = _run(spark, resp, "validate_encode")
     return res.select("key", "status", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))
+
+
+from ..operators import metrics as M  # noqa: E402
+
+
+def _stream_hist_sql():
+    vals = ", ".join(f"('{b}', CAST('{b}' AS DOUBLE))" for b in M.DURATION_BUCKETS)
+    src = f"""(SELECT time_bucket(INTERVAL 1 DAY, ts) AS b, event_type AS model, value / 100 AS d FROM events
+              WHERE epoch_us(time_bucket(INTERVAL 1 DAY, ts)) + 86400000000 <= {WM_SQL})"""
+    ws = "strftime(b, '%Y-%m-%d %H:%M:%S')"
+    return f"""
+SELECT {ws} AS window_start, model, 'bucket' AS sample, le, CAST(count(*) FILTER (WHERE d <= ub) AS DOUBLE) AS value
+FROM {src} CROSS JOIN (VALUES {vals}) AS t(le, ub) GROUP BY b, model, le
+UNION ALL SELECT {ws}, model, 'bucket', '+Inf', CAST(count(d) AS DOUBLE) FROM {src} GROUP BY b, model
+UNION ALL SELECT {ws}, model, 'count', NULL, CAST(count(d) AS DOUBLE) FROM {src} GROUP BY b, model
+UNION ALL SELECT {ws}, model, 'sum', NULL, round(sum(d), 6) FROM {src} GROUP BY b, model"""
+
+
+@register("stream_duration_histogram", _stream_hist_sql())
+def stream_duration_histogram(spark, sf_dir):
+    """Cumulative request-duration histogram per model and day, emitted as each day closes."""
+    r = _reqs(spark, sf_dir)
+    wide = r.groupBy(F.window("ts", "1 day").alias("w"), "model").agg(*M.histogram_aggs("duration_s"))
+    rows = M.stack_histogram(wide.withColumn("window_start", F.col("w.start")), ["window_start", "model"],
+                             M.DURATION_BUCKETS)
+    res = _run(spark, rows, "duration_histogram")
+    return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "model", "sample", "le", "value")
