@@ -45,17 +45,31 @@ def scan_dataset(spark: SparkSession, root: str | list[str], with_position: bool
     try:
         df = _reader(spark).parquet(*paths)
         df.schema  # force schema merge now
-    except AnalysisException:
-        df = _union_by_name(spark, paths)
+    except Exception as e:  # CANNOT_MERGE_SCHEMAS surfaces as a JVM SparkException
+        if "CANNOT_MERGE_SCHEMAS" not in str(e) and not isinstance(e, AnalysisException):
+            raise
+        return _union_by_name(spark, paths, with_position)
     if with_position:
         df = df.withColumn(SHARD_COL, F.col("_metadata.file_path")) \
                .withColumn(ROW_COL, F.col("_metadata.row_index"))
     return df
 
 
-def _union_by_name(spark, paths):
-    files = [r.path for r in list_shards(spark, paths[0] if len(paths) == 1 else paths).select("path").toLocalIterator()]
+def _union_by_name(spark, paths, with_position: bool = True):
+    """Shards read one by one and unioned by name; a column whose type differs
+    between shards is read as string in every shard (lossless text form)."""
+    files = [r.path for r in list_shards(spark, paths[0] if len(paths) == 1 else paths)
+             .select("path").toLocalIterator()]
     frames = [spark.read.parquet(p) for p in files]
+    types: dict = {}
+    for f in frames:
+        for fld in f.schema.fields:
+            types.setdefault(fld.name, set()).add(fld.dataType.simpleString())
+    conflicting = {c for c, ts in types.items() if len(ts) > 1}
+    pos = [F.col("_metadata.file_path").alias(SHARD_COL), F.col("_metadata.row_index").alias(ROW_COL)] \
+        if with_position else []
+    frames = [f.select(*[F.col(c).cast("string").alias(c) if c in conflicting else F.col(c) for c in f.columns], *pos)
+              for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
