@@ -40,3 +40,16 @@ def test_scan_under_union_keeps_partition_ids(spark):
     u = a.unionByName(a.where("o < 3")).toPandas()
     base = a.toPandas()
     assert len(u) == len(base) + (base.o < 3).sum()
+
+
+def test_null_keys_and_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    n = 1200
+    keys = rng.choice(["x", "y", None], n, p=[0.2, 0.2, 0.6])
+    pdf = pd.DataFrame({"k": keys, "t": rng.integers(0, 50, n), "id": np.arange(n), "v": rng.integers(-3, 4, n)})
+    df = spark.createDataFrame(pdf, "k string, t long, id long, v long")
+    got = running_sums(df, ["k"], ["t", "id"], {"s": "v"}, num_partitions=16).toPandas()
+    pdf = pdf.sort_values(["t", "id"])
+    pdf["ref"] = pdf.groupby(pdf["k"].fillna("<null>"))["v"].cumsum()
+    j = got.merge(pdf[["id", "ref"]], on="id")
+    assert len(j) == n and (j.s == j.ref).all()
