@@ -196,7 +196,7 @@ def _members(keys, B, W, C):
 
 
 def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("model",),
-                    chunk_rows: int = 50_000) -> DataFrame:
+                    chunk_rows: int = 50_000, sequential_max_chunks: int = 64) -> DataFrame:
     """Count-or-time micro-batching of each key's requests.
 
     A batch opens at its first request and takes the following requests
@@ -207,8 +207,10 @@ def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("mo
     1. per key ordinal (range-partitioned prefix count);
     2. per chunk (plus a halo of ``max_batch - 1`` following rows) the exit
        offset for each of the ``max_batch`` possible entry offsets;
-    3. entry offsets of all chunks by composing those small maps with
-       pointer doubling (``log2(#chunks)`` joins of a table of one row per chunk);
+    3. entry offsets of all chunks by composing those small maps: in one
+       ``aggregate`` per key when a key has at most ``sequential_max_chunks``
+       chunks (a bounded group of tiny rows), else with pointer doubling
+       (``log2(#chunks)`` joins of a table of one row per chunk);
     4. per chunk, the batches from its entry offset.
 
     No task holds more than ``chunk_rows + max_batch - 1`` requests.
@@ -236,17 +238,10 @@ def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("mo
     g = g.checkpoint()  # one small row per chunk; also cuts the lineage for the doubling loop
     n_chunks = g.agg(F.max("_chunk")).first()[0]
     n_chunks = 0 if n_chunks is None else int(n_chunks) + 1
-    rounds = math.ceil(math.log2(n_chunks)) if n_chunks > 1 else 0
-    for r_ in range(rounds):
-        d = 1 << r_
-        prev = g.select(*keys, (F.col("_chunk") + d).alias("_chunk"), F.col("g").alias("h"))
-        g = g.join(prev, on=[*keys, "_chunk"], how="left").select(
-            *keys, "_chunk",
-            F.when(F.col("h").isNull(), F.col("g"))
-             .otherwise(F.transform("h", lambda x: F.element_at(F.col("g"), x + 1))).alias("g"))
-        if r_ % 4 == 3:
-            g = g.checkpoint()
-    entries = g.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.element_at("g", 1).alias("entry"))
+    if n_chunks <= sequential_max_chunks:
+        entries = _sequential_entries(g, keys)
+    else:
+        entries = _doubling_entries(g, keys, n_chunks)
     with_entry = chunks.join(entries, on=[*keys, "_chunk"], how="left") \
                        .withColumn("entry", F.coalesce(F.col("entry"), F.lit(0)))
     out_schema = T.StructType(key_fields + [
@@ -259,6 +254,35 @@ def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("mo
     return with_entry.groupBy(*keys, "_chunk").applyInPandas(_members(keys, B, W, C), out_schema)
 
 
+def _sequential_entries(g: DataFrame, keys: list[str]) -> DataFrame:
+    """entry_0 = 0, entry_{k+1} = exits_k[entry_k], folded JVM-side over the
+    (few) chunk maps of each key."""
+    maps = F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("g").alias("g"))))
+    folded = F.aggregate(
+        maps, F.struct(F.lit(0).alias("e"), F.array().cast("array<int>").alias("es")),
+        lambda acc, m: F.struct(F.element_at(m["g"], acc["e"] + 1).alias("e"),
+                                F.concat(acc["es"], F.array(acc["e"])).alias("es")))
+    per_key = g.groupBy(*keys).agg(folded.alias("f"))
+    return per_key.select(*keys, F.posexplode("f.es").alias("_chunk", "entry")) \
+                  .withColumn("_chunk", F.col("_chunk").cast("long"))
+
+
+def _doubling_entries(g: DataFrame, keys: list[str], n_chunks: int) -> DataFrame:
+    """Prefix composition by pointer doubling: after round r every chunk holds
+    the composition of the 2^r maps ending at it."""
+    rounds = math.ceil(math.log2(n_chunks)) if n_chunks > 1 else 0
+    for r_ in range(rounds):
+        d = 1 << r_
+        prev = g.select(*keys, (F.col("_chunk") + d).alias("_chunk"), F.col("g").alias("h"))
+        g = g.join(prev, on=[*keys, "_chunk"], how="left").select(
+            *keys, "_chunk",
+            F.when(F.col("h").isNull(), F.col("g"))
+             .otherwise(F.transform("h", lambda x: F.element_at(F.col("g"), x + 1))).alias("g"))
+        if r_ % 4 == 3:
+            g = g.checkpoint()
+    return g.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.element_at("g", 1).alias("entry"))
+
+
 def batch_summary(members: DataFrame, keys=("model",)) -> DataFrame:
     """One row per batch: size, open/last/close, wait = last - open (seconds)."""
     keys = list(keys)

@@ -21,15 +21,16 @@ def greedy(ts, ids, B, W):
     return out
 
 
-@pytest.mark.parametrize("B,W_s,chunk", [(8, 3.0, 16), (3, 1.0, 5), (4, 10.0, 1000)])
-def test_chunked_equals_greedy(spark, B, W_s, chunk):
+@pytest.mark.parametrize("B,W_s,chunk,seq_max", [(8, 3.0, 16, 64), (8, 3.0, 16, 0), (3, 1.0, 5, 0),
+                                                 (3, 1.0, 5, 1000), (4, 10.0, 1000, 64)])
+def test_chunked_equals_greedy(spark, B, W_s, chunk, seq_max):
     rng = np.random.default_rng(B)
     n = 700
     models = np.where(rng.random(n) < 0.4, "hot", rng.choice(["m1", "m2"], n))
     ts = np.cumsum(rng.exponential(0.7, n) * 1e6).astype(np.int64)
     pdf = pd.DataFrame({"model": models, "request_id": np.arange(n, dtype=np.int64), "enqueue_us": ts})
     df = spark.createDataFrame(pdf)
-    got = dynamic_batches(df, B, W_s, ["model"], chunk_rows=chunk).toPandas()
+    got = dynamic_batches(df, B, W_s, ["model"], chunk_rows=chunk, sequential_max_chunks=seq_max).toPandas()
     assert len(got) == n and got.request_id.is_unique
     for m in ["hot", "m1", "m2"]:
         sub = pdf[pdf.model == m]
