@@ -144,15 +144,16 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
         if pending is not None and len(pending):
             yield emit(pending, enc, bs)
 
-    if batch_col is None and not df.isStreaming:
+    if batch_col is None:
         df = _spread(df)
     return df.mapInPandas(fn, schema)
 
 
 def _spread(df: DataFrame) -> DataFrame:
     """Round-robin the input when it has fewer partitions than the cluster has
-    cores (e.g. one large file): the encoder is the expensive step."""
+    cores (e.g. one large file): the encoder is the expensive step. A stream's
+    micro-batches cannot be inspected up front, so they are always spread."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    if df.isStreaming or df.rdd.getNumPartitions() < par:
         return df.repartition(par)
     return df
