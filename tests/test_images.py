@@ -73,3 +73,40 @@ def test_written_files_decode_through_spark(spark, tmp_path):
         F.regexp_extract("path", r"[^/]+$", 0).alias("n"), I.format_name("content").alias("f")).collect()
     got = {r.n: r.f for r in fmt}
     assert got["a.png"] == "PNG" and got["b.bmp"] == "BMP" and got["e.png"] is None
+
+
+def test_fetch_by_url_statuses(spark, tmp_path):
+    from tessera.sources.images import fetch_by_url
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "e.bin").write_bytes(b"")
+    rows = [("ok", str(tmp_path / "a.bin")), ("uri", "file://" + str(tmp_path / "a.bin")),
+            ("empty", str(tmp_path / "e.bin")), ("missing", str(tmp_path / "nope.bin")),
+            ("http", "http://example.invalid/x.png"), ("none", None)]
+    got = {r.k: (r.fetch_status, r.content) for r in
+           fetch_by_url(spark.createDataFrame(rows, "k string, url string")).collect()}
+    assert got["ok"] == ("ok", bytearray(b"abc")) and got["uri"][0] == "ok"
+    assert got["empty"][0] == "empty" and got["missing"][0] == "not_found"
+    assert got["http"][0] == "unsupported_scheme" and got["none"][0] == "unsupported_scheme"
+
+
+def test_image_job_with_hot_url(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.models.base import EncoderSpec
+    from tessera.models.builtin import PixelGridEncoder
+    from tessera.plans.embed_job import embed_image_dataset
+    imgs = tmp_path / "imgs"
+    imgs.mkdir()
+    (imgs / "hot.png").write_bytes(_png(np.full((4, 4, 3), 100, dtype=np.uint8)))
+    (imgs / "bad.png").write_bytes(b"not an image")
+    rows = [(str(imgs / "hot.png"), f"h{i}") for i in range(50)] + \
+           [(str(imgs / "bad.png"), "b0"), (str(imgs / "gone.png"), "g0")]
+    samples = spark.createDataFrame(rows, "url string, key string").withColumn("src", F.lit("t"))
+    res = embed_image_dataset(spark, samples, str(imgs), str(tmp_path / "out"),
+                              EncoderSpec.of(PixelGridEncoder, grid=2), hot_threshold=10)
+    assert res.num_samples == 50
+    allrows = spark.read.parquet(str(tmp_path / "out/samples.parquet")).collect()
+    rej = {r.key: r.reject_reason for r in allrows if r.status == "rejected"}
+    assert rej == {"b0": "undecodable_image", "g0": "unresolved_url"}
+    acc = [r for r in allrows if r.status == "accepted"]
+    assert len(acc) == 50 and all(r.meta_src == "t" and len(r.embedding) == 4 for r in acc)
