@@ -98,6 +98,38 @@ def exposition(series: list[tuple[tuple[str, str], str, DataFrame, list[str]]])
     return out
 
 
+def request_families(log: DataFrame, value_col: str = "duration_s", gauge_value=None,
+                     gauge_order: tuple = ("enqueue_ts", "request_id"), buckets=DURATION_BUCKETS):
+    """Counters, duration histogram and last-value gauge from ONE pass over a log.
+
+    The log is aggregated once at the finest label set (model, status,
+    error_type); every family is then a re-aggregation of that small table
+    (bucket counts and sums add up, and the gauge's last value is the max of
+    the per-group maxima of ``struct(order, value)``).
+    """
+    v = F.col(value_col).cast("double")
+    gv = F.col(gauge_value) if isinstance(gauge_value, str) else gauge_value
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.count(v).alias("_n"), F.sum(v).alias("_s")]
+    aggs += [F.count_if(v <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(buckets)]
+    if gv is not None:
+        aggs.append(F.max(F.struct(*[F.col(c) for c in gauge_order], gv.cast("double").alias("v"))).alias("_last"))
+    # Each family prunes different columns, which would stop Spark from reusing
+    # one aggregation across the branches; the fine table is tiny (labels
+    # only), so it is checkpointed once and every family reads it.
+    fine = log.groupBy("model", "status", "error_type").agg(*aggs).checkpoint()
+    requests = fine.groupBy("model", "status").agg(F.sum("_rows").cast("double").alias("value"))
+    errors = (fine.where(F.col("error_type").isNotNull()).groupBy("model", "error_type")
+                  .agg(F.sum("_rows").cast("double").alias("value")))
+    wide = fine.groupBy("model").agg(
+        *[F.sum(f"_b{i}").cast("double").alias(f"b{i}") for i in range(len(buckets))],
+        F.sum("_n").cast("double").alias("n"), F.round(F.sum("_s"), 6).alias("s"))
+    hist = stack_histogram(wide, ["model"], buckets)
+    gauge = None
+    if gv is not None:
+        gauge = fine.groupBy("model").agg(F.max("_last").alias("_l")).select("model", F.col("_l.v").alias("value"))
+    return requests, errors, hist, gauge
+
+
 def log_records(df: DataFrame, level: str, logger: str, message, ts_col: str,
                 extra: list[str]) -> DataFrame:
     """Structured log lines: JSON (absent optional fields omitted) and plain text."""

@@ -297,15 +297,16 @@ UNION ALL SELECT '{M.QUEUE_DEPTH[0]}{{model="' || model || '"}} ' || CAST(CAST(a
 
 @register("metrics_exposition", _expo_sql())
 def metrics_exposition(spark, sf_dir):
-    """Text exposition of counters, the duration histogram and the depth gauge."""
+    """Text exposition of counters, the duration histogram and the depth gauge
+    (all four families from one pass over the log)."""
     log = request_log(spark, sf_dir)
+    requests, errors, hist, gauge = M.request_families(
+        log, "duration_s", F.get_json_object("props", "$.k"), ("enqueue_ts", "request_id"))
     return M.exposition([
-        (M.REQUESTS_TOTAL, "counter", M.counter(log, ["model", "status"]), ["model", "status"]),
-        (M.ERRORS_TOTAL, "counter", M.counter(log.where(F.col("error_type").isNotNull()), ["model", "error_type"]),
-         ["model", "error_type"]),
-        (M.REQUEST_DURATION, "histogram", M.histogram(log, "duration_s", ["model"]), ["model"]),
-        (M.QUEUE_DEPTH, "gauge", M.gauge_last(log, ["model"], F.get_json_object("props", "$.k").cast("double"),
-                                              ["enqueue_ts", "request_id"]), ["model"]),
+        (M.REQUESTS_TOTAL, "counter", requests, ["model", "status"]),
+        (M.ERRORS_TOTAL, "counter", errors, ["model", "error_type"]),
+        (M.REQUEST_DURATION, "histogram", hist, ["model"]),
+        (M.QUEUE_DEPTH, "gauge", gauge, ["model"]),
     ])
 
 
