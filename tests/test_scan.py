@@ -53,3 +53,16 @@ def test_null_keys_and_many_partitions(spark):
     pdf["ref"] = pdf.groupby(pdf["k"].fillna("<null>"))["v"].cumsum()
     j = got.merge(pdf[["id", "ref"]], on="id")
     assert len(j) == n and (j.s == j.ref).all()
+
+
+def test_exact_percentiles_match_numpy_with_hot_key(spark):
+    from tessera.operators.stats import exact_percentiles
+    rng = np.random.default_rng(9)
+    n = 2000
+    keys = np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b", "c"], n))
+    pdf = pd.DataFrame({"k": keys, "id": np.arange(n), "v": rng.normal(size=n).round(3)})
+    got = exact_percentiles(spark.createDataFrame(pdf), ["k"], "v", "id", {"p50": 0.5, "p95": 0.95}).toPandas()
+    for _, row in got.iterrows():
+        vals = pdf[pdf.k == row.k].v.to_numpy()
+        assert abs(row.p50 - np.percentile(vals, 50)) < 1e-9
+        assert abs(row.p95 - np.percentile(vals, 95)) < 1e-9
