@@ -37,9 +37,13 @@ def build_session(master: str = "local[8]", app: str = "tessera",
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone (event times are wall-clock UTC)."""
+    """Pin the session time zone (event times are wall-clock UTC) and make sure
+    ``checkpoint()`` has a directory (the cluster's, or a private one only when
+    none is configured)."""
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return spark
 
 
