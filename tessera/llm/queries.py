@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import simhash
+from . import packing, simhash
 from .common import documents, table  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def query(name: str, oracle: str | None = None):
 @query("op2_simhash_components")
 def op2(spark, sf_dir):
     return simhash.simhash_components(documents(spark, sf_dir))
+
+
+@query("op5_pack_documents")
+def op5(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir))
