@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import documents, table  # noqa: F401
+from . import langid, packing, simhash
+from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,9 @@ def op2(spark, sf_dir):
 @query("op5_pack_documents")
 def op5(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    out = langid.identify(documents(spark, sf_dir))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
