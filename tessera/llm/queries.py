@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pq, simhash
+from . import langid, mixing, packing, pq, simhash
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,25 @@ FROM v JOIN low ON v.vec_id = low.a LEFT JOIN deg ON v.vec_id = deg.a
 """)
 def op6(spark, sf_dir):
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_mix_sources", oracle=r"""
+WITH d AS (SELECT doc_id, text, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS wt FROM s),
+t AS (SELECT *, 2 * n / wt::DOUBLE AS full_at FROM w),
+f AS (SELECT *, sum(2 * n) OVER o - 2 * n AS spent, sum(wt) OVER () - sum(wt) OVER o + wt AS left_wt, 1.5 * sum(n) OVER () AS total
+      FROM t WINDOW o AS (ORDER BY full_at, sid ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, spent + full_at * left_wt <= total AS capped FROM f),
+g AS (SELECT *, CASE WHEN capped THEN 2.0 * n ELSE
+      (total - coalesce(sum(2 * n) FILTER (WHERE capped) OVER (), 0))::DOUBLE / sum(wt) FILTER (WHERE NOT capped) OVER () * wt END::DOUBLE AS target FROM c),
+p AS (SELECT d.doc_id, d.size, g.n, g.target, floor(g.target) AS whole,
+             sum(d.size) OVER (PARTITION BY g.sid ORDER BY d.h, d.doc_id, d.size, d.text ROWS UNBOUNDED PRECEDING) - d.size AS a
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size::BIGINT AS size, n AS source_size, target,
+       (greatest(0, least(a + size, whole) - a) + greatest(0, least(n + a + size, whole) - n - a))::BIGINT AS taken
+FROM p
+""")
+def op4(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
