@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pq, simhash
+from . import fingerprints, langid, mixing, packing, pq, simhash
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,22 @@ FROM p
 """)
 def op4(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op3_document_fingerprints", oracle=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+                  coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC), '') AS following FROM documents),
+e AS (SELECT *, length(text) AS n, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edit FROM d),
+w AS (SELECT *, [list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') FOR x IN [text, edit, following]] AS words FROM e),
+s AS (SELECT *, list_transform(words, lambda v: list_sort(list_distinct([substr(md5(array_to_string(v[i:i + 4], ' ')), 1, 12)
+                FOR i IN range(1, CASE WHEN len(v) = 0 THEN 1 ELSE greatest(len(v) - 3, 2) END)]))[:128]) AS k FROM w),
+u AS (SELECT *, list_transform(k, lambda b: list_sort(list_distinct(list_concat(k[1], b)))[:128]) AS un FROM s),
+r AS (SELECT *, [CASE WHEN len(un[j]) = 0 THEN 1.0 ELSE len(list_intersect(un[j], list_intersect(k[1], k[j]))) / len(un[j]) END FOR j IN [1, 2, 3]] AS near,
+      [CASE WHEN len(x) < 128 THEN len(x)::DOUBLE ELSE 127 * (16.0::DOUBLE ** 12 / (('0x' || x[128])::BIGINT::DOUBLE + 1)) END FOR x IN [k[1], un[2]]] AS size FROM u)
+SELECT doc_id, n AS n_chars, sha256(edit) AS edited_sha256, array_to_string(k[1], '') AS fingerprint, array_to_string(k[2], '') AS edited_fingerprint,
+       near[2]::DOUBLE AS near_edited, near[3]::DOUBLE AS near_next,
+       CASE WHEN len(k[1]) = 0 THEN 1.0 ELSE least(near[2] * size[2] / size[1], 1.0) END::DOUBLE AS contained_edited, size[1] AS distinct_shingles
+FROM r
+""")
+def op3(spark, sf_dir):
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
