@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, pq, simhash
+from . import fingerprints, langid, mixing, packing, pii, pq, simhash
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ FROM r
 """)
 def op3(spark, sf_dir):
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
+@query("op8_personal_data")
+def op8(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir))
