@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, pii, pq, simhash
+from . import fingerprints, langid, mixing, packing, pii, pq, simhash, warc
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,15 @@ def op3(spark, sf_dir):
 @query("op8_personal_data")
 def op8(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
+
+
+@query("op10_warc_round_trip", oracle="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest FROM pages),
+v AS (SELECT *, [('0x' || substr(h, 5 * k + 1, 5))::BIGINT FOR k IN range(8)] AS words FROM p),
+s AS (SELECT *, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((w >> b) & 31)::INT + 1, 1) FOR b IN [15, 10, 5, 0]], '') FOR w IN words], '') AS d FROM v)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to FROM s
+""")
+def op10(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
