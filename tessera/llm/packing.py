@@ -3,7 +3,7 @@
 1. **Pieces.** A text becomes the ids of a public tokenizer plus an end id.
    Only documents longer than ``max_len`` are cut, from the back, into pieces of
    ``max_len``; the first piece may be shorter. Each worker tokenizes a word
-   with its leading space once and keeps its ids (bounded cache).
+   with the white space before it once and keeps its ids (bounded cache).
 2. **Histogram.** The lengths, at most ``max_len`` different ones, are counted
    by Spark. This histogram is all that reaches the driver.
 3. **Configuration LP.** ``min sum x_c`` so that configurations (multisets of
@@ -42,7 +42,7 @@ BLOCKS = 8              # price updates in a round
 RATE = 1.0              # how fast prices follow cover
 SOLVES = 2              # the program is solved again for what the first rounding leaves
 FULL = 0.996            # configurations filled to this share are rounded; others wait for the rest
-CACHE_WORDS = 300_000   # words whose ids a worker keeps
+CACHE_WORDS = 600_000   # words whose ids a worker keeps
 BUCKET_ROWS = 20_000    # pieces ranked together
 
 
@@ -55,37 +55,64 @@ def tokenizer_path() -> str:
 # ---------------------------------------------------------------- pieces
 
 class WordIds:
-    """Token ids of whole texts; ids of a word with its leading space are computed once.
+    """Token ids of whole texts; ids of a word with the space or line end before it are computed once.
 
-    The tokenizer never joins a space with what stands before it, unless the
-    space is inside a run of white space; texts with such runs are encoded whole.
+    The tokenizer never joins a space or line end with what stands before it,
+    unless that is white space too; texts with such runs are encoded whole. New
+    words are encoded together and told apart by the bytes of their tokens.
     """
 
-    RUN = re.compile(r"\s (?:\s|$)")
+    RUN = re.compile(r"\s[ \n]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a byte-level vocabulary writes each byte as one character
+        self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.ids: dict[str, bytes] = {}
 
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        new = list({w for w in words if w not in self.ids})
+        joint = [w for w in new if w[0] in " \n" and not w[-1].isspace()]
+        if joint:
+            ids, = self._whole(["".join(joint)])
+            raw, ends = ids.tobytes(), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in joint])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
+            for w, a, b in zip(joint, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                self.ids[w] = raw[a:b]
+        rest = [w for w in new if w not in self.ids]
+        self.ids.update((w, e.tobytes()) for w, e in zip(rest, self._whole(rest), strict=True))
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.RUN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else re.split("(?= )", text)
+        if "\x00" in text or self.RUN.search(text):
+            return self._whole([text])[0]
+        words = text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+        if not words[0]:
+            del words[0]
+        get = self.ids.__getitem__
         try:
-            return np.frombuffer(b"".join([self.ids[w] for w in words]), np.uint32)
+            return np.frombuffer(b"".join(map(get, words)), np.uint32)
         except KeyError:
-            pass
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        new = list({w for w in words if w not in self.ids})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([self.ids[w] for w in words]), np.uint32)
+            self._learn(words)
+        return np.frombuffer(b"".join(map(get, words)), np.uint32)
+
+
+_WORKER: dict[str, WordIds] = {}    # a worker keeps its words from task to task
+
+
+def _words_of(path: str) -> WordIds:
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
 
 
 def cut_points(n: int, max_len: int) -> list[int]:
@@ -103,7 +130,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(path)
+        words = _words_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
