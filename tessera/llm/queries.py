@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, pii, pq, simhash, warc
+from . import fingerprints, langid, mixing, packing, pii, pq, simhash, toxicity, warc
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, d AS payload_digest
 """)
 def op10(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    out = toxicity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
