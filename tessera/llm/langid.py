@@ -288,3 +288,18 @@ def identify(docs: DataFrame, net: BiGru | None = None, text_col: str = "text",
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.withColumn(found, predict(net, F.col(text_col)))
     return out.select(*names, f"{found}.lang_pred", f"{found}.score")
+
+
+def accepted(docs: DataFrame, net: BiGru | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the texts no language can be given to; a null ``lang`` becomes the predicted one.
+
+    Rejected are null texts and those without a letter. With nothing to learn
+    from, other texts are kept with their null ``lang``.
+    """
+    net = net or fit(docs, text_col, lang_col, id_col)
+    if net is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    found = fresh(docs, "found")
+    out = docs.withColumn(found, predict(net, F.col(text_col))["lang_pred"])
+    filled = F.coalesce(F.col(lang_col), F.col(found))
+    return out.where(F.col(found) != UNDETERMINED).select(*[filled.alias(c) if c == lang_col else F.col(c) for c in docs.columns])

@@ -165,11 +165,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select("rid", "doc_id", "size").join(take(rows, seed), "rid").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "") -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "",
+                    length_col: str | None = None) -> DataFrame:
     """The mix itself: a row of ``docs`` for each pass that takes it, with all columns of ``docs``.
 
     A document at the end of a target is cut to the words taken, joined by
-    spaces; all others keep their text.
+    spaces; all others keep their text. ``length_col`` names a column that holds
+    the text's code points, to be kept right.
     """
     rid, size, one = fresh(docs, "rid"), fresh(docs, "size"), fresh(docs, "one")
     numbered = materialise(docs.withColumn(size, word_count(text_col)).withColumn(rid, F.monotonically_increasing_id()))
@@ -177,5 +179,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            F.xxhash64(text_col).alias("text_hash"), F.col(rid).alias("rid"))
     passes = take(rows, seed).select(F.col("rid").alias(rid), F.explode("epochs").alias(one))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), 1, F.col(f"{one}.words").cast("int")), " ")
-    text = F.when(F.col(f"{one}.words") < F.col(size), cut).otherwise(F.col(text_col))
-    return numbered.join(passes, rid).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    is_cut = F.col(f"{one}.words") < F.col(size)
+    changed = {text_col: F.when(is_cut, cut).otherwise(F.col(text_col))}
+    if length_col is not None:
+        kind = docs.schema[length_col].dataType
+        changed[length_col] = F.when(is_cut, F.length(cut).cast(kind)).otherwise(F.col(length_col))
+    return numbered.join(passes, rid).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
