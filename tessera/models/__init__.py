@@ -2,12 +2,10 @@
 
 from .base import Encoder, EncoderSpec, ModelInfo, resolve_batch_size
 from .builtin import ConstantEncoder, HashTextEncoder, PixelGridEncoder, MultimodalClassifier
-from .loader import (ConfigurationError, ModelLoadError, ModelNotFoundError,
-                     load_model, validate_model_interface)
+from .loader import Plugin, PluginError, parse_record, plugin_class, register
 
 __all__ = [
     "Encoder", "EncoderSpec", "ModelInfo", "resolve_batch_size",
     "ConstantEncoder", "HashTextEncoder", "PixelGridEncoder", "MultimodalClassifier",
-    "ConfigurationError", "ModelLoadError", "ModelNotFoundError",
-    "load_model", "validate_model_interface",
+    "Plugin", "PluginError", "parse_record", "plugin_class", "register",
 ]

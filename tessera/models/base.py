@@ -1,7 +1,8 @@
 """Encoder protocol.
 
 An encoder turns a batch of payload rows into one output per row. The batch
-is a pandas DataFrame with the payload columns (``text`` and/or ``image``);
+of a built-in encoder is a pandas DataFrame with the payload columns (``text``
+and/or ``image_*``), that of a plug-in a list of items (see ``loader``);
 ``encode`` returns a sequence (or 2-d array) with exactly one entry per row.
 ``load``/``warmup`` run once per Python worker; ``batch_size``/``batch_wait_s``
 describe how the encoder likes to be fed.
@@ -62,13 +63,16 @@ class Encoder:
 class EncoderSpec:
     """Picklable recipe for building an encoder on an executor.
 
-    Either ``target`` is ``"module:Class"`` (built with ``kwargs``) or
-    ``model_dir`` names a directory with ``config.json`` and ``model.py``.
+    ``target`` is ``"module:Class"`` (built with ``kwargs``); ``archive`` names a
+    plug-in directory shipped by ``loader.register``; ``model_dir`` is a plug-in
+    directory that every worker can open itself (a mounted store).
     """
 
     target: str | None = None
     kwargs: tuple = ()
     model_dir: str | None = None
+    archive: str | None = None
+    label: str | None = None
 
     @staticmethod
     def of(cls, **kwargs) -> "EncoderSpec":
@@ -76,16 +80,18 @@ class EncoderSpec:
                            kwargs=tuple(sorted(kwargs.items())))
 
     def build(self):
-        if self.model_dir is not None:
-            from .loader import load_model
-            return load_model(self.model_dir)[1]
+        if self.archive is not None or self.model_dir is not None:
+            from pyspark import SparkFiles
+
+            from .loader import build
+            return build(self.model_dir or SparkFiles.get(self.archive))
         mod, _, cls = self.target.partition(":")
         obj = getattr(importlib.import_module(mod), cls)
         return obj(**dict(self.kwargs))
 
     def describe(self) -> str:
-        if self.model_dir is not None:
-            return self.model_dir
+        if self.label or self.model_dir:
+            return self.label or self.model_dir
         args = ",".join(f"{k}={v}" for k, v in self.kwargs)
         return f"{self.target.rpartition(':')[2]}({args})"
 

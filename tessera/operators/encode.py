@@ -1,15 +1,18 @@
 """Batched model application (the model-UDF surface).
 
-``apply_encoder`` runs an encoder over a DataFrame through ``mapInPandas``:
-Arrow batches arrive per partition, are re-chunked to the encoder's batch
-size, and every other column passes through unchanged, so no join is needed
-to re-attach the outputs. The encoder is built once per Python worker.
+``apply_encoder`` runs an encoder over a DataFrame through ``mapInArrow``. All
+columns of the input pass through as the Arrow arrays they arrived in, so 64-bit
+ids, nested values and nulls stay exactly as they were; only the payload of the
+rows to encode is converted. Batches are cut to the model's batch size across
+Arrow batches: only the last one of a partition may be short. The encoder is
+built once per Python worker.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -19,6 +22,7 @@ _ENCODERS: dict = {}
 
 # Fixed value: error type recorded for members of a failed batch.
 PROCESSING_ERROR = "processing_error"
+IMAGE_FIELDS = ("image_data", "image_height", "image_width", "image_channels")
 
 
 def get_encoder(spec: EncoderSpec, warmup: bool = True):
@@ -33,21 +37,10 @@ def get_encoder(spec: EncoderSpec, warmup: bool = True):
     return enc
 
 
-def _payload(pdf: pd.DataFrame, text_col, image_cols) -> pd.DataFrame:
-    cols = {}
-    if text_col is not None:
-        cols["text"] = pdf[text_col]
-    if image_cols is not None:
-        for name, src in zip(("image_data", "image_height", "image_width", "image_channels"), image_cols):
-            cols[name] = pdf[src]
-    return pd.DataFrame(cols, index=pdf.index)
-
-
-def _run(enc, payload: pd.DataFrame, on_error: str):
+def _encode(enc, payload: pd.DataFrame, on_error: str):
     """Encode one batch; returns (rows, error_type)."""
     try:
-        out = enc.encode(payload)
-        out = [None if r is None else np.asarray(r, dtype=np.float64) for r in out]
+        out = [None if r is None else np.asarray(r, dtype=np.float64) for r in enc.encode(payload)]
         if len(out) != len(payload):  # positional pairing must be exact
             raise ValueError(f"encoder returned {len(out)} rows for a batch of {len(payload)}")
         return out, None
@@ -61,99 +54,95 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
                   image_cols: tuple[str, str, str, str] | None = None,
                   output_col: str = "embedding", batch_size: int | None = None,
                   on_error: str = "raise", batch_col: str | None = None,
-                  batch_size_col: str | None = None, skip_col: str | None = None) -> DataFrame:
+                  batch_size_col: str | None = None, skip_col: str | None = None,
+                  partitions: int | None = None) -> DataFrame:
     """Append ``output_col`` (array<double>) computed by the encoder.
 
     ``on_error="raise"`` fails the task (Spark retries it; a job fails if the
     encoder keeps failing); ``"mark"`` fans a failed batch out as null
     outputs with ``error_type`` set for every member. With ``batch_col`` the
     batches are exactly the runs of equal values of that column (the frame
-    must be clustered and sorted by it); otherwise Arrow batches are cut
-    into ``batch_size`` slices. Rows where ``skip_col`` is not null (e.g. a
-    reject reason) pass through with a null output and never reach the model.
+    must be clustered and sorted by it); otherwise a batch takes the next
+    ``batch_size`` rows of the partition. Rows where ``skip_col`` is not null
+    (e.g. a reject reason) pass through with a null output and never reach the
+    model. ``partitions`` deals the rows out anew first, for inputs of fewer
+    partitions than there are cores; nothing runs before an action.
 
     Arrow batches handed to the UDF are bounded by Spark's
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
-    ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default), which
-    keeps image payloads from piling up in one Python batch.
+    ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
     if on_error not in ("raise", "mark"):
         raise ValueError("on_error must be 'raise' or 'mark'")
+    if partitions and batch_col is not None:
+        raise ValueError("partitions would break up the batches of batch_col")
     fields = list(df.schema.fields) + [T.StructField(output_col, T.ArrayType(T.DoubleType()), True)]
     if on_error == "mark":
         fields.append(T.StructField("error_type", T.StringType(), True))
     if batch_size_col:
         fields.append(T.StructField(batch_size_col, T.IntegerType(), True))
-    schema = T.StructType(fields)
-
-    def emit(pdf, enc, bs):
-        if skip_col is not None:
-            keep = pdf[skip_col].isna().to_numpy()
-            if not keep.all():
-                done = emit_all(pdf[keep].reset_index(drop=True), enc, bs)
-                rest = pdf[~keep].reset_index(drop=True).copy()
-                rest[output_col] = [None] * len(rest)
-                if on_error == "mark":
-                    rest["error_type"] = [None] * len(rest)
-                if batch_size_col:
-                    rest[batch_size_col] = np.zeros(len(rest), dtype=np.int32)
-                return pd.concat([done, rest], ignore_index=True)
-        return emit_all(pdf, enc, bs)
-
-    def emit_all(pdf, enc, bs):
-        payload = _payload(pdf, text_col, image_cols)
-        outputs, errors, sizes = [], [], []
-        if batch_col is not None:
-            keys = pdf[batch_col].to_numpy()
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            bounds = list(zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]))
-        else:
-            bounds = [(s, min(s + bs, len(pdf))) for s in range(0, len(pdf), bs)]
-        for s, e in bounds:
-            out, err = _run(enc, payload.iloc[s:e], on_error)
-            outputs.extend(out)
-            errors.extend([err] * (e - s))
-            sizes.extend([e - s] * (e - s))
-        pdf = pdf.copy()
-        pdf[output_col] = outputs
+    payload_of = {**({"text": text_col} if text_col is not None else {}), **(dict(zip(IMAGE_FIELDS, image_cols, strict=True)) if image_cols is not None else {})}
+
+    def emit(rows: pa.Table, bounds: list[tuple[int, int]], enc) -> pa.RecordBatch:
+        """``bounds``: batches as ranges of the rows that are not skipped."""
+        use = _used(rows, skip_col)
+        chosen = rows if use.all() else rows.filter(pa.array(use))
+        payload = pd.DataFrame({name: chosen.column(src).to_pandas() for name, src in payload_of.items()}, index=range(chosen.num_rows))
+        where = np.flatnonzero(use)
+        outputs, errors, sizes = [None] * rows.num_rows, [None] * rows.num_rows, np.zeros(rows.num_rows, np.int32)
+        for a, b in bounds:
+            out, err = _encode(enc, payload.iloc[a:b], on_error)
+            for at, vector in zip(where[a:b], out, strict=True):
+                outputs[at], errors[at], sizes[at] = vector, err, b - a
+        columns = [c.combine_chunks() for c in rows.columns] + [pa.array(outputs, pa.list_(pa.float64()))]
         if on_error == "mark":
-            pdf["error_type"] = errors
+            columns.append(pa.array(errors, pa.string()))
         if batch_size_col:
-            pdf[batch_size_col] = np.asarray(sizes, dtype=np.int32)
-        return pdf
+            columns.append(pa.array(sizes))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns],
+                                          [f.name for f in fields])
 
-    def fn(it):
+    def run(batches):
         enc = get_encoder(spec)
-        bs = resolve_batch_size(batch_size, enc)
-        pending = None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            if batch_col is None:
-                yield emit(pdf, enc, bs)
+        size = resolve_batch_size(batch_size, enc)
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            # keep the trailing run: its batch may continue in the next Arrow batch
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            last = pdf[batch_col].iloc[-1]
-            tail = (pdf[batch_col] == last).to_numpy()
-            first_tail = int(np.argmax(tail))
-            if first_tail > 0:
-                yield emit(pdf.iloc[:first_tail].reset_index(drop=True), enc, bs)
-            pending = pdf.iloc[first_tail:].reset_index(drop=True)
-        if pending is not None and len(pending):
-            yield emit(pending, enc, bs)
-
-    if batch_col is None:
-        df = _spread(df)
-    return df.mapInPandas(fn, schema)
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin the input when it has fewer partitions than the cluster has
-    cores (e.g. one large file): the encoder is the expensive step. A stream's
-    micro-batches cannot be inspected up front, so they are always spread."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            ready, bounds = _ready_by_key(rows, batch_col, skip_col) if batch_col is not None else _ready_by_size(rows, size, skip_col)
+            if ready:
+                yield emit(rows.slice(0, ready), bounds, enc)
+            rest = rows.slice(ready)
+        if rest is not None and rest.num_rows:
+            used = int(_used(rest, skip_col).sum())
+            if batch_col is not None:
+                yield emit(rest, [(0, used)] if used else [], enc)      # one run of equal keys
+            else:
+                yield emit(rest, [(s, min(s + size, used)) for s in range(0, used, size)], enc)
+
+    if partitions:
+        df = df.repartition(int(partitions))
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def _used(rows: pa.Table, skip_col: str | None) -> np.ndarray:
+    if skip_col is None:
+        return np.ones(rows.num_rows, bool)
+    return rows.column(skip_col).is_null().to_numpy()
+
+
+def _ready_by_size(rows: pa.Table, size: int, skip_col: str | None):
+    """Leading rows that fill whole batches, and those batches."""
+    where = np.flatnonzero(_used(rows, skip_col))
+    full = len(where) // size
+    return (int(where[full * size - 1]) + 1 if full else 0), [(k * size, (k + 1) * size) for k in range(full)]
+
+
+def _ready_by_key(rows: pa.Table, batch_col: str, skip_col: str | None):
+    """All runs of equal keys but the last, which may go on in the next Arrow batch."""
+    codes = rows.column(batch_col).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    starts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1]
+    used = np.r_[0, np.cumsum(_used(rows, skip_col))][starts]
+    return int(starts[-1]), [(int(a), int(b)) for a, b in zip(used[:-1], used[1:], strict=True) if b > a]

@@ -7,51 +7,65 @@ range-partitioned on ``(key, order)`` instead, so a hot key is spread over
 many tasks:
 
 1. ``repartitionByRange(P, key, order)`` + ``sortWithinPartitions``;
-2. per partition, a local running sum (``mapInPandas``: no further shuffle);
-3. per (partition, key) totals — a small aggregate — turned into carries:
-   the sum of the same key's totals in earlier partitions. Only the first
-   key of each partition can have a carry, so the carry table has at most
-   ``P`` rows and is broadcast with that bound;
+2. per partition, a local running sum (``mapInArrow``: no further shuffle, all
+   columns pass through as they are);
+3. per partition the total of its last key and, over the partitions, the sum
+   a partition's first key has gathered before. Only a partition's first key can
+   have such a carry, so the carry table has at most ``P`` rows and is broadcast
+   with that bound;
 4. local sum + carry.
+
+Both branches read one range exchange, which Spark plans once and reuses. A
+second exchange would sample bounds of its own; every carry therefore names the
+partition's first row, and a row that sees another first row raises an error
+instead of returning a wrong sum.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PID = "_scan_pid"
+MARK = "_scan_mark"     # hash of a row's key and order
+FIRST = "_scan_first"   # the row's key is the first of its partition
+BEGIN = "_scan_begin"   # MARK of the partition's first row
 
 
-def _local_sums(keys, values, outs):
-    def fn(it):
-        carry_key, carry = None, None
-        for pdf in it:
-            if len(pdf) == 0:
+def _local_sums(keys: list[str], values: list[str], names: list[str]):
+    def run(batches):
+        last, carry, first, begin = None, None, True, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            vals = pdf[values].astype("float64").fillna(0.0)
             if keys:
-                grp = pdf[keys].astype(object).where(pdf[keys].notna(), None)
-                ktuples = list(map(tuple, grp.to_numpy()))
-                codes = pd.factorize(pd.Series(ktuples, dtype=object))[0]
-                cums = vals.groupby(codes, sort=False).cumsum().to_numpy()
-                first_key, last_key = ktuples[0], ktuples[-1]
+                codes = np.stack([batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys])
+                new = np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)]
             else:
-                cums = vals.cumsum().to_numpy()
-                codes = np.zeros(len(pdf), dtype=np.int64)
-                first_key = last_key = ()
-            if carry is not None and carry_key == first_key:
-                cums[codes == codes[0]] += carry
-            pdf = pdf.copy()
-            for o, j in zip(outs, range(len(values))):
-                pdf[o] = cums[:, j]
-            last_rows = cums[codes == codes[-1]]
-            carry_key, carry = last_key, last_rows[-1].copy()
-            yield pdf
-    return fn
+                new = np.arange(n) == 0
+            starts = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            here = [tuple(batch.column(k)[int(i)].as_py() for k in keys) for i in (0, n - 1)]
+            if begin is None:
+                begin, last = batch.column(MARK)[0].as_py(), here[0]
+            goes_on = carry is not None and last == here[0]
+            is_first = (run_of == 0) & (first and last == here[0])
+            sums = []
+            for j, v in enumerate(values):
+                x = batch.column(v).fill_null(0.0).to_numpy(zero_copy_only=False)
+                c = np.cumsum(x)
+                c = c - (c[starts] - x[starts])[run_of]
+                if goes_on:
+                    c[run_of == 0] += carry[j]
+                sums.append(c)
+            first = bool(is_first[-1])
+            last, carry = here[1], [s[-1] for s in sums]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sums), pa.array(is_first), pa.array(np.full(n, begin, np.int64))], names)
+    return run
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str],
@@ -60,55 +74,39 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str],
 
     ``values`` maps output column -> value column name or Column expression.
     ``order`` must be a total order within a key (add a unique id last).
-    Outputs are doubles.
+    Outputs are doubles; null keys are a key of their own.
     """
-    spark = df.sparkSession
-    P = int(num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tmp = {}
-    base = df
-    for i, (out, v) in enumerate(values.items()):
-        name = f"_scan_v{i}"
-        base = base.withColumn(name, (F.col(v) if isinstance(v, str) else v).cast("double"))
-        tmp[out] = name
+    P = int(num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tmp = [f"_scan_v{i}" for i in range(len(values))]
+    base = df.withColumns({name: (F.col(v) if isinstance(v, str) else v).cast("double") for name, v in zip(tmp, values.values(), strict=True)})
+    base = base.withColumn(MARK, F.xxhash64(*keys, *order))
+    sort = [F.col(c).asc_nulls_first() for c in keys + order]
     # The partition id is taken by a projection right after the range
     # shuffle: it is the range-partition index even when the frame later
     # sits under a union (a task's own partition id would be shifted there).
-    ranged = (base.repartitionByRange(P, *[F.col(c).asc_nulls_first() for c in keys + order])
-                  .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys + order])
-                  .withColumn(PID, F.spark_partition_id()))
-    local_outs = [f"_scan_l{i}" for i in range(len(values))]
-    schema = T.StructType(list(ranged.schema.fields)
-                          + [T.StructField(o, T.DoubleType(), True) for o in local_outs])
-    local = ranged.mapInPandas(_local_sums(keys, list(tmp.values()), local_outs), schema)
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        # without exchange reuse the two branches below would each sample
-        # their own range bounds; pin one partitioning by checkpointing
-        local = local.checkpoint()
+    ranged = base.repartitionByRange(P, *sort).sortWithinPartitions(*sort).withColumn(PID, F.spark_partition_id())
+    sums = [f"_scan_l{i}" for i in range(len(values))]
+    added = [T.StructField(s, T.DoubleType()) for s in sums] + [T.StructField(FIRST, T.BooleanType()), T.StructField(BEGIN, T.LongType())]
+    schema = T.StructType(list(ranged.schema.fields) + added)
+    local = ranged.mapInArrow(_local_sums(keys, tmp, schema.fieldNames()), schema)
+
+    # Totals per (partition, key), taken from ``local`` itself so that both
+    # branches share one range exchange; carries of first keys: <= P rows.
+    totals = local.groupBy(PID, *keys).agg(*[F.sum(v).alias(f"_scan_t{i}") for i, v in enumerate(tmp)],
+                                           F.max(FIRST).alias(FIRST), F.max(BEGIN).alias("_scan_cbegin"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    carries = totals.select(F.col(PID).alias("_scan_cpid"), FIRST, "_scan_cbegin",
+                            *[F.coalesce(F.sum(f"_scan_t{i}").over(w), F.lit(0.0)).alias(f"_scan_c{i}") for i in range(len(values))])
+    carries = carries.where(FIRST).drop(FIRST)
+    joined = local.join(F.broadcast(carries), on=F.col(PID) == F.col("_scan_cpid"), how="left")
+    split = F.col("_scan_cbegin").isNull() | (F.col("_scan_cbegin") != F.col(BEGIN))
+    fail = F.raise_error(F.lit("the branches of a prefix scan were planned onto different range exchanges")).cast("double")
 
-    # Totals per (partition, key) -> carries from earlier partitions (<= P rows).
-    # They are taken from ``local`` itself so both branches share one range
-    # exchange (separately planned range shuffles sample different bounds).
-    totals = (local.groupBy(PID, *keys)
-                    .agg(*[F.sum(v).alias(f"_scan_t{i}") for i, v in enumerate(tmp.values())]))
-    w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1) if keys \
-        else Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    carries = totals.select(PID, *keys, *[F.coalesce(F.sum(f"_scan_t{i}").over(w), F.lit(0.0)).alias(f"_scan_c{i}")
-                                          for i in range(len(values))])
-    # Only a partition's first key can continue from an earlier partition, so
-    # at most P rows carry a non-zero amount; zero carries change nothing.
-    nonzero = [F.col(f"_scan_c{i}") != 0 for i in range(len(values))]
-    carries = carries.where(nonzero[0] if len(nonzero) == 1 else F.greatest(*[c.cast("int") for c in nonzero]) == 1)
-    # rename the carry side so the self-join resolves by name
-    carries = carries.select(F.col(PID).alias("_scan_cpid"),
-                             *[F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)],
-                             *[f"_scan_c{i}" for i in range(len(values))])
-    cond = [F.col(PID) == F.col("_scan_cpid")] + [F.col(k).eqNullSafe(F.col(f"_scan_k{i}")) for i, k in enumerate(keys)]
-    joined = local.join(F.broadcast(carries), on=cond, how="left")
-    out_cols = [c for c in ranged.columns if c not in tmp.values() and c != PID]
-    result = joined.select(*out_cols, *[
-        (F.col(lo) + F.coalesce(F.col(f"_scan_c{i}"), F.lit(0.0))).alias(out)
-        for i, (out, lo) in enumerate(zip(values.keys(), local_outs))])
-    return result
+    def total(i: int):
+        return F.when(split, fail).otherwise(F.col(sums[i]) + F.when(F.col(FIRST), F.col(f"_scan_c{i}")).otherwise(0.0))
+    # the outputs of ``values`` replace columns of the same name
+    kept = [c for c in df.columns if c not in values]
+    return joined.select(*kept, *[total(i).alias(out) for i, out in enumerate(values)])
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal",

@@ -72,8 +72,8 @@ def main(argv=None) -> None:
     """``spark-submit -m tessera.plans.embed_job --input_dir … --output_dir … --model …``"""
     import argparse
 
-    from ..models.loader import load_model, validate_model_interface
-    from ..session import build_session, prepare
+    from ..models.loader import register
+    from ..session import build_session, prepare, ship_package
 
     ap = argparse.ArgumentParser(description="Embed every sample of a parquet dataset")
     ap.add_argument("--input_dir", required=True)
@@ -83,17 +83,13 @@ def main(argv=None) -> None:
     ap.add_argument("--max_samples", type=int, default=None)
     ap.add_argument("--master", default=None, help="only for local runs; spark-submit sets it otherwise")
     a = ap.parse_args(argv)
+    spark = build_session(master=a.master) if a.master else prepare(SparkSession.builder.getOrCreate())
+    ship_package(spark)
     if a.model in BUILTIN:
         mod, cls = BUILTIN[a.model]
         spec = EncoderSpec(target=f"{mod}:{cls}")
     else:
-        _, model = load_model(a.model)  # fail fast on the driver: config, model.py, ModelImpl
-        validate_model_interface(model)
-        spec = EncoderSpec(model_dir=a.model)
-    if a.master:
-        spark = build_session(master=a.master)
-    else:
-        spark = prepare(SparkSession.builder.getOrCreate())
+        _, spec = register(spark, a.model)  # checked here, then sent to the executors
     res = embed_dataset(spark, a.input_dir, a.output_dir, spec, a.batch_size, a.max_samples)
     print(f"wrote {res.num_samples} rows to {res.table}; manifest {res.manifest}")
 

@@ -7,24 +7,27 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.models import (ConfigurationError, ConstantEncoder, EncoderSpec, HashTextEncoder,
-                            ModelLoadError, ModelNotFoundError, load_model, resolve_batch_size,
-                            validate_model_interface)
+from tessera.models import (ConstantEncoder, EncoderSpec, HashTextEncoder, Plugin, PluginError, parse_record, plugin_class,
+                            register, resolve_batch_size)
 from tessera.operators.encode import apply_encoder
 
 GOOD_MODEL = """
+import os
+from pathlib import Path
 class ModelImpl:
-    def load(self): pass
+    def load(self): self.bias = float(Path(__file__).with_name("weights").joinpath("bias.txt").read_text())
     def warmup(self): pass
     def batch_size(self): return 4
     def batch_wait_s(self): return 0.005
-    def encode(self, batch): return [[float(len(t or ''))] for t in batch['text']]
+    def encode(self, batch):
+        return [[self.bias + len(item.get('text') or ''), float(item['image'].mean()) if item.get('image') is not None else -1.0] for item in batch]
 """
 
 
 def _model_dir(tmp_path, config=None, source=GOOD_MODEL):
     d = tmp_path / "m"
-    d.mkdir()
+    (d / "weights").mkdir(parents=True)
+    (d / "weights" / "bias.txt").write_text("0.5")
     if config is not None:
         (d / "config.json").write_text(config if isinstance(config, str) else json.dumps(config))
     if source is not None:
@@ -32,45 +35,38 @@ def _model_dir(tmp_path, config=None, source=GOOD_MODEL):
     return d
 
 
-def test_load_good_model(tmp_path):
-    info, model = load_model(str(_model_dir(tmp_path, {"name": "m", "version": "2"})))
-    assert info.name == "m" and info.batch_size == 16 and info.batch_wait_s == 0.003
-    validate_model_interface(model, strict=True)
-    assert resolve_batch_size(None, model) == 4 and resolve_batch_size(7, model) == 7
+def test_record_defaults_and_types():
+    info = parse_record('{"name": "m", "version": "2", "description": null, "more": 1}')
+    assert (info.name, info.version, info.description, info.batch_size, info.batch_wait_s, info.metadata) == ("m", "2", None, 16, 0.003, {})
+    for bad in ("{not json", "[1, 2]", '{"version": "1"}', '{"name": 3}', '{"name": "m", "batch_size": "many"}', '{"name": "m", "metadata": []}'):
+        with pytest.raises(PluginError) as e:
+            parse_record(bad)
+        assert e.value.part == "config"
 
 
-@pytest.mark.parametrize("config,source,exc", [
-    (None, GOOD_MODEL, ConfigurationError),
-    ("{not json", GOOD_MODEL, ConfigurationError),
-    ("[1, 2]", GOOD_MODEL, ConfigurationError),
-    ({"version": "1"}, GOOD_MODEL, ConfigurationError),
-    ({"name": "m"}, None, ModelLoadError),
-    ({"name": "m"}, "x = 1\n", ModelLoadError),
-    ({"name": "m"}, "def broken(:\n", ModelLoadError),
-])
-def test_loader_errors(tmp_path, config, source, exc):
-    with pytest.raises(exc):
-        load_model(str(_model_dir(tmp_path, config, source)))
+@pytest.mark.parametrize("config,source,part", [
+    (None, GOOD_MODEL, "config"), ({"name": "m"}, None, "code"), ({"name": "m"}, "x = 1\n", "code"), ({"name": "m"}, "def broken(:\n", "code"),
+    ({"name": "m"}, "import no_such_module\n", "code"), ({"name": "m"}, "class ModelImpl: pass\n", "interface"), ({"name": "m"}, "ModelImpl = 5\n", "code")])
+def test_unusable_plugins(spark, tmp_path, config, source, part):
+    with pytest.raises(PluginError) as e:
+        register(spark, str(_model_dir(tmp_path, config, source)))
+    assert e.value.part == part
 
 
-def test_missing_dir_and_file(tmp_path):
-    with pytest.raises(ModelNotFoundError):
-        load_model(str(tmp_path / "nope"))
-    f = tmp_path / "file"
-    f.write_text("x")
-    with pytest.raises(ModelNotFoundError):
-        load_model(str(f))
+def test_missing_directory(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    for path in (tmp_path / "nope", tmp_path / "file"):
+        with pytest.raises(PluginError) as e:
+            register(spark, str(path))
+        assert e.value.part == "directory"
 
 
-def test_interface_check():
-    class OnlyEncode:
-        def encode(self, b):
-            return []
-    validate_model_interface(OnlyEncode())
-    with pytest.raises(ModelLoadError):
-        validate_model_interface(OnlyEncode(), strict=True)
-    with pytest.raises(ModelLoadError):
-        validate_model_interface(object())
+def test_strict_interface(tmp_path):
+    path = _model_dir(tmp_path, None, "class ModelImpl:\n    def encode(self, batch): return []\n") / "model.py"
+    assert plugin_class(str(path)).__name__ == "ModelImpl"
+    with pytest.raises(PluginError, match="load, warmup, batch_size, batch_wait_s"):
+        plugin_class(str(path), strict=True)
+    assert resolve_batch_size(None, Plugin(plugin_class(str(path))())) == 16 and resolve_batch_size(7) == 7
 
 
 def test_hash_encoder_is_deterministic_and_unit():
@@ -81,14 +77,43 @@ def test_hash_encoder_is_deterministic_and_unit():
     assert abs(np.linalg.norm(a[0]) - 1) < 1e-12 and not a[1].any() and not a[2].any()
 
 
-def test_apply_encoder_model_dir_and_passthrough(spark, tmp_path):
-    d = _model_dir(tmp_path, {"name": "len"})
-    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "xyz")], "id long, text string")
-    out = apply_encoder(df, EncoderSpec(model_dir=str(d)), text_col="text").orderBy("id").collect()
-    assert [r.embedding for r in out] == [[2.0], [0.0], [3.0]]
+def test_plugin_runs_where_its_directory_is_not(spark, tmp_path):
+    info, spec = register(spark, str(_model_dir(tmp_path, {"name": "len"})))
+    for p in (tmp_path / "m").rglob("*"):
+        if p.is_file():
+            p.write_text("gone")                        # only the shipped copy is left
+    df = spark.createDataFrame([(1, "ab", bytearray([1, 2, 3] * 4)), (2, None, None), (3, "xyz", None)], "id long, text string, data binary")
+    df = df.selectExpr("*", "2 AS h", "2 AS w", "3 AS c")
+    out = apply_encoder(df, spec, text_col="text", image_cols=("data", "h", "w", "c")).orderBy("id").collect()
+    assert info.name == "len" and [r.embedding for r in out] == [[2.5, 2.0], [0.5, -1.0], [3.5, -1.0]]
     assert [r.text for r in out] == ["ab", None, "xyz"]
 
 
+def test_pass_through_is_exact_and_lazy(spark):
+    big = (1 << 60) + 1
+    df = spark.range(4000).selectExpr("id", f"IF(id % 3 = 0, NULL, id + {big}L) AS n", f"named_struct('m', IF(id % 3 = 0, NULL, id + {big}L), 's', 'x') AS meta",
+                                      "CAST(id AS STRING) AS text")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    out = apply_encoder(df.join(spark.range(4000), "id"), EncoderSpec.of(ConstantEncoder), text_col="text")
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    wrong = out.where(f"NOT (n <=> IF(id % 3 = 0, NULL, id + {big}L)) OR NOT (meta.m <=> n)").count()
+    assert wrong == 0 and out.count() == 4000
+
+
+def test_only_the_last_batch_of_a_partition_is_short(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.range(0, 1050, 1, 2).selectExpr("id", "CAST(id AS STRING) AS text", "IF(id % 7 = 0, 'no', NULL) AS skip")
+        out = apply_encoder(df, EncoderSpec.of(ConstantEncoder), text_col="text", batch_size=64, batch_size_col="size", skip_col="skip").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for part in (out[out.id < 525], out[out.id >= 525]):
+        used = part[part.skip.isna()]
+        assert set(used["size"]) == {64, len(used) % 64} and (used["size"] == 64).sum() == len(used) // 64 * 64
+        assert part[part.skip.notna()].embedding.isna().all() and (part[part.skip.notna()]["size"] == 0).all()
+
+
 SHORT_MODEL = """
 class ModelImpl:
     def encode(self, batch):
@@ -98,7 +123,7 @@ class ModelImpl:
 
 def test_positional_pairing_must_be_exact(spark, tmp_path):
     df = spark.createDataFrame([(i, "t") for i in range(5)], "id long, text string")
-    spec = EncoderSpec(model_dir=str(_model_dir(tmp_path, {"name": "short"}, SHORT_MODEL)))
+    _, spec = register(spark, str(_model_dir(tmp_path, {"name": "short"}, SHORT_MODEL)))
     with pytest.raises(Exception):
         apply_encoder(df, spec, text_col="text").collect()
     marked = apply_encoder(df, spec, text_col="text", on_error="mark").collect()
