@@ -8,8 +8,6 @@ dynamic micro-batches from it. Times inside are integer microseconds.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,11 +35,18 @@ def epoch_us(ts) -> F.Column:
                             c.cast("timestamp_ntz"))
 
 
-def with_status(log: DataFrame, timeout_s: float = DEFAULT_TIMEOUT_S) -> DataFrame:
-    """status: timeout (no answer within ``timeout_s``), error, or success;
-    error_type for the errors counter: timeout / processing_error."""
-    d = F.col("duration_s")
-    status = (F.when(d > F.lit(float(timeout_s)), "timeout")
+def _late(timeout_s: float, now_us=None):
+    """An answer after ``timeout_s``, or none although that time is over at ``now_us`` (None: it is over)."""
+    limit = F.lit(float(timeout_s))
+    waited = F.lit(True) if now_us is None else F.lit(now_us) - F.col("enqueue_us") > limit * US
+    return F.coalesce(F.col("duration_s") > limit, waited)
+
+
+def with_status(log: DataFrame, timeout_s: float = DEFAULT_TIMEOUT_S, now_us=None) -> DataFrame:
+    """status: timeout (no answer within ``timeout_s``), pending (no answer yet at
+    ``now_us``), error, or success; error_type for the errors counter: timeout /
+    processing_error."""
+    status = (F.when(_late(timeout_s, now_us), "timeout").when(F.col("duration_s").isNull(), "pending")
               .when(F.col("failed"), "error").otherwise("success"))
     etype = F.when(status == "timeout", "timeout").when(status == "error", "processing_error")
     return log.withColumn("status", status).withColumn("error_type", etype)
@@ -61,16 +66,14 @@ def request_identity(log: DataFrame, now_ts: str) -> DataFrame:
 def queue_depth(log: DataFrame, maxsize: int, keys=("model",)) -> DataFrame:
     """Depth after every enqueue (+1) and dequeue (-1) of each key's queue.
 
-    Ties: a dequeue at the same instant is applied before an enqueue, then
-    by request id. The running sum is a range-partitioned scan, so a hot
+    A request without a dequeue time stays in the queue. Ties: a dequeue at the
+    same instant is applied before an enqueue, then by request id. The running sum is a range-partitioned scan, so a hot
     model does not end up in one task.
     """
     keys = list(keys)
-    enq = log.select(*keys, "request_id", F.col("enqueue_us").alias("t_us"),
-                     F.lit(1).alias("kind"), F.lit(1).alias("delta"))
-    deq = log.select(*keys, "request_id", F.col("dequeue_us").alias("t_us"),
-                     F.lit(0).alias("kind"), F.lit(-1).alias("delta"))
-    ev = enq.unionByName(deq)
+    event = lambda t, kind, delta: F.struct(F.col(t).alias("t_us"), F.lit(kind).alias("kind"), F.lit(delta).alias("delta"))
+    ev = log.select(*keys, "request_id", F.explode(F.array(event("enqueue_us", 1, 1), event("dequeue_us", 0, -1))).alias("e"))
+    ev = ev.select(*keys, "request_id", "e.*").where(F.col("t_us").isNotNull())
     d = running_sums(ev, keys, ["t_us", "kind", "request_id"], {"depth": "delta"})
     d = d.withColumn("depth", F.col("depth").cast("long"))
     return d.select(*keys, "request_id", "t_us", F.when(F.col("kind") == 1, "enqueue").otherwise("dequeue").alias("event"),
@@ -104,14 +107,10 @@ def rate_limit_sliding(log: DataFrame, limit: int, period_s: float) -> DataFrame
     spread over many tasks.
     """
     p_us = int(round(period_s * US))
-    real = log.select("client", "request_id", F.col("enqueue_us").alias("t_us"),
-                      F.lit(1).alias("kind"), F.lit(1).alias("w"), F.lit(None).cast("int").alias("probe"))
-    lo = log.select("client", "request_id", (F.col("enqueue_us") - F.lit(p_us)).alias("t_us"),
-                    F.lit(0).alias("kind"), F.lit(0).alias("w"), F.lit(0).alias("probe"))
-    hi = log.select("client", "request_id", F.col("enqueue_us").alias("t_us"),
-                    F.lit(2).alias("kind"), F.lit(0).alias("w"), F.lit(1).alias("probe"))
-    s = running_sums(real.unionByName(lo).unionByName(hi), ["client"],
-                     ["t_us", "kind", "request_id"], {"cum": "w"})
+    def row(shift: int, kind: int, weight: int, probe):
+        return F.struct((F.col("enqueue_us") - shift).alias("t_us"), F.lit(kind).alias("kind"), F.lit(weight).alias("w"), F.lit(probe).cast("int").alias("probe"))
+    ev = log.select("client", "request_id", F.explode(F.array(row(p_us, 0, 0, 0), row(0, 1, 1, None), row(0, 2, 0, 1))).alias("e"))
+    s = running_sums(ev.select("client", "request_id", "e.*"), ["client"], ["t_us", "kind", "request_id"], {"cum": "w"})
     probes = s.where(F.col("probe").isNotNull())
     n = probes.groupBy("client", "request_id").agg(
         (F.sum(F.when(F.col("probe") == 1, F.col("cum"))) - F.sum(F.when(F.col("probe") == 0, F.col("cum"))))
@@ -119,8 +118,9 @@ def rate_limit_sliding(log: DataFrame, limit: int, period_s: float) -> DataFrame
     return n.withColumn("over_limit", F.col("n_in_window") > F.lit(int(limit)))
 
 
-def timeouts(log: DataFrame, timeout_s: float = DEFAULT_TIMEOUT_S) -> DataFrame:
-    return log.where(F.col("duration_s") > F.lit(float(timeout_s)))
+def timeouts(log: DataFrame, timeout_s: float = DEFAULT_TIMEOUT_S, now_us=None) -> DataFrame:
+    """Requests answered too late, or not at all although their time is over at ``now_us``."""
+    return log.where(_late(timeout_s, now_us))
 
 
 # ------------------------------------------------------------ dynamic batching
@@ -130,7 +130,7 @@ def _jumps(ts: np.ndarray, B: int, W: int) -> np.ndarray:
     return np.minimum(np.arange(n) + B, lim)
 
 
-def _transitions(keys, B, W, C):
+def _transitions(B, W, C):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_local")
         ts = pdf["t_us"].to_numpy(np.int64)
@@ -150,14 +150,11 @@ def _transitions(keys, B, W, C):
             for p in path:
                 exit_of[p] = e
             exits.append(int(e))
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row["_chunk"] = [int(pdf["_chunk"].iloc[0])]
-        row["exits"] = [exits]
-        return pd.DataFrame(row)
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]], "_chunk": [int(pdf["_chunk"].iloc[0])], "exits": [exits]})
     return fn
 
 
-def _members(keys, B, W, C):
+def _members(B, W, C):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_local")
         ts = pdf["t_us"].to_numpy(np.int64)
@@ -179,7 +176,7 @@ def _members(keys, B, W, C):
         open_us = ts[start_of]
         last_us = ts[ends - 1][np.repeat(np.arange(len(starts)), sizes)] if len(starts) else np.asarray([], dtype=np.int64)
         close_us = np.where(size_of == B, last_us, open_us + W)
-        out = {k: np.repeat(pdf[k].iloc[0], len(rows)) for k in keys}
+        out = {"_key": [pdf["_key"].iloc[0]] * len(rows)}
         out.update({
             "request_id": ids[rows],
             "batch_id": ids[start_of],
@@ -196,8 +193,8 @@ def _members(keys, B, W, C):
 
 
 def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("model",),
-                    chunk_rows: int = 50_000, sequential_max_chunks: int = 64) -> DataFrame:
-    """Count-or-time micro-batching of each key's requests.
+                    chunk_rows: int = 50_000) -> DataFrame:
+    """Count-or-time micro-batching of each key's requests (a null key is a key).
 
     A batch opens at its first request and takes the following requests
     (by enqueue time, then id) while it has fewer than ``max_batch`` members
@@ -207,80 +204,69 @@ def dynamic_batches(log: DataFrame, max_batch: int, max_wait_s: float, keys=("mo
     1. per key ordinal (range-partitioned prefix count);
     2. per chunk (plus a halo of ``max_batch - 1`` following rows) the exit
        offset for each of the ``max_batch`` possible entry offsets;
-    3. entry offsets of all chunks by composing those small maps: in one
-       ``aggregate`` per key when a key has at most ``sequential_max_chunks``
-       chunks (a bounded group of tiny rows), else with pointer doubling
-       (``log2(#chunks)`` joins of a table of one row per chunk);
+    3. entry offsets of all chunks by composing those small maps in two levels
+       (``_entries``);
     4. per chunk, the batches from its entry offset.
 
-    No task holds more than ``chunk_rows + max_batch - 1`` requests.
+    No task holds more than ``chunk_rows + max_batch - 1`` requests. Steps 2 and 4
+    read one exchange of the chunks; nothing runs before an action.
     """
     keys = list(keys)
     B, W, C = int(max_batch), int(round(max_wait_s * US)), int(chunk_rows)
     if C < B:
         raise ValueError("chunk_rows must be at least max_batch")
     base = log.select(*keys, "request_id", F.col("enqueue_us").alias("t_us"))
-    r = ordinal(base, keys, ["t_us", "request_id"], "_rn")
-    r = r.withColumn("_chunk", F.floor(F.col("_rn") / C).cast("long")) \
-         .withColumn("_local", (F.col("_rn") - F.col("_chunk") * C).cast("long"))
-    halo = (r.where((F.col("_local") < B - 1) & (F.col("_chunk") > 0))
-             .withColumn("_chunk", F.col("_chunk") - 1).withColumn("_local", F.col("_local") + C))
-    # Narrow table read by both per-chunk passes: written once to the shared
-    # checkpoint folder instead of recomputing the ordinal scan (and it cuts
-    # the lineage, so a lost executor does not replay the scan).
-    chunks = r.unionByName(halo).select(*keys, "_chunk", "_local", "t_us", "request_id").checkpoint()
-
-    key_fields = [log.schema[k] for k in keys]
-    tr_schema = T.StructType(key_fields + [T.StructField("_chunk", T.LongType()),
-                                           T.StructField("exits", T.ArrayType(T.IntegerType()))])
-    g = chunks.groupBy(*keys, "_chunk").applyInPandas(_transitions(keys, B, W, C), tr_schema) \
-              .withColumnRenamed("exits", "g")
-    g = g.checkpoint()  # one small row per chunk; also cuts the lineage for the doubling loop
-    n_chunks = g.agg(F.max("_chunk")).first()[0]
-    n_chunks = 0 if n_chunks is None else int(n_chunks) + 1
-    if n_chunks <= sequential_max_chunks:
-        entries = _sequential_entries(g, keys)
-    else:
-        entries = _doubling_entries(g, keys, n_chunks)
-    with_entry = chunks.join(entries, on=[*keys, "_chunk"], how="left") \
-                       .withColumn("entry", F.coalesce(F.col("entry"), F.lit(0)))
-    out_schema = T.StructType(key_fields + [
-        T.StructField("request_id", log.schema["request_id"].dataType),
-        T.StructField("batch_id", log.schema["request_id"].dataType),
+    r = ordinal(base, keys, ["t_us", "request_id"], "_rn").withColumn("_chunk", F.floor(F.col("_rn") / C).cast("long"))
+    r = r.withColumn("_local", F.col("_rn") - F.col("_chunk") * C)
+    # a chunk's first rows are also the halo of the chunk before it
+    own = F.struct(F.col("_chunk").alias("c"), F.col("_local").alias("l"))
+    halo = F.struct((F.col("_chunk") - 1).alias("c"), (F.col("_local") + C).alias("l"))
+    places = F.when((F.col("_local") < B - 1) & (F.col("_chunk") > 0), F.array(own, halo)).otherwise(F.array(own))
+    # a struct is never null, so null keys join and group like others
+    chunks = (r.select(F.struct(*keys).alias("_key"), "t_us", "request_id", F.explode(places).alias("p"))
+              .select("_key", F.col("p.c").alias("_chunk"), F.col("p.l").alias("_local"), "t_us", "request_id"))
+    chunks = chunks.repartition("_key", "_chunk")
+
+    kind = chunks.schema["_key"]
+    tr_schema = T.StructType([kind, T.StructField("_chunk", T.LongType()), T.StructField("exits", T.ArrayType(T.IntegerType()))])
+    maps = chunks.groupBy("_key", "_chunk").applyInPandas(_transitions(B, W, C), tr_schema)
+    with_entry = chunks.join(_entries(maps, B), on=["_key", "_chunk"], how="left")
+    missing = F.raise_error(F.lit("a chunk of requests has no entry offset")).cast("int")
+    with_entry = with_entry.withColumn("entry", F.coalesce(F.col("entry"), missing))
+    id_type = log.schema["request_id"].dataType
+    out_schema = T.StructType([kind, T.StructField("request_id", id_type), T.StructField("batch_id", id_type),
         T.StructField("batch_seq", T.LongType()), T.StructField("batch_pos", T.IntegerType()),
         T.StructField("batch_size", T.IntegerType()), T.StructField("enqueue_us", T.LongType()),
         T.StructField("open_us", T.LongType()), T.StructField("last_us", T.LongType()),
         T.StructField("close_us", T.LongType())])
-    return with_entry.groupBy(*keys, "_chunk").applyInPandas(_members(keys, B, W, C), out_schema)
-
-
-def _sequential_entries(g: DataFrame, keys: list[str]) -> DataFrame:
-    """entry_0 = 0, entry_{k+1} = exits_k[entry_k], folded JVM-side over the
-    (few) chunk maps of each key."""
-    maps = F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("g").alias("g"))))
-    folded = F.aggregate(
-        maps, F.struct(F.lit(0).alias("e"), F.array().cast("array<int>").alias("es")),
-        lambda acc, m: F.struct(F.element_at(m["g"], acc["e"] + 1).alias("e"),
-                                F.concat(acc["es"], F.array(acc["e"])).alias("es")))
-    per_key = g.groupBy(*keys).agg(folded.alias("f"))
-    return per_key.select(*keys, F.posexplode("f.es").alias("_chunk", "entry")) \
-                  .withColumn("_chunk", F.col("_chunk").cast("long"))
-
-
-def _doubling_entries(g: DataFrame, keys: list[str], n_chunks: int) -> DataFrame:
-    """Prefix composition by pointer doubling: after round r every chunk holds
-    the composition of the 2^r maps ending at it."""
-    rounds = math.ceil(math.log2(n_chunks)) if n_chunks > 1 else 0
-    for r_ in range(rounds):
-        d = 1 << r_
-        prev = g.select(*keys, (F.col("_chunk") + d).alias("_chunk"), F.col("g").alias("h"))
-        g = g.join(prev, on=[*keys, "_chunk"], how="left").select(
-            *keys, "_chunk",
-            F.when(F.col("h").isNull(), F.col("g"))
-             .otherwise(F.transform("h", lambda x: F.element_at(F.col("g"), x + 1))).alias("g"))
-        if r_ % 4 == 3:
-            g = g.checkpoint()
-    return g.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.element_at("g", 1).alias("entry"))
+    out = with_entry.groupBy("_key", "_chunk").applyInPandas(_members(B, W, C), out_schema)
+    return out.select("_key.*", *out.columns[1:])
+
+
+#: chunks folded together; two levels reach FOLD^2 chunks of a key
+FOLD = 4096
+
+
+def _entries(maps: DataFrame, B: int) -> DataFrame:
+    """entry_0 = 0, entry_{k+1} = exits_k[entry_k] for the chunks of each key.
+
+    Runs of ``FOLD`` chunks are composed into one map each, the maps of a key's
+    runs are folded from entry 0, and each run is folded from its own entry. A
+    group holds at most ``FOLD`` maps of B numbers.
+    """
+    def fold(ms, start):
+        return F.aggregate(ms, F.struct(start.cast("int").alias("e"), F.array().cast("array<int>").alias("es")),
+                           lambda acc, m: F.struct(F.element_at(m["exits"], acc["e"] + 1).alias("e"), F.concat(acc["es"], F.array(acc["e"])).alias("es")))["es"]
+    run = F.floor(F.col("_chunk") / FOLD).cast("long")
+    runs = (maps.groupBy("_key", run.alias("_run"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"), "exits"))).alias("ms")))
+    identity = F.array(*[F.lit(i) for i in range(B)])
+    whole = F.aggregate("ms", identity, lambda acc, m: F.transform(acc, lambda e: F.element_at(m["exits"], e + 1)))
+    per_key = (runs.select("_key", "_run", whole.alias("exits")).groupBy("_key")
+               .agg(fold(F.array_sort(F.collect_list(F.struct(F.col("_run").alias("c"), "exits"))), F.lit(0)).alias("es")))
+    starts = per_key.select("_key", F.posexplode("es").alias("_run", "start")).withColumn("_run", F.col("_run").cast("long"))
+    inner = runs.join(starts, on=["_key", "_run"]).select("_key", "_run", F.posexplode(fold(F.col("ms"), F.col("start"))).alias("i", "entry"))
+    return inner.select("_key", (F.col("_run") * FOLD + F.col("i")).alias("_chunk"), "entry")
 
 
 def batch_summary(members: DataFrame, keys=("model",)) -> DataFrame:

@@ -1,69 +1,75 @@
 """Exact inner-product nearest neighbours (flat index semantics).
 
-The query set is small and its size is checked before it is shipped to the
-executors; the corpus is streamed. Each corpus partition scores its rows
-against all queries with one matrix product and keeps its own top-k per
-query, so the shuffle carries at most ``k x queries`` rows per partition.
-Larger query sets are processed in blocks of ``max_queries``.
+The corpus is streamed past blocks of queries. A block is bounded in rows and
+bytes, so it can be sent to the executors; each corpus partition scores its rows
+against the block with one matrix product per Arrow batch and keeps its own
+top-k per query, so the shuffle carries at most ``k x queries`` rows per
+partition. Any number of queries takes the same path, one block after another.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import ordinal
+BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 4096
 
-MAX_QUERIES_PER_BLOCK = 4096
 
-
-def _partial_topk(qids, qmat_b, k, id_col, vec_col):
-    def fn(it):
-        qmat = qmat_b.value
-        best_ids = [np.empty(0, dtype=np.int64)] * len(qids)
-        best_sc = [np.empty(0)] * len(qids)
-        for pdf in it:
-            if len(pdf) == 0:
+def _partial_topk(block, k: int):
+    """Rows ``(id, vector)`` -> the partition's best k ``(query number, id, score)``."""
+    def run(batches):
+        queries = block.value
+        best = [(np.empty(0), [])] * len(queries)
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ids = pdf[id_col].to_numpy(np.int64)
-            mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            scores = mat @ qmat.T  # rows x queries
-            for j in range(len(qids)):
-                sc = np.concatenate([best_sc[j], scores[:, j]])
-                ii = np.concatenate([best_ids[j], ids])
-                order = np.lexsort((ii, -sc))[:k]   # score desc, then id asc
-                best_sc[j], best_ids[j] = sc[order], ii[order]
-        rows = [(qids[j], int(i), float(s)) for j in range(len(qids)) for i, s in zip(best_ids[j], best_sc[j])]
-        yield pd.DataFrame(rows, columns=["query_id", id_col, "score"])
-    return fn
+            ids, kind = batch.column(0).to_pylist(), batch.column(0).type
+            vectors = pa.array(batch.column(1)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            scores = vectors @ queries.T
+            for j in range(len(queries)):
+                kept, names = best[j]
+                # only rows that can still enter; ties are settled by id
+                enter = np.arange(len(ids)) if len(kept) < k else np.flatnonzero(scores[:, j] >= kept[-1])
+                if len(enter):
+                    pool = sorted([*zip(-kept, names, strict=True), *((-scores[i, j], ids[i]) for i in enter)])[:k]
+                    best[j] = (np.array([-s for s, _ in pool]), [i for _, i in pool])
+        rows = [(j, i, float(s)) for j, (kept, names) in enumerate(best) for s, i in zip(kept, names, strict=True)]
+        if rows:
+            q, i, s = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(i, kind), pa.array(s, pa.float64())], ["_q", "id", "score"])
+    return run
 
 
 def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
-                       vec_col: str = "embedding", query_id_col: str = "query_id",
-                       max_queries: int = MAX_QUERIES_PER_BLOCK) -> DataFrame:
-    """(query_id, rank, id, score) of the ``k`` best inner products per query; ties by id."""
+                       vec_col: str = "embedding", query_id_col: str = "query_id") -> DataFrame:
+    """(query_id, id, score, rank) of the ``k`` best inner products per query; ties by id.
+
+    Ids keep their types. Null vectors, or vectors with a null component, are
+    neither found nor asked; no queries or an empty corpus give an empty frame.
+    All vectors must have one size.
+    """
     spark = corpus.sparkSession
-    corpus = corpus.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col))
-    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("qvec"))
-    n_q = q.count()
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    if n_q <= max_queries:
-        blocks = [q]
-    else:
-        qo = ordinal(q, [], ["query_id"], "_qo").withColumn("_blk", F.floor(F.col("_qo") / max_queries))
-        blocks = [qo.where(F.col("_blk") == b).drop("_qo", "_blk") for b in range((n_q + max_queries - 1) // max_queries)]
-    parts = []
-    for blk in blocks:
-        rows = blk.collect()  # at most max_queries rows: the bounded side
-        qids = [int(r["query_id"]) for r in rows]
-        qmat = spark.sparkContext.broadcast(np.asarray([r["qvec"] for r in rows], dtype=np.float64))
-        parts.append(corpus.mapInPandas(_partial_topk(qids, qmat, k, id_col, vec_col), out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(F.col(c), lambda x: x.isNull())
+    rows = corpus.where(whole(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(vec_col).cast("array<double>"))
+    asked = queries.where(whole(vec_col)).select(F.col(query_id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    id_type, query_type = corpus.schema[id_col].dataType, asked.schema["query_id"].dataType
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    out_schema = T.StructType([T.StructField("query_id", query_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+    found = spark.createDataFrame([], out_schema)
+    blocks = -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width or 1, 1)))))
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not block:
+            continue
+        matrix = spark.sparkContext.broadcast(np.array([r.v for r in block], np.float64))
+        part_schema = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
+        part = rows.mapInArrow(_partial_topk(matrix, k), part_schema)
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(block)], T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("query_id", query_type)]))
+        found = found.unionByName(part.join(F.broadcast(names), "_q").select("query_id", F.col("id").alias(id_col), "score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

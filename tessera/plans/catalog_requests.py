@@ -223,7 +223,9 @@ def request_rate_latency(spark, sf_dir):
     base = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("duration_s").alias("avg_s"),
                                   F.max("duration_s").alias("max_s"))
     pct = exact_percentiles(log, keys, "duration_s", "request_id", {"p50_s": 0.5, "p95_s": 0.95})
-    out = base.join(pct, keys, "left")
+    pct = pct.select(*[F.col(k).alias(f"_{k}") for k in keys], "p50_s", "p95_s")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = base.join(pct, same, "left")
     return out.select(*keys, "n", F.round(F.col("n") / 86400.0, 9).alias("rate_per_s"),
                       F.round("avg_s", 6).alias("avg_s"), "max_s",
                       F.round("p50_s", 6).alias("p50_s"), F.round("p95_s", 6).alias("p95_s"))

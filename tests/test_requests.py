@@ -76,3 +76,39 @@ def test_salted_payload_join_with_hot_url(spark):
     assert key(plain_r.collect()) == key(salt_r.collect())
     assert sorted(r.id for r in plain_u.collect()) == sorted(r.id for r in salt_u.collect())
     assert salt_r.count() + salt_u.count() == samples.count()
+
+
+def test_open_ended_rows(spark):
+    from tessera.operators.requests import queue_depth, timeouts, with_status
+    from tessera.operators.stats import exact_percentiles
+    rows = [(1, "m", 0, 0.5, False, 5), (2, "m", 1, None, False, None), (3, None, 2, 9.0, False, 9), (4, None, 3, 0.1, True, 4)]
+    log = spark.createDataFrame(rows, "request_id long, model string, enqueue_us long, duration_s double, failed boolean, dequeue_us long")
+    assert {r.request_id: r.status for r in with_status(log, 2.0).collect()} == {1: "success", 2: "timeout", 3: "timeout", 4: "error"}
+    assert {r.request_id: r.status for r in with_status(log, 2.0, now_us=10).collect()}[2] == "pending"
+    assert {r.request_id for r in timeouts(log, 2.0).collect()} == {2, 3} and {r.request_id for r in timeouts(log, 2.0, now_us=10).collect()} == {3}
+    depth = {(r.request_id, r.event): r.depth for r in queue_depth(log, 4).collect()}
+    assert depth[1, "dequeue"] == 1 and depth[2, "enqueue"] == 2 and (2, "dequeue") not in depth and min(depth.values()) == 0
+    pct = {r.model: r.p50 for r in exact_percentiles(log, ["model"], "duration_s", "request_id", {"p50": 0.5}).collect()}
+    assert pct == {"m": 0.5, None: 4.55}
+
+
+def test_topk_odd_rows(spark):
+    from tessera.operators.topk import topk_inner_product
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", [1.0, 0.0]), ("e", [None, 1.0])], "vec_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.5]), ("none", None)], "query_id string, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_inner_product(corpus, queries, 2).orderBy("rank").collect()]
+    assert got == [("q", 1, "a", 1.0), ("q", 2, "d", 1.0)]
+    assert topk_inner_product(corpus, queries.limit(0), 2).collect() == [] and topk_inner_product(corpus.limit(0), queries, 2).collect() == []
+
+
+def test_topk_in_blocks(spark, monkeypatch):
+    import numpy as np
+    from tessera.operators import topk
+    rng = np.random.default_rng(0)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((40, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in topk.topk_inner_product(corpus, queries, 3).collect()}
+    want = {(j, r + 1): int(i) for j in range(40) for r, i in enumerate(np.argsort(-(x @ q[j]), kind="stable")[:3])}
+    assert got == want
