@@ -29,15 +29,14 @@ def counter(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.groupBy(*labels).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
-def histogram(df: DataFrame, value_col: str, labels: list, buckets=DURATION_BUCKETS,
-              sum_digits: int = 6) -> DataFrame:
+def histogram(df: DataFrame, value_col: str, labels: list, buckets=DURATION_BUCKETS) -> DataFrame:
     """Cumulative-bucket histogram: one row per (labels, sample, le).
 
     ``sample`` is ``bucket`` (``le`` = upper bound or ``+Inf``), ``sum`` or
     ``count``. One aggregation pass computes every bucket; ``stack`` turns
     the columns into rows afterwards (no explode of the input).
     """
-    wide = df.groupBy(*labels).agg(*histogram_aggs(value_col, buckets, sum_digits))
+    wide = df.groupBy(*labels).agg(*histogram_aggs(value_col, buckets))
     return stack_histogram(wide, list(labels), buckets)
 
 
@@ -50,10 +49,10 @@ def stack_histogram(wide: DataFrame, keep: list[str], buckets) -> DataFrame:
     return wide.select(*keep, F.expr(stacked))
 
 
-def histogram_aggs(value_col: str, buckets=DURATION_BUCKETS, sum_digits: int = 6) -> list:
+def histogram_aggs(value_col: str, buckets=DURATION_BUCKETS) -> list:
     v = F.col(value_col).cast("double")
     aggs = [F.count_if(v <= F.lit(float(b))).cast("double").alias(f"b{i}") for i, b in enumerate(buckets)]
-    return aggs + [F.count(v).cast("double").alias("n"), F.round(F.sum(v), sum_digits).alias("s")]
+    return aggs + [F.count(v).cast("double").alias("n"), F.sum(v).alias("s")]
 
 
 def gauge_last(df: DataFrame, labels: list[str], value, order: list[str]) -> DataFrame:
@@ -67,10 +66,18 @@ def _num(c) -> F.Column:
     return F.col(c).cast("double").cast("string")
 
 
+def _escaped(c) -> F.Column:
+    """A label value as the text format wants it; null is the empty label."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
 def _labels(pairs) -> F.Column:
     parts = []
     for i, (k, col) in enumerate(pairs):
-        parts += [F.lit(("," if i else "") + f'{k}="'), col, F.lit('"')]
+        parts += [F.lit(("," if i else "") + f'{k}="'), _escaped(col), F.lit('"')]
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
@@ -122,7 +129,7 @@ def request_families(log: DataFrame, value_col: str = "duration_s", gauge_value=
                   .agg(F.sum("_rows").cast("double").alias("value")))
     wide = fine.groupBy("model").agg(
         *[F.sum(f"_b{i}").cast("double").alias(f"b{i}") for i in range(len(buckets))],
-        F.sum("_n").cast("double").alias("n"), F.round(F.sum("_s"), 6).alias("s"))
+        F.sum("_n").cast("double").alias("n"), F.sum("_s").alias("s"))
     hist = stack_histogram(wide, ["model"], buckets)
     gauge = None
     if gv is not None:

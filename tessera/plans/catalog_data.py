@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -80,17 +82,23 @@ def _dataset(spark, sf_dir):
     return scan_dataset(spark, sample_dataset(spark, sf_dir, SHARD_ROWS))
 
 
-@register("shard_inventory", """
-SELECT regexp_extract(filename, '[^/]+$') AS shard, CAST(size AS BIGINT) AS size_bytes,
-       CAST(row_number() OVER (ORDER BY filename) - 1 AS BIGINT) AS shard_index
-FROM read_blob('/root/testdata/sf0.01/*.parquet')
-""")
+TABLE_NAMES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders",
+               "pages", "part", "region", "supplier")
+
+
+@register("shard_inventory", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS shard, (SELECT count(*) FROM {t}) AS n_rows, CAST({i} AS BIGINT) AS shard_index" for i, t in enumerate(TABLE_NAMES)))
 def shard_inventory(spark, sf_dir):
-    """Recursive ``*.parquet`` discovery in lexicographic order (file metadata only)."""
-    files = list_shards(spark, sf_dir)
-    return ordinal(files, [], ["path"], "shard_index").select(
-        F.regexp_extract("path", r"[^/]+$", 0).alias("shard"),
-        F.col("length").alias("size_bytes"), "shard_index")
+    """Recursive ``*.parquet`` discovery in lexicographic order, with the rows of each shard.
+
+    Tables stored as a folder of files count as one shard.
+    """
+    name = F.regexp_extract("path", r"([^/]+\.parquet)(/[^/]+)?$", 1)
+    files = list_shards(spark, sf_dir).select(name.alias("shard")).distinct()
+    names = [r.shard for r in files.collect()]      # one per table
+    rows = reduce(lambda a, b: a.unionByName(b), [
+        spark.read.parquet(f"{sf_dir}/{n}").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("shard", F.lit(n)) for n in names])
+    return ordinal(rows, [], ["shard"], "shard_index").select("shard", "n_rows", "shard_index")
 
 
 @register("dataset_scan", f"SELECT {', '.join(DATA_COLS)} FROM ({SAMPLES_SQL})")
@@ -285,7 +293,7 @@ def worker_assignment(spark, sf_dir):
 
 
 @register("run_totals", f"""
-SELECT CASE grp WHEN 0 THEN 'docs' ELSE 'pages' END || '/shard=' || lpad(CAST(id // {SHARD_ROWS} AS VARCHAR), 5, '0') AS shard,
+SELECT CASE grp WHEN 0 THEN 'docs' ELSE 'pages' END || '/shard=' || lpad(CAST(id // {SHARD_ROWS} AS VARCHAR), greatest(5, length(CAST((SELECT max(id) FROM ({SAMPLES_SQL})) // {SHARD_ROWS} AS VARCHAR)))::INT, '0') AS shard,
        CAST(count(*) AS BIGINT) AS rows_loaded,
        CAST(count(caption) AS BIGINT) AS rows_with_caption
 FROM ({SAMPLES_SQL}) GROUP BY 1

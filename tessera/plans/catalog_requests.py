@@ -119,9 +119,14 @@ UNION ALL SELECT model, 'count', NULL, CAST(count({col}) AS DOUBLE) FROM {src} G
 UNION ALL SELECT model, 'sum', NULL, round(sum({col}), 6) FROM {src} GROUP BY model"""
 
 
+def _rounded(hist):
+    """Sums to six digits, for comparison."""
+    return hist.withColumn("value", F.when(F.col("sample") == "sum", F.round("value", 6)).otherwise(F.col("value")))
+
+
 @register("duration_histogram", _with(LOG_SQL) + _hist_sql("log", "duration_s", M.DURATION_BUCKETS))
 def duration_histogram(spark, sf_dir):
-    return M.histogram(request_log(spark, sf_dir), "duration_s", ["model"], M.DURATION_BUCKETS)
+    return _rounded(M.histogram(request_log(spark, sf_dir), "duration_s", ["model"], M.DURATION_BUCKETS))
 
 
 def _batches(spark, sf_dir):
@@ -140,13 +145,13 @@ def dynamic_batches_q(spark, sf_dir):
 
 @register("batch_size_histogram", _with(LOG_SQL, DYN_SQL) + _hist_sql("batches", "batch_size", M.BATCH_SIZE_BUCKETS))
 def batch_size_histogram(spark, sf_dir):
-    return M.histogram(batch_summary(_batches(spark, sf_dir)), "batch_size", ["model"], M.BATCH_SIZE_BUCKETS)
+    return _rounded(M.histogram(batch_summary(_batches(spark, sf_dir)), "batch_size", ["model"], M.BATCH_SIZE_BUCKETS))
 
 
 @register("batch_wait_histogram", _with(LOG_SQL, DYN_SQL)
           + _hist_sql("(SELECT model, (last_us - open_us) / 1e6 AS wait_s FROM batches)", "wait_s", WAIT_BUCKETS))
 def batch_wait_histogram(spark, sf_dir):
-    return M.histogram(batch_summary(_batches(spark, sf_dir)), "wait_s", ["model"], WAIT_BUCKETS)
+    return _rounded(M.histogram(batch_summary(_batches(spark, sf_dir)), "wait_s", ["model"], WAIT_BUCKETS))
 
 
 @register("response_records", _with(LOG_SQL, DYN_SQL) + """
@@ -307,7 +312,7 @@ def metrics_exposition(spark, sf_dir):
     return M.exposition([
         (M.REQUESTS_TOTAL, "counter", requests, ["model", "status"]),
         (M.ERRORS_TOTAL, "counter", errors, ["model", "error_type"]),
-        (M.REQUEST_DURATION, "histogram", hist, ["model"]),
+        (M.REQUEST_DURATION, "histogram", _rounded(hist), ["model"]),
         (M.QUEUE_DEPTH, "gauge", gauge, ["model"]),
     ])
 

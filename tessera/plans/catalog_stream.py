@@ -114,7 +114,7 @@ def stream_dynamic_batches_q(spark, sf_dir):
 
 
 from ..sources.dataset import sample_dataset  # noqa: E402
-from ..streaming.jobs import dataset_stream  # noqa: E402
+from ..streaming.jobs import dataset_stream, run_batches  # noqa: E402
 from .catalog_data import SAMPLES_SQL, SHARD_ROWS  # noqa: E402
 
 
@@ -122,15 +122,13 @@ from .catalog_data import SAMPLES_SQL, SHARD_ROWS  # noqa: E402
 SELECT CAST(count(*) AS BIGINT) AS rows_in_batch FROM ({SAMPLES_SQL}) GROUP BY grp, id // {SHARD_ROWS}""")
 def stream_backpressure(spark, sf_dir):
     """Admission control on a stream: at most one shard per micro-batch
-    (``maxFilesPerTrigger``); rows of every micro-batch that had input."""
+    (``maxFilesPerTrigger``); rows that every micro-batch carried, from the data."""
     prepare(spark)
     root = sample_dataset(spark, sf_dir, SHARD_ROWS)
     s = dataset_stream(spark, root, max_files_per_trigger=1).select("key")
-    progress: list = []
     base = scratch_path(spark, "stream_backpressure")
-    run_available_now(s, base + "/out", base + "/checkpoint", progress=progress)
-    rows = [(int(n),) for _, n in progress if n]
-    return spark.createDataFrame(rows, "rows_in_batch long")
+    carried = run_batches(s, base + "/out", base + "/checkpoint")
+    return carried.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows_in_batch")).select("rows_in_batch")
 
 
 from ..functions.images import DEFAULT_MAX_MB, decoded_size_mb  # noqa: E402
@@ -199,5 +197,6 @@ def stream_duration_histogram(spark, sf_dir):
     rows = M.stack_histogram(wide.withColumn("window_start", F.col("w.start")), ["window_start", "model"],
                              M.DURATION_BUCKETS)
     res = _run(spark, rows, "duration_histogram")
+    value = F.when(F.col("sample") == "sum", F.round("value", 6)).otherwise(F.col("value"))
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                      "model", "sample", "le", "value")
+                      "model", "sample", "le", value.alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,8 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and is reachable from every
-    executor. Only when it is unset (unit tests, a laptop) a private
-    directory is created and registered as the checkpoint dir.
+    executor. On a local master (unit tests, a laptop) a private directory is
+    created when it is unset; a cluster without one is refused, since its
+    executors would not see each other's files.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -60,6 +62,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current.rstrip("/")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -67,19 +71,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
-    base = checkpoint_root(spark) + "/tessera"
+    base = checkpoint_root(spark) + f"/tessera/{spark.sparkContext.applicationId}"
     if unique:
         base += "/" + uuid.uuid4().hex
     return "/".join([base, *parts]) if parts else base
 
 
-def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme (used only by tests that inspect files)."""
-    if uri.startswith("file://"):
-        return uri[len("file://"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri
+def release_scratch(spark: SparkSession) -> None:
+    """Delete all written scratch tables of this library below the checkpoint folder.
+
+    For the end of an application: tables returned by earlier queries are gone afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark) + f"/tessera/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):

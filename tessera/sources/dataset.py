@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -38,52 +38,77 @@ def scan_dataset(spark: SparkSession, root: str | list[str], with_position: bool
     """All shards as one frame, columns unioned across shards.
 
     ``_shard`` (file path) and ``_row`` (row index inside the file) identify
-    each row. Shards whose column types conflict are read one group at a
-    time and unioned by name.
+    each row. If shards disagree on a column's type it gets the widest of
+    them: the larger integer, double for integers with floating point, string
+    for anything else. Shards are then read in one scan per combination of
+    types, of which there are few. A root without shards raises Spark's own error.
     """
     paths = [root] if isinstance(root, str) else list(root)
     try:
         df = _reader(spark).parquet(*paths)
-        df.schema  # force schema merge now
     except Exception as e:  # CANNOT_MERGE_SCHEMAS surfaces as a JVM SparkException
-        if "CANNOT_MERGE_SCHEMAS" not in str(e) and not isinstance(e, AnalysisException):
+        if "CANNOT_MERGE_SCHEMAS" not in str(e):
             raise
-        return _union_by_name(spark, paths, with_position)
-    if with_position:
-        df = df.withColumn(SHARD_COL, F.col("_metadata.file_path")) \
-               .withColumn(ROW_COL, F.col("_metadata.row_index"))
-    return df
-
-
-def _union_by_name(spark, paths, with_position: bool = True):
-    """Shards read one by one and unioned by name; a column whose type differs
-    between shards is read as string in every shard (lossless text form)."""
-    files = [r.path for r in list_shards(spark, paths[0] if len(paths) == 1 else paths)
-             .select("path").toLocalIterator()]
-    frames = [spark.read.parquet(p) for p in files]
-    types: dict = {}
-    for f in frames:
-        for fld in f.schema.fields:
-            types.setdefault(fld.name, set()).add(fld.dataType.simpleString())
-    conflicting = {c for c, ts in types.items() if len(ts) > 1}
-    pos = [F.col("_metadata.file_path").alias(SHARD_COL), F.col("_metadata.row_index").alias(ROW_COL)] \
-        if with_position else []
-    frames = [f.select(*[F.col(c).cast("string").alias(c) if c in conflicting else F.col(c) for c in f.columns], *pos)
-              for f in frames]
+        return _widened(spark, paths, with_position)
+    return df.select("*", *_position()) if with_position else df
+
+
+def _position():
+    return [F.col("_metadata.file_path").alias(SHARD_COL), F.col("_metadata.row_index").alias(ROW_COL)]
+
+
+def _mergeable(spark, files: list[str]) -> list[tuple[list[str], T.StructType]]:
+    """Consecutive files whose schemas merge, with that schema, by halving what does not."""
+    try:
+        return [(files, spark.read.option("mergeSchema", "true").parquet(*files).schema)]
+    except Exception as e:
+        if "CANNOT_MERGE_SCHEMAS" not in str(e) or len(files) == 1:
+            raise
+    half = len(files) // 2
+    return _mergeable(spark, files[:half]) + _mergeable(spark, files[half:])
+
+
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def widest(types: set[str]) -> str:
+    """The common type of differing simple type names."""
+    if len(types) == 1:
+        return next(iter(types))
+    if types <= set(_INTEGERS):
+        return max(types, key=_INTEGERS.index)
+    return "double" if types <= {*_INTEGERS, "float", "double"} else "string"
+
+
+def _widened(spark, paths, with_position: bool) -> DataFrame:
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+               .load(paths).select("path"))
+    files = sorted(r.path for r in listing.collect())     # Spark's own file index holds them on the driver as well
+    parts = _mergeable(spark, files)
+    types: dict[str, set[str]] = {}
+    for _, schema in parts:
+        for f in schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    differing = [c for c, ts in types.items() if len(ts) > 1]
+    groups: dict[tuple, list[str]] = {}
+    for some, schema in parts:
+        kind = {f.name: f.dataType.simpleString() for f in schema.fields}
+        groups.setdefault(tuple(kind.get(c) for c in differing), []).extend(some)
+    frames = []
+    for some in groups.values():
+        f = spark.read.option("mergeSchema", "true").parquet(*some)
+        columns = [F.col(c).cast(widest(types[c])).alias(c) if c in differing else F.col(c) for c in f.columns]
+        frames.append(f.select(*columns, *(_position() if with_position else [])))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def scan_shards(spark: SparkSession, root: str, shard_names: list[str]) -> DataFrame:
-    """Only the named shards (directory or file names below ``root``).
+    """Only the named shards (directory or file names below ``root``); others are listed, never opened.
 
-    The predicate is on ``_metadata.file_path``, which Spark applies while
-    listing files, so unselected shards are never opened.
+    The paths of the named shards are all that reaches the driver.
     """
-    df = scan_dataset(spark, root)
-    cond = reduce(lambda a, b: a | b,
-                  [F.col(SHARD_COL).contains(f"/{name}/") | F.col(SHARD_COL).endswith(f"/{name}")
-                   for name in shard_names])
-    return df.where(cond)
+    named = reduce(lambda a, b: a | b, [F.col("path").contains(f"/{n}/") | F.col("path").endswith(f"/{n}") for n in shard_names])
+    return scan_dataset(spark, [r.path for r in list_shards(spark, root).where(named).collect()])
 
 
 # ---------------------------------------------------------------- fixtures
@@ -109,9 +134,12 @@ def write_shards(df: DataFrame, out: str, id_col: str, rows_per_shard: int) -> s
     """Write ``df`` as shards ``shard=00000, 00001, …`` by ``id_col`` ranges.
 
     A shard holds at most ``rows_per_shard`` ids, so a task writes a bounded
-    amount; rows inside a shard are in ``id_col`` order.
+    amount; rows inside a shard are in ``id_col`` order. Names have five digits,
+    or as many as the last shard needs, so that their order is that of the ids.
     """
-    shard = F.lpad(F.floor(F.col(id_col) / F.lit(rows_per_shard)).cast("string"), 5, "0")
+    last = df.agg(F.max(F.floor(F.col(id_col) / F.lit(rows_per_shard)))).first()[0]
+    width = max(5, len(str(last or 0)))
+    shard = F.lpad(F.floor(F.col(id_col) / F.lit(rows_per_shard)).cast("string"), width, "0")
     (df.withColumn("shard", shard)
        .repartition("shard").sortWithinPartitions("shard", id_col)
        .write.mode("overwrite").partitionBy("shard").parquet(out))

@@ -21,11 +21,9 @@ from ..operators.requests import _jumps, epoch_us
 US = 1_000_000
 
 
-def file_stream(spark: SparkSession, directory: str, name: str, max_files_per_trigger: int | None = None,
-                recursive: bool = False) -> DataFrame:
+def file_stream(spark: SparkSession, directory: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of ``<name>.parquet`` files under ``directory``."""
-    probe = spark.read.parquet(f"{directory}/{name}.parquet") if not recursive else None
-    r = spark.readStream.schema(probe.schema if probe is not None else None)
+    r = spark.readStream.schema(spark.read.parquet(f"{directory}/{name}.parquet").schema)
     r = r.option("pathGlobFilter", f"{name}.parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -42,26 +40,35 @@ def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int |
     return r.parquet(root)
 
 
-def run_available_now(df: DataFrame, out: str, checkpoint: str, timeout_s: int = 900,
-                      progress: list | None = None) -> DataFrame:
-    """Run to the end of the input; ``progress`` (if given) receives
-    ``(batch_id, num_input_rows)`` of every micro-batch."""
-    spark = df.sparkSession
+def run_available_now(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run to the end of the input, however long that takes, and read the sink."""
     q = (df.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", out)
          .trigger(availableNow=True).start())
     try:
-        finished = q.awaitTermination(timeout_s)
-        if not finished:
-            raise TimeoutError(f"streaming query did not finish in {timeout_s}s")
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-        if progress is not None:
-            progress.extend((p["batchId"], p["numInputRows"]) for p in q.recentProgress)
+        q.awaitTermination()        # raises the query's own error
     finally:
         if q.isActive:
             q.stop()
-    return spark.read.schema(df.schema).parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def run_batches(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Like ``run_available_now``, each row with the id of the micro-batch that carried it (``batch_id``).
+
+    Every micro-batch writes a folder of its own name, so a repeated attempt
+    replaces its rows instead of adding to them.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    try:
+        q.awaitTermination()
+    finally:
+        if q.isActive:
+            q.stop()
+    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
+    return df.sparkSession.read.schema(schema).parquet(out)
 
 
 # ---------------------------------------------------------------- request streams
@@ -89,23 +96,15 @@ def timeouts_join(requests: DataFrame, responses: DataFrame, bound_s: int) -> Da
     return j.select(F.col("req_id").alias("request_id"), F.col("resp_id").isNull().alias("timed_out"))
 
 
-STATE_SCHEMA = T.StructType([T.StructField("t", T.ArrayType(T.LongType())),
-                             T.StructField("i", T.ArrayType(T.LongType()))])
-BATCH_FIELDS = [T.StructField("batch_id", T.LongType()), T.StructField("batch_size", T.IntegerType()),
-                T.StructField("open_us", T.LongType()), T.StructField("last_us", T.LongType()),
-                T.StructField("close_us", T.LongType())]
-
-
 def _batcher(B: int, W: int, columns: list[str]):
     def fn(key, pdfs, state):
-        t = np.asarray(state.get[0], dtype=np.int64) if state.exists else np.empty(0, dtype=np.int64)
-        ids = np.asarray(state.get[1], dtype=np.int64) if state.exists else np.empty(0, dtype=np.int64)
+        t, ids = (np.asarray(state.get[0], dtype=np.int64), list(state.get[1])) if state.exists else (np.empty(0, dtype=np.int64), [])
         if not state.hasTimedOut:
             for pdf in pdfs:
                 t = np.concatenate([t, pdf["t_us"].to_numpy(np.int64)])
-                ids = np.concatenate([ids, pdf["request_id"].to_numpy(np.int64)])
-        order = np.lexsort((ids, t))  # arrival order inside a micro-batch is arbitrary
-        t, ids = t[order], ids[order]
+                ids += pdf["request_id"].tolist()
+        order = sorted(range(len(t)), key=lambda i: (t[i], ids[i]))  # arrival order inside a micro-batch is arbitrary
+        t, ids = t[order], [ids[i] for i in order]
         wm_ms = state.getCurrentWatermarkMs()
         wm = wm_ms * 1000
         jump = _jumps(t, B, W)
@@ -115,11 +114,11 @@ def _batcher(B: int, W: int, columns: list[str]):
             size, open_, last = e - s, int(t[s]), int(t[e - 1])
             if not ((size == B and last < wm) or (open_ + W < wm)):
                 break
-            rows.append((*key, int(ids[s]), size, open_, last, last if size == B else open_ + W))
+            rows.append((*key, ids[s], size, open_, last, last if size == B else open_ + W))
             s = e
         t, ids = t[s:], ids[s:]
         if len(t):
-            state.update((t.tolist(), ids.tolist()))
+            state.update((t.tolist(), ids))
             nxt = int(t[0]) + W
             state.setTimeoutTimestamp(max(wm_ms + 1, nxt // 1000 + 1))
         else:
@@ -132,11 +131,20 @@ def stream_dynamic_batches(reqs: DataFrame, max_batch: int, max_wait_s: float,
                            keys=("model",)) -> DataFrame:
     """Count-or-time batching on a stream: state per key keeps the requests
     of still-open batches; a batch is emitted once the watermark proves it
-    closed (full and complete, or its wait elapsed)."""
+    closed (full and complete, or its wait elapsed).
+
+    Ids may be of any type. A hot model is spread by a second key, such as the
+    replica that serves the request: ``keys=("model", "replica")``; each
+    replica then batches what it serves.
+    """
     keys = list(keys)
     W = int(round(max_wait_s * US))
-    schema = T.StructType([reqs.schema[k] for k in keys] + BATCH_FIELDS)
+    id_type = reqs.schema["request_id"].dataType
+    fields = [T.StructField("batch_id", id_type), T.StructField("batch_size", T.IntegerType()), T.StructField("open_us", T.LongType()),
+              T.StructField("last_us", T.LongType()), T.StructField("close_us", T.LongType())]
+    schema = T.StructType([reqs.schema[k] for k in keys] + fields)
+    state = T.StructType([T.StructField("t", T.ArrayType(T.LongType())), T.StructField("i", T.ArrayType(id_type))])
     src = reqs.select(*keys, "request_id", "ts", epoch_us("ts").alias("t_us"))
     return src.groupBy(*keys).applyInPandasWithState(
-        _batcher(int(max_batch), W, schema.fieldNames()), schema, STATE_SCHEMA, "append",
+        _batcher(int(max_batch), W, schema.fieldNames()), schema, state, "append",
         GroupStateTimeout.EventTimeTimeout)

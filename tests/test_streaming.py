@@ -53,3 +53,23 @@ def test_stream_batches_match_greedy_under_final_watermark(spark):
                 expected.add((b, len(members)))
         mine = set(zip(got[got.model == m].batch_id, got[got.model == m].batch_size))
         assert mine == expected
+
+
+def test_batches_beyond_a_hundred_are_all_counted(spark, tmp_path):
+    from tessera.streaming.jobs import dataset_stream, run_batches
+    spark.range(104 * 3).selectExpr("id", "id % 104 AS s").repartition(8, "s").write.partitionBy("s").parquet(str(tmp_path / "in"))
+    stream = dataset_stream(spark, str(tmp_path / "in"), max_files_per_trigger=1).select("id")
+    got = run_batches(stream, str(tmp_path / "out"), str(tmp_path / "c")).groupBy("batch_id").count().collect()
+    assert len(got) == 104 and sum(r["count"] for r in got) == 312
+
+
+def test_cluster_without_shared_folder_is_refused(monkeypatch):
+    import types
+
+    import pytest
+
+    from tessera import session
+    sc = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    fake = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(fake)
