@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.dataset import ROW_COL, SHARD_COL
-from .scan import ordinal
+from .scan import ordinal, running_sums
 
 # The three core columns of a sample; metadata keys that would
 # clash with result columns are written with the ``meta_`` prefix like all others.
@@ -48,10 +48,36 @@ def flatten_metadata(df: DataFrame, prefix: str = "meta_") -> DataFrame:
 def sample_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
     """0-based position in (shard path, row in shard) order, over the rows of ``df``.
 
-    Computed with a range-partitioned prefix count, so no task holds more
-    than its share of rows however the shards are sized.
+    Only (shard, row) pairs are ordered, by a range-partitioned prefix count, so
+    no task holds more than its share of rows however the shards are sized and
+    no payload column is part of that shuffle; the positions are then joined back.
     """
-    return ordinal(df, [], [SHARD_COL, ROW_COL], out)
+    position = ordinal(df.select(*POSITION), [], list(POSITION), out)
+    return df.join(position, list(POSITION))
+
+
+def scan_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
+    """The same for a whole scan (no row filtered): rows of earlier shards plus the row's index.
+
+    No row is shuffled. The offsets have one row per shard, as many as the file
+    index that the driver holds for the scan anyway, and are broadcast.
+    """
+    sizes = df.groupBy(SHARD_COL).agg(F.count(F.lit(1)).alias("_rows"))
+    before = running_sums(sizes, [], [SHARD_COL], {"_upto": "_rows"})
+    offsets = before.select(SHARD_COL, (F.col("_upto") - F.col("_rows")).cast("long").alias("_before"))
+    return df.join(F.broadcast(offsets), SHARD_COL).withColumn(out, F.col("_before") + F.col(ROW_COL)).drop("_before")
+
+
+def first_samples(df: DataFrame, max_samples: int | None, out: str = "ordinal") -> DataFrame:
+    """The first ``max_samples`` rows of ``df`` in (shard, row) order with their ordinal; ``None`` or ``0`` keeps all.
+
+    Positions alone decide; the rows kept are then picked from the scan by a join
+    with that table, which Spark broadcasts if it turns out small.
+    """
+    if not max_samples:
+        return sample_ordinal(df, out)
+    position = cap_samples(ordinal(df.select(*POSITION), [], list(POSITION), out), max_samples, out)
+    return df.join(position, list(POSITION))
 
 
 def cap_samples(df_with_ordinal: DataFrame, max_samples: int | None, col: str = "ordinal") -> DataFrame:
@@ -73,9 +99,3 @@ def fixed_batches(df_with_ordinal: DataFrame, batch_size: int, col: str = "ordin
 def assign_workers(df_with_batches: DataFrame, num_workers: int) -> DataFrame:
     """Round-robin batches over workers: ``worker_id = batch_id mod num_workers``."""
     return df_with_batches.withColumn("worker_id", F.pmod(F.col("batch_id"), F.lit(int(num_workers))).cast("int"))
-
-
-def distribute_batches(df_with_workers: DataFrame, num_workers: int) -> DataFrame:
-    """Physically place each worker's batches together, sorted by batch."""
-    return (df_with_workers.repartition(int(num_workers), "worker_id")
-            .sortWithinPartitions("batch_id", "ordinal"))

@@ -54,8 +54,8 @@ def encode_constant(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources
 from ..functions import urls  # noqa: E402
-from ..operators.samples import (assign_workers, fixed_batches, flatten_metadata,  # noqa: E402
-                                 pack_metadata, sample_ordinal, sample_projection, cap_samples)
+from ..operators.samples import (assign_workers, first_samples, fixed_batches, flatten_metadata,  # noqa: E402
+                                 pack_metadata, sample_projection, scan_ordinal)
 from ..operators.scan import ordinal  # noqa: E402
 from ..sinks.files import write_dataset_manifest  # noqa: E402
 from ..sources.dataset import (SHARD_COL, list_shards, sample_dataset,  # noqa: E402
@@ -248,8 +248,8 @@ ORDINAL_SQL = f"SELECT key, CAST(row_number() OVER (ORDER BY grp, id) - 1 AS BIG
 
 @register("sample_ordinal", ORDINAL_SQL)
 def sample_ordinal_q(spark, sf_dir):
-    """Position in (shard path, row in shard) order via a range-partitioned prefix count."""
-    return sample_ordinal(_dataset(spark, sf_dir)).select("key", "ordinal")
+    """Position in (shard path, row in shard) order: rows of earlier shards plus the row index."""
+    return scan_ordinal(_dataset(spark, sf_dir)).select("key", "ordinal")
 
 
 MAX_SAMPLES = 500
@@ -264,7 +264,7 @@ WHERE ordinal < {MAX_SAMPLES}
 def sample_cap(spark, sf_dir):
     """``max_samples`` survivors (rows with a caption) in shard order."""
     survivors = _dataset(spark, sf_dir).where(F.col("caption").isNotNull())
-    return cap_samples(sample_ordinal(survivors), MAX_SAMPLES).select("key", "ordinal")
+    return first_samples(survivors, MAX_SAMPLES).select("key", "ordinal")
 
 
 BATCH = 16
@@ -277,7 +277,7 @@ SELECT CAST(ordinal // {BATCH} AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT)
 FROM ({ORDINAL_SQL}) GROUP BY 1
 """)
 def fixed_batches_q(spark, sf_dir):
-    b = fixed_batches(sample_ordinal(_dataset(spark, sf_dir)), BATCH)
+    b = fixed_batches(scan_ordinal(_dataset(spark, sf_dir)), BATCH)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("batch_size"), F.min("key").alias("first_key_min"))
 
 
@@ -287,7 +287,7 @@ SELECT CAST((ordinal // {BATCH}) % {WORKERS} AS INTEGER) AS worker_id,
 FROM ({ORDINAL_SQL}) GROUP BY 1
 """)
 def worker_assignment(spark, sf_dir):
-    w = assign_workers(fixed_batches(sample_ordinal(_dataset(spark, sf_dir)), BATCH), WORKERS)
+    w = assign_workers(fixed_batches(scan_ordinal(_dataset(spark, sf_dir)), BATCH), WORKERS)
     return w.groupBy("worker_id").agg(F.countDistinct("batch_id").alias("n_batches"),
                                       F.count(F.lit(1)).alias("n_samples"))
 

@@ -351,10 +351,10 @@ def image_embed_job(spark, sf_dir):
 
 @register("image_reject_table", f"""
 SELECT CAST(vec_id AS VARCHAR) AS key,
-       CASE kind WHEN 'empty' THEN 'unresolved_url' ELSE 'undecodable_image' END AS reject_reason
+       CASE kind WHEN 'empty' THEN 'empty_image' ELSE 'undecodable_image' END AS reject_reason
 FROM ({IMG_RULES_SQL}) WHERE kind IN ('junk', 'truncated', 'empty')""")
 def image_reject_table(spark, sf_dir):
-    """Reject table of the image job: undecodable files and URLs with no image."""
+    """Reject table of the image job: undecodable and empty files (and URLs with no file)."""
     df = spark.read.parquet(_image_job(spark, sf_dir) + "/samples.parquet").where(F.col("status") == "rejected")
     return df.select("key", "reject_reason")
 

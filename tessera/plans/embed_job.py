@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..models.base import EncoderSpec
 from ..operators.encode import apply_encoder
-from ..operators.samples import (CORE, cap_samples, flatten_metadata, pack_metadata,
-                                 sample_ordinal, sample_projection)
+from ..operators.samples import CORE, first_samples, flatten_metadata, pack_metadata, sample_projection
 from ..sinks.files import write_results, write_run_manifest
 from ..sources.dataset import ROW_COL, SHARD_COL, scan_dataset
 
@@ -31,7 +30,7 @@ def encode_samples(samples: DataFrame, spec: EncoderSpec, batch_size: int | None
                    max_samples: int | None = None, on_error: str = "raise") -> DataFrame:
     """Samples (url, caption, key, metadata…) -> url, key, caption, embedding, meta_*."""
     if max_samples:
-        samples = cap_samples(sample_ordinal(samples), max_samples).drop("ordinal")
+        samples = first_samples(samples, max_samples).drop("ordinal")
     packed = pack_metadata(samples).drop(SHARD_COL, ROW_COL)
     encoded = apply_encoder(packed, spec, text_col="caption", batch_size=batch_size, on_error=on_error)
     flat = flatten_metadata(encoded)
@@ -79,6 +78,8 @@ def main(argv=None) -> None:
     ap.add_argument("--input_dir", required=True)
     ap.add_argument("--output_dir", required=True)
     ap.add_argument("--model", default="hash-text", help="built-in name or a model directory")
+    ap.add_argument("--images", default=None, help="folder of image files: the dataset names them by url")
+    ap.add_argument("--with_captions", action="store_true", help="the image encoder reads the caption, too")
     ap.add_argument("--batch_size", type=int, default=None)
     ap.add_argument("--max_samples", type=int, default=None)
     ap.add_argument("--master", default=None, help="only for local runs; spark-submit sets it otherwise")
@@ -90,47 +91,60 @@ def main(argv=None) -> None:
         spec = EncoderSpec(target=f"{mod}:{cls}")
     else:
         _, spec = register(spark, a.model)  # checked here, then sent to the executors
-    res = embed_dataset(spark, a.input_dir, a.output_dir, spec, a.batch_size, a.max_samples)
+    if a.images:
+        samples = scan_dataset(spark, a.input_dir)
+        res = embed_image_dataset(spark, samples, a.images, a.output_dir, spec, a.batch_size, hot_threshold=100_000, with_captions=a.with_captions)
+    else:
+        res = embed_dataset(spark, a.input_dir, a.output_dir, spec, a.batch_size, a.max_samples)
     print(f"wrote {res.num_samples} rows to {res.table}; manifest {res.manifest}")
 
 
-if __name__ == "__main__":
-    main()
+# ---------------------------------------------------------------- image datasets
+def image_reason(max_decoded_mb: float):
+    """Why a row of the image scan (``dropInvalid`` off) cannot be encoded, or null."""
+    from ..functions.images import decoded_size_mb
+
+    return (F.when((F.col("width") < 0) | (F.col("nChannels") < 0), "undecodable_image")
+            .when((F.col("width") == 0) | (F.col("height") == 0), "invalid_dimensions")
+            .when(decoded_size_mb("width", "height", "nChannels") > F.lit(float(max_decoded_mb)), "image_too_large"))
 
 
-# ---------------------------------------------------------------- image datasets
 def embed_image_dataset(spark: SparkSession, samples: DataFrame, images_root: str, output_dir: str,
                         spec: EncoderSpec, batch_size: int | None = None,
-                        max_decoded_mb: float | None = None, hot_threshold: int | None = None) -> EmbedResult:
+                        max_decoded_mb: float | None = None, hot_threshold: int | None = None,
+                        with_captions: bool = False) -> EmbedResult:
     """Image samples (url, key, caption, metadata…) -> embeddings + reject table, in one pass.
 
-    One left join of the samples to the decoded-image scan (``dropInvalid``
-    off, so undecodable files are seen) gives every sample a reason or none:
-    unresolved URL, undecodable image, bad dimensions, oversized image. The
-    encoder skips rejected rows, and a single write partitioned by ``status``
-    produces ``samples.parquet/status=accepted`` (the embeddings, metadata
-    flattened) and ``status=rejected`` (with ``reject_reason``), so every image
-    is decoded once.
+    Images are decoded, checked and encoded in the task that scans them, once
+    each however many samples name them; what travels to the samples is the
+    embedding (or the reason for having none), never pixels. An encoder that
+    also reads the caption (``with_captions``) needs one run per sample: then
+    pixels are joined to the samples first. Samples get a reason or none:
+    unresolved URL, empty file, undecodable image, bad dimensions, oversized
+    image. One write partitioned by ``status`` produces
+    ``samples.parquet/status=accepted`` (the embeddings, metadata flattened) and
+    ``status=rejected`` (with ``reject_reason``).
     """
-    from ..functions.images import DEFAULT_MAX_MB, decoded_size_mb
+    from ..functions.images import DEFAULT_MAX_MB
     from ..functions.urls import normalize_file_uri
     from ..operators.validate import lookup_payloads
-    from ..sources.images import scan_images
+    from ..sources.images import name_empty_files, scan_images
 
-    limit = DEFAULT_MAX_MB if max_decoded_mb is None else max_decoded_mb
     s = sample_projection(samples)
     meta = [c for c in s.columns if c not in CORE and c not in (SHARD_COL, ROW_COL)]
     s = s.select(*CORE, F.struct(*meta).alias("metadata"), normalize_file_uri("url").alias("_file"))
+    pixels = ("data", "height", "width", "nChannels")
     imgs = scan_images(spark, images_root, drop_invalid=False)
-    j = lookup_payloads(s, imgs, "_file", "file", hot_threshold)
-    reason = (F.when(F.col("_purl").isNull(), "unresolved_url")
-              .when((F.col("width") < 0) | (F.col("nChannels") < 0), "undecodable_image")
-              .when((F.col("width") == 0) | (F.col("height") == 0), "invalid_dimensions")
-              .when(decoded_size_mb("width", "height", "nChannels") > F.lit(float(limit)), "image_too_large"))
-    req = j.select(*CORE, "metadata", "data", "height", "width", "nChannels", reason.alias("reject_reason"))
-    enc = apply_encoder(req, spec, text_col="caption", image_cols=("data", "height", "width", "nChannels"),
-                        batch_size=batch_size, skip_col="reject_reason")
-    flat = flatten_metadata(enc.drop("data", "height", "width", "nChannels"))
+    imgs = imgs.select("file", *pixels, image_reason(DEFAULT_MAX_MB if max_decoded_mb is None else max_decoded_mb).alias("reject_reason"))
+    encode = {"spec": spec, "image_cols": pixels, "batch_size": batch_size, "skip_col": "reject_reason"}
+    missing = F.when(F.col("_purl").isNull(), "unresolved_url").otherwise(F.col("reject_reason")).alias("reject_reason")
+    if with_captions:
+        j = lookup_payloads(s, imgs, "_file", "file", hot_threshold).select(*CORE, "metadata", "_file", *pixels, missing)
+        done = apply_encoder(j, text_col="caption", **encode).drop(*pixels)
+    else:
+        vectors = apply_encoder(imgs, **encode).select("file", "reject_reason", "embedding")
+        done = lookup_payloads(s, vectors, "_file", "file", hot_threshold).select(*CORE, "metadata", "_file", "embedding", missing)
+    flat = flatten_metadata(name_empty_files(done, "_file", "reject_reason"))
     out = flat.select("url", "key", "caption", "embedding", "reject_reason",
                       *[c for c in flat.columns if c.startswith("meta_")],
                       F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected").alias("status"))
@@ -142,3 +156,7 @@ def embed_image_dataset(spark: SparkSession, samples: DataFrame, images_root: st
     manifest = f"{output_dir}/metadata.json"
     write_run_manifest(spark, manifest, n, spec.describe())
     return EmbedResult(f"{output_dir}/samples.parquet/status=accepted", manifest, n)
+
+
+if __name__ == "__main__":
+    main()

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,38 +162,72 @@ def _resolve(url: str, cache: dict):
     return cache[key], u.split("://", 1)[1]
 
 
-def fetch_by_url(df: DataFrame, url_col: str = "url", out_col: str = "content") -> DataFrame:
-    """Read each row's bytes by URL inside ``mapInPandas`` (one filesystem handle
-    per scheme/bucket and task). Adds ``content`` and ``fetch_status``
-    (ok / empty / not_found / unsupported_scheme / fetch_error); nothing is
-    dropped, so a caller routes non-ok rows to its reject table."""
+#: bytes of contents a task gathers before it hands them on
+FETCH_BATCH_BYTES = 32 << 20
+
+
+def _look(url: str | None, cache: dict, max_bytes: int | None, read: bool):
+    """(content, status) of one URL; sizes are checked before anything is read."""
+    if url is None or not url.startswith(FETCHABLE):
+        return None, "unsupported_scheme"
+    try:
+        filesystem, path = _resolve(url, cache)
+        with filesystem.open_input_file(path) as f:
+            size = f.size()
+            if size == 0:
+                return b"" if read else None, "empty"
+            if max_bytes is not None and size > max_bytes:
+                return None, "too_large"
+            return f.read() if read else None, "ok"
+    except FileNotFoundError:
+        return None, "not_found"
+    except Exception:  # noqa: BLE001 - recorded per row, the job goes on
+        return None, "fetch_error"
+
+
+def fetch_by_url(df: DataFrame, url_col: str = "url", out_col: str = "content", max_bytes: int | None = None) -> DataFrame:
+    """Read each row's bytes by URL (one filesystem handle per scheme/bucket and
+    task). Adds ``content`` and ``fetch_status`` (ok / empty / too_large /
+    not_found / unsupported_scheme / fetch_error); nothing is dropped, so a
+    caller routes non-ok rows to its reject table.
+
+    Files over ``max_bytes`` are not read. Rows leave the task whenever
+    ``FETCH_BATCH_BYTES`` have gathered; other columns pass through as they are.
+    """
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.BinaryType()),
                                                      T.StructField("fetch_status", T.StringType())])
 
-    def fn(it):
+    def run(batches):
         cache: dict = {}
-        for pdf in it:
-            contents, status = [], []
-            for u in pdf[url_col]:
-                if u is None or not u.startswith(FETCHABLE):
-                    contents.append(None)
-                    status.append("unsupported_scheme")
-                    continue
-                try:
-                    filesystem, path = _resolve(u, cache)
-                    with filesystem.open_input_file(path) as f:
-                        data = f.read()
-                    contents.append(data)
-                    status.append("ok" if data else "empty")
-                except FileNotFoundError:
-                    contents.append(None)
-                    status.append("not_found")
-                except Exception:  # noqa: BLE001 - recorded per row, the job goes on
-                    contents.append(None)
-                    status.append("fetch_error")
-            pdf = pdf.copy()
-            pdf[out_col] = contents
-            pdf["fetch_status"] = status
-            yield pdf
-
-    return df.mapInPandas(fn, schema)
+        for batch in batches:
+            urls, start, size, contents, states = batch.column(url_col).to_pylist(), 0, 0, [], []
+            for i, url in enumerate(urls):
+                content, status = _look(url, cache, max_bytes, True)
+                contents.append(content)
+                states.append(status)
+                size += len(content or b"")
+                if size >= FETCH_BATCH_BYTES or i == len(urls) - 1:
+                    rows = batch.slice(start, i + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(contents, pa.binary()), pa.array(states, pa.string())], schema.fieldNames())
+                    start, size, contents, states = i + 1, 0, [], []
+
+    return df.mapInArrow(run, schema)
+
+
+def name_empty_files(df: DataFrame, url_col: str, reason_col: str, unresolved: str = "unresolved_url", empty: str = "empty_image") -> DataFrame:
+    """Rows whose reason is ``unresolved`` although the URL names an existing file of no bytes get the reason ``empty``.
+
+    Scans do not list empty files. Only unresolved rows are looked up; nothing is read.
+    """
+    names, at = df.columns, df.columns.index(reason_col)
+
+    def run(batches):
+        cache: dict = {}
+        for batch in batches:
+            reasons, urls = batch.column(at).to_pylist(), batch.column(url_col)
+            for i, reason in enumerate(reasons):
+                if reason == unresolved and _look(urls[i].as_py(), cache, None, False)[1] == "empty":
+                    reasons[i] = empty
+            yield pa.RecordBatch.from_arrays([pa.array(reasons, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names)
+
+    return df.mapInArrow(run, df.schema)
