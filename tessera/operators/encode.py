@@ -146,3 +146,19 @@ def _ready_by_key(rows: pa.Table, batch_col: str, skip_col: str | None):
     starts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1]
     used = np.r_[0, np.cumsum(_used(rows, skip_col))][starts]
     return int(starts[-1]), [(int(a), int(b)) for a, b in zip(used[:-1], used[1:], strict=True) if b > a]
+
+
+def measure_startup(spark, spec: EncoderSpec, workers: int = 1) -> DataFrame:
+    """``(load_s, warmup_s)``: seconds that loading and warming up the encoder takes, once in each of ``workers`` tasks."""
+    def run(batches):
+        import time
+
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                enc, marks = spec.build(), [time.perf_counter()]
+                for step in ("load", "warmup"):
+                    getattr(enc, step, lambda: None)()
+                    marks.append(time.perf_counter())
+                yield pa.RecordBatch.from_arrays([pa.array([marks[1] - marks[0]]), pa.array([marks[2] - marks[1]])], ["load_s", "warmup_s"])
+
+    return spark.range(0, workers, 1, workers).mapInArrow(run, "load_s double, warmup_s double")

@@ -17,7 +17,8 @@ from ..operators.requests import (admission, batch_summary, dynamic_batches, epo
                                   rate_limit_fixed, rate_limit_sliding, request_identity, timeouts,
                                   with_status)
 from ..operators.stats import exact_percentiles
-from ..session import prepare, table
+from ..session import prepare, scratch_path, table
+from ..sinks.files import write_lines
 
 TIMEOUT_S = 2.0
 MAXSIZE = 6
@@ -317,6 +318,37 @@ def metrics_exposition(spark, sf_dir):
     ])
 
 
+def _expo_hist_sql(metric, src: str, col: str, buckets) -> str:
+    vals, name = ", ".join(f"('{b}', CAST('{b}' AS DOUBLE))" for b in buckets), metric[0]
+    text = lambda v: f"CAST(CAST({v} AS DOUBLE) AS VARCHAR)"
+    return f"""
+SELECT '# HELP {name} {metric[1]}' AS line UNION ALL SELECT '# TYPE {name} histogram'
+UNION ALL SELECT '{name}_bucket{{model="' || model || '",le="' || le || '"}} ' || {text(f"count(*) FILTER (WHERE {col} <= ub)")}
+  FROM {src} CROSS JOIN (VALUES {vals}) AS b(le, ub) GROUP BY model, le
+UNION ALL SELECT '{name}_bucket{{model="' || model || '",le="+Inf"}} ' || {text(f"count({col})")} FROM {src} GROUP BY model
+UNION ALL SELECT '{name}_count{{model="' || model || '"}} ' || {text(f"count({col})")} FROM {src} GROUP BY model
+UNION ALL SELECT '{name}_sum{{model="' || model || '"}} ' || {text(f"round(sum({col}), 6)")} FROM {src} GROUP BY model"""
+
+
+@register("metrics_exposition_queue", _with(LOG_SQL, DEPTH_SQL, DYN_SQL) + " SELECT * FROM (" + " UNION ALL ".join([
+    _expo_hist_sql(M.BATCH_SIZE, "batches", "batch_size", M.BATCH_SIZE_BUCKETS),
+    _expo_hist_sql(M.BATCH_WAIT, "(SELECT model, round((last_us - open_us) / 1e6, 6) AS wait_s FROM batches)", "wait_s", WAIT_BUCKETS),
+    f"""
+SELECT '# HELP {M.QUEUE_REJECTIONS[0]} {M.QUEUE_REJECTIONS[1]}' UNION ALL SELECT '# TYPE {M.QUEUE_REJECTIONS[0]} counter'
+UNION ALL SELECT '{M.QUEUE_REJECTIONS[0]}{{model="' || model || '"}} ' || CAST(CAST(count(*) AS DOUBLE) AS VARCHAR)
+  FROM adm WHERE rejected GROUP BY model"""]) + ")")
+def metrics_exposition_queue(spark, sf_dir):
+    """Batch size and wait histograms and the rejection counter, written as exposition text and read back."""
+    batches = batch_summary(_batches(spark, sf_dir)).select("model", "batch_size", F.round("wait_s", 6).alias("wait_s"))
+    rejected = admission(request_log(spark, sf_dir), MAXSIZE).where("rejected")
+    lines = M.exposition([
+        (M.BATCH_SIZE, "histogram", _rounded(M.histogram(batches, "batch_size", ["model"], M.BATCH_SIZE_BUCKETS)), ["model"]),
+        (M.BATCH_WAIT, "histogram", _rounded(M.histogram(batches, "wait_s", ["model"], WAIT_BUCKETS)), ["model"]),
+        (M.QUEUE_REJECTIONS, "counter", M.counter(rejected, ["model"]), ["model"]),
+    ])
+    return write_lines(lines, scratch_path(spark, "exposition"))
+
+
 @register("log_records", _with(LOG_SQL) + f"""
 SELECT '{{"timestamp":"' || strftime(enqueue_ts, '%Y-%m-%dT%H:%M:%S.%f') || '","level":"WARNING","logger":"tessera.requests",'
        || '"message":"request timed out","request_id":' || CAST(request_id AS VARCHAR)

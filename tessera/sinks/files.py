@@ -18,9 +18,10 @@ RUN_MANIFEST_SCHEMA = T.StructType([
 ])
 
 
-def output_path(prefix: str, filename: str) -> str:
-    """``prefix/filename`` without a leading slash when the prefix is empty."""
-    return f"{prefix}/{filename}".lstrip("/") if not prefix.endswith("/") else f"{prefix}{filename}"
+def write_lines(lines: DataFrame, out: str, column: str = "line") -> DataFrame:
+    """Write a string column as text files (metric exposition, log records) and read it back."""
+    lines.select(F.col(column).alias("value")).write.mode("overwrite").text(out)
+    return lines.sparkSession.read.text(out).select(F.col("value").alias(column))
 
 
 def write_results(df: DataFrame, out: str, max_records_per_file: int | None = None) -> int:

@@ -112,3 +112,17 @@ def test_topk_in_blocks(spark, monkeypatch):
     got = {(r.query_id, r["rank"]): r.vec_id for r in topk.topk_inner_product(corpus, queries, 3).collect()}
     want = {(j, r + 1): int(i) for j in range(40) for r, i in enumerate(np.argsort(-(x @ q[j]), kind="stable")[:3])}
     assert got == want
+
+
+def test_exposition_escapes_and_names_null_labels(spark):
+    from tessera.operators import metrics as M
+    df = spark.createDataFrame([('a"b\\c\nd', 1.0), (None, 2.0)], "model string, value double")
+    lines = {r.line for r in M.exposition([(M.QUEUE_DEPTH, "gauge", df, ["model"])]).collect()}
+    assert 'inference_queue_depth{model="a\\"b\\\\c\\nd"} 1.0' in lines and 'inference_queue_depth{model=""} 2.0' in lines
+
+
+def test_startup_is_measured(spark):
+    from tessera.models import ConstantEncoder, EncoderSpec
+    from tessera.operators.encode import measure_startup
+    rows = measure_startup(spark, EncoderSpec.of(ConstantEncoder), 3).collect()
+    assert len(rows) == 3 and all(r.load_s >= 0 and r.warmup_s >= 0 for r in rows)
