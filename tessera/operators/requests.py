@@ -53,8 +53,12 @@ def with_status(log: DataFrame, timeout_s: float = DEFAULT_TIMEOUT_S, now_us=Non
 
 
 def request_identity(log: DataFrame, now_ts: str) -> DataFrame:
-    """Stable request hash (reproducible under task retry) and age at ``now_ts``."""
-    rid = F.sha2(F.concat_ws("|", F.col("request_id").cast("string"), F.col("model")), 256)
+    """Stable request hash (reproducible under task retry) and age at ``now_ts``.
+
+    A request without an id is identified by all that is known of it.
+    """
+    known = F.coalesce(F.col("request_id").cast("string"), F.to_json(F.struct(*log.columns)))
+    rid = F.sha2(F.concat_ws("|", known, F.col("model")), 256)
     now_us = epoch_us(F.lit(now_ts).cast("timestamp_ntz"))
     return log.select(
         "request_id", rid.alias("request_hash"),
@@ -176,7 +180,7 @@ def _members(B, W, C):
         open_us = ts[start_of]
         last_us = ts[ends - 1][np.repeat(np.arange(len(starts)), sizes)] if len(starts) else np.asarray([], dtype=np.int64)
         close_us = np.where(size_of == B, last_us, open_us + W)
-        out = {"_key": [pdf["_key"].iloc[0]] * len(rows)}
+        out = {"_key": pd.Series([pdf["_key"].iloc[0]] * len(rows), dtype=object)}  # a chunk may open no batch
         out.update({
             "request_id": ids[rows],
             "batch_id": ids[start_of],

@@ -105,10 +105,12 @@ def _widened(spark, paths, with_position: bool) -> DataFrame:
 def scan_shards(spark: SparkSession, root: str, shard_names: list[str]) -> DataFrame:
     """Only the named shards (directory or file names below ``root``); others are listed, never opened.
 
-    The paths of the named shards are all that reaches the driver.
+    The paths of the named shards are all that reaches the driver. If there is
+    none of them the frame is empty, with the columns of the whole dataset.
     """
     named = reduce(lambda a, b: a | b, [F.col("path").contains(f"/{n}/") | F.col("path").endswith(f"/{n}") for n in shard_names])
-    return scan_dataset(spark, [r.path for r in list_shards(spark, root).where(named).collect()])
+    found = [r.path for r in list_shards(spark, root).where(named).collect()]
+    return scan_dataset(spark, found) if found else scan_dataset(spark, root).where(F.lit(False))
 
 
 # ---------------------------------------------------------------- fixtures
