@@ -34,8 +34,22 @@ def validate(df: DataFrame, **cols) -> DataFrame:
     """Add ``reject_reason`` and ``http_status`` (200 accepted, 400 rejected)."""
     limits = {k: cols.pop(k) for k in ("max_upload_mb", "max_decoded_mb") if k in cols}
     reason = reject_reason(**cols, **limits)
-    return df.withColumn("reject_reason", reason).withColumn(
-        "http_status", F.when(F.col("reject_reason").isNull(), STATUS_OK).otherwise(STATUS_BAD_REQUEST))
+    return df.withColumn("reject_reason", reason).withColumn("http_status", http_status("reject_reason"))
+
+
+def http_status(reject_reason=None, queue_full=None, error_type=None) -> F.Column:
+    """Answer class of a request: 429 if the queue was full, 400 if it was refused, 500 if it failed, else 200.
+
+    Arguments are columns or names; leave out what a log does not have.
+    """
+    status = F.when(F.lit(False), STATUS_OK)
+    if queue_full is not None:
+        status = status.when(_c(queue_full), STATUS_QUEUE_FULL)
+    if reject_reason is not None:
+        status = status.when(_c(reject_reason).isNotNull(), STATUS_BAD_REQUEST)
+    if error_type is not None:
+        status = status.when(_c(error_type).isNotNull(), STATUS_INTERNAL)
+    return status.otherwise(STATUS_OK)
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

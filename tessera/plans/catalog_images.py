@@ -359,6 +359,17 @@ def image_reject_table(spark, sf_dir):
     return df.select("key", "reject_reason")
 
 
+@register("image_run_totals", f"""
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE kind IN ('png', 'bmp')) AS BIGINT) AS processed,
+       CAST(count(*) FILTER (WHERE kind NOT IN ('png', 'bmp')) AS BIGINT) AS skipped
+FROM ({IMG_RULES_SQL})""")
+def image_run_totals(spark, sf_dir):
+    """Samples of the image job: all, processed, skipped."""
+    df = spark.read.parquet(_image_job(spark, sf_dir) + "/samples.parquet")
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "accepted").alias("processed"),
+                  F.count_if(F.col("status") == "rejected").alias("skipped"))
+
+
 from ..sources.images import fetch_by_url  # noqa: E402
 
 

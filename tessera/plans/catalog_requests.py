@@ -17,6 +17,7 @@ from ..operators.requests import (admission, batch_summary, dynamic_batches, epo
                                   rate_limit_fixed, rate_limit_sliding, request_identity, timeouts,
                                   with_status)
 from ..operators.stats import exact_percentiles
+from ..operators.validate import http_status
 from ..session import prepare, scratch_path, table
 from ..sinks.files import write_lines
 
@@ -171,6 +172,18 @@ def response_records(spark, sf_dir):
                     .alias("total_time_ms"))
 
 
+@register("response_status", _with(LOG_SQL, DEPTH_SQL) + """
+SELECT l.model, CAST(CASE WHEN a.rejected THEN 429 WHEN l.error_type IS NOT NULL THEN 500 ELSE 200 END AS INTEGER) AS http_status,
+       CAST(count(*) AS BIGINT) AS n, CAST(count(l.props) AS BIGINT) AS n_with_metadata
+FROM log l JOIN adm a USING (model, request_id) GROUP BY ALL""")
+def response_status(spark, sf_dir):
+    """Answers of each model by status class: queue full (429), failed (500), answered (200)."""
+    log = request_log(spark, sf_dir)
+    r = log.join(admission(log, MAXSIZE).select("request_id", "rejected"), "request_id")
+    status = http_status(queue_full="rejected", error_type="error_type")
+    return r.groupBy("model", status.alias("http_status")).agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("n_with_metadata"))
+
+
 @register("gauge_last_value", _with(LOG_SQL) + """
 SELECT model, CAST(arg_max(CAST(json_extract(props, '$.k') AS DOUBLE), enqueue_ts) AS DOUBLE) AS value
 FROM log GROUP BY model""")
