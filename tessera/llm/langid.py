@@ -265,7 +265,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(net: BiGru | None, text: Column) -> Column:
-    """struct(lang_pred, score) of a text column."""
+    """struct(lang_pred, score) of a text column.
+
+    Declared nondeterministic (it is not) so that a filter on the answer does not run the network a second time.
+    """
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
         values = [t if isinstance(t, str) else None for t in texts]
@@ -275,7 +278,7 @@ def predict(net: BiGru | None, text: Column) -> Column:
         best, seen = p.argmax(axis=1), p.sum(axis=1) > 0
         names = [net.langs[k] if ok else UNDETERMINED for k, ok in zip(best, seen, strict=True)]
         return pd.DataFrame({"lang_pred": names, "score": np.clip(p.max(axis=1), 0, 1)})
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, net: BiGru | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
