@@ -237,13 +237,13 @@ def training_sample(docs: DataFrame, label_col: str, text_col: str, learn: Colum
                     excerpt: int = EXCERPT) -> list[tuple[str, str]]:
     """At most ``per_label`` distinct texts of every label: (label, excerpt), in a fixed order.
 
-    One pass counts the labels, a second keeps about ``2 * per_label`` texts a
-    label whose hash is low. What reaches the driver is bounded by the number
-    of labels.
+    One pass counts the distinct texts of each label (copies count once), a
+    second keeps about ``2 * per_label`` texts a label whose hash is low. What
+    reaches the driver is bounded by the number of labels.
     """
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), learn.alias("learn"))
     rows = rows.where(F.col("learn") & F.col("label").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for label, n in sorted(sizes.items()) for x in (label, min(1.0, 2 * per_label / n))])

@@ -72,3 +72,11 @@ def test_sample_is_bounded(spark):
     got = L.training_sample(docs, "lang", "text", F.lit(True), per_label=40, excerpt=20)
     assert got == L.training_sample(docs.repartition(7), "lang", "text", F.lit(True), per_label=40, excerpt=20)
     assert sum(x[0] == "en" for x in got) <= 40 and sum(x[0] == "de" for x in got) <= 1 and all(len(x[1]) <= 20 for x in got)
+
+
+def test_copies_do_not_crowd_out_distinct_texts(spark):
+    copies = spark.range(200_000).select(F.lit("one and the same text").alias("text"))
+    others = spark.range(300).select(F.format_string("another text number %d", "id").alias("text"))
+    docs = copies.union(others).withColumn("lang", F.lit("en"))
+    got = L.training_sample(docs, "lang", "text", F.lit(True), per_label=40)
+    assert len(got) == 40 and len({t for _, t in got}) == 40
