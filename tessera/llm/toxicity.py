@@ -15,8 +15,8 @@ function of those sums and the share of matched clauses, so isolated words only
 count through the kind of clause they stand in.
 
 Seed lists are fixed; further insults are *induced* from labelled rows: whole
-words and stems (prefixes, which cover inflected forms) that are frequent in
-toxic and rare in clean texts, with their log-odds as weight. Weights of kinds
+words and stems (prefixes, which cover inflected forms) that are significantly
+more frequent in toxic than in clean texts, with their log-odds as weight. Weights of kinds
 are fitted by logistic regression. Labels come from at most ``LABELLED`` rows
 outside the held-out fold, picked by a hash of the id; that bound is what makes
 the training set small enough to broadcast. Inputs of a score are the words alone.
@@ -38,8 +38,8 @@ from .common import held_out, materialise
 LABELLED = 20_000       # labelled rows learned from
 MOST_FEATURES = 5_000   # induced candidates that reach the driver
 STEMS = (4, 5, 6, 7, 8)   # lengths of stems
-LEAST_SHARE = 0.02      # of toxic texts that must have an induced word or stem
-LEAST_TEXTS = 4
+LEAST_TEXTS = 4         # toxic texts that must have an induced word or stem
+CHANCE = 0.01           # of any word or stem being induced by chance
 LEAST_LIFT = 5.0
 CACHE_WORDS = 400_000
 
@@ -257,11 +257,14 @@ def induce(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
     stems = [F.transform(words, _stem(n)) for n in STEMS]
     features = F.array_distinct(F.filter(F.concat(words, *stems), lambda f: f.isNotNull()))
-    least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * toxic))
     lift = (F.col("t") / toxic) / ((F.col("c") + 0.5) / clean)
-    found = (rows.select("toxic", F.explode(features).alias("f")).groupBy("f")
-             .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-             .where((F.col("t") >= least) & (lift >= LEAST_LIFT))
+    counts = (rows.select("toxic", F.explode(features).alias("f")).groupBy("f")
+              .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") + F.col("c") >= LEAST_TEXTS))
+    # Chernoff's bound of t or more toxic texts out of t + c by chance, for all tried at once
+    t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    surprise = t * F.log(t / n * ((toxic + clean) / toxic)) + F.when(c > 0, c * F.log(c / n * ((toxic + clean) / clean))).otherwise(0.0)
+    tried = max(counts.count(), 1)
+    found = (counts.where((t >= LEAST_TEXTS) & (lift >= LEAST_LIFT) & (surprise >= math.log(tried / CHANCE)))
              .select("f", "t", F.log(lift).alias("w")).orderBy((F.col("t") * F.col("w")).desc(), F.length("f").desc(), "f").limit(MOST_FEATURES).collect())
     chosen: dict[str, tuple[int, float]] = {}
     for r in found:

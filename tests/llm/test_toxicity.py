@@ -90,3 +90,9 @@ def test_training_rows_are_bounded(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(500)], "doc_id long, quality int, toxic int")
     assert T.labelled_rows(docs, labels, most=100).count() == 100
+
+
+def test_rare_but_certain_words_are_induced(spark):
+    rows = [(f"word{'abc'[i % 3]} zorbling" if i < 39 else "worda plain", 1) for i in range(2000)] + [("worda wordb wordc plain", 0)] * 4000
+    insults, stems = T.induce(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {w for w in [*insults, *stems] if "zorbling".startswith(w)} and not {"word", "worda", "plain"} & {*insults, *stems}
