@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, packing, pii, pq, simhash, toxicity, warc
+from . import fingerprints, langid, licenses, mixing, packing, pii, pq, sentencepieces, simhash, toxicity, warc
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op9(spark, sf_dir):
     out = licenses.scan(documents(spark, sf_dir))
     hits = F.transform("notices", lambda n: F.concat_ws(":", n["family"], n["start"], n["end"]))
     return out.select("doc_id", "licence", F.array_join("families", ",").alias("families"), F.array_join(hits, ",").alias("notices"))
+
+
+@query("op13_sentencepiece_digests")
+def op13(spark, sf_dir):
+    return sentencepieces.digests(documents(spark, sf_dir))
