@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, packing, pii, pq, sentencepieces, simhash, toxicity, warc
+from . import clustering, divergence, fingerprints, langid, licenses, mixing, packing, pii, pq, sentencepieces, simhash, toxicity, warc
 from .common import documents, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,46 @@ def op9(spark, sf_dir):
 @query("op13_sentencepiece_digests")
 def op13(spark, sf_dir):
     return sentencepieces.digests(documents(spark, sf_dir))
+
+
+def _lloyd_sql(rounds: int = 5) -> str:
+    """The rounds of operator 12 as one query, a pair of tables a round."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS k, q FROM v ORDER BY k LIMIT 40)"]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(v.q) AS q, min(list_sum([(v.q[i] - c.q[i]) * (v.q[i] - c.q[i]) FOR i IN range(1, 65)]) * 100 + k)::BIGINT AS m
+FROM v, c{r} c GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT m % 100 AS k, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY m % 100, i),
+u{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(u.q, c.q) AS q FROM c{r} c LEFT JOIN u{r} u ON u.k = c.k)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, (m % 100)::INT AS cluster, m // 100 AS distance, sum(m // 100) OVER (PARTITION BY m % 100)::BIGINT AS cluster_inertia,
+       sum(m // 100) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.k = m % 100"""
+
+
+@query("op12_centroid_clustering", oracle=_lloyd_sql())
+def op12(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_source_divergence_audit", oracle=r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS MATERIALIZED (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(terms) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 10),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(sum(t.n), 0) AS n FROM g JOIN k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term GROUP BY ALL),
+p AS MATERIALIZED (SELECT c.lang, c.source, c.term, c.n, (1 + (1000000000::HUGEINT * (c.n + 2)) // (sum(c.n) OVER (PARTITION BY c.lang, c.source) + 2 * v.v))::BIGINT AS p,
+  (1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v))::BIGINT AS q FROM c JOIN v USING (lang) JOIN k USING (lang, term)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+  WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms QUALIFY rank <= 10
+""")
+def op11(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir))

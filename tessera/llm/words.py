@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20       # texts worked on together (or one longer text)
+SLICE_ROWS = 1 << 14
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
@@ -38,13 +39,13 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of ``batch`` with at most ``most`` bytes of text, at least one row each."""
+    """Consecutive rows of ``batch``, at most ``SLICE_ROWS`` with at most ``most`` bytes of text, at least one row each."""
     if not batch.num_rows:
         return
     _, offsets = text_buffer(batch.column(column))
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        b = min(a + SLICE_ROWS, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
         yield batch.slice(a, b - a)
         a = b
 
