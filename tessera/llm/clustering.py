@@ -1,23 +1,23 @@
 """Centroid clustering by dimension-sharded Lloyd rounds, in exact integers (operator 12).
 
 A component x becomes ``floor(scale * x)``. Vectors are cut into *column blocks*
-of ``BLOCK_DIMS`` components and written once as chunks of ``CHUNK`` vectors, a
-row a chunk. The blocks are dealt once by (column block, group of chunks), so a
-task holds one column block and needs one slice of the centroids:
+of ``BLOCK_DIMS`` components and written once, a file a column block, in chunks of
+``CHUNK`` vectors. Each round reads them:
 
-1. **Partial distances.** A column-block task compares its part of each vector
-   with its slice of all centroids: ``(chunk, vectors x clusters)``, exact.
+1. **Partial distances.** A column-block task needs one slice of the centroids. It
+   compares its part of each vector with that slice of all centroids:
+   ``(chunk, vectors x clusters)``, exact.
 2. **Sum and argmin.** ``reduceByKey`` adds the blocks of a chunk; the nearest
    centroid (of equal ones the smaller number) is the label.
-3. **Update.** Labels go to the column blocks of their chunk, which stay where
-   they are (same partitioner, no shuffle of vectors). Each task sums its
-   components by label, ``reduceByKey`` adds the tasks of a shard, and the shard
-   sets its own slice to ``floor(sum / count)``; empty clusters stay.
+3. **Update.** The blocks of a chunk, which came along with its distances, are
+   summed by label, each for its shard. ``reduceByKey`` adds the sums of a shard, and
+   the shard sets its own slice to ``floor(sum / count)``; empty clusters stay.
 
 The driver holds the slices between rounds: clusters x dimension integers, bounded
-by parameters. A round reads the dealt blocks and the slices only, so lineage
-does not grow; a lost executor costs its chunks of one round. A cluster that
-holds a third of all vectors is no hot key: keys are chunks and column blocks.
+by parameters. A round depends on the written blocks and the slices only, so
+lineage does not grow; a lost executor costs its chunks of one round. A cluster
+that holds a third of all vectors is no hot key: keys are chunks and shards, and
+a shard gets one sum from each task.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch_path
 
 CLUSTERS = 40
 ROUNDS = 5
@@ -40,7 +40,7 @@ SEED = "2"
 BLOCK_DIMS = 32         # components of a column block
 CHUNK = 4096            # vectors of a chunk; fewer if there are many clusters
 CHUNK_CELLS = 1 << 20   # vectors x clusters of a chunk at most, but for one row
-GROUP_ROWS = 1 << 16    # vectors whose column block shares a task
+GROUP_ROWS = 1 << 16    # vectors whose distances are added in one task
 LIMIT = 1 << 26         # components beyond it would not leave distances in 64 bits
 
 
@@ -79,76 +79,74 @@ def sums_by_label(x: np.ndarray, label: np.ndarray, clusters: int) -> np.ndarray
     return out
 
 
-def _chunks(rows: DataFrame, dims: int, block_dims: int, most: int) -> DataFrame:
-    """``rows(id, q)`` -> ``(chunk, ids, n, most, blocks)``: an int32 matrix for each column block."""
+def _written(rows: DataFrame, dims: int, block_dims: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """``rows(id, q)`` as ``(chunk, ids)`` and as ``(block, chunk, n, most, x)``: matrices of 2- or 4-byte integers."""
+    spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["chunk", "block", "n", "most", "x", "ids"]
 
     def run(batches):
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                part = batch.slice(at, most)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 x = pa.array(part.column(1)).flatten().to_numpy(zero_copy_only=False).astype("<i4").reshape(-1, dims)
-                blocks = [np.ascontiguousarray(x[:, a:a + block_dims]).tobytes() for a in range(0, dims, block_dims)]
+                most = int(np.abs(x).max(initial=0))
+                cut = [x[:, a:a + block_dims].astype("<i2" if most < 1 << 15 else "<i4").tobytes() for a in range(0, dims, block_dims)]
+                ids = pa.ListArray.from_arrays(pa.array([0, *[len(x)] * len(cut)], pa.int32()), part.column(0))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), part.column(0)), pa.array([len(x)], pa.int64()),
-                    pa.array([int(np.abs(x).max(initial=0))], pa.int64()), pa.array([blocks], pa.list_(pa.binary()))], ["chunk", "ids", "n", "most", "blocks"])
+                    pa.array([key] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array([len(x)] * len(cut), pa.int64()),
+                    pa.array([most] * len(cut), pa.int64()), pa.array(cut, pa.binary()), ids], names)
                 key += 1
 
-    return materialise(rows.mapInArrow(run, f"chunk long, ids array<{kind}>, n long, most long, blocks array<binary>"))
+    made = rows.mapInArrow(run, f"chunk long, block int, n long, most long, x binary, ids array<{kind}>")
+    path = scratch_path(spark, "blocks")
+    made.write.partitionBy("block").parquet(path)           # ids stand with block 0
+    table = spark.read.schema(made.schema).parquet(path)
+    return table.where("block = 0").select("chunk", "ids"), table.select("block", "chunk", "n", "most", "x")
 
 
-def _rounds(chunks: DataFrame, centroids: np.ndarray, rounds: int, block_dims: int, n: int, most: int):
+def _rounds(blocks: DataFrame, centroids: np.ndarray, rounds: int, block_dims: int, n: int, most: int):
     """Final centroids and the RDD of ``(chunk, (labels, distances))``."""
     clusters, dims = centroids.shape
     starts = list(range(0, dims, block_dims))
-    shards = len(starts)
-    sc = chunks.sparkSession.sparkContext
-    groups = max(1, -(-n // GROUP_ROWS), min(-(-sc.defaultParallelism // shards), chunks.count()))
+    groups = -(-n // GROUP_ROWS)
     exact = np.int32 if dims * (2 * most) ** 2 < 1 << 31 else np.int64
-    width = [min(block_dims, dims - a) for a in starts]
+    stored = blocks.select("block", "chunk", "n", "x").rdd
 
-    def deal(key):
-        chunk, shard = key
-        return shard + shards * ((chunk ^ chunk >> 32) % groups)
-    blocks = (chunks.select("chunk", F.posexplode("blocks")).rdd.map(lambda r: ((r[0], r[1]), bytes(r[2])))
-              .partitionBy(shards * groups, deal))
-
-    def matrix(key, raw):
-        return np.frombuffer(raw, "<i4").reshape(-1, width[key[1]])
+    def partials(slices):
+        def of(row):
+            shard, chunk, size, raw = row
+            x = np.frombuffer(raw, "<i2" if len(raw) == 2 * size * slices[shard].shape[1] else "<i4").reshape(size, -1)
+            return chunk, (partial_distances(x, slices[shard]).astype(exact), {shard: x})
+        return stored.map(of).reduceByKey(lambda a, b: (a[0] + b[0], a[1] | b[1]), groups)
 
     def nearest(d):
         label = d.argmin(axis=1).astype(np.int32)
         return label, d[np.arange(len(d)), label].astype(np.int64)
 
-    def labelled(slices):
-        part = blocks.map(lambda kv: (kv[0][0], partial_distances(matrix(*kv), slices[kv[0][1]]).astype(exact)))
-        return part.reduceByKey(np.add, groups).mapValues(nearest)
-
     def shard_sums(rows):
         total = {}
-        for key, values in rows:
-            values = list(values)
-            label = next(v for v in values if not isinstance(v, bytes))
-            raw = next(v for v in values if isinstance(v, bytes))
-            s = sums_by_label(matrix(key, raw), label, clusters)
-            total[key[1]] = s if key[1] not in total else total[key[1]] + s
+        for _, (distance, parts) in rows:
+            label, _ = nearest(distance)
+            for shard, x in parts.items():
+                s = sums_by_label(x, label, clusters)
+                total[shard] = s if shard not in total else total[shard] + s
         return iter(total.items())
 
     slices = [centroids[:, a:a + block_dims] for a in starts]
     for _ in range(rounds):
         old = slices
-        labels = labelled(old).flatMap(lambda kv: [((kv[0], s), kv[1][0]) for s in range(shards)]).partitionBy(shards * groups, deal)
-        sums = blocks.union(labels).groupByKey(shards * groups, deal).mapPartitions(shard_sums).reduceByKey(np.add, shards)
 
         def own_slice(kv, old=old):
             shard, s = kv
             count = s[:, -1:]
             return shard, np.where(count > 0, s[:, :-1] // np.maximum(count, 1), old[shard])
+        sums = partials(old).mapPartitions(shard_sums).reduceByKey(np.add, len(starts))
         slices = [s for _, s in sorted(sums.map(own_slice).collect(), key=lambda kv: kv[0])]       # clusters x dims integers
-    return np.concatenate(slices, axis=1), labelled(slices)
+    return np.concatenate(slices, axis=1), partials(slices).mapValues(lambda v: nearest(v[0]))
 
 
 def cluster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", clusters: int = CLUSTERS, rounds: int = ROUNDS,
@@ -165,14 +163,14 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), quantised(F.col(vector_col), dims, scale).alias("q")).where("q is not null")
-    chunks = _chunks(rows, dims, block_dims, max(1, min(CHUNK, CHUNK_CELLS // clusters)))
-    n, most = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("most"), F.lit(0))).first()
+    chunks, blocks = _written(rows, dims, block_dims, max(1, min(CHUNK, CHUNK_CELLS // clusters)))
+    n, most = blocks.where("block = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("most"), F.lit(0))).first()
     schema = f"vec_id {kind}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     if not n:
         return spark.createDataFrame([], schema)
     digest = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     first = rows.withColumn("h", digest).orderBy("h", "q").limit(clusters).select("q").collect()
-    centroids, labels = _rounds(chunks, np.array([r.q for r in first], np.int64), rounds, block_dims, n, most)
+    centroids, labels = _rounds(blocks, np.array([r.q for r in first], np.int64), rounds, block_dims, n, most)
 
     # labels travel as a binary value a chunk
     found = spark.createDataFrame(labels.map(lambda kv: (kv[0], kv[1][0].tobytes(), kv[1][1].tobytes())), "chunk long, label binary, distance binary")
