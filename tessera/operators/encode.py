@@ -65,8 +65,9 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
     must be clustered and sorted by it); otherwise a batch takes the next
     ``batch_size`` rows of the partition. Rows where ``skip_col`` is not null
     (e.g. a reject reason) pass through with a null output and never reach the
-    model. ``partitions`` deals the rows out anew first, for inputs of fewer
-    partitions than there are cores; nothing runs before an action.
+    model. Inputs that their files would give to few tasks are dealt out anew
+    first (see ``spread_tasks``; ``partitions`` sets the number, 0 leaves them as
+    they are); nothing runs before an action.
 
     Arrow batches handed to the UDF are bounded by Spark's
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
@@ -122,11 +123,37 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
             else:
                 yield emit(rest, [(s, min(s + size, used)) for s in range(0, used, size)], enc)
 
+    if partitions is None and batch_col is None:
+        partitions = spread_tasks(df)
     if partitions:
         df = df.repartition(int(partitions))
     return df.mapInArrow(run, T.StructType(fields))
 
 
+#: bytes of input files whose rows an encoder task gets, and the most tasks that rows are dealt out to
+TASK_BYTES = 1 << 20
+MOST_SPREAD = 4096
+
+
+def spread_tasks(df: DataFrame) -> int:
+    """Tasks to deal the rows out to before an expensive encoder; 0 if the scan makes enough by itself.
+
+    Decided by the size of the files read, known from their listing: a scan cuts
+    files by bytes, but a row group never, so a few large files can end up in
+    one task each. Beyond ``MOST_SPREAD`` scan tasks nothing is dealt out. The rows
+    of a stream's micro-batch go to ``spark.sql.shuffle.partitions`` tasks.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)            # other leaves do not say
+    scan = -(-known // int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    wanted = min(-(-known // TASK_BYTES), MOST_SPREAD)
+    return wanted if wanted > max(scan, 1) else 0
+
+
 def _used(rows: pa.Table, skip_col: str | None) -> np.ndarray:
     if skip_col is None:
         return np.ones(rows.num_rows, bool)

@@ -58,17 +58,21 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
             validated.where(F.col("reject_reason").isNotNull()))
 
 
+#: samples of one URL above which the URL is salted
+HOT_ROWS = 100_000
+
+
 def lookup_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url",
-                    payload_url_col: str = "url", hot_threshold: int | None = None) -> DataFrame:
+                    payload_url_col: str = "url", hot_threshold: int | None = HOT_ROWS) -> DataFrame:
     """Left join of samples to their payload rows by URL; ``_purl`` is null when
     a sample's URL has no payload.
 
     URLs are matched as given (normalise ``file:`` URIs of both sides first,
-    see ``functions.urls.normalize_file_uri``). With ``hot_threshold`` a URL
-    shared by more than that many samples is salted: its samples are spread
-    over ``ceil(count / hot_threshold)`` salts and only its payload row is
-    replicated that many times. The hot-URL table has at most
-    ``rows / hot_threshold`` entries, which bounds its broadcast.
+    see ``functions.urls.normalize_file_uri``). A URL shared by more than
+    ``hot_threshold`` samples is salted: its samples are spread over
+    ``ceil(count / hot_threshold)`` salts and only its payload row is replicated
+    that many times (``None``: no salting). The table of hot URLs has at most
+    ``rows / hot_threshold`` entries; Spark sends it to the tasks if it is small.
     """
     p = payloads.withColumnRenamed(payload_url_col, "_purl")
     if not hot_threshold:
@@ -77,11 +81,11 @@ def lookup_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url
     hot = (samples.groupBy(F.col(url_col).alias("_hurl")).agg(F.count(F.lit(1)).alias("_n"))
                   .where(F.col("_n") > T)
                   .select("_hurl", F.ceil(F.col("_n") / F.lit(T)).cast("int").alias("_salts")))
-    s = (samples.join(F.broadcast(hot), samples[url_col] == F.col("_hurl"), "left")
+    s = (samples.join(hot, samples[url_col] == F.col("_hurl"), "left")
                 .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
                     F.pmod(F.xxhash64(*[F.col(c) for c in samples.columns]), F.col("_salts")).cast("int")))
                 .drop("_hurl", "_salts"))
-    ps = (p.join(F.broadcast(hot), p["_purl"] == F.col("_hurl"), "left")
+    ps = (p.join(hot, p["_purl"] == F.col("_hurl"), "left")
            .withColumn("_psalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
            .drop("_hurl", "_salts"))
     cond = (s[url_col] == ps["_purl"]) & (s["_salt"] == ps["_psalt"])
@@ -89,7 +93,7 @@ def lookup_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url
 
 
 def resolve_payloads(samples: DataFrame, payloads: DataFrame, url_col: str = "url",
-                     payload_url_col: str = "url", hot_threshold: int | None = None,
+                     payload_url_col: str = "url", hot_threshold: int | None = HOT_ROWS,
                      ) -> tuple[DataFrame, DataFrame]:
     """(resolved, unresolved) from one left join (see :func:`lookup_payloads`);
     unresolved rows carry ``reject_reason = 'unresolved_url'``."""

@@ -393,3 +393,91 @@ def url_fetch(spark, sf_dir):
     got = fetch_by_url(files.unionByName(baks).unionByName(docs))
     return got.select("key", "fetch_status",
                       F.coalesce(F.octet_length("content") > 0, F.lit(False)).alias("has_bytes"))
+
+
+# ---------------------------------------------------------------- bytes and URLs
+from ..functions.codecs import decode_bytes as decode_column  # noqa: E402
+from ..sources.dataset import scan_dataset  # noqa: E402
+
+
+@register("decode_bytes", f"""
+WITH {PIXELS_SQL},
+hx AS (SELECT vec_id, i, c, CASE c WHEN 1 THEN printf('%02X', p) WHEN 3 THEN printf('%02X%02X%02X', p, (p + 40) % 256, (p + 80) % 256)
+              ELSE printf('%02X%02X%02X%02X', p, (p + 40) % 256, (p + 80) % 256, (p + 120) % 256) END AS h
+       FROM px WHERE kind IN ('png', 'bmp'))
+SELECT vec_id, 8 AS height, 8 AS width, any_value(c) AS channels, string_agg(h, '' ORDER BY i) AS pixels_hex, CAST(NULL AS VARCHAR) AS reject_reason
+FROM hx GROUP BY vec_id
+UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, 'undecodable_image' FROM ({IMG_RULES_SQL}) WHERE kind IN ('junk', 'truncated')""")
+def decode_bytes(spark, sf_dir):
+    """A bytes column decoded in Arrow batches (the files' contents): pixels, or the reason for none."""
+    out, _ = _image_dir(spark, sf_dir)
+    content = scan_bytes(spark, out).select(F.regexp_extract("file", r"img_([0-9]+)\.", 1).cast("long").alias("vec_id"), "content")
+    return decode_column(content).select("vec_id", "height", "width", F.col("nChannels").alias("channels"), F.hex("data").alias("pixels_hex"), "reject_reason")
+
+
+_URL_JOBS: dict = {}
+URL_CAP = 100
+URL_TASK_BYTES = 1 << 20
+
+URL_RULES_SQL = f"""
+SELECT *, CASE WHEN vec_id % 17 = 3 THEN 'unsupported_scheme' WHEN vec_id % 13 = 5 THEN 'unresolved_url'
+               WHEN kind = 'empty' THEN 'empty_image' WHEN kind IN ('junk', 'truncated') THEN 'undecodable_image' END AS reason
+FROM ({IMG_RULES_SQL})"""
+
+
+def _url_samples(spark, sf_dir):
+    """A dataset whose image URLs lie in two folders; some name no file, some another scheme."""
+    key = (sf_dir, scratch_path(spark, unique=False), "samples")
+    if key not in _URL_JOBS:
+        emb = table(spark, sf_dir, "embeddings")
+        parts = [write_image_files(raster_fixture(emb.where(F.pmod("vec_id", F.lit(2)) == k)), scratch_path(spark, f"images_{k}")) for k in (0, 1)]
+        files = parts[0].unionByName(parts[1]).join(emb.select("vec_id", "label"), "vec_id")
+        url = (F.when(F.pmod("vec_id", F.lit(17)) == 3, F.concat(F.lit("ftp://host"), F.col("file")))
+               .when(F.pmod("vec_id", F.lit(13)) == 5, F.concat(F.col("file"), F.lit(".bak"))).otherwise(F.col("file")))
+        root = scratch_path(spark, "url_dataset")
+        (files.select(url.alias("url"), F.col("vec_id").cast("string").alias("key"), "label", "vec_id")
+         .repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").drop("vec_id").write.parquet(root))
+        _URL_JOBS[key] = root
+    return scan_dataset(spark, _URL_JOBS[key])
+
+
+def _url_job(spark, sf_dir, cap=None):
+    key = (sf_dir, scratch_path(spark, unique=False), cap)
+    if key not in _URL_JOBS:
+        dest = scratch_path(spark, "url_job")
+        embed_image_dataset(spark, _url_samples(spark, sf_dir), None, dest, EncoderSpec.of(PixelGridEncoder, grid=GRID),
+                            max_samples=cap, task_bytes=URL_TASK_BYTES)
+        _URL_JOBS[key] = dest
+    return spark.read.parquet(_URL_JOBS[key] + "/samples.parquet")
+
+
+@register("image_url_job", f"""
+WITH {PIXELS_SQL},
+g AS (
+  SELECT vec_id, (i // 8 // 2) * 4 + (i % 8) // 2 AS cell,
+         CASE c WHEN 1 THEN p ELSE (p + (p + 40) % 256 + (p + 80) % 256) / 3.0 END / 255.0 AS v
+  FROM px WHERE vec_id IN (SELECT vec_id FROM ({URL_RULES_SQL}) WHERE reason IS NULL)),
+f AS (SELECT vec_id, cell, avg(v) AS x FROM g GROUP BY vec_id, cell),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM f GROUP BY vec_id)
+SELECT CAST(f.vec_id AS VARCHAR) AS key, CAST(cell AS INTEGER) AS dim, round(x / nrm, 6) AS value, e.label AS meta_label
+FROM f JOIN n USING (vec_id) JOIN embeddings e ON e.vec_id = f.vec_id WHERE x <> 0""")
+def image_url_job(spark, sf_dir):
+    """Image job by URL: files of two folders fetched, decoded and encoded in the task they are dealt to."""
+    df = _url_job(spark, sf_dir).where(F.col("status") == "accepted")
+    ex = df.select("key", "meta_label", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
+    return ex.select("key", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"), "meta_label")
+
+
+@register("image_url_rejects", f"""
+SELECT CAST(vec_id AS VARCHAR) AS key, reason AS reject_reason FROM ({URL_RULES_SQL}) WHERE reason IS NOT NULL""")
+def image_url_rejects(spark, sf_dir):
+    """Reject table of the image job by URL."""
+    return _url_job(spark, sf_dir).where(F.col("status") == "rejected").select("key", "reject_reason")
+
+
+@register("image_url_capped", f"""
+SELECT CAST(vec_id AS VARCHAR) AS key, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason AS reject_reason
+FROM (SELECT *, count(*) FILTER (WHERE reason IS NULL) OVER (ORDER BY vec_id) - (reason IS NULL)::INT AS before FROM ({URL_RULES_SQL})) WHERE before < {URL_CAP}""")
+def image_url_capped(spark, sf_dir):
+    """The same job with a cap on accepted samples, in (shard, row) order."""
+    return _url_job(spark, sf_dir, URL_CAP).select("key", "status", "reject_reason")

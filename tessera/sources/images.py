@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codecs import decode_bytes
 from ..functions.urls import normalize_file_uri
+from ..operators.scan import running_sums
+from ..session import scratch_path
 
 RASTER_SIDE = 8
 # Fixed value: bytes of an undecodable "image".
@@ -144,6 +147,13 @@ def write_image_files(rasters: DataFrame, out_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- fetch by URL
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written below the shared folder and read back, so that URLs are looked up once."""
+    path = scratch_path(df.sparkSession, "urls")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # URL schemes that have a Hadoop-compatible filesystem here.
 FETCHABLE = ("file:", "/", "s3://", "s3a://", "hdfs://", "gs://")
 
@@ -166,8 +176,22 @@ def _resolve(url: str, cache: dict):
 FETCH_BATCH_BYTES = 32 << 20
 
 
-def _look(url: str | None, cache: dict, max_bytes: int | None, read: bool):
-    """(content, status) of one URL; sizes are checked before anything is read."""
+def _stat(url: str | None, cache: dict):
+    """(length, status) of one URL."""
+    if url is None or not url.startswith(FETCHABLE):
+        return None, "unsupported_scheme"
+    try:
+        filesystem, path = _resolve(url, cache)
+        info = filesystem.get_file_info(path)
+        if not info.is_file:
+            return None, "not_found"
+        return info.size, "ok" if info.size else "empty"
+    except Exception:  # noqa: BLE001 - recorded per row, the job goes on
+        return None, "fetch_error"
+
+
+def _look(url: str | None, cache: dict, max_bytes: int | None):
+    """(content, status) of one URL; its size is checked before anything is read."""
     if url is None or not url.startswith(FETCHABLE):
         return None, "unsupported_scheme"
     try:
@@ -175,10 +199,10 @@ def _look(url: str | None, cache: dict, max_bytes: int | None, read: bool):
         with filesystem.open_input_file(path) as f:
             size = f.size()
             if size == 0:
-                return b"" if read else None, "empty"
+                return b"", "empty"
             if max_bytes is not None and size > max_bytes:
                 return None, "too_large"
-            return f.read() if read else None, "ok"
+            return f.read(), "ok"
     except FileNotFoundError:
         return None, "not_found"
     except Exception:  # noqa: BLE001 - recorded per row, the job goes on
@@ -202,7 +226,7 @@ def fetch_by_url(df: DataFrame, url_col: str = "url", out_col: str = "content",
         for batch in batches:
             urls, start, size, contents, states = batch.column(url_col).to_pylist(), 0, 0, [], []
             for i, url in enumerate(urls):
-                content, status = _look(url, cache, max_bytes, True)
+                content, status = _look(url, cache, max_bytes)
                 contents.append(content)
                 states.append(status)
                 size += len(content or b"")
@@ -214,20 +238,54 @@ def fetch_by_url(df: DataFrame, url_col: str = "url", out_col: str = "content",
     return df.mapInArrow(run, schema)
 
 
-def name_empty_files(df: DataFrame, url_col: str, reason_col: str, unresolved: str = "unresolved_url", empty: str = "empty_image") -> DataFrame:
-    """Rows whose reason is ``unresolved`` although the URL names an existing file of no bytes get the reason ``empty``.
-
-    Scans do not list empty files. Only unresolved rows are looked up; nothing is read.
-    """
-    names, at = df.columns, df.columns.index(reason_col)
+def url_sizes(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """``df`` plus ``length`` (null if the URL names no readable file) and ``fetch_status``; nothing is read."""
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("length", T.LongType()), T.StructField("fetch_status", T.StringType())])
 
     def run(batches):
         cache: dict = {}
         for batch in batches:
-            reasons, urls = batch.column(at).to_pylist(), batch.column(url_col)
-            for i, reason in enumerate(reasons):
-                if reason == unresolved and _look(urls[i].as_py(), cache, None, False)[1] == "empty":
-                    reasons[i] = empty
-            yield pa.RecordBatch.from_arrays([pa.array(reasons, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names)
+            found = [_stat(u, cache) for u in batch.column(url_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.string())],
+                                             schema.fieldNames())
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
+
+
+#: bytes of files, and files, that a task fetches
+TASK_BYTES = 64 << 20
+FILE_COST = 64 << 10
+
+
+def deal_by_bytes(sized: DataFrame, url_col: str = "url", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Rows with a ``length`` dealt to tasks of about ``task_bytes`` each, in URL order.
+
+    Running sums of the lengths (``FILE_COST`` added for each file) name the
+    task, so a few huge files and many tiny ones make tasks of equal work.
+    """
+    cost = F.coalesce("length", F.lit(0)) + FILE_COST
+    total = sized.agg(F.sum(cost)).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
+    placed = running_sums(sized, [], [url_col], {"_upto": cost})
+    task = F.least(F.floor((F.col("_upto") - 1) / task_bytes), F.lit(tasks - 1)).cast("int")
+    return placed.withColumn("_task", task).repartitionById(tasks, F.col("_task")).drop("_upto", "_task")
+
+
+#: reject reasons of what could not be fetched
+FETCH_REASONS = {"empty": "empty_image", "too_large": "file_too_large", "not_found": "unresolved_url", "fetch_error": "unresolved_url",
+                 "unsupported_scheme": "unsupported_scheme"}
+
+
+def fetched_images(urls: DataFrame, url_col: str = "url", max_bytes: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``(url, data, height, width, nChannels, reject_reason)`` of distinct URLs: looked up, dealt to tasks by bytes, fetched and decoded there.
+
+    Bytes and pixels never leave the task that fetched them unless the caller shuffles them.
+    """
+    sized = checkpointed(url_sizes(urls.select(url_col), url_col))
+    status = F.when((F.col("fetch_status") == "ok") & (F.col("length") > (1 << 62 if max_bytes is None else max_bytes)), "too_large").otherwise(F.col("fetch_status"))
+    known = F.create_map(*[F.lit(x) for kv in FETCH_REASONS.items() for x in kv])
+    good = deal_by_bytes(sized.where(status == "ok").select(url_col, "length"), url_col, task_bytes).select(url_col)
+    got = fetch_by_url(good, url_col, max_bytes=max_bytes)
+    images = decode_bytes(got.withColumn("reject_reason", F.try_element_at(known, F.col("fetch_status"))).drop("fetch_status"))
+    bad = sized.where(status != "ok").select(url_col, F.try_element_at(known, status).alias("reject_reason"))
+    return images.unionByName(bad, allowMissingColumns=True)
