@@ -2,8 +2,9 @@
 
 1. **Pieces.** A text becomes the ids of a public tokenizer plus an end id.
    Only documents longer than ``max_len`` are cut, from the back, into pieces of
-   ``max_len``; the first piece may be shorter. Each worker tokenizes a word
-   with the white space before it once and keeps its ids (bounded cache).
+   ``max_len``; the first piece may be shorter. Whole Arrow batches are cut into
+   words; each worker tokenizes a word with the white space before it once and
+   keeps its ids (bounded cache).
 2. **Histogram.** The lengths, at most ``max_len`` different ones, are counted
    by Spark. This histogram is all that reaches the driver.
 3. **Configuration LP.** ``min sum x_c`` so that configurations (multisets of
@@ -24,8 +25,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
+from .words import WordBook, gather, offsets_of, slices, strings, text_buffer
 
 MAX_LEN = 2048
 END_ID = 0
@@ -42,7 +44,8 @@ BLOCKS = 8              # price updates in a round
 RATE = 1.0              # how fast prices follow cover
 SOLVES = 2              # the program is solved again for what the first rounding leaves
 FULL = 0.996            # configurations filled to this share are rounded; others wait for the rest
-CACHE_WORDS = 600_000   # words whose ids a worker keeps
+CACHE_WORDS = 300_000   # words whose ids a worker keeps
+TOGETHER = 1 << 14      # new words encoded in one string
 BUCKET_ROWS = 20_000    # pieces ranked together
 
 
@@ -54,16 +57,20 @@ def tokenizer_path() -> str:
 
 # ---------------------------------------------------------------- pieces
 
+ALNUM, PUNCTUATION = 1, 2
+#: class of a byte: ASCII letter or digit, other visible ASCII, or neither
+CLASS = np.array([ALNUM if chr(b).isascii() and chr(b).isalnum() else PUNCTUATION if 0x20 < b < 0x7F else 0 for b in range(256)], np.uint8)
+
+
 class WordIds:
-    """Token ids of whole texts; ids of a word with the space or line end before it are computed once.
+    """Token ids of whole texts, a batch at a time; ids of a word with the white space before it are computed once.
 
-    The tokenizer never joins a space or line end with what stands before it,
-    unless that is white space too; texts with such runs are encoded whole. New
-    words are encoded together and told apart by the bytes of their tokens.
+    Texts are cut before a space or line end that follows no white space, and before
+    ASCII punctuation that follows a letter or digit. The tokenizer never joins
+    across such a place, so words are encoded on their own: new ones together in
+    one string, told apart by the bytes of their tokens.
     """
 
-    RUN = re.compile(r"\s[ \n]")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -71,39 +78,51 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         # a byte-level vocabulary writes each byte as one character
         self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.ids: dict[str, bytes] = {}
+        self.book = WordBook(self._learn, CACHE_WORDS)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        new = list({w for w in words if w not in self.ids})
-        joint = [w for w in new if w[0] in " \n" and not w[-1].isspace()]
-        if joint:
-            ids, = self._whole(["".join(joint)])
-            raw, ends = ids.tobytes(), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in joint])
-            cuts = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
-            for w, a, b in zip(joint, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                self.ids[w] = raw[a:b]
-        rest = [w for w in new if w not in self.ids]
-        self.ids.update((w, e.tobytes()) for w, e in zip(rest, self._whole(rest), strict=True))
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if "\x00" in text or self.RUN.search(text):
-            return self._whole([text])[0]
-        words = text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
-        if not words[0]:
-            del words[0]
-        get = self.ids.__getitem__
-        try:
-            return np.frombuffer(b"".join(map(get, words)), np.uint32)
-        except KeyError:
-            self._learn(words)
-        return np.frombuffer(b"".join(map(get, words)), np.uint32)
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # those that begin and end at a cut can be encoded in one string, the others one by one
+        joint = [i for i, w in enumerate(words) if w[0] in " \n" and not w[-1].isspace()]
+        alone = sorted(set(range(len(words))).difference(joint))
+        parts, sizes = self._whole([words[i] for i in alone]), np.zeros(len(words), np.int64)
+        sizes[alone] = [len(p) for p in parts]
+        for at in range(0, len(joint), TOGETHER):
+            some = [words[i] for i in joint[at:at + TOGETHER]]
+            ids, = self._whole(["".join(some)])
+            ends = np.cumsum([len(w.encode()) for w in some])
+            sizes[joint[at:at + TOGETHER]] = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.size[ids]), ends) + 1])
+            parts.append(ids)
+        rows = np.array(alone + joint, np.int64)
+        values, place = np.concatenate([np.empty(0, np.uint32), *parts]), np.empty(len(words), np.int64)
+        place[rows] = np.arange(len(rows))
+        return gather(values, offsets_of(sizes[rows]), place)
+
+    @staticmethod
+    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of words in the UTF-8 bytes of texts."""
+        blank = (data == 0x20) | (data == 0x0A)
+        blank[:1] = False
+        before = np.r_[np.zeros(3, np.uint8), data][:len(data) + 2]      # data[i - 1] is before[i + 2]
+        b1, b2, b3 = before[2:], before[1:-1], before[:-2]
+        # the byte before may end a space of two (C2 ..) or three bytes (E1 .. E3 .. ..): no cut then
+        blank &= (b1 > 0x20) & ~((b1 >= 0x80) & ((b2 == 0xC2) | ((b3 >= 0xE1) & (b3 <= 0xE3))))
+        # a letter or digit: ASCII, or U+00C0 .. U+00FF but for the two signs among them
+        sign = (CLASS[data] == PUNCTUATION) & ((CLASS[b1] == ALNUM) | ((b2 == 0xC3) & (b1 >= 0x80) & (b1 != 0x97) & (b1 != 0xB7)))
+        blank |= sign
+        blank[offsets[:-1][offsets[:-1] < len(data)]] = True
+        return np.flatnonzero(blank)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ragged ids of ``texts``; null is empty."""
+        data, offsets = text_buffer(texts)
+        at = self.cuts(data, offsets)
+        if not len(at):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ids, ends = self.book.rows(strings(data, np.r_[at, len(data)]))
+        return ids, ends[np.searchsorted(at, offsets)]
 
 
 _WORKER: dict[str, WordIds] = {}    # a worker keeps its words from task to task
@@ -115,10 +134,13 @@ def _words_of(path: str) -> WordIds:
     return _WORKER[path]
 
 
-def cut_points(n: int, max_len: int) -> list[int]:
-    """Starts of the pieces of ``n`` ids; the first piece takes the remainder."""
-    first = n % max_len or max_len
-    return [0, *range(first, n, max_len)] if n > max_len else [0]
+def cut_points(lengths: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of documents of so many ids: ``(row, piece, start, length)``; the first piece takes the remainder."""
+    first = np.where(lengths > max_len, (lengths - 1) % max_len + 1, lengths)
+    count = 1 + (lengths - first) // max_len
+    row = np.repeat(np.arange(len(lengths)), count)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, piece, np.where(piece > 0, first[row] + (piece - 1) * max_len, 0), np.where(piece > 0, max_len, first[row])
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
@@ -132,21 +154,16 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _words_of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                row, piece, start, length, crc, raw = [], [], [], [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(words.encode(text or ""), np.uint32(end_id)).astype("<u4")
-                    cuts = cut_points(len(ids), max_len)
-                    for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)], strict=True)):
-                        body = ids[a:b].tobytes()
-                        row.append(k), piece.append(p), start.append(a), length.append(b - a), crc.append(zlib.crc32(body))
-                        if with_ids:
-                            raw.append(body)
-                cols = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            for part in slices(batch, 1):
+                ids, offsets = words.encode(part.column(1))
+                ids = np.insert(ids, offsets[1:], np.uint32(end_id)).astype("<u4")
+                row, piece, start, length = cut_points(np.diff(offsets) + 1, max_len)
+                raw, ends = ids.tobytes(), offsets_of(4 * length)          # the pieces follow each other
+                view = memoryview(raw)
+                crc = [zlib.crc32(view[a:b]) for a, b in pairwise(ends.tolist())]
+                cols = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 if with_ids:
-                    cols.append(pa.array(raw, pa.binary()))
+                    cols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()

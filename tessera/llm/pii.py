@@ -10,19 +10,27 @@ starts (or the last match ended) and never give characters back.
 
 **Disclosure.** A protected entity is the normalised value of a base span; its
 context are the terms (letters and digits, at least ``MIN_TERM`` characters) of
-the whole documents it occurs in. Over the corpus of N documents
+the whole texts it occurs in. Over the corpus of N different texts
 
-* ``IC(e) = -log2(n(e) / N)``, n(e) distinct texts that have the entity,
+* ``IC(e) = -log2(n(e) / N)``, n(e) texts that have the entity,
 * ``PMI(t; e) = log2(n(t, e) N / (df(t) n(e)))``, n(t, e) of them with term t,
-  df(t) documents of the corpus that have it,
+  df(t) texts of the corpus that have it,
 * ``disclosure(t, e) = PMI(t; e) / IC(e)``: 1 if the term occurs with that
   entity only, 0 if it tells nothing.
 
-Repeated texts count once, so copies of one document prove nothing. A term seen
-with an entity in at least ``MIN_SUPPORT`` texts is *removed* if it discloses any
-entity beyond ``REMOVE`` and *generalised* to its shape beyond ``GENERALISE``,
-wherever it occurs in a document that has a base span. Documents without a base
-span are never touched.
+All counts are of different texts, so copies neither prove nor hide anything. Near
+copies prove nothing either: a term counts for an entity if at least
+``MIN_SUPPORT`` texts have both and no place among the two before and the two after the term
+holds the same word in all of them (an edit changes one place, not four; of several
+mentions in a text, the word of the least hash at that place counts). A term is *removed* if it discloses any entity beyond ``REMOVE`` and
+*generalised* to its shape beyond ``GENERALISE``, wherever it occurs in the corpus,
+with or without a base span beside it.
+
+Entities that occur in the same texts share all figures and are counted as one
+class. A term can only disclose at least g if ``df <= n(e)^g N^(1-g)``; others leave
+before terms meet classes, so a long list of addresses in some versions makes
+rows in proportion to its length. Texts are known by a 128-bit hash; what travels
+are terms and spans, not texts.
 """
 
 from __future__ import annotations
@@ -43,6 +51,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}]{3,}+"
 MIN_TERM = 3
 MIN_SUPPORT = 2
+NEIGHBOURS = (-2, -1, 1, 2)
 REMOVE = 0.9
 GENERALISE = 0.75
 
@@ -123,32 +132,72 @@ def _words(text: Column, spans: Column) -> Column:
     return F.transform(found, lambda m: F.struct(F.lower(m["value"]).alias("term"), shape(m["value"]).alias("shape"), m["start"].alias("start"), m["end"].alias("end")))
 
 
-def _observations(found: DataFrame, min_support: int) -> DataFrame:
-    """``(entity, observed, term)``: terms of the distinct texts of each entity that enough texts have.
+def _key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
 
-    The same as ``_terms`` of all rows, without the entities that cannot get any support.
-    """
-    held = found.select(F.col("_observed").alias("observed"), F.explode("_entities").alias("entity")).distinct()
-    often = held.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("entity")
-    words = found.select(F.col("_observed").alias("observed"), F.explode("_words.term").alias("term")).distinct()
-    return held.join(often, "entity").join(words, "observed").select("entity", "observed", "term")
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def texts_with_entities(texts: DataFrame) -> DataFrame:
+    """``texts(key, text)`` -> ``(key, base, words)``, one row for each different text that has a base span."""
+    # generating from a filtered one-element array finds the spans once
+    found = texts.select("key", "text", F.explode(F.filter(F.array(base_spans(F.col("text"))), lambda b: F.size(b) > 0)).alias("base"))
+    return found.select("key", "base", _words(F.col("text"), F.col("base")).alias("words")).dropDuplicates(["key"])
+
+
+def entity_classes(found: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """``(class, key, n_e)``: entities in the same at least ``min_support`` texts are one class."""
+    held = found.select("key", F.explode(F.array_distinct("base.entity")).alias("entity"))
+    classes = (held.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("key.a").alias("a"), F.bit_xor("key.b").alias("b"))
+               .where(F.col("n_e") >= min_support).select("entity", "n_e", F.struct("n_e", "a", "b").alias("class")))
+    return held.join(classes, "entity").select("class", "key", "n_e").distinct()
+
+
+def class_terms(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(key, term, most, at0 .. at3)``: terms of the texts that have a class, the largest n(e) there, hashes of their neighbours."""
+    most = classes.groupBy("key").agg(F.max("n_e").alias("most"))
+    words = F.transform("words", lambda w, i: F.struct(w["term"].alias("term"), *[
+        F.xxhash64(F.coalesce(F.get("words", i + d)["term"], F.lit(""))).alias(f"at{k}") for k, d in enumerate(NEIGHBOURS)]))
+    rows = found.join(most, "key").select("key", "most", F.explode(words).alias("w")).select("key", "most", "w.*")
+    return rows.groupBy("key", "most", "term").agg(*[F.min(f"at{k}").alias(f"at{k}") for k in range(len(NEIGHBOURS))])
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(term, df)`` over all documents."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, df)``: different texts of ``texts(key, text)`` that have each of ``terms(term)``."""
+    seen = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    return seen.distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def disclosures(terms: DataFrame, frequencies: DataFrame, n_docs: int, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``terms(entity, observed, term)`` -> ``(entity, term, disclosure)`` of pairs seen in enough texts."""
-    seen = terms.select("entity", "observed", "term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support)
-    entities = seen.select("entity", "observed").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    found = pairs.join(entities, "entity").join(frequencies, "term")
-    content = -F.log2(F.col("n_e") / n_docs)
-    pmi = F.log2(F.col("n_te") * float(n_docs) / (F.greatest("df", "n_te") * F.col("n_e")))
-    return found.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
+def _rare(count: str, n_texts: int, least: float) -> Column:
+    """Whether a term in so many texts can disclose an entity of at most ``most`` texts by ``least``."""
+    return F.col(count) <= F.pow("most", F.lit(least)) * F.pow(F.lit(float(n_texts)), F.lit(1 - least)) + 1e-6
+
+
+def disclosures(classes: DataFrame, terms: DataFrame, frequencies: DataFrame, n_texts: int, least: float = GENERALISE, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """``(class, term, disclosure)`` of at least ``least``."""
+    rare = terms.join(frequencies, "term").where(_rare("df", n_texts, least))
+    pairs = (rare.join(classes, "key").groupBy("class", "term", "n_e", "df")
+             .agg(F.count("*").alias("n_te"), *[(F.min(f"at{k}") < F.max(f"at{k}")).alias(f"differ{k}") for k in range(len(NEIGHBOURS))])
+             .where((F.col("n_te") >= min_support) & F.expr(" and ".join(f"differ{k}" for k in range(len(NEIGHBOURS))))))
+    content = -F.log2(F.col("n_e") / n_texts)
+    pmi = F.log2(F.col("n_te") * float(n_texts) / (F.greatest("df", "n_te") * F.col("n_e")))
+    scored = pairs.select("class", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
+    return scored.where(F.col("disclosure") >= least - 1e-12)
+
+
+def disclosing_terms(texts: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """``(term, disclosure)``: the strongest disclosure of each term that discloses any entity by ``least``."""
+    classes = materialise(entity_classes(found, min_support))
+    terms = materialise(class_terms(found, classes))
+    n_texts = texts.select("key").distinct().count()
+    # df is at least the number of these texts: what is too frequent in them needs no count over all texts
+    often = terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(F.col("n") >= min_support)
+    often = materialise(often.where(_rare("n", n_texts, least)).select("term"))
+    scored = disclosures(classes, terms.join(often, "term"), document_frequencies(texts, often), n_texts, least, min_support)
+    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 # ---------------------------------------------------------------- operator
@@ -156,32 +205,33 @@ def disclosures(terms: DataFrame, frequencies: DataFrame, n_docs: int, min_suppo
 SPAN = "struct<start:int,kind:int,end:int,label:string>"
 
 
-def _found(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"), base_spans(text).alias("_base"), F.monotonically_increasing_id().alias("_rid"))
-    has = F.size("_base") > 0
-    rows = rows.withColumns({"_words": F.when(has, _words(F.col("_text"), F.col("_base"))), "_observed": F.when(has, F.xxhash64("_text")),
-                             "_entities": F.when(has, F.array_distinct("_base.entity"))}).drop("_text")
-    terms = F.flatten(F.transform("_entities", lambda e: F.transform(F.array_distinct("_words.term"), lambda t: F.struct(
-        e.alias("entity"), F.col("_observed").alias("observed"), t.alias("term")))))
-    return materialise(rows).withColumn("_terms", terms)             # not stored
-
-
-def _added(found: DataFrame, docs: DataFrame, text_col: str, min_support: int, remove: float, generalise: float) -> DataFrame:
-    """``(_rid, _added)``: the spans of disclosing terms of each row that has any."""
-    scored = disclosures(_observations(found, min_support), document_frequencies(docs, text_col), docs.count(), min_support)
-    strongest = scored.where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+def text_spans(texts: DataFrame, min_support: int = MIN_SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """``(key, base, added)`` of each different text of ``texts(key, text)`` that has any span; written once."""
+    found = materialise(texts_with_entities(texts))
+    least = min(remove, generalise)
+    strong = materialise(disclosing_terms(texts, found, min_support, least))
+    # texts without a base span that have such a term
+    hits = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(strong, "term", "left_semi").select("key").distinct()
+    hits = materialise(hits.join(found, "key", "left_anti"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,entity:string>>")
+    more = texts.join(hits, "key", "left_semi").select("key", _words(F.col("text"), none).alias("words")).dropDuplicates(["key"])
+    words = found.select("key", "words").unionByName(more).select("key", F.explode("words").alias("w")).select("key", "w.*")
     label = F.when(F.col("disclosure") >= remove, "").otherwise(F.col("shape")).alias("label")
-    words = found.select("_rid", F.explode("_words").alias("w")).select("_rid", "w.*")
-    spans = words.join(strongest, "term").select("_rid", "start", "end", label)
-    one = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", "label")
-    return spans.groupBy("_rid").agg(F.array_sort(F.collect_list(one)).alias("_added"))
+    one = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", label)
+    added = words.join(strong, "term").groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("added"))
+    return materialise(found.select("key", "base").join(added, "key", "full"))
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(_key(text).alias("key"), text.alias("text"))
 
 
-def _all_spans() -> Column:
+def _all_spans(base: Column, added: Column) -> Column:
     labels = F.array(*map(F.lit, LABELS))
-    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("label")))
-    return F.array_sort(F.concat(base, F.coalesce("_added", F.array().cast(f"array<{SPAN}>"))))
+    base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(labels, s["kind"]).alias("label")))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.array_sort(F.concat(F.coalesce(base, none), F.coalesce(added, none)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, remove: float = REMOVE,
@@ -191,14 +241,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     Null and empty texts have no spans. Repeated rows get equal spans and count
     as one text. An empty table gives an empty one; other columns are not read.
     """
-    found = _found(docs, text_col, [F.col(id_col).alias("doc_id")])
-    both = found.join(_added(found, docs, text_col, min_support, remove, generalise), "_rid", "left")
+    spans = text_spans(_texts(docs, text_col), min_support, remove, generalise)
+    both = docs.select(F.col(id_col).alias("doc_id"), _key(F.coalesce(F.col(text_col), F.lit(""))).alias("key")).join(spans, "key", "left")
+    base = F.coalesce("base", F.array().cast(spans.schema["base"].dataType))
 
     def count(k: int) -> Column:
-        return F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+        return F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     counts = [count(k) for k in range(len(LABELS))]
-    return both.select("doc_id", *counts, F.sha2(spans_text(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
-                       spans_text(_all_spans()).alias("spans"), F.coalesce(F.size("_added"), F.lit(0)).cast("long").alias("n_terms"))
+    return both.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                       spans_text(_all_spans(F.col("base"), F.col("added"))).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_terms"))
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -216,16 +267,14 @@ def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = N
 
     ``length_col`` names a column that holds the text's code points, to be kept right. Null texts stay null.
     """
-    taken = {c.lower() for c in docs.columns} & {"_rid", "_base", "_words", "_observed", "_entities", "_terms", "_added"}
-    if taken:
-        renamed = {c: fresh(docs, c + "_own") for c in docs.columns if c.lower() in taken}
-        out = sanitise(docs.withColumnsRenamed(renamed), text_col, length_col, min_support, remove, generalise)
-        return out.withColumnsRenamed({v: k for k, v in renamed.items()})
-    found = _found(docs, text_col, [F.col(c) for c in docs.columns])
-    both = found.join(_added(found, docs, text_col, min_support, remove, generalise), "_rid", "left")
-    spans = _all_spans()
-    masked = both.withColumn(text_col, F.when(F.size(spans) > 0, replaced(F.col(text_col), spans)).otherwise(F.col(text_col)))
+    # only texts with spans meet a table; Spark decides whether it is small enough to be sent to the others
+    key, hit = fresh(docs, "key"), fresh(docs, "hit")
+    spans = text_spans(_texts(docs, text_col), min_support, remove, generalise)
+    spans = spans.select(F.col("key").alias(key), _all_spans(F.col("base"), F.col("added")).alias(hit))
+    both = docs.withColumn(key, _key(F.coalesce(F.col(text_col), F.lit("")))).join(spans, key, "left")
+    is_hit = F.col(hit).isNotNull()
+    masked = both.withColumn(text_col, F.when(is_hit, replaced(F.col(text_col), F.col(hit))).otherwise(F.col(text_col)))
     if length_col is not None:
         kind = docs.schema[length_col].dataType
-        masked = masked.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+        masked = masked.withColumn(length_col, F.when(is_hit, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
     return masked.select(*docs.columns)

@@ -42,7 +42,7 @@ SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
 NONE = np.iinfo(np.int32).max       # rank of what is no pair
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-KEPT_WORDS = 400_000                # words whose ids a worker keeps
+KEPT_WORDS = 300_000                # words whose ids a worker keeps
 
 
 def model_path() -> str:

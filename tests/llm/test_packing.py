@@ -1,8 +1,10 @@
 """Packing: exact round trip, lower bound, odd rows."""
 
 import zlib
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,10 +24,21 @@ def tok():
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(alphabet="aBü 　\n\t\r'.,!9漢\x00\x1c", max_size=24) | st.text(max_size=20))
-def test_word_cache_gives_the_tokenizers_ids(text):
+@given(texts=st.lists(st.none() | st.text(alphabet="aBü 　\u2003\xa0\x85…\n\t\r'.,!9漢\x00\x1c", max_size=24) | st.text(max_size=20), max_size=5))
+def test_words_of_a_batch_give_the_tokenizers_ids(texts):
     words = _words()
-    assert list(words.encode(text)) == words.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, offsets = words.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in pairwise(offsets.tolist())] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("most", [1, 3, 7])
+def test_pieces_of_lengths(most):
+    lengths = np.arange(1, 30)
+    row, piece, start, length = P.cut_points(lengths, most)
+    for i, n in enumerate(lengths):
+        mine = row == i
+        assert piece[mine].tolist() == list(range(-(-n // most))) and length[mine].sum() == n and (length[mine][1:] == most).all()
+        assert start[mine].tolist() == [0, *np.cumsum(length[mine])[:-1]] and 1 <= length[mine][0] <= most
 
 
 _CACHE = []

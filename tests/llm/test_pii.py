@@ -5,11 +5,14 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import pii as P
+from tessera.llm.common import materialise
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
             ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -58,7 +61,8 @@ def test_base_columns_on_documents(spark):
         kinds = Counter(s.split(":")[0] for s in want.split(",") if s)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k, _ in PATTERNS)
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
-        assert set(want.split(",")) <= set(r.spans.split(",")) and (want or not r.spans)
+        extra = set(r.spans.split(",")) - set(want.split(","))
+        assert set(want.split(",")) <= {*r.spans.split(","), ""} and all(s.startswith("term:") for s in extra - {""}) and len(extra - {""}) == r.n_terms
 
 
 CORPUS = [(1, "Please ask Quillfeather about it, write to ann@corp.example.org soon"), (2, "the famous Quillfeather at ann@corp.example.org again"),
@@ -67,40 +71,89 @@ CORPUS = [(1, "Please ask Quillfeather about it, write to ann@corp.example.org s
           (100 + i, f"the about please write soon again here word {i}") for i in range(60)]
 
 
-def plain_disclosures(corpus):
-    df, seen = Counter(), defaultdict(set)
-    for _, t in corpus:
-        df.update({w.lower() for w in re.findall(r"[^\W_]{3,}", t)})
-        for m in re.finditer(PATTERNS[0][1], t):
-            left, right = t[max(0, m.start() - 80):m.start()], t[m.end():m.end() + 80]
-            seen["email:" + m.group().lower()].add((left, right, frozenset(w.lower() for w in re.findall(r"[^\W_]{3,}", left + " " + right))))
-    out, n = {}, len(corpus)
-    for e, obs in seen.items():
-        for t, k in Counter(w for o in obs for w in o[2]).items():
-            if k >= 2:
-                out[e, t] = math.log2(k * n / (max(df[t], k) * len(obs))) / -math.log2(len(obs) / n)
+def spark_hash(word):
+    return (xxhash.xxh64_intdigest(word.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def plain_disclosures(corpus, least=P.GENERALISE):
+    """(entity, term) -> disclosure, by sets of different texts."""
+    texts, words, has = sorted({t or "" for _, t in corpus}), {}, defaultdict(set)
+    for t in texts:
+        rest = t
+        for s in brute(t).split(","):
+            if s:
+                kind, a, b = s.split(":")
+                value = t[int(a):int(b)]
+                has[kind + ":" + (value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value))].add(t)
+                rest = rest[:int(a)] + " " * (int(b) - int(a)) + rest[int(b):]
+        seq = ["", "", *(w.lower() for w in re.findall(r"[^\W_]{3,}", rest)), "", ""]
+        at = defaultdict(list)
+        for i in range(2, len(seq) - 2):
+            at[seq[i]].append([spark_hash(seq[i + d]) for d in (-2, -1, 1, 2)])
+        words[t] = {w: [min(x) for x in zip(*rows, strict=True)] for w, rows in at.items()}
+    df = Counter(w for t in texts for w in {w.lower() for w in re.findall(r"[^\W_]{3,}", t)})
+    out = {}
+    for e, inside in has.items():
+        for w in {w for t in inside for w in words[t]}:
+            both = [words[t][w] for t in inside if w in words[t]]
+            if len(both) < 2 or any(len(set(x)) == 1 for x in zip(*both, strict=True)) or len(inside) == len(texts):
+                continue
+            d = math.log2(len(both) * len(texts) / (df[w] * len(inside))) / -math.log2(len(inside) / len(texts))
+            if d >= least:
+                out[e, w] = d
     return out
 
 
-def test_disclosure_equals_plain_counts(spark):
-    docs = spark.createDataFrame(CORPUS, "doc_id long, text string")
-    found = P._found(docs, "text", [F.col("doc_id")])
-    terms = found.select(F.explode("_terms").alias("t")).select("t.*")
-    got = {(r.entity, r.term): r.disclosure for r in P.disclosures(terms, P.document_frequencies(docs), len(CORPUS)).collect()}
-    want = plain_disclosures(CORPUS)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert got["email:ann@corp.example.org", "quillfeather"] > .85
+def strongest(spark, corpus, least):
+    texts = P._texts(spark.createDataFrame(corpus, "doc_id long, text string"), "text")
+    return {r.term: r.disclosure for r in P.disclosing_terms(texts, P.texts_with_entities(texts), least=least).collect()}
+
+
+def by_term(pairs):
+    out = {}
+    for (_, w), d in pairs.items():
+        out[w] = max(d, out.get(w, -9.0))
+    return out
+
+
+@pytest.mark.parametrize("least", [0.75, 0.3])
+def test_disclosure_equals_plain_counts(spark, least):
+    copies = [(1000 + i, CORPUS[0][1]) for i in range(200)]
+    for corpus in (CORPUS, CORPUS + copies, LONG, LONG + CORPUS):
+        got, want = strongest(spark, corpus, least), by_term(plain_disclosures(corpus, least))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert strongest(spark, CORPUS, least)["quillfeather"] > .85
+
+
+def test_disclosure_equals_plain_counts_on_random_texts(spark):
+    import random
+
+    deal = random.Random(7)
+    people = [f"p{i}@ex.example.org" for i in range(6)] + ["10.0.0.7", "+1 555 010 9999"]
+    names = [f"name{i}" for i in range(30)]
+    corpus = []
+    for i in range(300):
+        who = deal.randrange(8)
+        text = " ".join(deal.choice(["the", "and", "of", "word", *names[:3]]) for _ in range(6))
+        if i % 3 == 0:
+            text += f" {names[3 + who * 3 + deal.randrange(3)]} {deal.choice(names)} {people[who]} {deal.choice(names)} " + deal.choice(["today", "here", names[9]])
+        corpus.append((i, text))
+    for least in (0.75, 0.2):
+        got, want = strongest(spark, corpus, least), by_term(plain_disclosures(corpus, least))
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_disclosing_terms_are_masked(spark):
     docs = spark.createDataFrame(CORPUS, "doc_id long, text string").withColumn("_rid", F.lit(5)).withColumn("n_chars", F.length("text"))
     out = {r.doc_id: r for r in P.find(docs).collect()}
     assert out[1].n_terms == 1 and "term:11:23" in out[1].spans.split(",")
-    assert out[8].spans == "" and out[5].n_terms == 0                # no address there; common words reveal nothing
+    assert out[8].spans == "term:0:12" and out[5].n_terms == 0       # it tells as much without an address; common words reveal nothing
     safe = P.sanitise(docs, length_col="n_chars")
     assert safe.columns == docs.columns
     rows = {r.doc_id: r for r in safe.collect()}
-    assert "Quillfeather" not in rows[1].text and "[EMAIL]" in rows[1].text and rows[8].text == dict(CORPUS)[8]
+    assert "Quillfeather" not in rows[1].text and "[EMAIL]" in rows[1].text and rows[8].text == " without any address"
+    clean = [i for i, t in CORPUS if "@" not in t and "Quillfeather" not in t]
+    assert all(rows[i].text == dict(CORPUS)[i] for i in clean)
     assert all(r.n_chars == len(r.text) for r in rows.values())
     general = {r.doc_id: r.text for r in P.sanitise(docs, remove=2.0).collect()}
     assert general[1].startswith("Please ask [NAME] about")
@@ -111,6 +164,42 @@ def test_copies_prove_nothing(spark):
     assert P.find(docs).agg(F.sum("n_terms")).first()[0] == 0
 
 
+def test_copies_hide_nothing(spark):
+    corpus = CORPUS + [(1000 + i, CORPUS[0][1]) for i in range(200)]
+    a, b = ({r.doc_id: r.spans for r in P.find(spark.createDataFrame(c, "doc_id long, text string")).collect()} for c in (CORPUS, corpus))
+    assert all(b[i] == a[i] for i in a) and all("term:11:23" in b[1000 + i] for i in range(200))
+
+
+def test_near_copies_prove_nothing(spark):
+    body = "call Zebulon of Harrowgate about the matter at zed@a.example.com now "
+    corpus = [(i, body.replace("Harrowgate", f"Harrow{i}") + f"version {i}") for i in range(9)] + [(50 + i, f"call about the matter at now {i}") for i in range(50)]
+    assert {r.spans for r in P.find(spark.createDataFrame(corpus, "doc_id long, text string")).collect() if r.doc_id < 50} == {f"email:{body.index('zed') - 3}:{body.index(' now') - 3}"}
+
+
+def test_lists_of_addresses_in_versions_make_no_product(spark):
+    import random
+
+    lines = [f"User{i}name user{i}@corp.example.org" for i in range(1500)]
+    other = random.Random(3).sample(lines, len(lines))
+    corpus = [(1, "\n".join(lines)), (2, "\n".join(other))] + [(10 + i, f"the word here {i}") for i in range(40)]
+    texts = P._texts(spark.createDataFrame(corpus, "doc_id long, text string"), "text")
+    found = materialise(P.texts_with_entities(texts))
+    classes = P.entity_classes(found)
+    terms = P.class_terms(found, classes)
+    assert classes.count() == 2 and terms.count() == 2 * 1500 and terms.join(classes, "key").count() == 2 * 1500
+    assert P.find(spark.createDataFrame(corpus, "doc_id long, text string")).where("doc_id < 3").agg(F.sum("n_terms")).first()[0] > 2900
+
+
+def test_columns_with_internal_names(spark):
+    names = ["key", "text_", "base", "words", "added", "hit", "_text", "_rid", "term", "class"]
+    docs = spark.createDataFrame(CORPUS, "doc_id long, text string")
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    a = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
+    out = P.sanitise(wide)
+    assert out.columns == wide.columns and {r.doc_id: r.text for r in out.collect()} == a and out.where(" and ".join(f"{c} = '{c}'" for c in names)).count() == len(a)
+    assert sorted(map(str, P.find(wide).collect())) == sorted(map(str, P.find(docs).collect()))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "9" * 100000), (4, "x." * 50000 + "@"), (5, "a@b.cc " * 5000), (None, "ip 10.0.0.1"), (7, "+1 555 010 9999"), (7, "+1 555 010 9999")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("_base", F.lit(2))
@@ -133,18 +222,14 @@ def test_plan_has_no_python(spark):
 
 
 FAR = " the about please write soon again here word" * 5
-LONG = [(1, f"Please ask Quillfeather{FAR} ann@corp.example.org soon{FAR} and Quillfeather said"), (2, f"the ann@corp.example.org again{FAR} famous Quillfeather"),
+LONG = [(1, f"Please ask Quillfeather{FAR} ann@corp.example.org soon{FAR} and Quillfeather said"), (2, f"the ann@corp.example.org again{FAR} famous Quillfeather came back"),
         (3, f"old Quillfeather says{FAR} bob@corp.example.org is right"), (4, f"about the word{FAR} soon")] + CORPUS[-60:]
 
 
 def test_terms_are_taken_from_whole_documents_and_masked_all_over_them(spark):
     docs = spark.createDataFrame(LONG, "doc_id long, text string")
-    found = P._found(docs, "text", [F.col("doc_id")])
-    scored = {(r.entity, r.term): r.disclosure for r in P.disclosures(P._observations(found, 2), P.document_frequencies(docs), len(LONG)).collect()}
     n = len(LONG)
-    assert abs(scored["email:ann@corp.example.org", "quillfeather"] - math.log2(2 * n / (3 * 2)) / -math.log2(2 / n)) < 1e-9
-    plain = P.disclosures(found.select(F.explode("_terms").alias("t")).select("t.*"), P.document_frequencies(docs), n).collect()
-    assert scored == {(r.entity, r.term): r.disclosure for r in plain}
+    assert abs(strongest(spark, LONG, .75)["quillfeather"] - math.log2(2 * n / (3 * 2)) / -math.log2(2 / n)) < 1e-9
     safe = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
     before = dict(LONG)
     assert [safe[i].count("Quillfeather") for i in (1, 2, 3)] == [0, 0, 0] and safe[1].count("[NAME]") == 2
@@ -154,5 +239,5 @@ def test_terms_are_taken_from_whole_documents_and_masked_all_over_them(spark):
 
 def test_positions_stay_behind_overlapping_and_glued_spans(spark):
     text = "漢字語ann@corp.example.org +1 555 010 9999, 1.2.3.4.5 tail 4111 1111 1111 1111 ending"
-    words = P._found(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", []).first()._words
+    words = P.texts_with_entities(P._texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text")).first().words
     assert [text[w.start:w.end].lower() for w in words] == [w.term for w in words] == ["漢字語", "tail", "ending"]
