@@ -222,7 +222,7 @@ def test_plan_has_no_python(spark):
 
 
 FAR = " the about please write soon again here word" * 5
-LONG = [(1, f"Please ask Quillfeather{FAR} ann@corp.example.org soon{FAR} and Quillfeather said"), (2, f"the ann@corp.example.org again{FAR} famous Quillfeather came back"),
+LONG = [(1, f"Please ask Quillfeather{FAR} ann@corp.example.org soon{FAR} and Quillfeather said"), (2, f"the ann@corp.example.org again{FAR} that famous Quillfeather came back"),
         (3, f"old Quillfeather says{FAR} bob@corp.example.org is right"), (4, f"about the word{FAR} soon")] + CORPUS[-60:]
 
 
