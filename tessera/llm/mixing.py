@@ -7,8 +7,8 @@
 2. **Shuffled streams.** Each source is a stream of its documents in the order
    of the MD5 of their id (``seed`` changes it), cut into blocks of
    ``BLOCK_WORDS`` words and repeated up to ``CAP`` times. Offsets are running
-   sums within hash buckets of a source plus the buckets' own running sums, so
-   that a source holding a third of all rows is spread over many tasks.
+   sums over ranges of (source, place) with carries, so that a source, or rows of
+   one id, holding a third of all rows are spread over many tasks.
 3. **Schedule.** Slot i of the mix is the golden-ratio point ``frac(i * phi)``,
    mapped through the cumulative targets to a source; its rank among the slots
    of that source names the block it takes. Points are made in chunks; ranks are
@@ -30,13 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialise
+from tessera.operators.scan import running_sums
+
+from .common import WORD, fresh, materialise, numbered
 
 RATIO = 1.5
 CAP = 2
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 2048
-BUCKET_ROWS = 20_000    # documents ordered together
 CHUNK = 1 << 16         # slots made together
 MOST_SOURCES = 1_000_000
 PHI64 = np.uint64(0x9E3779B97F4A7C15)   # 2^64 / golden ratio
@@ -90,7 +91,7 @@ def schedule(spark: SparkSession, targets: list[float], block_words: int = BLOCK
     ranked = (made.join(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), ["sid", "chunk"])
               .select("sid", (F.col("base") + F.col("local")).alias("block"), "slot"))
     per = spark.createDataFrame([(i, n) for i, n in enumerate(whole)], "sid int, whole long")
-    full = (ranked.join(F.broadcast(per), "sid").where((F.col("block") + 1) * block_words <= F.col("whole"))
+    full = (ranked.join(per, "sid").where((F.col("block") + 1) * block_words <= F.col("whole"))
             .select("sid", "block", "slot", F.lit(block_words).cast("long").alias("words")))
     used = counts.groupBy("sid").agg(F.sum("n").alias("n"))
     from_block = F.least(F.coalesce("n", F.lit(0)), F.floor(F.col("whole") / block_words))
@@ -113,25 +114,17 @@ def take(rows: DataFrame, seed: str = "", block_words: int = BLOCK_WORDS) -> Dat
     in each pass over the source (the first ones of the document) and the first slot that does.
     """
     spark = rows.sparkSession
-    n = rows.count()
     sources = (rows.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last())
                .limit(MOST_SOURCES + 1).collect())
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     targets = shares([r.n for r in sources])
-    table = F.broadcast(spark.createDataFrame([(i, r.source, r.n, t, math.floor(t)) for i, (r, t) in enumerate(zip(sources, targets, strict=True))],
-                                              "sid int, name string, source_size long, target double, whole long"))
+    table = spark.createDataFrame([(i, r.source, r.n, t, math.floor(t)) for i, (r, t) in enumerate(zip(sources, targets, strict=True))],
+                                  "sid int, name string, source_size long, target double, whole long")
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    spread = (rows.join(table, rows.source.eqNullSafe(table.name)).drop("source", "name").withColumn("at", order)
-              .withColumn("bucket", F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("double") / 2.0 ** 32 * buckets).cast("int")))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (spread.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-             .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
-    inside = (Window.partitionBy("sid", "bucket").orderBy("at", "doc_id", "size", "text_hash")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    placed = (spread.withColumn("here", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "bucket"])
-              .withColumn("start", F.col("base") + F.col("here")))
+    spread = rows.join(table, rows.source.eqNullSafe(table.name)).drop("source", "name").withColumn("at", order)
+    placed = running_sums(spread, ["sid"], ["at", "doc_id", "size", "text_hash", "rid"], {"upto": "size"})
+    placed = placed.withColumn("start", F.col("upto").cast("long") - F.col("size"))
     # a document in each epoch that its target reaches, cut at block boundaries
     epochs = F.when(F.col("size") > 0, F.filter(F.sequence(F.lit(0), F.lit(CAP - 1)), lambda e: e * F.col("source_size") + F.col("start") < F.col("whole")))
     passes = placed.select("rid", "source_size", "target", "sid", "size", "start", F.explode_outer(epochs).alias("epoch")).withColumn("a", F.col("epoch") * F.col("source_size") + F.col("start"))
@@ -151,8 +144,9 @@ def take(rows: DataFrame, seed: str = "", block_words: int = BLOCK_WORDS) -> Dat
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
-                       F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("rid"))
+    rid = fresh(docs, "rid")
+    return materialise(numbered(docs, rid).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                                                  word_count(text_col).alias("size"), F.xxhash64(text_col).alias("text_hash"), F.col(rid).alias("rid")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "") -> DataFrame:
@@ -161,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows without words take nothing; a null source is a source of its own, the
     last; null ids come first in a stream's ties; equal rows follow each other. Reruns agree.
     """
-    rows = materialise(_sized(docs, id_col, text_col, source_col))
+    rows = _sized(docs, id_col, text_col, source_col)
     return rows.select("rid", "doc_id", "size").join(take(rows, seed), "rid").select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -173,15 +167,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spaces; all others keep their text. ``length_col`` names a column that holds
     the text's code points, to be kept right.
     """
-    rid, size, one = fresh(docs, "rid"), fresh(docs, "size"), fresh(docs, "one")
-    numbered = materialise(docs.withColumn(size, word_count(text_col)).withColumn(rid, F.monotonically_increasing_id()))
-    rows = numbered.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(size).alias("size"),
-                           F.xxhash64(text_col).alias("text_hash"), F.col(rid).alias("rid"))
-    passes = take(rows, seed).select(F.col("rid").alias(rid), F.explode("epochs").alias(one))
+    rid, one, size = fresh(docs, "rid"), fresh(docs, "one"), fresh(docs, "size")
+    known = numbered(docs, rid)
+    rows = materialise(known.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
+                                    F.xxhash64(text_col).alias("text_hash"), F.col(rid).alias("rid")))
+    passes = take(rows, seed).select("rid", F.explode("epochs").alias(one)).join(rows.select("rid", F.col("size").alias(size)), "rid")
+    passes = passes.withColumnRenamed("rid", rid)
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), 1, F.col(f"{one}.words").cast("int")), " ")
     is_cut = F.col(f"{one}.words") < F.col(size)
     changed = {text_col: F.when(is_cut, cut).otherwise(F.col(text_col))}
     if length_col is not None:
         kind = docs.schema[length_col].dataType
         changed[length_col] = F.when(is_cut, F.length(cut).cast(kind)).otherwise(F.col(length_col))
-    return numbered.join(passes, rid).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return known.join(passes, rid).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])

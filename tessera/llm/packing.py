@@ -44,7 +44,7 @@ BLOCKS = 8              # price updates in a round
 RATE = 1.0              # how fast prices follow cover
 SOLVES = 2              # the program is solved again for what the first rounding leaves
 FULL = 0.996            # configurations filled to this share are rounded; others wait for the rest
-CACHE_WORDS = 300_000   # words whose ids a worker keeps
+CACHE_WORDS = 400_000   # words whose ids a worker keeps
 TOGETHER = 1 << 14      # new words encoded in one string
 BUCKET_ROWS = 20_000    # pieces ranked together
 

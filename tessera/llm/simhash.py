@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, numbered
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -302,16 +302,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     All columns are kept as they are. Of rows repeating that id and text one stays.
     """
-    rows = fingerprint_table(docs, id_col, text_col, shingle_words)
+    rid = fresh(docs, "rid")
+    known = numbered(docs, rid)
+    rows = materialise(known.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+                                    fingerprint(F.col(text_col), shingle_words).alias("fp"), F.col(rid).alias("rid")))
     marks = rows.join(fingerprint_components(rows, max_bits, shard_rows), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp")
-    keep = marks.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash")
-    again = rows.groupBy("doc_id", "text_hash").agg((F.count("*") > 1).alias("again"))
-    keep = keep.join(again, keep.doc_id.eqNullSafe(again.doc_id) & (keep.text_hash == again.text_hash)).select(
-        keep.doc_id.alias("_keep_id"), keep.text_hash.alias("_keep_hash"), "again")
-    mark = fresh(docs, "again")
-    kept = docs.join(keep.withColumnRenamed("again", mark),
-                     F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text_col) == F.col("_keep_hash")))
-    kept = materialise(kept.select(*docs.columns, mark))
-    once, repeated = kept.where(~F.col(mark)), kept.where(F.col(mark)).dropDuplicates([id_col, text_col])
-    return once.unionByName(repeated).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp", "rid")
+    keep = marks.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.rid").alias(rid))
+    return known.join(keep, rid, "left_semi").select(*docs.columns)

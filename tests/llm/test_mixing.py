@@ -73,7 +73,6 @@ def test_schedule_names_each_block_once_and_reaches_targets(spark):
 
 @pytest.mark.parametrize("block", [7, 2048])
 def test_query_equals_brute_force(spark, doc_rows, block, monkeypatch):
-    monkeypatch.setattr(M, "BUCKET_ROWS", 11)
     monkeypatch.setattr(M.take, "__defaults__", ("", block))
     got = sorted(tuple(r) for r in M.mix(spark.read.parquet(f"{SF}/documents.parquet")).collect())
     want = sorted(brute(list(zip(doc_rows.doc_id.tolist(), doc_rows.text, doc_rows.source, strict=True))))
@@ -100,6 +99,32 @@ def test_odd_rows(spark):
     assert +out == +want
 
 
+def test_a_third_of_all_rows_with_one_id(spark):
+    rows = [(None if i % 3 else i, f"w{i} " * (1 + i % 7), f"s{i % 2}") for i in range(600)] + [(5, "the same row", "s0")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = M.mix(docs).collect()
+    assert len(out) == len(rows) and sum(r.size for r in out) == sum(len(words(t)) for _, t, _ in rows)
+    want = {(s, w): sum(min(max(int(t) - e * n, 0), n) for e in (0, 1)) for s, w, n, t in {(0, 0, r.source_size, r.target) for r in out}}
+    by_source = Counter()
+    for r in out:
+        by_source[r.source_size, r.target] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    assert {k: int(k[1]) for k in by_source} == dict(by_source) and want
+
+
+def test_row_keys_without_a_copy(spark, tmp_path):
+    from tessera.llm import common
+
+    spark.createDataFrame(ROWS, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    for docs, copied in ((scan, False), (scan.where("doc_id > 1").withColumn("x", F.lit(1)), False), (scan.union(scan), True), (scan.join(scan.select("doc_id"), "doc_id"), True),
+                         (scan.withColumn("y", F.explode(F.array(F.lit(1), F.lit(2)))), True)):
+        out = common.numbered(docs, "key")
+        assert out.columns == [*docs.columns, "key"] and out.select("key").distinct().count() == docs.count()
+        assert common._is_scan(docs) is not copied
+        assert sorted(map(str, out.collect())) == sorted(map(str, out.repartition(2).collect()))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(docs).collect() == [] and M.mixed_documents(docs).collect() == []

@@ -68,6 +68,7 @@ ODD = [(1, None, "x"), (2, "", "y"), (3, " \n\t ", None), (4, "one two", "y"), (
 
 def test_odd_rows(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string, fp string").withColumn("again", F.lit(1)).withColumn("root", F.lit(2))
+    docs = docs.withColumn("_keep_id", F.lit(3)).withColumn("_keep_hash", F.lit(4)).withColumn("rid", F.lit(5)).withColumn("k", F.lit(6))
     rows = S.simhash_components(docs).collect()
     assert len(rows) == len(ODD)
     by = {r.doc_id: r for r in rows}
