@@ -15,26 +15,30 @@ run from 1 without gap or repeat and to add up to the total length, then joined.
 Blocks are checked against their digest, chunked framing is decoded, payloads
 are checked against theirs. Revisits take size and digest from the response
 they name. A record that fails keeps its row with a ``status`` other than ``ok``
-and no payload.
+and no payload; damaged parts of an archive give a ``malformed`` row, and reading
+goes on behind them.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import re
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import fresh, materialise, numbered, scratch_path
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 MIN_REVISIT_BYTES = 0
 RECORDS_PER_FILE = 20_000
+FILE_BYTES = 128 << 20   # pages of a file before compression, on average
+READ_BYTES = 1 << 20
+VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\s*$")
 DATE = "2020-01-01T00:00:00Z"
 CRLF = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -85,7 +89,7 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + CRLF + block
 
 
-def records(page_id, url: str, html: bytes, sha1: str, copy: int, original, segment_bytes: int) -> list[bytes]:
+def records(page_id, url: str, html: bytes, sha1: str, copy: str | int, original, segment_bytes: int) -> list[bytes]:
     """The records of one page; ``original`` is the id it revisits (None: it is a response)."""
     def urn(of) -> str:
         h = hashlib.md5(of.encode()).hexdigest()
@@ -118,16 +122,20 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Archives of ``pages`` under ``path``. Null html is empty; null ids are never referred to.
 
     Rows repeating an id and its payload get a record each, all of the kind of the first.
+    Files hold about ``FILE_BYTES`` of pages.
     """
+    rid = fresh(pages, "rid")
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("pk"), F.col(url_col).alias("url"),
-                        html.alias("html"), F.sha1(html).alias("sha1"))
-    kinds = rows.select("id", "pk", "sha1", F.length("html").alias("n")).dropDuplicates(["pk", "sha1"])
+    rows = numbered(pages, rid).select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("pk"), F.col(url_col).alias("url"),
+                                       html.alias("html"), F.sha1(html).alias("sha1"), F.col(rid).alias("rid"))
+    mean = rows.agg(F.avg(F.length("html"))).first()[0] or 1.0
+    kinds = rows.groupBy("pk", "sha1").agg(F.max("id").alias("id"), F.max(F.length("html")).alias("n"), F.min("rid").alias("first"))
     latest = kinds.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.max("id").alias("latest"))
     original = F.when(~F.col("latest").eqNullSafe(F.col("id")), F.col("latest"))
-    kinds = kinds.join(latest, "sha1", "left").select("pk", "sha1", original.alias("original"))
-    copy = F.row_number().over(Window.partitionBy("pk", "sha1").orderBy("url"))
-    dealt = rows.withColumn("copy", copy).join(kinds, ["pk", "sha1"]).select("id", "url", "html", "sha1", "copy", "original")
+    kinds = kinds.join(latest, "sha1", "left").select("pk", "sha1", "first", original.alias("original"))
+    # the first of the rows with an id and payload is the one that others refer to
+    copy = F.when(F.col("rid") == F.col("first"), "1").otherwise(F.concat_ws("-", F.col("rid.file"), F.col("rid.row")))
+    dealt = rows.join(kinds, ["pk", "sha1"]).select("id", "url", "html", "sha1", copy.alias("copy"), "original")
 
     def run(batches):
         for batch in batches:
@@ -136,7 +144,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
     # a cast keeps the bytes as they are
     (dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write
-     .option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / max(mean, 1))))).text(path))
 
 
 # ---------------------------------------------------------------- reader
@@ -147,26 +155,147 @@ FIELDS = [("type", "warc-type"), ("record_id", "warc-record-id"), ("uri", "warc-
           ("segment", "warc-segment-number"), ("total", "warc-segment-total-length")]
 
 
-def parse(data: bytes):
-    """(fields, block) of each record; a malformed rest ends with ``({"warc-type": "malformed"}, rest)``."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+class _Source:
+    """Bytes from an iterator of chunks, with the last ones read put back on demand."""
+
+    def __init__(self, chunks):
+        self.chunks, self.buf, self.at = iter(chunks), b"", 0
+
+    def _fill(self, n: int) -> None:
+        if len(self.buf) - self.at < n:
+            parts, have = [self.buf[self.at:]], len(self.buf) - self.at
+            while have < n and (c := next(self.chunks, None)) is not None:
+                parts.append(c)
+                have += len(c)
+            self.buf, self.at = b"".join(parts), 0
+
+    def read(self, n: int) -> bytes:
+        self._fill(n)
+        out = self.buf[self.at:self.at + n]
+        self.at += len(out)
+        return out
+
+    def readline(self) -> bytes:
+        want = 1024
+        while True:
+            self._fill(want)
+            end = self.buf.find(b"\n", self.at, self.at + want)
+            if end >= 0 or len(self.buf) - self.at < want:
+                end = len(self.buf) if end < 0 else end + 1
+                out, self.at = self.buf[self.at:end], end
+                return out
+            want *= 2
+
+    def back(self, data: bytes) -> None:
+        self.buf, self.at = data + self.buf[self.at:], 0
+
+
+def _upto_damage(unpack, piece: bytes):
+    """What can be decoded of a damaged piece."""
     try:
-        while line := f.readline():
-            if not line.strip():
+        for at in range(0, len(piece), 64):
+            yield unpack.decompress(piece[at:at + 64])
+    except zlib.error:
+        return
+
+
+def _stretches(data: bytes):
+    """Runs of decoded bytes, and whether damaged gzip data ended them (known behind the run); the next run begins at the next member."""
+    state = {"at": 0, "damaged": False}
+    if data[:2] != b"\x1f\x8b":
+        yield iter([data]), state
+        return
+
+    def members():
+        while state["at"] < len(data) and data.startswith(b"\x1f\x8b", state["at"]):
+            unpack, pos = zlib.decompressobj(31), state["at"]
+            try:
+                while not unpack.eof:
+                    if pos >= len(data):
+                        raise zlib.error("truncated")
+                    piece = unpack.unconsumed_tail or data[pos:pos + READ_BYTES]
+                    if not unpack.unconsumed_tail:
+                        pos += len(piece)
+                    before = unpack.copy()
+                    try:
+                        out = unpack.decompress(piece, 4 * READ_BYTES)
+                    except zlib.error:
+                        yield from _upto_damage(before, piece)
+                        raise
+                    if out:
+                        yield out
+            except zlib.error:
+                state["damaged"] = True
+                return
+            state["at"] = pos - len(unpack.unused_data)
+        state["damaged"] = state["at"] < len(data) and bool(data[state["at"]:].strip(b"\x00"))
+    while True:
+        state["damaged"] = False
+        yield members(), state
+        if not state["damaged"]:
+            return
+        state["at"] = data.find(b"\x1f\x8b\x08", state["at"] + 1)
+        if state["at"] < 0:
+            return
+
+
+MALFORMED = ({"warc-type": "malformed"}, b"")
+
+
+def _record(f: _Source):
+    """The next record, None at the end; ValueError if there is something else. What was not understood is put back."""
+    while (line := f.readline()) and not line.strip():
+        pass
+    if not line:
+        return None
+    if not VERSION.match(line):
+        raise ValueError("no version line")
+    fields = {}
+    while (line := f.readline()).strip():
+        if VERSION.match(line):
+            f.back(line)
+            raise ValueError("a record in a header")
+        k, _, v = line.decode("utf-8", "replace").partition(":")
+        fields[k.strip().lower()] = v.strip()
+    if not line:
+        raise ValueError("truncated header")
+    n = int(fields.get("content-length", ""))
+    block = f.read(max(n, 0))
+    end = f.read(4)
+    if n < 0 or len(block) < n or end.strip(b"\r\n"):
+        f.back(block + end)                     # the length is wrong: records may begin inside
+        raise ValueError("length")
+    f.back(end)
+    return fields, block
+
+
+def parse(data: bytes):
+    """(fields, block) of each record of a file, plain or gzip (one member or many).
+
+    What cannot be read gives one ``malformed`` row, and reading goes on at the next
+    version line or gzip member.
+    """
+    for stretch, state in _stretches(data):
+        f, skipping = _Source(stretch), False
+        while True:
+            try:
+                found = _record(f)
+            except ValueError:
+                if not skipping:
+                    yield MALFORMED
+                skipping = True
+                while (line := f.readline()) and not VERSION.match(line):
+                    pass
+                if not line:
+                    break
+                f.back(line)
                 continue
-            if not line.startswith(b"WARC/"):
-                raise ValueError("no version line")
-            fields = {}
-            while (line := f.readline()).strip():
-                k, _, v = line.decode("utf-8", "replace").partition(":")
-                fields[k.strip().lower()] = v.strip()
-            n = int(fields["content-length"])
-            block = f.read(n)
-            if n < 0 or len(block) < n:
-                raise ValueError("truncated")
-            yield fields, block
-    except (ValueError, KeyError, EOFError, OSError):
-        yield {"warc-type": "malformed"}, b""
+            if found is None:
+                break
+            skipping = False
+            yield found
+        if state["damaged"] and not skipping:
+            yield MALFORMED
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -249,17 +378,23 @@ def payloads(responses: DataFrame, with_payload: bool = False) -> DataFrame:
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per page record: ``(page_id, uri, payload_bytes, payload_digest, record_type, refers_to, status[, payload])``.
 
-    ``status`` of a revisit whose response is missing or broken is ``unresolved``. An empty archive gives an empty table.
+    ``status`` of a revisit whose response is missing or broken is ``unresolved``.
+    What is no record gives a row of the type and status ``malformed`` in the place
+    of each run of it. An empty archive gives an empty table.
     """
     recs = read_records(spark, path)
+    is_whole = F.expr("type = 'response' and segment is null")
+    rest = materialise(recs.where(~F.coalesce(is_whole, F.lit(False))))       # segments, revisits, malformed: read once
+    recs = recs.where(is_whole).unionByName(rest)
     got = materialise(payloads(reassemble(recs), with_payload))
     got = got.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("string"))
     found = got.where("status = 'ok'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes",
                                               *["payload"] * with_payload).dropDuplicates(["refers_to", "payload_digest"])
     named = F.regexp_replace("payload_digest", "^sha1:", "")
-    again = recs.where("type = 'revisit'").select("page_id", "uri", "refers_to", named.alias("payload_digest"), F.lit("revisit").alias("record_type"))
+    again = rest.where("type = 'revisit'").select("page_id", "uri", "refers_to", named.alias("payload_digest"), F.lit("revisit").alias("record_type"))
     again = again.join(found, ["refers_to", "payload_digest"], "left").withColumn("status", F.when(F.col("payload_bytes").isNull(), "unresolved").otherwise("ok"))
-    out = got.unionByName(again)
+    damage = rest.where("type = 'malformed'").select(F.col("type").alias("record_type"), F.col("type").alias("status"))
+    out = got.unionByName(again).unionByName(damage, allowMissingColumns=True)
     return out.select(F.col("page_id").cast("long"), "uri", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"), "status", *["payload"] * with_payload)
 
 

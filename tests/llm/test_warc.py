@@ -98,4 +98,51 @@ def test_damage_is_reported(spark, tmp_path):
     revisit = W.records(7, "u", b"", hashlib.sha1(b"y" * 10).hexdigest(), 1, 6, 300)
     archive(tmp_path, [*revisit, b"no record at all"], "c.warc.gz")
     archive(tmp_path, [pieces("fine", 8)[0], pieces("cut", 9)[0][:-40]], "d.warc.gz")
-    assert sorted(status(spark, tmp_path), key=str) == [(5, None, "bad length"), (6, None, "bad block digest"), (7, None, "unresolved"), (8, 4, "ok")]
+    assert sorted(status(spark, tmp_path), key=str) == [(5, None, "bad length"), (6, None, "bad block digest"), (7, None, "unresolved"), (8, 4, "ok"),
+                                                        (None, None, "malformed"), (None, None, "malformed")]
+
+
+def kinds(data):
+    return [f["warc-type"] for f, _ in W.parse(data)]
+
+
+def test_reading_goes_on_behind_damage():
+    one, two, three = (pieces(c * 20, i)[0] + b"\r\n\r\n" for i, c in enumerate("xyz"))
+    good, bad = ["response"], ["malformed"]
+    assert kinds(one + two + three) == good * 3 and kinds(b"") == [] and kinds(b"\r\n\r\n") == []
+    assert kinds(one + b"junk\r\nmore junk\r\n" + three) == good + bad + good
+    assert kinds(one + two.replace(b"Content-Length: ", b"Content-Length: 9") + three) == good + bad + good
+    assert kinds(one + two.replace(b"Content-Length: ", b"Content-Length: x") + three) == good + bad + good
+    assert kinds(one + two[:30] + b"\r\n" + three) == good + bad + good and kinds(one + two[:-30]) == good + bad
+    assert kinds(two[40:]) == bad and kinds(b"\x00" * 100) == bad
+    # gzip: a damaged member, a damaged end, a single damaged member
+    members = [gzip.compress(x) for x in (one, two, three)]
+    assert kinds(b"".join(members)) == good * 3
+    hurt = bytearray(members[1])
+    hurt[20:60] = bytes(40)
+    assert kinds(members[0] + bytes(hurt) + members[2]) == good + bad + good
+    assert kinds(members[0] + members[1][:-12]) in (good + bad, good * 2 + bad) and kinds(bytes(hurt)) == bad and kinds(gzip.compress(b"")) == []
+    whole = bytearray(gzip.compress(one * 400 + two * 400 + three * 400))
+    whole[len(whole) // 2:len(whole) // 2 + 30] = bytes(30)
+    found = kinds(bytes(whole))
+    assert found.count("malformed") >= 1 and found.count("response") > 100
+
+
+@given(st.binary(max_size=400))
+def test_any_bytes_are_read_to_the_end(data):
+    list(W.parse(data))
+    list(W.parse(b"\x1f\x8b\x08" + data))
+    list(W.parse(gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n") + data))
+
+
+def test_a_third_of_all_rows_without_id(spark):
+    rows = [(None, "u", "<p>same</p>")] * 200 + [(i, "u", "<p>same</p>" if i % 2 else f"<p>{i}</p>") for i in range(100)]
+    back = W.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got(back) == want(rows)
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 5000)
+    rows = [(i, "u", "x" * 1000 + str(i)) for i in range(50)]
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 10
