@@ -1,21 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 1).
 
-A word becomes a symbol: insult, threat, target, negation, reporting or other;
-punctuation and line ends close a clause. Three sequential transducers rewrite
-the symbols of a clause:
-
+A word becomes a symbol: insult, threat, modal, harmless verb that a modal makes a
+threat, verb of ruin, target, negation, reporting or other; punctuation and line
+ends close a clause. Five sequential transducers rewrite the symbols of a clause:
+
+* insult: a sequence of words that insults together is an insult at its last word;
+* threat: so is a sequence that threatens; a verb such as *find* behind a modal
+  becomes an *aimed* threat at the target it has, and a verb of ruin such as
+  *regret* a threat behind a target and a modal;
 * negation: an insult or threat up to three words after a negation is *negated*;
 * reported speech: after a reporting word, up to the clause's end, it is *reported*;
 * target: within four words after a target, or two before one, it is *directed*.
 
-``compose`` turns them into one deterministic machine, built once. A clause
+``compose`` feeds one's output to the next; the machine of all five is deterministic and
+its transitions are worked out once each, when first needed. A clause
 counts if the machine emits an insult or threat of any kind; its weight in each
 kind is the sum of its words' weights. A document's score is a logistic
 function of those sums and the share of matched clauses, so isolated words only
 count through the kind of clause they stand in.
 
 Seed lists are fixed; further insults are *induced* from labelled rows: whole
-words and stems (prefixes, which cover inflected forms) that are significantly
+words, stems (prefixes, which cover inflected forms) and pairs of words that are significantly
 more frequent in toxic than in clean texts, with their log-odds as weight. Weights of kinds
 are fitted by logistic regression. Labels come from at most ``LABELLED`` rows
 outside the held-out fold, picked by a hash of the id; that bound is what makes
@@ -36,7 +41,6 @@ from pyspark.sql import functions as F
 from .common import held_out, materialise
 
 LABELLED = 20_000       # labelled rows learned from
-MOST_FEATURES = 5_000   # induced candidates that reach the driver
 STEMS = (4, 5, 6, 7, 8)   # lengths of stems
 LEAST_TEXTS = 4         # toxic texts that must have an induced word or stem
 CHANCE = 0.01           # of any word or stem being induced by chance
@@ -53,8 +57,20 @@ WORDS = {
     "negation": "not no never neither nobody isn't aren't don't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún ni",
     "report": "said says say called wrote quoted claimed claims reported sagte sagt meinte schrieb nannte disait écrit appelé dijo dice escribió llamó",
 }
-OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT = range(6)
-SYMBOL = {"insult": INSULT, "threat": THREAT, "target": TARGET, "negation": NEGATION, "report": REPORT}
+WORDS |= {
+    "modal": "will shall should must gonna going would ought let werde werden wirst wird sollte sollten muss vais va vont devrait doit voy va van debería debe",
+    "verb": "find get make come catch hunt track teach finish silence bury finden kriegen holen erwischen trouver attraper encontrar atrapar buscar",
+    "ruin": "regret pay suffer die bleed bereuen bezahlen leiden sterben regretter payer souffrir mourir lamentar pagar sufrir morir",
+}
+# fixed word sequences
+SEQUENCES = {
+    "insult": ["waste of space", "waste of oxygen", "piece of trash", "piece of garbage", "good for nothing", "go back to where you came from", "nichts wert",
+               "bon à rien", "pedazo de basura", "pas un humain"],
+    "threat": ["watch your back", "sleep with one eye open", "be put down", "make you suffer", "make them suffer", "know where you live", "weiß wo du wohnst",
+               "sais où tu habites", "sé dónde vives"],
+}
+OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, MODAL, VERB, RUIN, AIMED = range(10)
+SYMBOL = {"insult": INSULT, "threat": THREAT, "target": TARGET, "negation": NEGATION, "report": REPORT, "modal": MODAL, "verb": VERB, "ruin": RUIN}
 PRIOR = 2.0             # weight of a seed that labels say nothing about
 
 #: kinds of matches, the features of a document in this order
@@ -65,86 +81,126 @@ DEFAULT = np.array([1.2, 1.5, .3, .2, .5, 1.5, .1, .1, .5, 1.0, .3, -3.5])     #
 
 # ---------------------------------------------------------------- transducers
 
-@dataclass
 class Transducer:
-    """Sequential: ``step[state][symbol] -> (state, symbol)``, states from 0."""
+    """Sequential: ``step(state, symbol) -> (state, symbol)`` from ``start``; a symbol is ``(kind, word, weight)``."""
 
-    step: list[dict]
+    def __init__(self, start, step):
+        self.start, self.step = start, step
 
+    @staticmethod
+    def of_kinds(start, step) -> Transducer:
+        """From a function of kinds; word and weight pass through."""
+        def whole(state, symbol):
+            to, kind = step(state, symbol[0])
+            return to, (kind, *symbol[1:])
+        return Transducer(start, whole)
 
-def _build(step, start) -> Transducer:
-    """Numbered states of a transition function over hashable states, by search from ``start``."""
-    ids, table, todo = {start: 0}, [], [start]
-    while todo:
-        state, row = todo.pop(0), {}
-        for symbol in step(state, None):
-            to, out = step(state, symbol)
-            if to not in ids:
-                ids[to] = len(ids)
-                todo.append(to)
-            row[symbol] = (ids[to], out)
-        table.append(row)
-    return Transducer(table)
 
+def sequences(kind: int, weights: dict[tuple[str, ...], float]) -> Transducer:
+    """Sequences of words -> ``kind`` with the sequence's weight, at the last word (the longest sequence that ends there).
 
-INPUT = (OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT)
-MATCH = {INSULT: "insult", THREAT: "threat"}
+    State: the longest run of last words that begins a sequence.
+    """
+    heads = {s[:n] for s in weights for n in range(len(s) + 1)}
 
+    def step(state, symbol):
+        run = (*state, symbol[1]) if symbol[1] is not None else ()
+        while run not in heads:
+            run = run[1:]
+        found = next((run[i:] for i in range(len(run)) if run[i:] in weights), None)
+        return run, symbol if found is None else (kind, symbol[1], weights[found])
+    return Transducer((), step)
 
-def negation(scope: int = 3) -> Transducer:
-    def step(left, symbol):
-        if symbol is None:
-            return INPUT
-        if symbol in MATCH:
-            return max(left - 1, 0), ("negated " if left else "") + MATCH[symbol]
-        return (scope if symbol == NEGATION else max(left - 1, 0)), symbol
-    return _build(step, 0)
 
+def insults(weights: dict[tuple[str, ...], float]) -> Transducer:
+    return sequences(INSULT, weights)
 
-NEGATED = (OTHER, NEGATION, REPORT, TARGET, "insult", "threat", "negated insult", "negated threat")
 
+def threats(weights: dict[tuple[str, ...], float], modal: int = 4, verb: int = 2, target: int = 4) -> Transducer:
+    """Threatening sequences, and verbs that modal and target make threats of.
 
-def reported() -> Transducer:
-    def step(inside, symbol):
-        if symbol is None:
-            return NEGATED
-        if symbol in ("insult", "threat"):
-            return inside, ("reported " if inside else "") + symbol
-        return inside or symbol == REPORT, symbol
-    return _build(step, False)
+    State: the sequences' state, and in how many words a modal, a verb behind a modal and a target are still near.
+    """
+    spoken = sequences(THREAT, weights)
+
+    def step(state, symbol):
+        run, m, v, t = state
+        run, (kind, word, weight) = spoken.step(run, symbol)
+        out = kind
+        if kind == TARGET and v:
+            out, v = AIMED, 0
+        elif kind == RUIN:
+            out = THREAT if m and t else OTHER
+        elif kind in (MODAL, VERB):
+            out = OTHER
+        state = (run, modal if kind == MODAL else max(m - 1, 0), verb if kind == VERB and m else max(v - 1, 0), target if kind == TARGET else max(t - 1, 0))
+        return state, (out, word, weight)
+    return Transducer(((), 0, 0, 0), step)
+
+
+MATCH = {INSULT: "insult", THREAT: "threat", AIMED: "aimed threat"}
 
 
-REPORTED = (*NEGATED, "reported insult", "reported threat")
+def negation(scope: int = 3) -> Transducer:
+    def step(left, kind):
+        if kind in MATCH:
+            return max(left - 1, 0), ("negated " if left else "") + MATCH[kind].replace("aimed ", "" if left else "aimed ")
+        return (scope if kind == NEGATION else max(left - 1, 0)), kind
+    return Transducer.of_kinds(0, step)
+
+
+def reported() -> Transducer:
+    def step(inside, kind):
+        if kind in MATCH.values():
+            return inside, "reported " + kind.replace("aimed ", "") if inside else kind
+        return inside or kind == REPORT, kind
+    return Transducer.of_kinds(False, step)
 
 
 def directed(before: int = 4, after: int = 2) -> Transducer:
     """State: words since a target (up to ``before``), and the undirected match still in reach of a later one."""
-    def step(state, symbol):
-        if symbol is None:
-            return REPORTED
+    def step(state, kind):
         left, pending, reach = state
-        if symbol in ("insult", "threat"):
-            return ((max(left - 1, 0), "", 0), "directed " + symbol) if left else ((0, symbol, after), symbol)
-        if symbol == TARGET:
+        if kind == "aimed threat":
+            return (before, "", 0), "directed threat"
+        if kind in ("insult", "threat"):
+            return ((max(left - 1, 0), "", 0), "directed " + kind) if left else ((0, kind, after), kind)
+        if kind == TARGET:
             return (before, "", 0), "redirect " + pending if pending else OTHER
         reach = max(reach - 1, 0)
-        return (max(left - 1, 0), pending if reach else "", reach), symbol if isinstance(symbol, str) else OTHER
-    return _build(step, (0, "", 0))
+        return (max(left - 1, 0), pending if reach else "", reach), kind if isinstance(kind, str) else OTHER
+    return Transducer.of_kinds((0, "", 0), step)
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """The transducer that feeds ``a``'s output to ``b``; only reachable pairs of states are built."""
+    """The transducer that feeds ``a``'s output to ``b``."""
     def step(state, symbol):
-        if symbol is None:
-            return a.step[state[0]].keys()
-        to, middle = a.step[state[0]][symbol]
-        then, out = b.step[state[1]][middle]
+        to, middle = a.step(state[0], symbol)
+        then, out = b.step(state[1], middle)
         return (to, then), out
-    return _build(step, (0, 0))
+    return Transducer((a.start, b.start), step)
+
+
+def grammar(insulting: dict[tuple[str, ...], float], threatening: dict[tuple[str, ...], float]) -> Transducer:
+    return compose(compose(compose(compose(insults(insulting), threats(threatening)), negation()), reported()), directed())
 
 
-def grammar() -> Transducer:
-    return compose(compose(negation(), reported()), directed())
+class Machine:
+    """A transducer with numbered states and symbols; each transition is worked out once."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.states, self.ids, self.table = transducer, [transducer.start], {transducer.start: 0}, {}
+
+    def step(self, state: int, symbol: tuple):
+        key = state, symbol
+        found = self.table.get(key)
+        if found is None:
+            to, out = self.transducer.step(self.states[state], symbol)
+            if to not in self.ids:
+                self.ids[to] = len(self.states)
+                self.states.append(to)
+            found = self.table[key] = self.ids[to], out
+        return found
 
 
 # ---------------------------------------------------------------- scoring
@@ -152,7 +208,6 @@ def grammar() -> Transducer:
 TOKEN_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 CLOSING = re.compile(r"[.!?;:,]['\")\]}»”]*$")
 LINE = "\ue000"       # stands for a line end
-BREAK = 8               # bit of a code: the clause ends after this word
 
 
 @dataclass
@@ -161,28 +216,36 @@ class Toxicity:
 
     insults: dict[str, float] = field(default_factory=dict)     # induced words
     stems: dict[str, float] = field(default_factory=dict)       # induced prefixes
+    pairs: dict[str, float] = field(default_factory=dict)       # induced pairs of words
     weights: np.ndarray = field(default_factory=lambda: DEFAULT.copy())
 
     def __post_init__(self):
-        self.machine = grammar().step
+        spoken = {k: {tuple(s.split()): PRIOR for s in v} for k, v in SEQUENCES.items()}
+        spoken["insult"] |= {tuple(p.split()): w for p, w in self.pairs.items()}
+        self.machine = Machine(grammar(spoken["insult"], spoken["threat"]))
         self.seeds = {w: SYMBOL[kind] for kind, words in WORDS.items() for w in words.split()}
-        self.lexical: list[float] = [0.0]
-        self.codes: dict[str, int] = {}
+        self.inside = {w for v in spoken.values() for s in v for w in s}        # words of sequences
+        self.last = {s[-1] for v in spoken.values() for s in v}
+        self._forget()
 
-    def _code(self, token: str) -> int:
-        """Symbol in bits 0-2, clause end in bit 3, number of the lexical weight above."""
-        if token == LINE:
-            return BREAK
-        end = BREAK if CLOSING.search(token) else 0
-        word = TOKEN_ENDS.sub("", token)
-        weight = self.insults.get(word)
-        if weight is None:
-            weight = max((self.stems[word[:n]] for n in range(STEMS[0], min(len(word), STEMS[-1]) + 1) if word[:n] in self.stems), default=None)
-        symbol = self.seeds.get(word, OTHER) if weight is None else INSULT
-        if symbol not in MATCH:
-            return symbol | end
-        self.lexical.append(PRIOR if weight is None else weight)
-        return symbol | end | (len(self.lexical) - 1) << 4
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.symbols: list[tuple] = []          # of a code
+        self.flags = np.zeros(0, np.uint8)      # of a code: 1 the clause ends after it, 2 something may match at it
+
+    def _learn(self, tokens: set[str]) -> None:
+        flags = []
+        for token in tokens:
+            end = token == LINE or bool(CLOSING.search(token))
+            word = TOKEN_ENDS.sub("", token) if token != LINE else ""
+            weight = self.insults.get(word)
+            if weight is None:
+                weight = max((self.stems[word[:n]] for n in range(STEMS[0], min(len(word), STEMS[-1]) + 1) if word[:n] in self.stems), default=None)
+            kind = self.seeds.get(word, OTHER) if weight is None else INSULT
+            self.codes[token] = len(self.symbols)
+            self.symbols.append((kind, word if word in self.inside else None, (PRIOR if weight is None else weight) if kind in (INSULT, THREAT) else 0.0))
+            flags.append(end | 2 * (kind in (INSULT, THREAT, VERB, RUIN) or word in self.last))
+        self.flags = np.r_[self.flags, np.array(flags, np.uint8)]
 
     def features(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(FEATURES))
@@ -193,29 +256,28 @@ class Toxicity:
             codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
         except KeyError:
             if len(self.codes) > CACHE_WORDS:
-                self.codes.clear()
-                del self.lexical[1:]
-            for t in set(tokens):
-                if t not in self.codes:
-                    self.codes[t] = self._code(t)
+                self._forget()
+            self._learn({t for t in tokens if t not in self.codes})
             codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
-        ends = np.flatnonzero(codes & BREAK)
-        hits = np.flatnonzero(codes >> 4)
+        flags = self.flags[codes]
+        ends, hits = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
         clauses = len(ends) + (not len(ends) or ends[-1] < len(codes) - 1)
         if not len(hits):
             return out
         which, heaviest, matched = np.searchsorted(ends, hits), 0.0, 0
         for c in np.unique(which):
             a, b = int(ends[c - 1]) + 1 if c else 0, int(ends[c]) + 1 if c < len(ends) else len(codes)
-            weight = self.clause(codes[a:b], out)
+            weight = self.clause([self.symbols[k] for k in codes[a:b].tolist()], out)
             matched, heaviest = matched + (weight > 0), max(heaviest, weight)
+        if not matched:
+            return np.zeros(len(FEATURES))
         return np.concatenate([np.log1p(out[:len(KINDS)]), [math.log1p(matched), matched / clauses, heaviest]])
 
-    def clause(self, codes: np.ndarray, out: np.ndarray) -> float:
+    def clause(self, symbols: list[tuple], out: np.ndarray) -> float:
         """Runs the machine over a clause, adds its weights to the kinds in ``out``; returns their sum."""
-        state, total, last = 0, 0.0, (0, 0.0)
-        for code in codes.tolist():
-            state, kind = self.machine[state][code & 7]
+        state, total, last, step = 0, 0.0, (0, 0.0), self.machine.step
+        for symbol in symbols:
+            state, (kind, _, w) = step(state, symbol)
             if not isinstance(kind, str):
                 continue
             if kind.startswith("redirect "):            # a target after the match: move its weight
@@ -223,7 +285,7 @@ class Toxicity:
                 out[k] -= w
                 out[KINDS.index("directed " + kind[9:])] += w
                 continue
-            k, w = KINDS.index(kind), self.lexical[code >> 4]
+            k, w = KINDS.index(kind), w or PRIOR
             out[k] += w
             total, last = total + w, (k, w)
         return total
@@ -248,34 +310,47 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return materialise(rows.join(F.broadcast(ids), "_id").select("text", "toxic"))
 
 
-def induce(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Insulting words and stems with their log-odds, from ``rows(text, toxic)``."""
+def induce(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Insulting words, stems and pairs of words with their log-odds, from ``rows(text, toxic)``.
+
+    What reaches the driver is significant in the bounded sample of labelled rows, and bounded by it.
+    """
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return {}, {}
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+        return {}, {}, {}
+    spoken = rows.select("toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("spoken"))
+    words = F.filter(F.array_distinct("spoken"), lambda w: F.length(w) >= 3)
     stems = [F.transform(words, _stem(n)) for n in STEMS]
-    features = F.array_distinct(F.filter(F.concat(words, *stems), lambda f: f.isNotNull()))
+    pairs = F.array_distinct(F.zip_with(F.slice("spoken", 1, F.greatest(F.size("spoken") - 1, F.lit(0))), F.slice("spoken", 2, F.size("spoken")),
+                                        lambda a, b: F.concat(a, F.lit(" "), b)))
+    features = F.array_distinct(F.filter(F.concat(words, *stems, pairs), lambda f: f.isNotNull()))
     lift = (F.col("t") / toxic) / ((F.col("c") + 0.5) / clean)
-    counts = (rows.select("toxic", F.explode(features).alias("f")).groupBy("f")
+    counts = (spoken.select("toxic", F.explode(features).alias("f")).groupBy("f")
               .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") + F.col("c") >= LEAST_TEXTS))
+    counts = materialise(counts)
     # Chernoff's bound of t or more toxic texts out of t + c by chance, for all tried at once
     t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
     surprise = t * F.log(t / n * ((toxic + clean) / toxic)) + F.when(c > 0, c * F.log(c / n * ((toxic + clean) / clean))).otherwise(0.0)
     tried = max(counts.count(), 1)
     found = (counts.where((t >= LEAST_TEXTS) & (lift >= LEAST_LIFT) & (surprise >= math.log(tried / CHANCE)))
-             .select("f", "t", F.log(lift).alias("w")).orderBy((F.col("t") * F.col("w")).desc(), F.length("f").desc(), "f").limit(MOST_FEATURES).collect())
+             .select("f", "t", F.log(lift).alias("w")).collect())
+    found.sort(key=lambda r: (" " in r.f, -(r.t * r.w), -len(r.f), r.f))        # pairs last
     chosen: dict[str, tuple[int, float]] = {}
+    prefixes: set[str] = set()
     for r in found:
         stem = r.f.endswith("*")
         body = r.f.rstrip("*")
-        if any(k.endswith("*") and body.startswith(k[:-1]) for k in chosen):
-            continue                                    # a chosen stem covers it
-        if stem and any(k.rstrip("*").startswith(body) and r.t <= 1.1 * n for k, (n, _) in chosen.items()):
-            continue                                    # hardly wider than what is chosen
+        parts = body.split(" ")
+        if any(w in chosen or any(w[:n] in prefixes for n in STEMS) for w in parts) and not stem:
+            continue                                    # a chosen word or stem covers it
+        if stem and (any(body[:n] in prefixes for n in STEMS) or any(k.rstrip("*").startswith(body) and r.t <= 1.1 * n for k, (n, _) in chosen.items())):
+            continue                                    # covered, or hardly wider than what is chosen
         chosen[r.f] = (r.t, float(r.w))
-    return ({f: w for f, (_, w) in chosen.items() if not f.endswith("*")}, {f[:-1]: w for f, (_, w) in chosen.items() if f.endswith("*")})
+        if stem:
+            prefixes.add(body)
+    single = {f: w for f, (_, w) in chosen.items() if f[-1] != "*" and " " not in f}
+    return single, {f[:-1]: w for f, (_, w) in chosen.items() if f[-1] == "*"}, {f: w for f, (_, w) in chosen.items() if " " in f}
 
 
 def _stem(n: int):
@@ -297,9 +372,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 def fit(rows: DataFrame) -> Toxicity:
     """A model from ``rows(text, toxic)``, bounded as ``labelled_rows`` makes them; defaults if one label is missing."""
-    insults, stems = induce(rows)
-    model = Toxicity(insults, stems)
-    if not insults and not stems and rows.select("toxic").distinct().count() < 2:
+    model = Toxicity(*induce(rows))
+    if not model.insults and not model.stems and rows.select("toxic").distinct().count() < 2:
         return model
     seen = rows.select("toxic", _features(model)(F.col("text")).alias("x")).collect()
     x, y = np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float)
