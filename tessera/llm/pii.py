@@ -19,10 +19,10 @@ the whole texts it occurs in. Over the corpus of N different texts
   entity only, 0 if it tells nothing.
 
 All counts are of different texts, so copies neither prove nor hide anything. Near
-copies prove nothing either: a term counts for an entity if at least
-``MIN_SUPPORT`` texts have both and no place among the two before and the two after the term
-holds the same word in all of them (an edit changes one place, not four; of several
-mentions in a text, the word of the least hash at that place counts). A term is *removed* if it discloses any entity beyond ``REMOVE`` and
+copies prove nothing either, however many they are: a term counts for an entity if
+at least ``MIN_SUPPORT`` texts have both, and each further text brings new words at
+``FRESH`` of the four places beside the term, on average over the texts (of several
+mentions in a text, the word of the least hash at a place counts). A term is *removed* if it discloses any entity beyond ``REMOVE`` and
 *generalised* to its shape beyond ``GENERALISE``, wherever it occurs in the corpus,
 with or without a base span beside it.
 
@@ -52,6 +52,7 @@ TERM = r"[\p{L}\p{N}]{3,}+"
 MIN_TERM = 3
 MIN_SUPPORT = 2
 NEIGHBOURS = (-2, -1, 1, 2)
+FRESH = 3               # of the neighbours' places, new words that a further text has to bring
 REMOVE = 0.9
 GENERALISE = 0.75
 
@@ -179,9 +180,12 @@ def _rare(count: str, n_texts: int, least: float) -> Column:
 def disclosures(classes: DataFrame, terms: DataFrame, frequencies: DataFrame, n_texts: int, least: float = GENERALISE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``(class, term, disclosure)`` of at least ``least``."""
     rare = terms.join(frequencies, "term").where(_rare("df", n_texts, least))
-    pairs = (rare.join(classes, "key").groupBy("class", "term", "n_e", "df")
-             .agg(F.count("*").alias("n_te"), *[(F.min(f"at{k}") < F.max(f"at{k}")).alias(f"differ{k}") for k in range(len(NEIGHBOURS))])
-             .where((F.col("n_te") >= min_support) & F.expr(" and ".join(f"differ{k}" for k in range(len(NEIGHBOURS))))))
+    pair, places = ["class", "term", "n_e", "df"], F.array(*[f"at{k}" for k in range(len(NEIGHBOURS))])
+    beside = rare.join(classes, "key").select(*pair, F.posexplode(places).alias("place", "at")).groupBy(*pair, "place", "at").agg(F.count("*").alias("n"))
+    # counts add up in two steps, so no pair gathers its texts
+    by_place = beside.groupBy(*pair, "place").agg(F.sum("n").alias("n_te"), F.count("*").alias("words"))
+    pairs = (by_place.groupBy(*pair).agg(F.max("n_te").alias("n_te"), F.sum(F.col("words") - 1).alias("fresh"))
+             .where((F.col("n_te") >= min_support) & (F.col("fresh") >= FRESH * (F.col("n_te") - 1))))
     content = -F.log2(F.col("n_e") / n_texts)
     pmi = F.log2(F.col("n_te") * float(n_texts) / (F.greatest("df", "n_te") * F.col("n_e")))
     scored = pairs.select("class", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))

@@ -96,7 +96,7 @@ def plain_disclosures(corpus, least=P.GENERALISE):
     for e, inside in has.items():
         for w in {w for t in inside for w in words[t]}:
             both = [words[t][w] for t in inside if w in words[t]]
-            if len(both) < 2 or any(len(set(x)) == 1 for x in zip(*both, strict=True)) or len(inside) == len(texts):
+            if len(both) < 2 or sum(len(set(x)) - 1 for x in zip(*both, strict=True)) < 3 * (len(both) - 1) or len(inside) == len(texts):
                 continue
             d = math.log2(len(both) * len(texts) / (df[w] * len(inside))) / -math.log2(len(inside) / len(texts))
             if d >= least:
@@ -171,9 +171,19 @@ def test_copies_hide_nothing(spark):
 
 
 def test_near_copies_prove_nothing(spark):
-    body = "call Zebulon of Harrowgate about the matter at zed@a.example.com now "
-    corpus = [(i, body.replace("Harrowgate", f"Harrow{i}") + f"version {i}") for i in range(9)] + [(50 + i, f"call about the matter at now {i}") for i in range(50)]
-    assert {r.spans for r in P.find(spark.createDataFrame(corpus, "doc_id long, text string")).collect() if r.doc_id < 50} == {f"email:{body.index('zed') - 3}:{body.index(' now') - 3}"}
+    import random
+
+    deal = random.Random(2)
+    body = "today everybody should call Zebulon Harrowgate about the whole matter at zed@a.example.com now "
+
+    def edit(i):
+        parts = body.split(" ")
+        for k in range(len(parts)):
+            if "@" not in parts[k] and deal.random() < .15:
+                parts[k] = f"x{i}y{k}"
+        return " ".join(parts) + f"version {i}"
+    corpus = [(i, edit(i)) for i in range(60)] + [(100 + i, f"call about the matter at now {i}") for i in range(50)]
+    assert P.find(spark.createDataFrame(corpus, "doc_id long, text string")).agg(F.sum("n_terms"), F.sum("n_email")).first()[:2] == (0, 60)
 
 
 def test_lists_of_addresses_in_versions_make_no_product(spark):
