@@ -143,15 +143,15 @@ def _terms(text: Column) -> Column:
 
 
 def texts_with_entities(texts: DataFrame) -> DataFrame:
-    """``texts(key, text)`` -> ``(key, base, words)``, one row for each different text that has a base span."""
+    """``texts(key, text)`` -> ``(key, base, words)`` of each text that has a base span (copies a row each)."""
     # generating from a filtered one-element array finds the spans once
     found = texts.select("key", "text", F.explode(F.filter(F.array(base_spans(F.col("text"))), lambda b: F.size(b) > 0)).alias("base"))
-    return found.select("key", "base", _words(F.col("text"), F.col("base")).alias("words")).dropDuplicates(["key"])
+    return found.select("key", "base", _words(F.col("text"), F.col("base")).alias("words"))
 
 
 def entity_classes(found: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``(class, key, n_e)``: entities in the same at least ``min_support`` texts are one class."""
-    held = found.select("key", F.explode(F.array_distinct("base.entity")).alias("entity"))
+    held = found.select("key", F.explode(F.array_distinct("base.entity")).alias("entity")).distinct()
     classes = (held.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("key.a").alias("a"), F.bit_xor("key.b").alias("b"))
                .where(F.col("n_e") >= min_support).select("entity", "n_e", F.struct("n_e", "a", "b").alias("class")))
     return held.join(classes, "entity").select("class", "key", "n_e").distinct()
@@ -177,18 +177,21 @@ def _rare(count: str, n_texts: int, least: float) -> Column:
     return F.col(count) <= F.pow("most", F.lit(least)) * F.pow(F.lit(float(n_texts)), F.lit(1 - least)) + 1e-6
 
 
-def disclosures(classes: DataFrame, terms: DataFrame, frequencies: DataFrame, n_texts: int, least: float = GENERALISE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """``(class, term, disclosure)`` of at least ``least``."""
-    rare = terms.join(frequencies, "term").where(_rare("df", n_texts, least))
-    pair, places = ["class", "term", "n_e", "df"], F.array(*[f"at{k}" for k in range(len(NEIGHBOURS))])
-    beside = rare.join(classes, "key").select(*pair, F.posexplode(places).alias("place", "at")).groupBy(*pair, "place", "at").agg(F.count("*").alias("n"))
+def supported_pairs(classes: DataFrame, terms: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """``(class, term, n_e, n_te)`` of terms that count for a class."""
+    pair, places = ["class", "term", "n_e"], F.array(*[f"at{k}" for k in range(len(NEIGHBOURS))])
+    beside = terms.join(classes, "key").select(*pair, F.posexplode(places).alias("place", "at")).groupBy(*pair, "place", "at").agg(F.count("*").alias("n"))
     # counts add up in two steps, so no pair gathers its texts
     by_place = beside.groupBy(*pair, "place").agg(F.sum("n").alias("n_te"), F.count("*").alias("words"))
-    pairs = (by_place.groupBy(*pair).agg(F.max("n_te").alias("n_te"), F.sum(F.col("words") - 1).alias("fresh"))
-             .where((F.col("n_te") >= min_support) & (F.col("fresh") >= FRESH * (F.col("n_te") - 1))))
+    return (by_place.groupBy(*pair).agg(F.max("n_te").alias("n_te"), F.sum(F.col("words") - 1).alias("fresh"))
+            .where((F.col("n_te") >= min_support) & (F.col("fresh") >= FRESH * (F.col("n_te") - 1))).drop("fresh"))
+
+
+def disclosures(pairs: DataFrame, frequencies: DataFrame, n_texts: int, least: float = GENERALISE) -> DataFrame:
+    """``(class, term, disclosure)`` of at least ``least``."""
     content = -F.log2(F.col("n_e") / n_texts)
     pmi = F.log2(F.col("n_te") * float(n_texts) / (F.greatest("df", "n_te") * F.col("n_e")))
-    scored = pairs.select("class", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
+    scored = pairs.join(frequencies, "term").select("class", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
     return scored.where(F.col("disclosure") >= least - 1e-12)
 
 
@@ -199,8 +202,9 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, min_support: int = MIN_
     n_texts = texts.select("key").distinct().count()
     # df is at least the number of these texts: what is too frequent in them needs no count over all texts
     often = terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(F.col("n") >= min_support)
-    often = materialise(often.where(_rare("n", n_texts, least)).select("term"))
-    scored = disclosures(classes, terms.join(often, "term"), document_frequencies(texts, often), n_texts, least, min_support)
+    pairs = materialise(supported_pairs(classes, terms.join(often.where(_rare("n", n_texts, least)).select("term"), "term"), min_support))
+    # few terms are left to be counted over all texts
+    scored = disclosures(pairs, document_frequencies(texts, pairs.select("term").distinct()), n_texts, least)
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
@@ -216,14 +220,16 @@ def text_spans(texts: DataFrame, min_support: int = MIN_SUPPORT, remove: float =
     strong = materialise(disclosing_terms(texts, found, min_support, least))
     # texts without a base span that have such a term
     hits = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(strong, "term", "left_semi").select("key").distinct()
-    hits = materialise(hits.join(found, "key", "left_anti"))
+    hits = materialise(hits.join(found.select("key").distinct(), "key", "left_anti"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,entity:string>>")
-    more = texts.join(hits, "key", "left_semi").select("key", _words(F.col("text"), none).alias("words")).dropDuplicates(["key"])
+    more = texts.join(hits, "key", "left_semi").select("key", _words(F.col("text"), none).alias("words"))
     words = found.select("key", "words").unionByName(more).select("key", F.explode("words").alias("w")).select("key", "w.*")
     label = F.when(F.col("disclosure") >= remove, "").otherwise(F.col("shape")).alias("label")
     one = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", label)
-    added = words.join(strong, "term").groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("added"))
-    return materialise(found.select("key", "base").join(added, "key", "full"))
+    # copies give equal spans: told apart before a text's are gathered
+    added = words.join(strong, "term").select("key", one.alias("one")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("one")).alias("added"))
+    base = found.groupBy("key").agg(F.first("base").alias("base"))
+    return materialise(base.join(added, "key", "full"))
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
