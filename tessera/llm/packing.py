@@ -3,7 +3,7 @@
 1. **Pieces.** A text becomes the ids of a public tokenizer plus an end id.
    Only documents longer than ``max_len`` are cut, from the back, into pieces of
    ``max_len``; the first piece may be shorter. Whole Arrow batches are cut into
-   words; each worker tokenizes a word with the white space before it once and
+   words; each task tokenizes a word with the white space before it once and
    keeps its ids (bounded cache).
 2. **Histogram.** The lengths, at most ``max_len`` different ones, are counted
    by Spark. This histogram is all that reaches the driver.
@@ -44,7 +44,7 @@ BLOCKS = 8              # price updates in a round
 RATE = 1.0              # how fast prices follow cover
 SOLVES = 2              # the program is solved again for what the first rounding leaves
 FULL = 0.996            # configurations filled to this share are rounded; others wait for the rest
-CACHE_WORDS = 400_000   # words whose ids a worker keeps
+CACHE_WORDS = 300_000   # words whose ids a worker keeps
 TOGETHER = 1 << 14      # new words encoded in one string
 BUCKET_ROWS = 20_000    # pieces ranked together
 
@@ -125,7 +125,7 @@ class WordIds:
         return ids, ends[np.searchsorted(at, offsets)]
 
 
-_WORKER: dict[str, WordIds] = {}    # a worker keeps its words from task to task
+_WORKER: dict[str, WordIds] = {}    # a worker keeps its tokenizer from task to task
 
 
 def _words_of(path: str) -> WordIds:
@@ -165,6 +165,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if with_ids:
                     cols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
+        words.book.clear()              # an idle worker holds no words
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -18,7 +18,7 @@ no higher rank beside it. Such a segment takes only its first merge in that
 round, so the result is exact for every order of scores.
 
 What is left of characters without a piece becomes byte pieces. Different
-words are encoded once and kept (bounded) from batch to batch of a worker.
+words are encoded once and kept (bounded) from batch to batch of a task.
 
 Decoding joins the pieces of ids, replaces bytes that make no character by
 U+FFFD each, and takes the first space off again.
@@ -42,7 +42,7 @@ SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
 NONE = np.iinfo(np.int32).max       # rank of what is no pair
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-KEPT_WORDS = 300_000                # words whose ids a worker keeps
+KEPT_WORDS = 300_000                # words whose ids a task keeps
 
 
 def model_path() -> str:
@@ -304,7 +304,7 @@ class PieceModel:
 
 # ---------------------------------------------------------------- operator
 
-_WORKER: dict[str, tuple[PieceModel, WordBook]] = {}     # a worker keeps model and words from task to task
+_WORKER: dict[str, tuple[PieceModel, WordBook]] = {}     # a worker keeps the model from task to task
 
 
 def _of(path: str) -> tuple[PieceModel, WordBook]:
@@ -371,6 +371,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 if with_decoded:
                     columns.append(pieces.decode(ids, offsets).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][:len(columns)])
+        book.clear()                # an idle worker holds no words
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>" + ", decoded string" * with_decoded

@@ -1,4 +1,4 @@
-"""Words of whole Arrow batches as numbers, so that each different word is worked out once a worker.
+"""Words of whole Arrow batches as numbers, so that each different word is worked out once a task.
 
 Ragged columns are pairs ``(values, offsets)`` of numpy arrays, as Arrow's lists are.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 8 << 20       # texts worked on together (or one longer text)
+SLICE_BYTES = 4 << 20       # texts worked on together (or one longer text)
 SLICE_ROWS = 1 << 14
 
 
