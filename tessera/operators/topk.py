@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,28 +21,30 @@ BLOCK_ROWS = 4096
 
 
 def _partial_topk(block, k: int):
-    """Rows ``(id, vector)`` -> the partition's best k ``(query number, id, score)``."""
+    """Rows ``(id, vector)`` -> the partition's best k ``(query number, id, score)``; ties by id."""
     def run(batches):
         queries = block.value
-        best = [(np.empty(0), [])] * len(queries)
-        kind = None
+        floor, best = np.full(len(queries), -np.inf), None
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            ids, kind = batch.column(0).to_pylist(), batch.column(0).type
-            vectors = pa.array(batch.column(1)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            vectors = pa.array(batch.column(1)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             scores = vectors @ queries.T
-            for j in range(len(queries)):
-                kept, names = best[j]
-                # only rows that can still enter; ties are settled by id
-                enter = np.arange(len(ids)) if len(kept) < k else np.flatnonzero(scores[:, j] >= kept[-1])
-                if len(enter):
-                    pool = sorted([*zip(-kept, names, strict=True), *((-scores[i, j], ids[i]) for i in enter)])[:k]
-                    best[j] = (np.array([-s for s, _ in pool]), [i for _, i in pool])
-        rows = [(j, i, float(s)) for j, (kept, names) in enumerate(best) for s, i in zip(kept, names, strict=True)]
-        if rows:
-            q, i, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(i, kind), pa.array(s, pa.float64())], ["_q", "id", "score"])
+            least = np.maximum(floor, np.partition(scores, n - k, axis=0)[n - k]) if n > k else floor
+            row, q = np.nonzero(scores >= least)
+            if not len(row):
+                continue
+            new = pa.table([pa.array(q.astype(np.int32)), batch.column(0).take(pa.array(row)), pa.array(scores[row, q])], ["_q", "id", "score"])
+            best = new if best is None else pa.concat_tables([best, new])
+            best = best.take(pc.sort_indices(best, [("_q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+            of = best.column("_q").to_numpy()
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            last = np.flatnonzero(place == k - 1)
+            floor[of[last]] = best.column("score").to_numpy()[last]
+            best = best.filter(pa.array(place < k))
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
     return run
 
 
@@ -70,6 +73,6 @@ def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int, id_col: st
         part_schema = T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
         part = rows.mapInArrow(_partial_topk(matrix, k), part_schema)
         names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(block)], T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("query_id", query_type)]))
-        found = found.unionByName(part.join(F.broadcast(names), "_q").select("query_id", F.col("id").alias(id_col), "score"))
+        found = found.unionByName(part.join(names, "_q").select("query_id", F.col("id").alias(id_col), "score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col).asc())
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

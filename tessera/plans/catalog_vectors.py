@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import vectors as V
+from ..operators.index import build_index, open_index, search_index
 from ..operators.topk import topk_inner_product
-from ..session import prepare, table
+from ..session import prepare, scratch_path, table
 
 N_CLASSES = 10
 TOPK = 5
@@ -72,3 +73,25 @@ def topk_inner_product_q(spark, sf_dir):
     queries = first.join(e.withColumnRenamed("vec_id", "query_id"), ["label", "query_id"])
     r = topk_inner_product(e, queries, TOPK)
     return r.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+_INDEXES: dict = {}
+INDEX_PAGE_ROWS = 64
+
+
+@register("topk_stored_index", f"""
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.query_id, e.vec_id, list_dot_product(q.qv, CAST(e.embedding AS DOUBLE[])) AS score
+      FROM q CROSS JOIN embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {TOPK}""")
+def topk_stored_index(spark, sf_dir):
+    """Top-5 inner-product neighbours of every 50th vector from an index that was built and stored before."""
+    e = _emb(spark, sf_dir)
+    key = (sf_dir, scratch_path(spark, unique=False))
+    if key not in _INDEXES:
+        _INDEXES[key] = scratch_path(spark, "vector_index")
+        build_index(e, _INDEXES[key], page_rows=INDEX_PAGE_ROWS)
+    queries = e.where(F.pmod("vec_id", F.lit(50)) == 0).withColumnRenamed("vec_id", "query_id")
+    r = search_index(open_index(spark, _INDEXES[key]), queries, TOPK)
+    return r.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
