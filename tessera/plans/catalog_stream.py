@@ -200,3 +200,42 @@ def stream_duration_histogram(spark, sf_dir):
     value = F.when(F.col("sample") == "sum", F.round("value", 6)).otherwise(F.col("value"))
     return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "model", "sample", "le", value.alias("value"))
+
+
+from ..streaming.stateful import first_requests, replica_batches, rocksdb, sliding_limit  # noqa: E402
+
+REPLICAS = 4
+REPLICA_LOG_SQL = LOG_SQL.replace("event_type AS model", f"event_type || '/' || CAST(user_id % {REPLICAS} AS VARCHAR) AS model")
+
+
+@register("stream_replica_batches", f"""
+WITH RECURSIVE {REPLICA_LOG_SQL}, {DYN_SQL}
+SELECT split_part(model, '/', 1) AS model, CAST(split_part(model, '/', 2) AS BIGINT) AS replica, batch_id, batch_size,
+       CAST(open_us AS BIGINT) AS open_us, CAST(close_us AS BIGINT) AS close_us
+FROM batches
+WHERE (batch_size = {BATCH_MAX} AND last_us < {WM_SQL}) OR (open_us + {int(BATCH_WAIT_S * 1e6)} < {WM_SQL})""")
+def stream_replica_batches(spark, sf_dir):
+    """Count-or-time batches of each (model, replica) on the request stream: list state, event-time timers."""
+    reqs = _reqs(spark, sf_dir).withColumn("replica", F.pmod("client", F.lit(REPLICAS)))
+    with rocksdb(spark):
+        res = _run(spark, replica_batches(reqs, BATCH_MAX, BATCH_WAIT_S), "replica_batches")
+    return res.select("model", F.col("replica").cast("long").alias("replica"), "batch_id", "batch_size", "open_us", "close_us")
+
+
+@register("stream_rate_limit_sliding", f"""
+SELECT client, request_id, n_in_window, n_in_window > {RATE_LIMIT} AS over_limit FROM (
+  SELECT user_id AS client, event_id AS request_id, ts, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts
+         RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n_in_window FROM events)
+WHERE epoch_us(ts) < {WM_SQL}""")
+def stream_rate_limit_sliding(spark, sf_dir):
+    """A decision for every request of the stream: the client's requests in the day up to it (map state of time slots)."""
+    with rocksdb(spark):
+        return _run(spark, sliding_limit(_reqs(spark, sf_dir), RATE_LIMIT, 86400.0), "rate_limit_sliding")
+
+
+@register("stream_replayed_requests", "SELECT event_id AS request_id, event_type AS model, user_id AS client FROM events")
+def stream_replayed_requests(spark, sf_dir):
+    """The request stream with every file sent twice: each request once."""
+    prepare(spark)
+    twice = file_stream(spark, sf_dir, "events").unionByName(file_stream(spark, sf_dir, "events"))
+    return _run(spark, first_requests(request_stream(twice, DELAY)).select("request_id", "model", "client"), "replayed")
