@@ -172,9 +172,9 @@ def document_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _rare(count: str, n_texts: int, least: float) -> Column:
-    """Whether a term in so many texts can disclose an entity of at most ``most`` texts by ``least``."""
-    return F.col(count) <= F.pow("most", F.lit(least)) * F.pow(F.lit(float(n_texts)), F.lit(1 - least)) + 1e-6
+def _rare(count: str, most: str, n_texts: int, least: float) -> Column:
+    """Whether a term in so many texts can disclose an entity of at most so many texts by ``least``."""
+    return F.col(count) <= F.pow(most, F.lit(least)) * F.pow(F.lit(float(n_texts)), F.lit(1 - least)) + 1e-6
 
 
 def supported_pairs(classes: DataFrame, terms: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -202,8 +202,10 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, min_support: int = MIN_
     n_texts = texts.select("key").distinct().count()
     # df is at least the number of these texts: what is too frequent in them needs no count over all texts
     often = terms.groupBy("term").agg(F.count("*").alias("n"), F.max("most").alias("most")).where(F.col("n") >= min_support)
-    pairs = materialise(supported_pairs(classes, terms.join(often.where(_rare("n", n_texts, least)).select("term"), "term"), min_support))
+    often = often.where(_rare("n", "most", n_texts, least)).select("term", "n")
+    pairs = supported_pairs(classes, terms.join(often.select("term"), "term"), min_support).join(often, "term")
     # few terms are left to be counted over all texts
+    pairs = materialise(pairs.where(_rare("n", "n_e", n_texts, least)).drop("n"))
     scored = disclosures(pairs, document_frequencies(texts, pairs.select("term").distinct()), n_texts, least)
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
@@ -223,7 +225,8 @@ def text_spans(texts: DataFrame, min_support: int = MIN_SUPPORT, remove: float =
     hits = materialise(hits.join(found.select("key").distinct(), "key", "left_anti"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,entity:string>>")
     more = texts.join(hits, "key", "left_semi").select("key", _words(F.col("text"), none).alias("words"))
-    words = found.select("key", "words").unionByName(more).select("key", F.explode("words").alias("w")).select("key", "w.*")
+    # an outer explosion adds no filter on the words, which Spark would evaluate for all texts
+    words = found.select("key", "words").unionByName(more).select("key", F.explode_outer("words").alias("w")).select("key", "w.*")
     label = F.when(F.col("disclosure") >= remove, "").otherwise(F.col("shape")).alias("label")
     one = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", label)
     # copies give equal spans: told apart before a text's are gathered
