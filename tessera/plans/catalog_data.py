@@ -221,8 +221,10 @@ FROM s LEFT JOIN v USING (key)
 @register("embeddings_output", EMBED_SQL)
 def embeddings_output(spark, sf_dir):
     """Flagship: scan -> project -> encode -> flatten -> parquet sink, read back."""
-    res = _embedded(spark, sf_dir)
-    df = spark.read.parquet(res.table)
+    return _embedding_rows(spark.read.parquet(_embedded(spark, sf_dir).table))
+
+
+def _embedding_rows(df):
     e = F.col("embedding")
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
     checksum = F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
@@ -408,3 +410,24 @@ def model_registry(spark, sf_dir):
     runs = spark.read.schema("num_samples long, model string, timestamp double") \
         .json(_embedded(spark, sf_dir).manifest).select(F.col("model").alias("name"), "num_samples")
     return reg.join(runs, "name", "left")
+
+
+# ---------------------------------------------------------------- incremental job
+from ..sources.dataset import page_samples, write_shards  # noqa: E402
+from .incremental import embed_incrementally, read_embeddings  # noqa: E402
+
+_INCREMENTAL: dict = {}
+
+
+@register("incremental_embeddings", EMBED_SQL)
+def incremental_embeddings(spark, sf_dir):
+    """The embedding job in two runs: shards of documents first, then those that came since; rows of all, none twice."""
+    key = (sf_dir, scratch_path(spark, unique=False))
+    if key not in _INCREMENTAL:
+        src, out = scratch_path(spark, "growing"), scratch_path(spark, "incremental")
+        write_shards(document_samples(table(spark, sf_dir, "documents")), f"{src}/docs", "doc_id", SHARD_ROWS)
+        embed_incrementally(spark, src, out, HASH_TEXT)
+        write_shards(page_samples(table(spark, sf_dir, "pages")), f"{src}/pages", "doc_id", SHARD_ROWS)
+        embed_incrementally(spark, src, out, HASH_TEXT)
+        _INCREMENTAL[key] = out
+    return _embedding_rows(read_embeddings(spark, _INCREMENTAL[key]))
