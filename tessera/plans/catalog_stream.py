@@ -239,3 +239,34 @@ def stream_replayed_requests(spark, sf_dir):
     prepare(spark)
     twice = file_stream(spark, sf_dir, "events").unionByName(file_stream(spark, sf_dir, "events"))
     return _run(spark, first_requests(request_stream(twice, DELAY)).select("request_id", "model", "client"), "replayed")
+
+
+from ..operators.sketches import interval_sketches, quantiles, roll_up  # noqa: E402
+from .catalog_requests import request_log  # noqa: E402
+
+LATENCY = {"p50_s": 0.5, "p95_s": 0.95, "p99_s": 0.99}
+
+
+def _latency_sql(where: str) -> str:
+    ps = ", ".join(f"quantile_disc(value / 100, {p}) AS {name}" for name, p in LATENCY.items())
+    return f"""
+SELECT event_type AS model, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(value) AS BIGINT) AS n, {ps}
+FROM events WHERE {where} GROUP BY ALL"""
+
+
+def _daily(minutes):
+    days = quantiles(roll_up(roll_up(minutes, ["model"], "1 hour"), ["model"], "1 day"), LATENCY)
+    return days.select("model", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", *LATENCY)
+
+
+@register("latency_quantile_rollup", _latency_sql("true"))
+def latency_quantile_rollup(spark, sf_dir):
+    """Latency quantiles per model and day, merged from the binary sketches of minutes through those of hours."""
+    log = request_log(spark, sf_dir)
+    return _daily(interval_sketches(log, ["model"], "1 minute", "duration_s", "enqueue_ts"))
+
+
+@register("stream_latency_quantiles", _latency_sql(f"epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) + 60000000 <= {WM_SQL}"))
+def stream_latency_quantiles(spark, sf_dir):
+    """The same from a stream: sketches of closed minutes go to the sink, days are merged from it."""
+    return _daily(_run(spark, interval_sketches(_reqs(spark, sf_dir), ["model"], "1 minute", "duration_s", "ts"), "latency_sketches"))
