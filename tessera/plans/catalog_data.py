@@ -431,3 +431,18 @@ def incremental_embeddings(spark, sf_dir):
         embed_incrementally(spark, src, out, HASH_TEXT)
         _INCREMENTAL[key] = out
     return _embedding_rows(read_embeddings(spark, _INCREMENTAL[key]))
+
+
+# ---------------------------------------------------------------- sink with a manifest of its tasks
+from ..sinks.manifest import read_with_manifest, write_with_manifest  # noqa: E402
+
+
+@register("task_manifest", f"""
+SELECT CAST(count(*) AS BIGINT) AS rows, min(key) AS low, max(key) AS high, CAST(count(*) AS BIGINT) AS rows_read FROM ({SAMPLES_SQL})""")
+def task_manifest(spark, sf_dir):
+    """Embeddings written by the sink whose manifest is made of the tasks' commit messages: rows and key range, and the rows read back by it."""
+    encoded = apply_encoder(_dataset(spark, sf_dir).select("url", "caption", "key"), HASH_TEXT, text_col="caption").drop("caption")
+    out = scratch_path(spark, "with_manifest")
+    m = write_with_manifest(encoded, out, "key")
+    read = read_with_manifest(spark, out, encoded.schema).agg(F.count(F.lit(1)).alias("rows_read"))
+    return read.select(F.lit(m["rows"]).cast("long").alias("rows"), F.lit(m["low"]).alias("low"), F.lit(m["high"]).alias("high"), "rows_read")
