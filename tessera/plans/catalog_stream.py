@@ -270,3 +270,25 @@ def latency_quantile_rollup(spark, sf_dir):
 def stream_latency_quantiles(spark, sf_dir):
     """The same from a stream: sketches of closed minutes go to the sink, days are merged from it."""
     return _daily(_run(spark, interval_sketches(_reqs(spark, sf_dir), ["model"], "1 minute", "duration_s", "ts"), "latency_sketches"))
+
+
+from ..streaming.live_metrics import LiveMetrics, run_measured  # noqa: E402
+from .catalog_requests import _expo_hist_sql  # noqa: E402
+
+# Event types of the given log, which stand for models.
+MODELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("stream_metrics_live", f"""
+WITH {LOG_SQL}
+SELECT '# HELP {M.REQUESTS_TOTAL[0]} {M.REQUESTS_TOTAL[1]}' AS line UNION ALL SELECT '# TYPE {M.REQUESTS_TOTAL[0]} counter'
+UNION ALL SELECT '{M.REQUESTS_TOTAL[0]}{{model="' || model || '",status="' || status || '"}} ' || CAST(CAST(count(*) AS DOUBLE) AS VARCHAR) FROM log GROUP BY model, status
+UNION ALL {_expo_hist_sql(M.REQUEST_DURATION, "log", "duration_s", M.DURATION_BUCKETS)}""")
+def stream_metrics_live(spark, sf_dir):
+    """Exposition of what a query listener gathered while the request stream ran."""
+    reqs = _reqs(spark, sf_dir)
+    status = (F.when(F.col("duration_s") > F.lit(TIMEOUT_S), "timeout").when(F.col("failed"), "error").otherwise("success"))
+    live = LiveMetrics(MODELS, ["success", "error", "timeout"])
+    root = scratch_path(spark, "stream_live")
+    run_measured(reqs.withColumn("status", status), root + "/out", root + "/checkpoint", live)
+    return live.exposition(spark, with_rate=False)
