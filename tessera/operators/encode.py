@@ -55,7 +55,7 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
                   output_col: str = "embedding", batch_size: int | None = None,
                   on_error: str = "raise", batch_col: str | None = None,
                   batch_size_col: str | None = None, skip_col: str | None = None,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, resources=None) -> DataFrame:
     """Append ``output_col`` (array<double>) computed by the encoder.
 
     ``on_error="raise"`` fails the task (Spark retries it; a job fails if the
@@ -67,7 +67,9 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
     (e.g. a reject reason) pass through with a null output and never reach the
     model. Inputs that their files would give to few tasks are dealt out anew
     first (see ``spread_tasks``; ``partitions`` sets the number, 0 leaves them as
-    they are); nothing runs before an action.
+    they are); nothing runs before an action. ``resources`` is a Spark
+    ``ResourceProfile`` (see ``encoder_resources``) for the encoder's stage alone,
+    on clusters that schedule by stage.
 
     Arrow batches handed to the UDF are bounded by Spark's
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
@@ -127,7 +129,31 @@ def apply_encoder(df: DataFrame, spec: EncoderSpec, *, text_col: str | None = No
         partitions = spread_tasks(df)
     if partitions:
         df = df.repartition(int(partitions))
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(run, T.StructType(fields), profile=resources)
+
+
+def encoder_resources(task_cpus: int = 1, task_gpus: float = 0.0, executor_cores: int | None = None, executor_memory: str | None = None,
+                      executor_gpus: int = 0, gpu_script: str = ""):
+    """A ``ResourceProfile`` for the encoder's stage: what a task takes, and, if given, the executors that run it.
+
+    Without executor settings tasks take their share of the executors there are.
+    """
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    tasks = TaskResourceRequests().cpus(task_cpus)
+    if task_gpus:
+        tasks = tasks.resource("gpu", task_gpus)
+    builder = ResourceProfileBuilder().require(tasks)
+    if executor_cores or executor_memory or executor_gpus:
+        executors = ExecutorResourceRequests()
+        if executor_cores:
+            executors = executors.cores(executor_cores)
+        if executor_memory:
+            executors = executors.memory(executor_memory)
+        if executor_gpus:
+            executors = executors.resource("gpu", executor_gpus, discoveryScript=gpu_script)
+        builder = builder.require(executors)
+    return builder.build
 
 
 #: bytes of input files whose rows an encoder task gets, and the most tasks that rows are dealt out to

@@ -123,3 +123,15 @@ def test_one_row_group_is_spread_over_tasks(spark, tmp_path):
     assert spread_tasks(spark.read.parquet("/root/testdata/sf0.001/nation.parquet")) == 0 and spread_tasks(spark.range(10)) == 0 and TASK_BYTES > 0
     same = apply_encoder(table, spec, text_col="text", partitions=0)
     assert same.groupBy(F.spark_partition_id()).count().count() == 1
+
+
+def test_encoder_stage_gets_its_own_resources(spark):
+    from tessera.operators.encode import encoder_resources
+
+    profile = encoder_resources(task_cpus=2, executor_cores=4, executor_memory="6g")
+    assert profile.taskResources["cpus"].amount == 2 and {"cores", "memory"} <= set(profile.executorResources)
+    spec = EncoderSpec(target="tessera.models.builtin:ConstantEncoder")
+    rows = spark.createDataFrame([("a",)], "text string")
+    plain, own = (apply_encoder(rows, spec, text_col="text", resources=r) for r in (None, profile))
+    node = lambda df: df._jdf.queryExecution().analyzed()
+    assert node(plain).profile().isEmpty() and node(own).profile().get().id() == profile.id and own.schema == plain.schema
