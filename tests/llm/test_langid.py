@@ -1,5 +1,7 @@
 """Language identification: gradients, held-out accuracy, odd rows."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -37,6 +39,44 @@ def test_windows_cover_whole_texts():
     np.testing.assert_allclose(net.probabilities([text])[0], sums.sum(axis=0) / 1500, rtol=1e-5)
 
 
+def plain_forward(net, raw):
+    """Language probabilities at every byte of a window, byte by byte in Python floats."""
+    def run(d, order):
+        w, u, o = ([[float(v) for v in row] for row in m] for m in (net.w[d], net.u[d], net.o[d]))
+        h, scores = len(u[0]), {}
+        state = [0.0] * h
+        for t in order:
+            rec = [sum(a * b for a, b in zip(row, state, strict=True)) for row in u]
+            pre = [row[raw[t]] for row in w]
+            sig = lambda v: 1 / (1 + math.exp(-v))
+            keep, use = [sig(pre[i] + rec[i]) for i in range(h)], [sig(pre[h + i] + rec[h + i]) for i in range(h)]
+            new = [math.tanh(pre[2 * h + i] + use[i] * rec[2 * h + i]) for i in range(h)]
+            state = [keep[i] * state[i] + (1 - keep[i]) * new[i] for i in range(h)]
+            scores[t] = [sum(a * b for a, b in zip(row, state, strict=True)) for row in o]
+        return scores
+    ahead, back = run(0, range(len(raw))), run(1, range(len(raw) - 1, -1, -1))
+    out = []
+    for t in range(len(raw)):
+        z = [a + b + float(c) for a, b, c in zip(ahead[t], back[t], net.b[:, 0], strict=True)]
+        e = [math.exp(v - max(z)) for v in z]
+        out.append([v / sum(e) for v in e])
+    return out
+
+
+def test_every_position_equals_a_plain_forward_pass():
+    net = L.BiGru.new(["a", "b", "c"], hidden=5, seed=3)
+    texts = ["The quick brown fox, it said: jumps 42 times over é ñ ü and so on and on, longer than one window is", "kurz", "", None, "12 %", "日本 ab"]
+    got = net.probabilities(texts)
+    for text, p in zip(texts, got, strict=True):
+        raw, total, n = L.to_bytes(text), np.zeros(3), 0
+        for at in range(0, len(raw), L.WINDOW):
+            window = raw[at:at + L.WINDOW].ljust(L.WINDOW, b"\0")
+            for byte, label in zip(window, plain_forward(net, window), strict=True):
+                if chr(byte).isascii() and chr(byte).isalpha() or byte >= 128:
+                    total, n = total + label, n + 1
+        np.testing.assert_allclose(p, total / max(n, 1), atol=2e-5)
+
+
 def test_held_out_accuracy(spark):
     out = queries.QUERIES["op7_language_id"](spark, SF_MID)
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
