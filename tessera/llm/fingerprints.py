@@ -25,6 +25,7 @@ SHINGLE_WORDS = 5
 DIGITS = 12
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKET_ROWS = 2000      # neighbouring documents sorted together
+MOST_BUCKETS = 1 << 16  # bounds that the plan holds; beyond 130 million documents buckets grow instead
 
 
 # ---------------------------------------------------------------- sketches
@@ -116,7 +117,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     least = -(1 << 63)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(least))
     n = docs.count()
-    parts = max(1, -(-n // BUCKET_ROWS))
+    parts = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     bounds = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("b")).first().b if parts > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)
     rows = docs.withColumn("bucket", _search(bounds, key)).withColumn("key", key)
