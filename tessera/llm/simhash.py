@@ -21,7 +21,8 @@ found by vantage-point trees under the Hamming distance:
   into shells by their distance to a vantage fingerprint of that shard. By the
   triangle bound a match of a fingerprint in shell d lies in the shells
   d - r .. d + r. Each fingerprint lives in its own shell and is sent to the r
-  next ones as a query, which covers each pair of shells once.
+  next ones as a query, which covers each pair of shells once. A shell still
+  above ``shard_rows`` is dealt into parts that ask each other.
 * *Inside a task* the shard is a vantage-point tree again: a median split by
   distance to a vantage fingerprint, recursion on both halves, and the band of
   r around the boundary compared across it.
@@ -115,7 +116,7 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _shards(fps: DataFrame, max_bits: int, shard_rows: int) -> DataFrame:
-    """(tree, cell, shell, query, fp): where each fingerprint lives (query false) and where it only asks."""
+    """(tree, cell, shell, part, query, fp): where each fingerprint lives (query false) and where it only asks."""
     cells = _cells(fps, max_bits)
     # one row per crowded cell: at most (trees x fingerprints / shard_rows) rows
     crowded = (cells.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage"))
@@ -123,8 +124,16 @@ def _shards(fps: DataFrame, max_bits: int, shard_rows: int) -> DataFrame:
     placed = cells.join(crowded, ["tree", "cell"], "left")
     shell = F.coalesce(_distance(F.col("fp"), F.col("vantage")), F.lit(-1))
     reach = F.when(shell < 0, F.array(shell)).otherwise(F.sequence(shell, shell + max_bits))
-    return (placed.select("tree", "cell", "fp", shell.alias("home"), F.explode(reach).alias("shell"))
-            .select("tree", "cell", "shell", (F.col("shell") != F.col("home")).alias("query"), "fp"))
+    shells = (placed.select("tree", "cell", "fp", shell.alias("home"), F.explode(reach).alias("shell"))
+              .select("tree", "cell", "shell", (F.col("shell") != F.col("home")).alias("query"), "fp"))
+    # a shell that is crowded still (its fingerprints are too near for bounds to part them) is dealt into parts: a
+    # member lives in one and asks those behind it, so each pair of parts meets once; queries ask all
+    full = (shells.where(~F.col("query")).groupBy("tree", "cell", "shell").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+            .select("tree", "cell", "shell", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")))
+    dealt = shells.join(full, ["tree", "cell", "shell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.when(F.col("query"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    return (dealt.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("parts") - 1)))
+            .select("tree", "cell", "shell", "part", (F.col("part") != F.col("own")).alias("query"), "fp"))
 
 
 def _span(members: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
@@ -219,27 +228,40 @@ def _small_links(group: np.ndarray, fp: np.ndarray, query: np.ndarray, r: int) -
 
 
 def _partition_links(r: int):
+    """Rows sorted by shard: the last shard of a batch waits until the next one begins."""
     def run(batches):
-        rest = None
+        waiting: list[list[np.ndarray]] = []        # arrays of one shard, joined once
+
+        def closed():
+            if waiting:
+                part = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                yield from _emit(part, np.arange(len(part[0])) == 0, r)
+                waiting.clear()
         for batch in batches:
-            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if rest is not None:
-                part = [np.concatenate([x, y]) for x, y in zip(rest, part, strict=True)]
-            if not len(part[0]):
+            if not batch.num_rows:
                 continue
-            new = np.r_[True, np.any([c[1:] != c[:-1] for c in part[:3]], axis=0)]
-            last = np.flatnonzero(new)[-1]
-            rest = [x[last:] for x in part]          # the last shard may go on in the next batch
-            yield from _emit([x[:last] for x in part], new[:last], r)
-        if rest is not None:
-            yield from _emit(rest, np.arange(len(rest[0])) == 0, r)
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            new = np.r_[True, np.any([c[1:] != c[:-1] for c in part[:4]], axis=0)]
+            starts = np.flatnonzero(new)
+            if waiting and all(w[-1] == c[0] for w, c in zip(waiting[-1][:4], part[:4], strict=True)):
+                end = int(starts[1]) if len(starts) > 1 else len(new)
+                waiting.append([c[:end] for c in part])
+                if end == len(new):
+                    continue
+                part, new = [c[end:] for c in part], new[end:]
+                starts = np.flatnonzero(new)
+            yield from closed()
+            last = int(starts[-1])
+            yield from _emit([c[:last] for c in part], new[:last], r)
+            waiting.append([c[last:] for c in part])
+        yield from closed()
     return run
 
 
 def _emit(part, new, r):
     if not len(part[0]):
         return
-    query, fp = part[3].astype(bool), part[4].view(np.uint64) if part[4].dtype == np.int64 else part[4].astype(np.int64).view(np.uint64)
+    query, fp = part[4].astype(bool), np.ascontiguousarray(part[5].astype(np.int64)).view(np.uint64)
     group = np.cumsum(new)
     sizes = np.bincount(group)[group]
     few = (sizes > 1) & (sizes <= SMALL)
@@ -258,7 +280,7 @@ def _emit(part, new, r):
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``fps(fp)`` distinct -> ``(a, b)``: links whose components are those of all pairs <= max_bits apart."""
-    key = ["tree", "cell", "shell"]
+    key = ["tree", "cell", "shell", "part"]
     return (_shards(fps, max_bits, shard_rows).repartition(*key).sortWithinPartitions(*key)
             .select(*key, "query", "fp").mapInArrow(_partition_links(max_bits), "a long, b long"))
 

@@ -88,3 +88,17 @@ def test_components_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(400)] + [(2000, 2000)]
     got = {r.id: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(1, 400)) and 2000 not in got
+
+
+def test_a_shell_that_bounds_cannot_part_is_dealt(spark):
+    """Thousands of fingerprints within a few bits of each other, all in one shell of one cell."""
+    rng = np.random.default_rng(8)
+    pts = np.unique(np.uint64(1 << 63) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 12, (1500, 2), dtype=np.uint64), axis=1))
+    pts = np.unique(np.r_[pts, np.uint64(1 << 63) ^ rng.integers(0, 4096, 1500, dtype=np.uint64)])
+    fps = spark.createDataFrame([(int(x),) for x in pts.view(np.int64)], "fp long")
+    homes = S._shards(fps, 4, 100).where("not query").groupBy("tree", "cell", "shell", "part").count()
+    assert homes.agg({"count": "max"}).first()[0] <= 160
+    rows = S.links(fps, 4, 100).collect()
+    at = {int(x): i for i, x in enumerate(pts.view(np.int64))}
+    near = [(i, int(j)) for i in range(len(pts)) for j in np.flatnonzero(np.bitwise_count(pts ^ pts[i]) <= 4) if j > i]
+    assert union_find(len(pts), [(at[r.a], at[r.b]) for r in rows]) == union_find(len(pts), near)
