@@ -14,7 +14,8 @@ COLUMNS = {
     "op5": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op6": ["vec_id", "n_links", "component_id", "kept"],
     "op7": ["doc_id", "held_out", "lang_pred", "score"],
     "op8": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op9": ["doc_id", "licence"],
-    "op10": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op10": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op11": ["lang", "source", "part", "item", "value", "rank"],
+    "op12": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"], "op13": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
@@ -28,7 +29,7 @@ def test_first_columns(spark, name):
     df = e.queries()[name](spark, SF)
     want = COLUMNS[name.split("_")[0]]
     assert df.columns[:len(want)] == want
-    assert df.count() >= 200 if name[:4] not in ("op6_", "op10") else df.count() > 0
+    assert df.count() >= 200 if name[:4] not in ("op6_", "op10", "op12") else df.count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
