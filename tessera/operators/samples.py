@@ -59,13 +59,14 @@ def sample_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
 def scan_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
     """The same for a whole scan (no row filtered): rows of earlier shards plus the row's index.
 
-    No row is shuffled. The offsets have one row per shard, as many as the file
-    index that the driver holds for the scan anyway, and are broadcast.
+    The offsets have one row per shard, as many as the file index that the driver
+    holds for the scan anyway; no row is shuffled as long as Spark finds them small
+    enough to send to the tasks.
     """
     sizes = df.groupBy(SHARD_COL).agg(F.count(F.lit(1)).alias("_rows"))
     before = running_sums(sizes, [], [SHARD_COL], {"_upto": "_rows"})
     offsets = before.select(SHARD_COL, (F.col("_upto") - F.col("_rows")).cast("long").alias("_before"))
-    return df.join(F.broadcast(offsets), SHARD_COL).withColumn(out, F.col("_before") + F.col(ROW_COL)).drop("_before")
+    return df.join(offsets, SHARD_COL).withColumn(out, F.col("_before") + F.col(ROW_COL)).drop("_before")
 
 
 def first_samples(df: DataFrame, max_samples: int | None, out: str = "ordinal") -> DataFrame:

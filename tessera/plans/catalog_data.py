@@ -150,6 +150,7 @@ def metadata_flatten(spark, sf_dir):
     return flat.select("key", *[c for c in flat.columns if c.startswith("meta_")])
 
 
+# URL and key patterns, sizes and source name of the sample dataset's rows.
 SYNTH_SQL = """
 SELECT printf('s3://sample-bucket/images/img_%05d.jpg', doc_id) AS url,
        printf('Sample image %d: A test image for batch processing', doc_id) AS caption,
