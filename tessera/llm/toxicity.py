@@ -71,6 +71,7 @@ SEQUENCES = {
 }
 OTHER, NEGATION, REPORT, TARGET, THREAT, INSULT, MODAL, VERB, RUIN, AIMED = range(10)
 SYMBOL = {"insult": INSULT, "threat": THREAT, "target": TARGET, "negation": NEGATION, "report": REPORT, "modal": MODAL, "verb": VERB, "ruin": RUIN}
+MODAL_REACH = 4         # words within which a modal makes a verb a threat
 PRIOR = 2.0             # weight of a seed that labels say nothing about
 
 #: kinds of matches, the features of a document in this order
@@ -116,7 +117,7 @@ def insults(weights: dict[tuple[str, ...], float]) -> Transducer:
     return sequences(INSULT, weights)
 
 
-def threats(weights: dict[tuple[str, ...], float], modal: int = 4, verb: int = 2, target: int = 4) -> Transducer:
+def threats(weights: dict[tuple[str, ...], float], modal: int = MODAL_REACH, verb: int = 2, target: int = 4) -> Transducer:
     """Threatening sequences, and verbs that modal and target make threats of.
 
     State: the sequences' state, and in how many words a modal, a verb behind a modal and a target are still near.
@@ -208,6 +209,9 @@ class Machine:
 TOKEN_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 CLOSING = re.compile(r"[.!?;:,]['\")\]}»”]*$")
 LINE = "\ue000"       # stands for a line end
+END, HIT, LAST, INSIDE, NEEDS_MODAL, IS_MODAL = (1 << k for k in range(6))      # of a word: the clause ends after it, an insult or threat, the
+#                         last word of a sequence, a word of one, a verb of a modal, a modal
+PLAIN = (OTHER, None, 0.0)
 
 
 @dataclass
@@ -231,10 +235,11 @@ class Toxicity:
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.symbols: list[tuple] = []          # of a code
-        self.flags = np.zeros(0, np.uint8)      # of a code: 1 the clause ends after it, 2 something may match at it
+        self.flags = np.zeros(1 << 12, np.uint8)        # of a code, in a buffer that doubles
 
     def _learn(self, tokens: set[str]) -> None:
-        flags = []
+        while len(self.symbols) + len(tokens) > len(self.flags):
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
         for token in tokens:
             end = token == LINE or bool(CLOSING.search(token))
             word = TOKEN_ENDS.sub("", token) if token != LINE else ""
@@ -242,10 +247,25 @@ class Toxicity:
             if weight is None:
                 weight = max((self.stems[word[:n]] for n in range(STEMS[0], min(len(word), STEMS[-1]) + 1) if word[:n] in self.stems), default=None)
             kind = self.seeds.get(word, OTHER) if weight is None else INSULT
+            inside = word in self.inside
             self.codes[token] = len(self.symbols)
-            self.symbols.append((kind, word if word in self.inside else None, (PRIOR if weight is None else weight) if kind in (INSULT, THREAT) else 0.0))
-            flags.append(end | 2 * (kind in (INSULT, THREAT, VERB, RUIN) or word in self.last))
-        self.flags = np.r_[self.flags, np.array(flags, np.uint8)]
+            self.flags[len(self.symbols)] = (END * end | HIT * (kind in (INSULT, THREAT)) | LAST * (word in self.last) | INSIDE * inside
+                                             | NEEDS_MODAL * (kind in (VERB, RUIN)) | IS_MODAL * (kind == MODAL))
+            self.symbols.append(PLAIN if kind == OTHER and not inside else
+                                (kind, word if inside else None, (PRIOR if weight is None else weight) if kind in (INSULT, THREAT) else 0.0))
+
+    @staticmethod
+    def _hits(flags: np.ndarray) -> np.ndarray:
+        """Places where something may match: a sequence needs a word of one before its last, a verb a modal not far before."""
+        hit = flags & HIT > 0
+        if (flags & (LAST | NEEDS_MODAL)).any():
+            hit[1:] |= (flags[1:] & LAST > 0) & (flags[:-1] & INSIDE > 0)
+            modal, near = flags & IS_MODAL > 0, np.zeros(len(flags), bool)
+            for d in range(1, MODAL_REACH + 1):
+                near[d:] |= modal[:-d] if d < len(flags) else False
+            # an aimed threat matches at the target behind the verb, in the same clause
+            hit |= (flags & NEEDS_MODAL > 0) & near
+        return np.flatnonzero(hit)
 
     def features(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(FEATURES))
@@ -260,7 +280,7 @@ class Toxicity:
             self._learn({t for t in tokens if t not in self.codes})
             codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
         flags = self.flags[codes]
-        ends, hits = np.flatnonzero(flags & 1), np.flatnonzero(flags & 2)
+        ends, hits = np.flatnonzero(flags & END), self._hits(flags)
         clauses = len(ends) + (not len(ends) or ends[-1] < len(codes) - 1)
         if not len(hits):
             return out
