@@ -187,7 +187,11 @@ class _Source:
             want *= 2
 
     def back(self, data: bytes) -> None:
-        self.buf, self.at = data + self.buf[self.at:], 0
+        """Puts back the bytes that were read last."""
+        if self.at >= len(data) and self.buf.startswith(data, self.at - len(data)):
+            self.at -= len(data)
+        else:
+            self.buf, self.at = data + self.buf[self.at:], 0
 
 
 def _upto_damage(unpack, piece: bytes):
