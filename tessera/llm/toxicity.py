@@ -335,16 +335,23 @@ def induce(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[st
 
     What reaches the driver is significant in the bounded sample of labelled rows, and bounded by it.
     """
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    def pairs_of(c: str) -> Column:
+        return F.array_distinct(F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.size(c)),
+                                           lambda a, b: F.concat(a, F.lit(" "), b)))
+    spoken = rows.select("toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("spoken"))
+    # near copies share a pair of least hash under one of three hashes; one of them counts, or their rare words would seem significant
+    spoken = spoken.withColumn("pairs", pairs_of("spoken"))
+    spoken = spoken.withColumns({f"least{k}": F.coalesce(_least_hash("pairs", k), F.xxhash64("spoken")) for k in range(3)})
+    for k in range(3):
+        spoken = spoken.dropDuplicates(["toxic", f"least{k}"])
+    spoken = materialise(spoken)
+    sizes = {r.toxic: r.n for r in spoken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return {}, {}, {}
-    spoken = rows.select("toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("spoken"))
     words = F.filter(F.array_distinct("spoken"), lambda w: F.length(w) >= 3)
     stems = [F.transform(words, _stem(n)) for n in STEMS]
-    pairs = F.array_distinct(F.zip_with(F.slice("spoken", 1, F.greatest(F.size("spoken") - 1, F.lit(0))), F.slice("spoken", 2, F.size("spoken")),
-                                        lambda a, b: F.concat(a, F.lit(" "), b)))
-    features = F.array_distinct(F.filter(F.concat(words, *stems, pairs), lambda f: f.isNotNull()))
+    features = F.array_distinct(F.filter(F.concat(words, *stems, F.col("pairs")), lambda f: f.isNotNull()))
     lift = (F.col("t") / toxic) / ((F.col("c") + 0.5) / clean)
     counts = (spoken.select("toxic", F.explode(features).alias("f")).groupBy("f")
               .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") + F.col("c") >= LEAST_TEXTS))
@@ -373,6 +380,10 @@ def induce(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[st
     return single, {f[:-1]: w for f, (_, w) in chosen.items() if f[-1] == "*"}, {f: w for f, (_, w) in chosen.items() if " " in f}
 
 
+def _least_hash(pairs: str, seed: int) -> Column:
+    return F.array_min(F.transform(pairs, lambda p: F.xxhash64(F.lit(seed), p)))
+
+
 def _stem(n: int):
     return lambda w: F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*")))
 

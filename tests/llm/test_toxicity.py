@@ -189,13 +189,32 @@ def test_training_rows_are_bounded(spark):
 
 
 def test_rare_but_certain_words_are_induced(spark):
-    rows = [(f"word{'abc'[i % 3]} zorbling" if i < 39 else "worda plain", 1) for i in range(2000)] + [("worda wordb wordc plain", 0)] * 4000
+    # texts of their own words, as copies count once
+    def own(i, n=24):
+        return " ".join("".join("bcdfghjklm"[int(c)] for c in f"{(i * 7919 + k * 104729) % 10 ** 6:06d}") for k in range(n))
+    rows = [(f"word{'abc'[i % 3]} zorbling {own(i)}" if i < 39 else f"worda plain {own(i)}", 1) for i in range(2000)]
+    rows += [(f"worda wordb wordc plain {own(5000 + i)}", 0) for i in range(4000)]
     insults, stems, _ = T.induce(spark.createDataFrame(rows, "text string, toxic int"))
     assert {w for w in [*insults, *stems] if "zorbling".startswith(w)} and not {"word", "worda", "plain"} & {*insults, *stems}
 
 
 def test_pairs_of_ordinary_words_are_induced(spark):
-    rows = [(f"a hollow bell rings {i}", 1) for i in range(60)] + [(f"hollow days and a bell {i} of hollow wood bell", 0) for i in range(300)]
+    def own(i, n=40):
+        return " ".join("".join("bcdfghjklm"[int(c)] for c in f"{(i * 7919 + k * 104729) % 10 ** 6:06d}") for k in range(n))
+    rows = [(f"{own(i)} the hollow bell rings", 1) for i in range(60)]
+    rows += [(f"{own(1000 + i)} hollow days and a bell of hollow wood bell", 0) for i in range(300)]
     insults, stems, pairs = T.induce(spark.createDataFrame(rows, "text string, toxic int"))
     assert "hollow bell" in pairs and not {"hollow", "bell"} & {*insults, *stems}
     assert kinds("you hollow bell", T.Toxicity(insults, stems, pairs)) == {"directed insult"}
+
+
+def test_near_copies_count_once(spark):
+    """Eighty near copies of a toxic text: its rare words prove nothing; a word of twenty different toxic texts does."""
+    deal = np.random.default_rng(3)
+    word = lambda: "".join(deal.choice(list("abcdefghij"), 7))
+    body = [word() for _ in range(60)]
+    copies = [(" ".join(w if deal.random() > .02 else word() for w in body), 1) for _ in range(80)]
+    others = [(" ".join([*(word() for _ in range(20)), "zorbling"]), 1) for _ in range(20)] + [(" ".join(word() for _ in range(25)), 0) for _ in range(400)]
+    insults, stems, pairs = T.induce(spark.createDataFrame(copies + others, "text string, toxic int"))
+    found = [*insults, *stems, *(w for p in pairs for w in p.split())]
+    assert any("zorbling".startswith(w) for w in found) and sum(any(b.startswith(w) for b in body) for w in found) <= 3
