@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import held_out, materialise, numbered
 
 LABELLED = 20_000       # labelled rows learned from
 STEMS = (4, 5, 6, 7, 8)   # lengths of stems
@@ -338,13 +338,15 @@ def induce(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[st
     def pairs_of(c: str) -> Column:
         return F.array_distinct(F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.size(c)),
                                            lambda a, b: F.concat(a, F.lit(" "), b)))
-    spoken = rows.select("toxic", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("spoken"))
+    spoken = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "").alias("spoken")
     # near copies share a pair of least hash under one of three hashes; one of them counts, or their rare words would seem significant
-    spoken = spoken.withColumn("pairs", pairs_of("spoken"))
-    spoken = spoken.withColumns({f"least{k}": F.coalesce(_least_hash("pairs", k), F.xxhash64("spoken")) for k in range(3)})
+    known = numbered(rows, "rid")
+    marks = known.select("rid", "toxic", spoken).select("rid", "toxic", "spoken", pairs_of("spoken").alias("pairs"))
+    marks = marks.select("rid", "toxic", *[F.coalesce(_least_hash("pairs", k), F.xxhash64("spoken")).alias(f"least{k}") for k in range(3)])
     for k in range(3):
-        spoken = spoken.dropDuplicates(["toxic", f"least{k}"])
-    spoken = materialise(spoken)
+        marks = marks.dropDuplicates(["toxic", f"least{k}"])
+    kept = known.join(F.broadcast(materialise(marks.select("rid"))), "rid")          # ids of the bounded sample
+    spoken = kept.select("toxic", spoken).withColumn("pairs", pairs_of("spoken"))
     sizes = {r.toxic: r.n for r in spoken.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
