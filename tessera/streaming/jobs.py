@@ -30,14 +30,17 @@ def file_stream(spark: SparkSession, directory: str, name: str, max_files_per_tr
     return r.parquet(directory)
 
 
-def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Every parquet shard under ``root`` as a stream (one shard per trigger if asked)."""
+def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None, only: str | None = None) -> DataFrame:
+    """Every parquet shard under ``root`` as a stream (one shard per trigger if asked).
+
+    ``only``: a glob below ``root`` of the folders that the stream reads.
+    """
     schema = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root).schema
     r = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
          .option("pathGlobFilter", "*.parquet"))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.parquet(root)
+    return r.parquet(f"{root}/{only}" if only else root)
 
 
 def run_available_now(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -59,16 +62,33 @@ def run_batches(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     Every micro-batch writes a folder of its own name, so a repeated attempt
     replaces its rows instead of adding to them.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return run_lanes([df], out, checkpoint).drop("lane")
+
+
+def run_lanes(frames: list[DataFrame], out: str, checkpoint: str) -> DataFrame:
+    """``run_batches`` of several streams of one schema side by side: rows with ``lane`` and ``batch_id``.
+
+    What a micro-batch costs besides its rows (offsets, commits, planning, one small
+    job) is mostly waiting, and a stream's micro-batches wait for each other; those
+    of different lanes do not.
+    """
+    def writer(lane: int):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/lane={lane}/batch_id={batch_id}")
+        return write
+    queries = []
     try:
-        q.awaitTermination()
+        for lane, df in enumerate(frames):
+            queries.append(df.writeStream.foreachBatch(writer(lane)).option("checkpointLocation", f"{checkpoint}/lane={lane}")
+                           .trigger(availableNow=True).start())
+        for q in queries:
+            q.awaitTermination()
     finally:
-        if q.isActive:
-            q.stop()
-    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
-    return df.sparkSession.read.schema(schema).parquet(out)
+        for q in queries:
+            if q.isActive:
+                q.stop()
+    schema = T.StructType([*frames[0].schema.fields, T.StructField("lane", T.IntegerType()), T.StructField("batch_id", T.LongType())])
+    return frames[0].sparkSession.read.schema(schema).parquet(out)
 
 
 # ---------------------------------------------------------------- request streams

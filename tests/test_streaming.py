@@ -73,3 +73,16 @@ def test_cluster_without_shared_folder_is_refused(monkeypatch):
     fake = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda *a: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(fake)
+
+
+def test_lanes_carry_every_shard_once_one_a_micro_batch(spark, tmp_path):
+    from tessera.streaming.jobs import dataset_stream, run_lanes
+    root = str(tmp_path / "in")
+    spark.range(23 * 3).selectExpr("id", "id % 23 AS shard").repartition(4, "shard").write.partitionBy("shard").parquet(f"{root}/docs")
+    lanes = [dataset_stream(spark, root, max_files_per_trigger=1, only=f"*/shard=*{d}").select("id") for d in range(10)]
+    got = run_lanes(lanes, str(tmp_path / "out"), str(tmp_path / "c"))
+    carried = {}
+    for r in got.collect():
+        carried.setdefault((r.lane, r.batch_id), set()).add(r.id)
+    assert sorted(map(sorted, carried.values())) == [[s, s + 23, s + 46] for s in range(23)]
+    assert {lane for lane, _ in carried} == set(range(10)) and max(b for _, b in carried) <= 2      # no lane waits for all the others' shards
