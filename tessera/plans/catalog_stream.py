@@ -229,7 +229,7 @@ SELECT client, request_id, n_in_window, n_in_window > {RATE_LIMIT} AS over_limit
          RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n_in_window FROM events)
 WHERE epoch_us(ts) < {WM_SQL}""")
 def stream_rate_limit_sliding(spark, sf_dir):
-    """A decision for every request of the stream: the client's requests in the day up to it (map state of time slots)."""
+    """A decision for every request of the stream: the client's requests in the day up to it (list state of requests)."""
     with rocksdb(spark):
         return _run(spark, sliding_limit(_reqs(spark, sf_dir), RATE_LIMIT, 86400.0), "rate_limit_sliding")
 

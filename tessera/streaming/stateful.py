@@ -1,4 +1,4 @@
-"""Stateful request operators on ``transformWithState``: list and map state with event-time timers.
+"""Stateful request operators on ``transformWithState``: list state with event-time timers.
 
 A request is appended to its key's state as it is; nothing is rewritten for it.
 Work is done by timers: one fires when the watermark proves that something can be
@@ -26,6 +26,7 @@ US = 1_000_000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOTS = 32              # time slots of a period
+KEYS = 4096             # state keys that the clients of a sliding limit share
 
 
 @contextmanager
@@ -141,50 +142,49 @@ def replica_batches(reqs: DataFrame, max_batch: int, max_wait_s: float, keys=("m
 # ---------------------------------------------------------------- sliding limit
 
 class _SlidingLimit(_Timed):
+    """Requests wait in chunks; a call appends what arrived, and what is over leaves when it is half of the state."""
+
     def __init__(self, limit: int, period: int, id_type: str, columns: list[str]):
         self.limit, self.period, self.id_type, self.columns = limit, period, id_type, columns
         self.width = max(1, period // SLOTS)
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.slots = handle.getMapState("slots", "slot long", f"t array<long>, id array<{self.id_type}>")
+        self.slots = handle.getListState("slots", f"t array<long>, client array<string>, id array<{self.id_type}>")
         self.done = handle.getValueState("done", "us long")     # requests before it are decided
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
-        for pdf in rows:
-            by_slot: dict[int, tuple[list, list]] = {}
-            for t, i in zip(_plain(pdf["t_us"]), _plain(pdf["request_id"]), strict=True):
-                ts, ids = by_slot.setdefault(t // self.width, ([], []))
-                ts.append(t)
-                ids.append(i)
-                first = t if first is None else min(first, t)
-            for slot, (ts, ids) in by_slot.items():
-                old = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else ([], [])
-                self.slots.updateValue((slot,), ([*old[0], *ts], [*old[1], *ids]))
-        if first is not None:
-            self.wake(first, timerValues.getCurrentWatermarkInMs())
+        chunks = [(pdf["t_us"].tolist(), pdf["client"].tolist(), _plain(pdf["request_id"])) for pdf in rows if len(pdf)]
+        if chunks:
+            self.slots.appendList(chunks)
+            self.wake(min(min(c[0]) for c in chunks), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def decide(self, key, watermark_ms):
         now, done = watermark_ms * 1000, self.done.get()[0] if self.done.exists() else -(1 << 62)
-        rows, old = [], []
-        for (slot,), (ts, ids) in list(self.slots.iterator()):
-            rows += zip(ts, ids, strict=True)
-            if (slot + 1) * self.width <= now - self.period:
-                old.append(slot)
-        rows.sort()
-        t = np.array([r[0] for r in rows], np.int64)
+        times, clients, ids = [], [], []
+        for some, whose, their in self.slots.get():
+            times += some
+            clients += whose
+            ids += their
+        t, (code, _) = np.array(times, np.int64), pd.factorize(np.array(clients, object), use_na_sentinel=False)
+        # clients side by side, further apart than a window reaches
+        at = np.sort(code * (int(t.max() - t.min()) + self.period + 1) + (t - t.min()))
         due = np.flatnonzero((t >= done) & (t < now))
-        count = np.searchsorted(t, t[due], "right") - np.searchsorted(t, t[due] - self.period, "left")
+        mine = code[due] * (int(t.max() - t.min()) + self.period + 1) + (t[due] - t.min())
+        count = np.searchsorted(at, mine, "right") - np.searchsorted(at, mine - self.period, "left")
         self.done.update((now,))
-        for slot in old:                        # no later window reaches back to it
-            self.slots.removeKey((slot,))
-        later = t[t >= now]
-        if len(later):
-            self.wake(int(later[0]), watermark_ms)
+        # no later window reaches back before this slot of the period
+        left = np.flatnonzero(t >= (now - self.period) // self.width * self.width).tolist()
+        if not left:
+            self.slots.clear()
+        elif 2 * len(left) <= len(t):
+            self.slots.put([([times[i] for i in left], [clients[i] for i in left], [ids[i] for i in left])])
+        if (t >= now).any():
+            self.wake(int(t[t >= now].min()), watermark_ms)
         if len(due):
-            yield pd.DataFrame([(*key, rows[i][1], int(n), bool(n > self.limit)) for i, n in zip(due.tolist(), count.tolist(), strict=True)], columns=self.columns)
+            some = due.tolist()
+            yield pd.DataFrame(dict(zip(self.columns, ([clients[i] for i in some], [ids[i] for i in some], count.astype(np.int64), count > self.limit), strict=True)))
 
 
 def sliding_limit(reqs: DataFrame, limit: int, period_s: float) -> DataFrame:
@@ -192,12 +192,17 @@ def sliding_limit(reqs: DataFrame, limit: int, period_s: float) -> DataFrame:
 
     Decided once the watermark has passed the request, so that requests out of
     order count; equal times count each other. ``reqs`` has a watermark on ``ts``.
+    Clients share ``KEYS`` state keys by hash: what a key costs besides its
+    requests does not grow with the number of clients.
     """
-    id_type = reqs.schema["request_id"].dataType
-    schema = T.StructType([reqs.schema["client"], T.StructField("request_id", id_type), T.StructField("n_in_window", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    src = reqs.select("client", "request_id", "ts", epoch_us("ts").alias("t_us"))
-    return src.groupBy("client").transformWithStateInPandas(
+    id_type, client = reqs.schema["request_id"].dataType, reqs.schema["client"].dataType
+    schema = T.StructType([T.StructField("client", T.StringType()), T.StructField("request_id", id_type), T.StructField("n_in_window", T.LongType()), T.StructField("over_limit", T.BooleanType())])
+    text = F.hex("client") if client == T.BinaryType() else F.col("client").cast("string")
+    src = reqs.select(F.pmod(F.xxhash64("client"), F.lit(KEYS)).alias("part"), text.alias("client"), "request_id", "ts", epoch_us("ts").alias("t_us"))
+    out = src.groupBy("part").transformWithStateInPandas(
         _SlidingLimit(int(limit), int(round(period_s * US)), id_type.simpleString(), schema.fieldNames()), schema, "Append", "EventTime")
+    back = F.unhex("client") if client == T.BinaryType() else F.col("client").cast(client)
+    return out.withColumn("client", back)
 
 
 # ---------------------------------------------------------------- repeated requests

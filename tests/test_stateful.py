@@ -99,3 +99,75 @@ def test_a_replayed_file_changes_nothing(spark):
         out = scratch_path(spark, "replay")
         answers.append(sorted(map(tuple, run_available_now(timeouts_join(reqs, resp, 10), out + "/o", out + "/c").collect())))
     assert answers[0] == answers[1] and len(answers[0]) == len({a[0] for a in answers[0]}) > 0
+
+
+class _Calls:
+    """State and timers of one key that count how often they are called."""
+
+    def __init__(self):
+        self.calls, self.rows, self.map, self.one = 0, [], {}, {}
+
+    def __getattr__(self, name):
+        def state(*a):
+            handle = self
+
+            class One:
+                def __getattr__(one, method):
+                    def call(*v):
+                        handle.calls += 1
+                        return getattr(handle, f"_{method}")(a[0], *v) if a else None
+                    return call
+            return One() if name.startswith("get") else None
+        self.calls += 0 if name.startswith("get") else 1
+        return state
+
+    def _exists(self, name):
+        return bool(self.rows if name == "slots" else name in self.one)
+
+    def _get(self, name):
+        return list(self.rows) if name == "slots" else self.one[name]
+
+    def _update(self, name, value):
+        self.one[name] = value
+
+    def _clear(self, name):
+        self.rows = [] if name == "slots" else self.rows
+        self.one.pop(name, None)
+
+    def _appendList(self, name, rows):
+        self.rows += rows
+
+    def _put(self, name, rows):
+        self.rows = list(rows)
+
+    def _containsKey(self, name, key):
+        return key in self.map
+
+    def _getValue(self, name, key):
+        return self.map[key]
+
+    def _updateValue(self, name, key, value):
+        self.map[key] = value
+
+    def _removeKey(self, name, key):
+        del self.map[key]
+
+    def _iterator(self, name):
+        return list(self.map.items())
+
+
+def test_a_keys_requests_take_few_state_calls_however_many_slots():
+    import types
+
+    from tessera.streaming.stateful import _SlidingLimit
+    handle, processor = _Calls(), _SlidingLimit(3, 60_000_000, "long", ["client", "request_id", "n_in_window", "over_limit"])
+    processor.init(handle)
+    t, client = np.arange(1000, dtype=np.int64) * 7_000_000, np.array(["a", "b", None, "a"] * 250, object)
+    at = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    list(processor.handleInputRows((1,), iter([pd.DataFrame({"t_us": t[::-1], "client": client[::-1], "request_id": np.arange(1000)[::-1]})]), at))
+    got = pd.concat(processor.decide((1,), 6_000_000)).sort_values("request_id")
+    due = t < 6_000_000_000
+    assert got.request_id.tolist() == np.flatnonzero(due).tolist() and got.client.tolist() == client[due].tolist()
+    assert got.n_in_window.tolist() == [int(((t >= x - 60_000_000) & (t <= x) & (client == c)).sum()) for x, c in zip(t[due], client[due], strict=True)]
+    left = [x for some, *_ in handle.rows for x in some]
+    assert handle.calls <= 20 and set(t[~due]) <= set(left) and min(left) >= 6_000_000_000 - 60_000_000 - 60_000_000 // SLOTS
