@@ -9,6 +9,8 @@ watermark) and returns the sink read back as a batch table.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -116,34 +118,52 @@ def timeouts_join(requests: DataFrame, responses: DataFrame, bound_s: int) -> Da
     return j.select(F.col("req_id").alias("request_id"), F.col("resp_id").isNull().alias("timed_out"))
 
 
+def _by_time(t: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by time, then id (of any type)."""
+    if ids.dtype != object:
+        return np.lexsort((ids, t))
+    order = np.argsort(t, kind="stable")
+    cuts = np.flatnonzero(np.diff(t[order])) + 1
+    begin, end = np.r_[0, cuts], np.r_[cuts, len(t)]
+    for a, b in zip(begin[end - begin > 1], end[end - begin > 1], strict=True):
+        order[a:b] = sorted(order[a:b], key=lambda i: ids[i])
+    return order
+
+
 def _batcher(B: int, W: int, columns: list[str]):
     def fn(key, pdfs, state):
-        t, ids = (np.asarray(state.get[0], dtype=np.int64), list(state.get[1])) if state.exists else (np.empty(0, dtype=np.int64), [])
+        ts, names = [], []
+        if state.exists:
+            t, ids = pickle.loads(state.get[0])
+            ts, names = [t], [ids]
         if not state.hasTimedOut:
             for pdf in pdfs:
-                t = np.concatenate([t, pdf["t_us"].to_numpy(np.int64)])
-                ids += pdf["request_id"].tolist()
-        order = sorted(range(len(t)), key=lambda i: (t[i], ids[i]))  # arrival order inside a micro-batch is arbitrary
-        t, ids = t[order], [ids[i] for i in order]
+                ts.append(pdf["t_us"].to_numpy(np.int64))
+                names.append(pdf["request_id"].to_numpy())
+        t, ids = np.concatenate([np.empty(0, np.int64), *ts]), np.concatenate(names) if names else np.empty(0, object)
+        order = _by_time(t, ids)  # arrival order inside a micro-batch is arbitrary
+        t, ids = t[order], ids[order]
         wm_ms = state.getCurrentWatermarkMs()
         wm = wm_ms * 1000
         jump = _jumps(t, B, W)
-        rows, s = [], 0
+        starts, s = [], 0
         while s < len(t):
             e = int(jump[s])
-            size, open_, last = e - s, int(t[s]), int(t[e - 1])
-            if not ((size == B and last < wm) or (open_ + W < wm)):
+            if not ((e - s == B and t[e - 1] < wm) or (t[s] + W < wm)):
                 break
-            rows.append((*key, ids[s], size, open_, last, last if size == B else open_ + W))
+            starts.append(s)
             s = e
-        t, ids = t[s:], ids[s:]
-        if len(t):
-            state.update((t.tolist(), ids))
-            nxt = int(t[0]) + W
+        begin = np.array(starts, np.int64)
+        end = jump[begin]
+        size, open_, last = end - begin, t[begin], t[end - 1]
+        rows = [*([k] * len(begin) for k in key), ids[begin], size.astype(np.int32), open_, last, np.where(size == B, last, open_ + W)]
+        if s < len(t):
+            state.update((pickle.dumps((t[s:], ids[s:])),))     # as arrays: a state of lists costs each request far more
+            nxt = int(t[s]) + W
             state.setTimeoutTimestamp(max(wm_ms + 1, nxt // 1000 + 1))
         else:
             state.remove()
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(dict(zip(columns, rows, strict=True)))
     return fn
 
 
@@ -163,7 +183,7 @@ def stream_dynamic_batches(reqs: DataFrame, max_batch: int, max_wait_s: float,
     fields = [T.StructField("batch_id", id_type), T.StructField("batch_size", T.IntegerType()), T.StructField("open_us", T.LongType()),
               T.StructField("last_us", T.LongType()), T.StructField("close_us", T.LongType())]
     schema = T.StructType([reqs.schema[k] for k in keys] + fields)
-    state = T.StructType([T.StructField("t", T.ArrayType(T.LongType())), T.StructField("i", T.ArrayType(id_type))])
+    state = T.StructType([T.StructField("waiting", T.BinaryType())])
     src = reqs.select(*keys, "request_id", "ts", epoch_us("ts").alias("t_us"))
     return src.groupBy(*keys).applyInPandasWithState(
         _batcher(int(max_batch), W, schema.fieldNames()), schema, state, "append",

@@ -86,3 +86,19 @@ def test_lanes_carry_every_shard_once_one_a_micro_batch(spark, tmp_path):
         carried.setdefault((r.lane, r.batch_id), set()).add(r.id)
     assert sorted(map(sorted, carried.values())) == [[s, s + 23, s + 46] for s in range(23)]
     assert {lane for lane, _ in carried} == set(range(10)) and max(b for _, b in carried) <= 2      # no lane waits for all the others' shards
+
+
+def test_a_models_waiting_requests_are_kept_as_arrays_and_ids_may_be_text():
+    import types
+
+    from tessera.streaming.jobs import _batcher
+    kept = {}
+    state = types.SimpleNamespace(exists=False, hasTimedOut=False, getCurrentWatermarkMs=lambda: 0, update=lambda v: kept.update(v=v),
+                                  setTimeoutTimestamp=lambda ms: None, remove=lambda: kept.clear())
+    columns = ["model", "batch_id", "batch_size", "open_us", "last_us", "close_us"]
+    t = np.array([5, 3, 3, 90, 4, 7, 8], np.int64)
+    first = list(_batcher(3, 10, columns)(("m",), [pd.DataFrame({"t_us": t, "request_id": list("ecbzdfg")})], state))
+    assert len(first[0]) == 0 and isinstance(kept["v"][0], bytes)         # nothing is proven yet; one value, not one per request
+    state.exists, state.get, state.hasTimedOut, state.getCurrentWatermarkMs = True, kept["v"], True, lambda: 1
+    done = list(_batcher(3, 10, columns)(("m",), [], state))[0]
+    assert list(done.itertuples(index=False, name=None)) == [("m", "b", 3, 3, 4, 4), ("m", "e", 3, 5, 8, 8), ("m", "z", 1, 90, 90, 100)] and not kept
