@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..models.base import EncoderSpec
 from ..operators.samples import sample_projection
+from ..session import scratch_path
 from ..sources.dataset import SHARD_COL, list_shards, scan_dataset
 from .embed_job import encode_samples
 
@@ -53,7 +54,8 @@ def ledger(spark: SparkSession, output_dir: str, kind: str = "ledger") -> DataFr
 
 
 def _write_shards(shards: DataFrame, path: str) -> None:
-    shards.select("path", "length", "modificationTime", F.current_timestamp().alias("committed")).coalesce(1).write.mode("overwrite").parquet(path)
+    # an exchange, not coalesce: one task would do the sorts of all partitions before it, with the memory of all
+    shards.select("path", "length", "modificationTime", F.current_timestamp().alias("committed")).repartition(1).write.mode("overwrite").parquet(path)
 
 
 def pending_shards(spark: SparkSession, input_dir: str, output_dir: str) -> DataFrame:
@@ -67,6 +69,10 @@ def plan_batches(spark: SparkSession, input_dir: str, output_dir: str, batch_sha
     from ..operators.scan import running_sums
 
     found = running_sums(pending_shards(spark, input_dir, output_dir), [], ["path"], {"_n": F.lit(1), "_bytes": F.col("length")})
+    # numbered once, not once a batch
+    path = scratch_path(spark, "pending")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     cut = F.greatest(F.floor((F.col("_n") - 1) / batch_shards), F.floor((F.col("_bytes") - F.col("length")) / batch_bytes)).cast("long")
     # the name of a batch is a hash of its shards, whatever their order in it
     one = F.xxhash64("path", "length", "modificationTime")

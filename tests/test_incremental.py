@@ -87,3 +87,12 @@ def test_batches_are_cut_by_bytes(spark, place):
     for i in range(4):
         shard(spark, src, f"s{i}", [("u", "x", f"k{i}")])
     assert len(I.plan_batches(spark, src, out, batch_bytes=1)) == 4
+
+
+def test_shards_of_a_batch_are_not_prepared_in_the_task_that_writes_them(spark, tmp_path):
+    from pyspark import TaskContext
+    attempt = F.udf(lambda _: str(TaskContext.get().taskAttemptId()), "string").asNondeterministic()
+    shards = spark.range(0, 40, 1, 8).select(attempt("id").alias("path"), F.col("id").alias("length"), F.current_timestamp().alias("modificationTime"))
+    I._write_shards(shards, str(tmp_path / "plan"))
+    rows = spark.read.parquet(str(tmp_path / "plan"))
+    assert rows.count() == 40 and rows.select("path").distinct().count() == 8 and len(rows.inputFiles()) == 1
