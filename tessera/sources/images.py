@@ -255,19 +255,26 @@ def url_sizes(df: DataFrame, url_col: str = "url") -> DataFrame:
 #: bytes of files, and files, that a task fetches
 TASK_BYTES = 64 << 20
 FILE_COST = 64 << 10
+#: beyond so many tasks, one has at least so many small files
+FEW_TASKS, TASK_FILES = 64, 512
 
 
 def deal_by_bytes(sized: DataFrame, url_col: str = "url", task_bytes: int = TASK_BYTES) -> DataFrame:
     """Rows with a ``length`` dealt to tasks of about ``task_bytes`` each, in URL order.
 
     Running sums of the lengths (``FILE_COST`` added for each file) name the
-    task, so a few huge files and many tiny ones make tasks of equal work.
+    task, so a few huge files and many tiny ones make tasks of equal work. Very
+    many tiny ones make no more than ``FEW_TASKS`` tasks, or one per ``TASK_FILES``
+    files, so that what a task costs besides its files stays a small share.
     """
-    cost = F.coalesce("length", F.lit(0)) + FILE_COST
-    total = sized.agg(F.sum(cost)).first()[0] or 0
-    tasks = max(1, -(-total // task_bytes))
+    length = F.coalesce("length", F.lit(0))
+    cost = length + FILE_COST
+    total, size, files = sized.agg(F.sum(cost), F.sum(length), F.count(F.lit(1))).first()
+    enough = max(FEW_TASKS, -(-(size or 0) // task_bytes) + -(-files // TASK_FILES))
+    tasks = min(max(1, -(-(total or 0) // task_bytes)), enough)
+    share = max(task_bytes, -(-(total or 0) // tasks))
     placed = running_sums(sized, [], [url_col], {"_upto": cost})
-    task = F.least(F.floor((F.col("_upto") - 1) / task_bytes), F.lit(tasks - 1)).cast("int")
+    task = F.least(F.floor((F.col("_upto") - 1) / share), F.lit(tasks - 1)).cast("int")
     return placed.withColumn("_task", task).repartitionById(tasks, F.col("_task")).drop("_upto", "_task")
 
 

@@ -111,6 +111,12 @@ def test_files_are_dealt_by_bytes(spark, tmp_path):
     assert len(load) >= 4 and max(load.values()) <= (1 << 20) + 400_000 + (64 << 10)
 
 
+def test_very_many_small_files_make_tasks_of_many_files(spark):
+    sized = spark.range(70_000).selectExpr("concat('/none/', lpad(cast(id AS string), 6, '0')) AS url", "300L AS length")
+    load = [r["count"] for r in deal_by_bytes(sized, task_bytes=1 << 20).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(load) == 70_000 and len(load) <= 70_000 // 512 + 40 and max(load) <= 600
+
+
 def test_one_row_group_is_spread_over_tasks(spark, tmp_path):
     rows = spark.range(60_000).selectExpr("id", "concat(md5(cast(id as string)), sha2(cast(id as string), 256)) AS text").coalesce(1)
     rows.write.option("parquet.block.size", 1 << 30).parquet(str(tmp_path / "one"))
