@@ -6,10 +6,12 @@ unwrapped, lists and lines of their own stay apart). Its word unigrams and bigra
 as licence notices have them, are the sparse features of a multinomial logistic
 regression over licence families and an *unknown* class. The model is trained in
 numpy on variants of the notices below (cut, with words dropped, set into prose)
-against paragraphs of the corpus (at most ``PROSE`` distinct ones, picked by a
-hash) and against shuffled notices. On a held-out part a temperature is fitted,
-and the probability from which a family counts is set so that at most
-``FALSE_ALARMS`` of the held-out unknown paragraphs pass. A prediction is then
+against all paragraphs of the corpus and against shuffled notices: paragraphs are
+reduced to the words that notices have, distinct ones are dealt by a hash to blocks
+of about ``BLOCK``, a task trains on each block, and the weights are averaged. On a
+held-out part of every block a temperature is fitted, and the probability from which
+a family counts is set so that at most ``FALSE_ALARMS`` of the held-out unknown
+paragraphs pass. A prediction is then
 confirmed by comparison with the family's notices: one of them must have at
 least ``CONFIRM`` of its word trigrams in the paragraph, or the paragraph of its
 own in the notice.
@@ -17,6 +19,7 @@ own in the notice.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -25,8 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UNKNOWN = "unknown"
-PROSE = 3000
+PROSE = 3000            # paragraphs of a small model (``prose_sample``)
+BLOCK = 20_000          # distinct paragraphs that a task trains on
+OTHER = "?"             # stands for words that no notice has
+WEIGHT = 1 << 20        # weights and losses are added up as whole numbers of this share, in any order
+BINS = 10_000
+TEMPERATURES = np.geomspace(.2, 5, 25)
 VARIANTS = 60           # training variants of a notice
 FALSE_ALARMS = 0.001
 CONFIRM = 0.6
@@ -194,23 +204,28 @@ def _variants(notice: list[str], prose: list[list[str]], rng) -> list[list[str]]
     return out
 
 
-def train(prose: list[str], rounds: int = ROUNDS, seed: int = 3) -> LicenceModel:
-    """A model from the notices and unlabelled ``prose`` paragraphs (none is fine). Prose that holds a notice is left out."""
-    rng = np.random.default_rng(seed)
+def _blank() -> LicenceModel:
     families = [*NOTICES, UNKNOWN]
-    notices = {f: [words(n) for n in ns] for f, ns in NOTICES.items()}
     index: dict[str, dict[str, int]] = {}
     n = 0
-    for w in (w for ws in notices.values() for w in ws):
+    for w in (words(x) for ns in NOTICES.values() for x in ns):
         for a, b in zip(w, [*w[1:], ""], strict=True):
             for second in ("", b) if b else ("",):
                 if second not in index.setdefault(a, {}):
                     index[a][second], n = n, n + 1
-    model = LicenceModel(families, index, np.zeros((n + 1, len(families))))
-    plain = [w for w in map(words, prose) if w and max(model.similarity(f, w) for f in notices) < .3]
-    rows, y = [], []
+    return LicenceModel(families, index, np.zeros((n + 1, len(families))))
+
+
+def _is_plain(model: LicenceModel, w: list[str]) -> bool:
+    return max(model.similarity(f, w) for f in model.families[:-1]) < .3
+
+
+def _examples(model: LicenceModel, plain: list[list[str]], counts, seed: int):
+    """(features, class, count, is prose, held out) of variants, shuffled notices and plain paragraphs."""
+    rng = np.random.default_rng(seed)
+    families, rows, y = model.families, [], []
     for k, f in enumerate(families[:-1]):
-        for notice in notices[f]:
+        for notice in map(words, NOTICES[f]):
             for w in _variants(notice, plain, rng):
                 rows.append(model.features(w))
                 y.append(k)
@@ -223,22 +238,48 @@ def train(prose: list[str], rounds: int = ROUNDS, seed: int = 3) -> LicenceModel
     for w in plain:
         rows.append(model.features(w))
         y.append(len(families) - 1)
-    y, is_prose = np.array(y), np.arange(len(y)) >= mixed_up
-    held = rng.random(len(y)) < .25
-    fit_rows, fit_y = [r for r, h in zip(rows, held, strict=True) if not h], y[~held]
-    weight = 1 / np.sqrt(np.bincount(fit_y, minlength=len(families))[fit_y])
-    weight *= len(weight) / weight.sum()
-    at, feature = np.repeat(np.arange(len(fit_rows)), [len(r) for r in fit_rows]), np.array([k for r in fit_rows for k in r], np.int64)
+    n = np.r_[np.ones(mixed_up), np.asarray(counts, np.float64)]
+    return rows, np.array(y), n, np.arange(len(y)) >= mixed_up, rng.random(len(y)) < .25
+
+
+def _learn(model: LicenceModel, rows: list[list[int]], y: np.ndarray, n: np.ndarray, rounds: int) -> None:
+    """Weights of ``model`` from rows that count ``n`` times."""
+    weight = n / np.sqrt(np.bincount(y, n, minlength=len(model.families))[y])
+    weight *= n.sum() / weight.sum()
+    same: dict[tuple, int] = {}             # rows of equal features and class are one
+    of = np.array([same.setdefault((k, *r), len(same)) for r, k in zip(rows, y.tolist(), strict=True)], np.int64)
+    weight = np.bincount(of, weight)
+    classes, rows = np.array([r[0] for r in same], np.int64), [r[1:] for r in same]
+    sizes = np.array([len(r) for r in rows])
+    feature, at = np.array([k for r in rows for k in r], np.int64), np.repeat(np.arange(len(rows)), sizes)
+    some = np.flatnonzero(sizes)
+    begin = np.r_[0, np.cumsum(sizes[some])[:-1]].astype(np.int64)
     order = np.argsort(feature, kind="stable")
     found, first = np.unique(feature[order], return_index=True)
+    source, share, row = at[order], (weight / n.sum())[:, None].astype(np.float32), np.arange(len(rows))
     square = np.zeros_like(model.weights)
     for _ in range(rounds):                 # Adagrad over the whole set
-        g = (model.probabilities(fit_rows) - np.eye(len(families))[fit_y]) * weight[:, None] / len(fit_y)
+        now = model.weights.astype(np.float32)
+        g = np.tile(now[-1], (len(rows), 1))
+        if len(some):
+            g[some] += np.add.reduceat(now[feature], begin, axis=0)
+        g = np.exp(g - g.max(axis=1, keepdims=True))
+        g /= g.sum(axis=1, keepdims=True)
+        g[row, classes] -= 1
+        g *= share
         grad = 1e-5 * model.weights
-        grad[found] += np.add.reduceat(g[at[order]], first, axis=0)
+        grad[found] += np.add.reduceat(g[source], first, axis=0)
         grad[-1] += g.sum(axis=0)
         square += grad * grad
         model.weights -= .5 * grad / (np.sqrt(square) + 1e-9)
+
+
+def train(prose: list[str], rounds: int = ROUNDS, seed: int = 3) -> LicenceModel:
+    """A model from the notices and unlabelled ``prose`` paragraphs (none is fine). Prose that holds a notice is left out."""
+    model = _blank()
+    plain = [w for w in map(words, prose) if w and _is_plain(model, w)]
+    rows, y, n, is_prose, held = _examples(model, plain, np.ones(len(plain)), seed)
+    _learn(model, [r for r, h in zip(rows, held, strict=True) if not h], y[~held], n[~held], rounds)
     return calibrate(model, [r for r, h in zip(rows, held, strict=True) if h], y[held], is_prose[held])
 
 
@@ -250,7 +291,7 @@ def calibrate(model: LicenceModel, rows: list[list[int]], y: np.ndarray, is_pros
     def loss(t: float) -> float:
         model.temperature = t
         return -np.log(model.probabilities(rows)[np.arange(len(y)), y] + 1e-12).mean()
-    model.temperature = min(np.geomspace(.2, 5, 25), key=loss) if len(rows) else 1.0
+    model.temperature = min(TEMPERATURES, key=loss) if len(rows) else 1.0
     p = model.probabilities(rows)[:, :-1].max(axis=1) if len(rows) else np.empty(0)
     if is_prose.any():
         model.threshold = float(np.clip(np.quantile(p[is_prose], 1 - FALSE_ALARMS) + 1e-6, .3, .9))
@@ -266,6 +307,106 @@ def prose_sample(docs: DataFrame, text_col: str = "text", most: int = PROSE) ->
     return [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(most).collect()]
 
 
+# ---------------------------------------------------------------- training on a whole corpus
+
+def reduced(w: list[str], index: dict) -> str:
+    """Words that notices have, the others as ``OTHER``, runs of them as one: same features, far fewer distinct."""
+    out: list[str] = []
+    for x in w:
+        if x in index:
+            out.append(x)
+        elif not out or out[-1] != OTHER:
+            out.append(OTHER)
+    return " ".join(out)
+
+
+def prose_forms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(form, n)``: reduced forms of all paragraphs that hold no notice, and how many distinct paragraphs have each."""
+    @F.pandas_udf("array<struct<form:string,h:long>>")
+    def of(texts: pd.Series) -> pd.Series:
+        model, out = _blank(), []
+        grams = set().union(*(g for f in model.families[:-1] for g, _ in model.notices[f]))
+        for text in texts:
+            rows = []
+            for _, _, body in paragraphs(text):
+                w = words(body)
+                # without a trigram of any notice it is like none
+                if w and (grams.isdisjoint(zip(w, w[1:], w[2:])) if len(w) > 2 else tuple(w) not in grams) or w and _is_plain(model, w):
+                    h = int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                    rows.append({"form": reduced(w, model.index), "h": h})
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+    each = docs.select(F.explode(of(F.col(text_col))).alias("p")).select("p.form", "p.h").distinct()
+    return each.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _block(model: LicenceModel, pdf: pd.DataFrame):
+    """Block number and examples, the same at every reading."""
+    pdf = pdf.sort_values("form")
+    k = int(pdf["block"].iloc[0])
+    return k, _examples(model, [f.split(" ") for f in pdf["form"]], pdf["n"].to_numpy(), 3 + k)
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, block: int = BLOCK) -> LicenceModel:
+    """A model from the notices and all paragraphs of the texts.
+
+    A task holds one block, the driver one model and a histogram of bounded size.
+    """
+    forms = materialise(prose_forms(docs, text_col))
+    blocks = -(-forms.count() // block)
+    if not blocks:
+        return train([], rounds)
+    dealt = forms.withColumn("block", F.pmod(F.xxhash64("form"), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("block"))
+
+    def by_block(of):
+        """``of`` each partition, which is one block."""
+        def run(parts):
+            whole = [p for p in parts if len(p)]
+            if whole:
+                yield of(pd.concat(whole))
+        return run
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        model = _blank()
+        _, (rows, y, n, _, held) = _block(model, pdf)
+        _learn(model, [r for r, h in zip(rows, held, strict=True) if not h], y[~held], n[~held], rounds)
+        return pd.DataFrame({"w": [np.round(model.weights.ravel() * WEIGHT).astype(np.int64).tolist()]})
+
+    weights = dealt.mapInPandas(by_block(learn), "w array<long>").select(F.posexplode("w").alias("at", "w"))
+    summed = weights.groupBy("at").agg(F.sum("w").alias("w"), F.count("w").alias("k")).orderBy("at").collect()
+    model = _blank()
+    model.weights = np.array([r.w / r.k / WEIGHT for r in summed]).reshape(model.weights.shape)
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Held-out loss (bin -1) and prose by its largest family probability, for each temperature."""
+        _, (rows, y, n, is_prose, held) = _block(model, pdf)
+        rows, y, n, is_prose = [r for r, h in zip(rows, held, strict=True) if h], y[held], n[held], is_prose[held]
+        z, out = model.logits(rows), []
+        for k, t in enumerate(TEMPERATURES):
+            p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
+            p /= p.sum(axis=1, keepdims=True)
+            loss = -np.log(p[np.arange(len(y)), y] + 1e-12) * n
+            out.append((k, -1, int(round(loss.sum() * WEIGHT))))
+            bins = np.minimum(p[is_prose, :-1].max(axis=1) * BINS, .9 * BINS).astype(np.int64)
+            out += [(k, int(i), int(m)) for i, m in enumerate(np.bincount(bins, n[is_prose])) if m]
+        return pd.DataFrame(out, columns=["k", "bin", "m"])
+
+    # bins below .3 are only counted: the threshold is never there
+    found = dealt.mapInPandas(by_block(judge), "k int, bin long, m long")
+    low = F.when((F.col("bin") >= 0) & (F.col("bin") < int(.3 * BINS)), 0).otherwise(F.col("bin"))
+    found = found.groupBy("k", low.alias("bin")).agg(F.sum("m").alias("m")).collect()
+    best = min((r for r in found if r.bin == -1), key=lambda r: (r.m, r.k)).k
+    model.temperature = float(TEMPERATURES[best])
+    bins = sorted((r.bin, r.m) for r in found if r.k == best and r.bin >= 0)
+    allowed, model.threshold = FALSE_ALARMS * sum(m for _, m in bins), .3
+    for at, m in reversed(bins):
+        allowed -= m
+        if allowed < 0:
+            model.threshold = float(np.clip((at + 1) / BINS, .3, .9))
+            break
+    return model
+
+
 # ---------------------------------------------------------------- operator
 
 SCHEMA = "array<struct<family:string,probability:double,similarity:double,start:int,end:int>>"
@@ -287,7 +428,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     is none), ``families`` all of them, sorted. Null and empty texts have none;
     every row is kept, repeated rows get equal answers; other columns are not read.
     """
-    model = model or train(prose_sample(docs, text_col))
+    model = model or fit(docs, text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), notices(model, F.col(text_col)).alias("notices"))
     best = F.element_at(F.array_sort(F.transform("notices", lambda n: F.struct(n["probability"], n["family"]))), -1)["family"]
     return found.select("doc_id", F.when(F.size("notices") > 0, best).otherwise(UNKNOWN).alias("licence"),

@@ -117,3 +117,19 @@ def test_odd_rows(spark, model):
     n = by[5].notices[0]
     assert rows[5][1][n.start:n.end] == "Released under the MIT License."
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_paragraph_takes_part_in_training(spark):
+    rows = [(i, f"A quiet line {i} of the sea, not to be copied.\n\nAnother use of it, number {i}.\n\nReleased under the MIT License.") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (400, None), (401, "")], "doc_id long, text string").repartition(3)
+    forms = {r.form: r.n for r in L.prose_forms(docs).collect()}
+    assert sum(forms.values()) == 800                       # each distinct paragraph but the notice, whatever its place
+    model = L._blank()
+    for r in rows[:5]:
+        for _, _, body in L.paragraphs(r[1])[:2]:
+            w = L.words(body)
+            assert L.reduced(w, model.index) in forms and model.features(L.reduced(w, model.index).split(" ")) == model.features(w)
+    a, b = L.fit(docs, rounds=20, block=2), L.fit(docs.repartition(5), rounds=20, block=2)
+    assert (a.weights == b.weights).all() and (a.temperature, a.threshold) == (b.temperature, b.threshold)
+    got = {r.doc_id: r.licence for r in L.scan(docs, model=L.fit(docs, block=2)).collect()}
+    assert got == {i: "mit" for i in range(400)} | {400: "unknown", 401: "unknown"}
