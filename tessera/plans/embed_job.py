@@ -125,13 +125,14 @@ def image_pixels(spark: SparkSession, urls: DataFrame, images_root: str | None =
     every other URL, wherever it lies, is fetched by the task it is dealt to.
     """
     from ..functions.images import DEFAULT_MAX_MB, MIB
-    from ..sources.images import TASK_BYTES, fetched_images, scan_bytes, scan_images
+    from ..sources.images import TASK_BYTES, fetched_images, folder_images
 
     limit = DEFAULT_MAX_MB if max_decoded_mb is None else max_decoded_mb
     rest, scanned = urls, None
     if images_root is not None:
-        rest = urls.join(scan_bytes(spark, images_root).select("file"), "file", "left_anti")
-        scanned = scan_images(spark, images_root, drop_invalid=False).select("file", *PIXELS, image_reason(limit).alias("reject_reason"))
+        found, names = folder_images(spark, images_root, drop_invalid=False)
+        rest = urls.join(names, "file", "left_anti")
+        scanned = found.select("file", *PIXELS, image_reason(limit).alias("reject_reason"))
     got = fetched_images(rest, "file", None if max_upload_mb is None else int(max_upload_mb * MIB), task_bytes or TASK_BYTES)
     got = got.select("file", *PIXELS, F.coalesce("reject_reason", image_reason(limit)).alias("reject_reason"))
     return got if scanned is None else scanned.unionByName(got)

@@ -1,13 +1,16 @@
 """Image sources: bytes by file, decoded images, and raster fixtures.
 
 ``scan_bytes`` / ``scan_images`` are Spark's ``binaryFile`` and ``image``
-sources. ``write_image_files`` writes PNG / BMP files (plus junk, truncated
-and empty files) from rasters through each executor's Hadoop-compatible
-filesystem handle, so test images are derived from the given tables.
+sources; of folders with very many small files, the plain ones among them are
+decoded in Arrow batches. ``write_image_files`` writes PNG / BMP files (plus
+junk, truncated and empty files) from rasters through each executor's
+Hadoop-compatible filesystem handle, so test images are derived from the given
+tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -18,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.codecs import decode_bytes
+from ..functions.codecs import JAVA_FORMATS, decode_bytes, decode_plain, no_java_image
 from ..functions.urls import normalize_file_uri
+from ..operators.encode import spread_tasks
 from ..operators.scan import running_sums
 from ..session import scratch_path
 
@@ -36,12 +40,88 @@ def scan_bytes(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def scan_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
+    return folder_images(spark, path, drop_invalid)[0]
+
+
+def _image_source(spark: SparkSession, path: str, drop_invalid: bool) -> DataFrame:
     df = (spark.read.format("image").option("dropInvalid", str(drop_invalid).lower())
           .option("recursiveFileLookup", "true").load(path))
     return df.select(normalize_file_uri("image.origin").alias("file"), "image.height", "image.width",
                      "image.nChannels", "image.mode", "image.data")
 
 
+#: files of a folder beyond which, and their mean size up to which, plain files are decoded in batches
+MANY_FILES, SMALL_FILE = 1 << 12, 64 << 10
+# Spark's mode (OpenCV type) by number of channels, and its height, width, channels and mode of what is no image.
+MODE_OF = {1: 0, 3: 16, 4: 24}
+NO_IMAGE = (-1, -1, -1, -1)
+
+
+def folder_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(images, names)`` of a folder: the rows of Spark's image source, and the ``file`` of each file that ``scan_bytes`` lists.
+
+    The image source sets up an encoder for every file, some milliseconds each. Of
+    very many small files, one pass decodes those that every decoder reads alike
+    (``decode_plain``), knows those that no decoder of Java reads (``no_java_image``)
+    and copies the others to a scratch folder, which the image source then judges and
+    decodes. Other folders go to the image source as they are.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    n = len(files._jdf.inputFiles())
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n <= MANY_FILES or size > n * SMALL_FILE:
+        return _image_source(spark, path, drop_invalid), scan_bytes(spark, path).select("file")
+
+    def tasks(n_files: int) -> int:
+        return max(FEW_TASKS, -(-size // TASK_BYTES) + -(-n_files // TASK_FILES))
+
+    root = scratch_path(spark, "other_files")
+    java_only = {str(f).lower() for f in spark._jvm.javax.imageio.ImageIO.getReaderFormatNames()} <= JAVA_FORMATS
+    named = files.select(normalize_file_uri("path").alias("listed"), normalize_file_uri("_metadata.file_path").alias("file"), "content")
+    seen = checkpointed(_plain_or_copied(named.coalesce(tasks(n)), root, java_only))
+    plain = seen.where("copy is null and height > 0" if drop_invalid else "copy is null").select("file", "height", "width", "nChannels", "mode", "data")
+    names = seen.select(F.col("listed").alias("file"))
+    others = seen.where("copy is not null").select("copy", F.col("file").alias("_of"))
+    n_others = others.count()
+    if not n_others:
+        return plain, names
+    judged = _image_source(spark, root, drop_invalid).coalesce(tasks(n_others)).withColumn("copy", F.substring_index("file", "/", -1))
+    return plain.unionByName(judged.join(others, "copy").select(F.col("_of").alias("file"), *plain.columns[1:])), names
+
+
+def _plain_or_copied(named: DataFrame, root: str, java_only: bool) -> DataFrame:
+    """``(listed, file, height, width, nChannels, mode, data, copy)``: the pixels of a plain file, those of no image, or the name of its copy below ``root``.
+
+    Unless the JVM has no decoders but Java's own (``java_only``), all but plain files are copied.
+    """
+    kept = [named.schema[c] for c in ("listed", "file")]
+    sides = ("height", "width", "nChannels", "mode")
+    fields = [*kept, *(T.StructField(c, T.IntegerType()) for c in sides), T.StructField("data", T.BinaryType()), T.StructField("copy", T.StringType())]
+
+    def run(batches):
+        filesystem = base = None
+        for batch in batches:
+            shapes, data, copies = [], [], []
+            for i, file in enumerate(batch.column("file").to_pylist()):
+                content = batch.column("content")[i].as_py()
+                image, copy = decode_plain(content), None
+                refused = image is None and java_only and no_java_image(content)
+                if image is None and not refused:
+                    if filesystem is None:
+                        filesystem, base = _fs_for(root)
+                        filesystem.create_dir(base, recursive=True)
+                    copy = hashlib.sha256(file.encode()).hexdigest()
+                    with filesystem.open_output_stream(f"{base}/{copy}") as f:
+                        f.write(content)
+                shapes.append((*image.shape, MODE_OF[image.shape[2]]) if image is not None else NO_IMAGE if refused else (None,) * 4)
+                data.append(image.tobytes() if image is not None else b"" if refused else None)
+                copies.append(copy)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c.name) for c in kept), *(pa.array([s[k] for s in shapes], pa.int32()) for k in range(4)),
+                                              pa.array(data, pa.binary()), pa.array(copies, pa.string())], [f.name for f in fields])
+
+    return named.mapInArrow(run, T.StructType(fields))
+
+
 # ---------------------------------------------------------------- fixtures
 def channels_rule(label) -> F.Column:
     """1, 3 or 4 channels by ``label % 3``."""
@@ -63,6 +143,9 @@ def raster_fixture(embeddings: DataFrame) -> DataFrame:
     """64-d vectors -> 8x8 images; stored channel ``s`` = (pixel + 40 s) mod 256,
     pixel = clamp(floor((x + 1) * 127.5), 0, 255)."""
     c = channels_rule("label")
+    tasks = spread_tasks(embeddings)
+    if tasks:                                       # a row group is one task's otherwise, and each row becomes a file
+        embeddings = embeddings.select("vec_id", "label", "embedding").repartition(tasks, "vec_id")
     return embeddings.select("vec_id", "label", F.lit(RASTER_SIDE).alias("height"),
                              F.lit(RASTER_SIDE).alias("width"), c.alias("nChannels"),
                              _raster_bytes("embedding", c).alias("data"))

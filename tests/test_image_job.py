@@ -141,3 +141,47 @@ def test_encoder_stage_gets_its_own_resources(spark):
     plain, own = (apply_encoder(rows, spec, text_col="text", resources=r) for r in (None, profile))
     node = lambda df: df._jdf.queryExecution().analyzed()
     assert node(plain).profile().isEmpty() and node(own).profile().get().id() == profile.id and own.schema == plain.schema
+
+
+def test_very_many_small_files_are_as_the_image_source_gives_them(spark, tmp_path, monkeypatch):
+    from pyspark.testing import assertDataFrameEqual
+
+    from tessera.sources import images
+
+    rng = np.random.default_rng(4)
+    made = {"junk.png": b"not an image", "short": b"B", "zero": b"\0", "wbmp": b"\0\0\x08\x01\xaa", "gif": b"GIF89a, no more", "jpg": b"\xff\xd8\xff", "tif": b"II*\0",
+            "in side/a b%20c.png": _png(rng.integers(0, 256, (5, 3, 4)).astype(np.uint8)),
+            "big.png": _png(rng.integers(0, 256, (40, 40, 3)).astype(np.uint8)), "empty.png": b""}
+    for c in (1, 3, 4):
+        px = rng.integers(0, 256, (4, 3, c)).astype(np.uint8)
+        whole = _png(px)
+        made |= {f"cut_{c}_{n}.png": whole[:n] for n in range(1, len(whole) + 1)}
+        made |= {f"hit_{c}_{n}.png": whole[:n] + bytes([whole[n] ^ 5]) + whole[n + 1:] for n in range(0, len(whole), 2)}
+    bmp = _bmp(rng.integers(0, 256, (4, 3, 3)).astype(np.uint8))
+    made |= {f"cut_{n}.bmp": bmp[:n] for n in range(2, len(bmp) + 1, 5)} | {"long.bmp": bmp + b"x", "plain.bmp": bmp}
+    (tmp_path / "in side").mkdir()
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    want = {drop: images.scan_images(spark, str(tmp_path), drop).collect() for drop in (True, False)}
+    assert len(want[False]) == len(made) - 1 > len(want[True]) > 10
+    monkeypatch.setattr(images, "MANY_FILES", 0)
+    for drop, rows in want.items():
+        got, names = images.folder_images(spark, str(tmp_path), drop)
+        assertDataFrameEqual(got.collect(), rows)
+        assert sorted(r.file for r in names.collect()) == sorted(r.file for r in images.scan_bytes(spark, str(tmp_path)).collect())
+    # of the plain files and those that are surely none, none is left to the image source, a setup of some milliseconds each
+    seen = images._plain_or_copied(spark.createDataFrame([(n, n, bytearray(made[n])) for n in ("junk.png", "plain.bmp", "cut_3_70.png", "big.png")],
+                                                         "listed string, file string, content binary"), str(tmp_path / "copies"), True)
+    assert {r.file: (r.height, r.copy is None) for r in seen.collect()} == {
+        "junk.png": (-1, True), "plain.bmp": (4, True), "cut_3_70.png": (-1, True), "big.png": (None, False)}
+    everything = images._plain_or_copied(spark.createDataFrame([("j", "j", bytearray(b"junk"))], "listed string, file string, content binary"), str(tmp_path / "more"), False)
+    assert everything.first().copy is not None
+
+
+def test_a_row_group_of_rasters_is_spread_over_tasks(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "0 AS label", "transform(sequence(1, 64), k -> cast(rand() - 0.5 AS float)) AS embedding").coalesce(1)
+    rows.write.option("parquet.block.size", 1 << 30).parquet(str(tmp_path / "one"))
+    from tessera.sources.images import raster_fixture
+
+    load = raster_fixture(spark.read.parquet(str(tmp_path / "one"))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(load) > 2 and sum(r["count"] for r in load) == 20_000
