@@ -114,7 +114,7 @@ def stream_dynamic_batches_q(spark, sf_dir):
 
 
 from ..sources.dataset import sample_dataset  # noqa: E402
-from ..streaming.jobs import dataset_stream, run_lanes  # noqa: E402
+from ..streaming.jobs import run_lanes, shard_lanes  # noqa: E402
 from .catalog_data import SAMPLES_SQL, SHARD_ROWS  # noqa: E402
 
 
@@ -123,10 +123,10 @@ SELECT CAST(count(*) AS BIGINT) AS rows_in_batch FROM ({SAMPLES_SQL}) GROUP BY g
 def stream_backpressure(spark, sf_dir):
     """Admission control on a stream: at most one shard per micro-batch
     (``maxFilesPerTrigger``); rows that every micro-batch carried, from the data.
-    Shards go to ten lanes by the last digit of their number, each lane a stream."""
+    Shards go to lanes by the last digits of their number, each lane a stream."""
     prepare(spark)
     root = sample_dataset(spark, sf_dir, SHARD_ROWS)
-    lanes = [dataset_stream(spark, root, max_files_per_trigger=1, only=f"*/shard=*{digit}").select("key") for digit in range(10)]
+    lanes = [shards.select("key") for shards in shard_lanes(spark, root)]
     base = scratch_path(spark, "stream_backpressure")
     carried = run_lanes(lanes, base + "/out", base + "/checkpoint")
     return carried.groupBy("lane", "batch_id").agg(F.count(F.lit(1)).alias("rows_in_batch")).select("rows_in_batch")

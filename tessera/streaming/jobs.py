@@ -10,17 +10,53 @@ watermark) and returns the sink read back as a batch table.
 from __future__ import annotations
 
 import pickle
+import threading
+from concurrent.futures import Future
+from contextlib import contextmanager
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.requests import _jumps, epoch_us
+from ..sources.dataset import list_shards
 
 US = 1_000_000
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+CHECKPOINTS = "spark.sql.streaming.checkpointFileManagerClass"
+BY_FILE_SYSTEM = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
+LANE_SHARDS = 25        # shards that make a lane of their own worth its start
+WRITERS = 2             # jobs that write micro-batches at a time: while one commits, the other's tasks run
+
+
+@contextmanager
+def many_small_files(spark: SparkSession):
+    """What is listed, and the streams that are started, inside have many small files.
+
+    A listing has four tasks a core, by default up to 10,000 of a folder each. Checkpoint
+    files are renamed by ``FileSystem``: ``FileContext``, the default, asks the shell
+    several times for each file of a local or mounted folder. A file manager that the
+    session names itself stays.
+    """
+    before = {k: spark.conf.get(k, None) for k in (LISTING, CHECKPOINTS)}
+    at_most = 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(LISTING, str(min(at_most, int(before[LISTING] or at_most))))
+    if before[CHECKPOINTS] is None:
+        spark.conf.set(CHECKPOINTS, BY_FILE_SYSTEM)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def file_stream(spark: SparkSession, directory: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -32,12 +68,14 @@ def file_stream(spark: SparkSession, directory: str, name: str, max_files_per_tr
     return r.parquet(directory)
 
 
-def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None, only: str | None = None) -> DataFrame:
+def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None, only: str | None = None,
+                   schema: T.StructType | None = None) -> DataFrame:
     """Every parquet shard under ``root`` as a stream (one shard per trigger if asked).
 
-    ``only``: a glob below ``root`` of the folders that the stream reads.
+    ``only``: a glob below ``root`` of the folders that the stream reads. ``schema``:
+    that of all shards, where it is known; else every shard's footer is read for it.
     """
-    schema = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root).schema
+    schema = schema or spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root).schema
     r = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
          .option("pathGlobFilter", "*.parquet"))
     if max_files_per_trigger:
@@ -45,6 +83,24 @@ def dataset_stream(spark: SparkSession, root: str, max_files_per_trigger: int |
     return r.parquet(f"{root}/{only}" if only else root)
 
 
+def shard_lanes(spark: SparkSession, root: str) -> list[DataFrame]:
+    """The shards ``root/*/shard=*`` dealt to streams by the last digits of their number, one shard a micro-batch in each.
+
+    Ten streams, or up to a hundred if there are shards for them, and one for shards
+    whose name does not end in a digit (rows without an id).
+    """
+    with many_small_files(spark):
+        shards = list_shards(spark, root).count()
+        parts = max(n for n in (1, 2, 5, 10) if n == 1 or 10 * n * LANE_SHARDS <= shards)
+        tens = ["0123456789"[i * 10 // parts:(i + 1) * 10 // parts] for i in range(parts)]
+        before = [f"[{t}]" for t in tens[:-1]] + [f"[!{''.join(tens[:-1])}]"] if parts > 1 else [""]     # the last takes whatever else there is
+        ends = [f"{t}{digit}" for digit in range(10) for t in before] + ["[!0-9]"]
+        schema = dataset_stream(spark, root).schema
+        with ThreadPool(8) as pool:         # each lists its shards
+            return pool.map(inheritable_thread_target(spark)(
+                lambda end: dataset_stream(spark, root, max_files_per_trigger=1, only=f"*/shard=*{end}", schema=schema)), ends, chunksize=1)
+
+
 def run_available_now(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Run to the end of the input, however long that takes, and read the sink."""
     q = (df.writeStream.format("parquet").outputMode("append")
@@ -67,30 +123,71 @@ def run_batches(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return run_lanes([df], out, checkpoint).drop("lane")
 
 
-def run_lanes(frames: list[DataFrame], out: str, checkpoint: str) -> DataFrame:
-    """``run_batches`` of several streams of one schema side by side: rows with ``lane`` and ``batch_id``.
+class _GroupWriter:
+    """Writes the micro-batches that wait at the same time in one job, each to the folder of its lane and id.
 
-    What a micro-batch costs besides its rows (offsets, commits, planning, one small
-    job) is mostly waiting, and a stream's micro-batches wait for each other; those
-    of different lanes do not.
+    A micro-batch returns only when its rows are written, so the streams commit no
+    earlier than if each wrote by itself. Whoever gets a turn writes all that wait;
+    what every task of a job costs, whatever it writes, is shared by them.
     """
-    def writer(lane: int):
+
+    def __init__(self, out: str):
+        self.out = out
+        self.waiting: list = []
+        self.enter, self.turn = threading.Lock(), threading.Semaphore(WRITERS)
+
+    def lane(self, lane: int):
         def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/lane={lane}/batch_id={batch_id}")
+            rows = batch.select("*", F.lit(lane).alias("lane"), F.lit(batch_id).cast("long").alias("batch_id"))
+            mine = Future()
+            with self.enter:
+                self.waiting.append((rows, mine))
+            with self.turn:
+                if not mine.done():
+                    with self.enter:
+                        group, self.waiting = self.waiting, []
+                    if group:       # else mine is being written by another
+                        self._write_all(group)
+            mine.result()       # raises what the write raised
         return write
-    queries = []
-    try:
-        for lane, df in enumerate(frames):
-            queries.append(df.writeStream.foreachBatch(writer(lane)).option("checkpointLocation", f"{checkpoint}/lane={lane}")
-                           .trigger(availableNow=True).start())
-        for q in queries:
-            q.awaitTermination()
-    finally:
-        for q in queries:
-            if q.isActive:
-                q.stop()
-    schema = T.StructType([*frames[0].schema.fields, T.StructField("lane", T.IntegerType()), T.StructField("batch_id", T.LongType())])
-    return frames[0].sparkSession.read.schema(schema).parquet(out)
+
+    def _write_all(self, group: list) -> None:
+        try:
+            frames = [rows for rows, _ in group]
+            tasks = frames[0].sparkSession.sparkContext.defaultParallelism
+            while len(frames) > 1:      # in pairs: a chain of unions would be analysed anew for each link
+                frames = [reduce(DataFrame.union, frames[i:i + 2]) for i in range(0, len(frames), 2)]
+            (frames[0].coalesce(tasks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("lane", "batch_id").parquet(self.out))
+        except BaseException as e:
+            for _, done in group:
+                done.set_exception(e)
+        else:
+            for _, done in group:
+                done.set_result(None)
+
+
+def run_lanes(frames: list[DataFrame], out: str, checkpoint: str) -> DataFrame:
+    """``run_batches`` of several streams of one schema side by side: rows with ``lane`` and ``batch_id``.
+
+    What a micro-batch costs besides its rows is setting up a job, and a few small
+    files of offsets and commits. Micro-batches of different lanes do not wait for
+    each other, and those that are to be written at the same time share a job.
+    """
+    spark, writer, queries = frames[0].sparkSession, _GroupWriter(out), []
+    with many_small_files(spark):
+        try:
+            for lane, df in enumerate(frames):
+                queries.append(df.writeStream.foreachBatch(writer.lane(lane)).option("checkpointLocation", f"{checkpoint}/lane={lane}")
+                               .trigger(availableNow=True).start())
+            for q in queries:
+                q.awaitTermination()
+        finally:
+            for q in queries:
+                if q.isActive:
+                    q.stop()
+        schema = T.StructType([*frames[0].schema.fields, T.StructField("lane", T.IntegerType()), T.StructField("batch_id", T.LongType())])
+        return spark.read.schema(schema).parquet(out)
 
 
 # ---------------------------------------------------------------- request streams

@@ -88,6 +88,56 @@ def test_lanes_carry_every_shard_once_one_a_micro_batch(spark, tmp_path):
     assert {lane for lane, _ in carried} == set(range(10)) and max(b for _, b in carried) <= 2      # no lane waits for all the others' shards
 
 
+def test_lanes_deal_out_every_shard_also_that_of_rows_without_id(spark, tmp_path, monkeypatch):
+    from tessera.sources.dataset import write_shards
+    from tessera.streaming import jobs
+    before = {k: spark.conf.get(k, None) for k in (jobs.LISTING, jobs.CHECKPOINTS)}
+    rows = [(i, f"k{i}") for i in range(23 * 3)] + [(None, "a"), (None, "b"), (-1, "c")]
+    write_shards(spark.createDataFrame(rows, "doc_id long, key string"), f"{tmp_path}/in/docs", "doc_id", 3)
+    for shards_a_lane, n in ((25, 11), (1, 21)):
+        monkeypatch.setattr(jobs, "LANE_SHARDS", shards_a_lane)
+        lanes = [s.select("key") for s in jobs.shard_lanes(spark, str(tmp_path / "in"))]
+        assert len(lanes) == n
+        carried = {}
+        for r in jobs.run_lanes(lanes, str(tmp_path / f"out{n}"), str(tmp_path / f"c{n}")).collect():
+            carried.setdefault((r.lane, r.batch_id), []).append(r.key)
+        shards = [[f"k{i}", f"k{i + 1}", f"k{i + 2}"] for i in range(0, 69, 3)] + [["a", "b"], ["c"]]
+        assert sorted(map(sorted, carried.values())) == sorted(map(sorted, shards))
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
+def test_micro_batches_that_wait_share_a_job_and_repeated_ones_replace_their_rows(spark, tmp_path, monkeypatch):
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pytest
+
+    from tessera.streaming import jobs
+    groups, write_all = [], jobs._GroupWriter._write_all
+    monkeypatch.setattr(jobs._GroupWriter, "_write_all", lambda self, group: (groups.append(len(group)), write_all(self, group)))
+    writer = jobs._GroupWriter(str(tmp_path / "out"))
+
+    def together(batches):
+        for _ in range(jobs.WRITERS):
+            writer.turn.acquire()
+        with ThreadPoolExecutor(8) as pool:
+            waits = [pool.submit(writer.lane(lane), df, batch_id) for lane, batch_id, df in batches]
+            while len(writer.waiting) < len(batches):
+                time.sleep(0.01)
+            for _ in range(jobs.WRITERS):
+                writer.turn.release()
+        return [w.exception() for w in waits]
+
+    assert together([(lane, 5, spark.range(lane * 10, lane * 10 + 2)) for lane in range(5)]) == [None] * 5 and groups == [5]
+    assert together([(3, 5, spark.range(7, 8)), (4, 6, spark.range(1))]) == [None] * 2 and groups == [5, 2]
+    got = sorted((r.lane, r.batch_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 5, 0), (0, 5, 1), (1, 5, 10), (1, 5, 11), (2, 5, 20), (2, 5, 21), (3, 5, 7), (4, 5, 40), (4, 5, 41), (4, 6, 0)]
+    bad = spark.range(3).selectExpr("assert_true(id < 2, 'bad') IS NULL AS id")
+    assert all("bad" in str(e) for e in together([(0, 7, bad), (1, 7, bad)]))     # no lane may commit what was not written
+    with pytest.raises(Exception, match="bad"):
+        writer.lane(0)(bad, 8)
+
+
 def test_a_models_waiting_requests_are_kept_as_arrays_and_ids_may_be_text():
     import types
 
