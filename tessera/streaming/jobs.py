@@ -138,7 +138,8 @@ class _GroupWriter:
 
     def lane(self, lane: int):
         def write(batch: DataFrame, batch_id: int) -> None:
-            rows = batch.select("*", F.lit(lane).alias("lane"), F.lit(batch_id).cast("long").alias("batch_id"))
+            # as text: a number would stand in the generated code, which would be compiled anew for every micro-batch
+            rows = batch.select("*", F.lit(str(lane)).alias("lane"), F.lit(str(batch_id)).alias("batch_id"))
             mine = Future()
             with self.enter:
                 self.waiting.append((rows, mine))
